@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, languages, mixing, personal_data, quality, segmentation, token_files, toxicity
+from . import fingerprints, languages, licences, mixing, ngram_join, personal_data, quality, segmentation, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,9 +51,17 @@ def op8_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation.round_trips(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(_table(spark, sf_dir, "documents"))
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_copies(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_fingerprints, op2_personal_data, op3_toxicity, op4_languages, op5_quality, op6_mixing, op7_token_files, op8_segmentation)
+    for f in (op1_fingerprints, op2_personal_data, op3_toxicity, op4_languages, op5_quality, op6_mixing, op7_token_files, op8_segmentation, op9_licences, op10_ngram_join)
 }
 
 _STOPS = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS)))
@@ -80,4 +88,4 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        NOT base_failed AND {_RULES} AS kept FROM q
 """
 
-ORACLES: dict[str, str] = {"op5_quality": QUALITY_SQL}
+ORACLES: dict[str, str] = {"op5_quality": QUALITY_SQL, "op9_licences": licences.licences_sql()}
