@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+from . import tabular
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(tabular.QUERIES)
+ORACLES: dict[str, str] = dict(tabular.ORACLES)
+FLAGSHIP = "pair_and_gate"
