@@ -10,17 +10,17 @@ def mask_metrics(truth: DataFrame, said: DataFrame) -> DataFrame:
     """By class of (x, y, label) grids: IoU, Dice, precision, recall; scored, missed, spurious or absent."""
     j = truth.toDF("x", "y", "t").join(said.toDF("x", "y", "p"), ["x", "y"], "full_outer")
     labels = F.array_distinct(F.array_compact(F.array("t", "p")))
-    c = j.withColumn("label", F.explode(labels)).groupBy("label").agg(F.count_if((F.col("t") == F.col("label")) & (F.col("p") == F.col("label"))).alias("both"), F.count_if(F.col("t") == F.col("label")).alias("n_truth"), F.count_if(F.col("p") == F.col("label")).alias("n_said"))
-    union = F.col("n_truth") + F.col("n_said") - F.col("both")
+    c = j.withColumn("label", F.explode(labels)).groupBy("label").agg(F.count_if((F.col("t") == F.col("label")) & (F.col("p") == F.col("label"))).alias("shared"), F.count_if(F.col("t") == F.col("label")).alias("n_truth"), F.count_if(F.col("p") == F.col("label")).alias("n_said"))
+    union = F.col("n_truth") + F.col("n_said") - F.col("shared")
     status = F.when(F.col("n_truth") == 0, "spurious").when(F.col("n_said") == 0, "missed").otherwise("scored")
     ratio = lambda a, b: F.when(b > 0, a / b)
-    return c.select("label", "both", "n_truth", "n_said", status.alias("status"), (F.col("both") / union).alias("iou"), (2 * F.col("both") / (F.col("n_truth") + F.col("n_said"))).alias("dice"), ratio(F.col("both"), F.col("n_said")).alias("precision"), ratio(F.col("both"), F.col("n_truth")).alias("recall"))
+    return c.select("label", "shared", "n_truth", "n_said", status.alias("status"), (F.col("shared") / union).alias("iou"), (2 * F.col("shared") / (F.col("n_truth") + F.col("n_said"))).alias("dice"), ratio(F.col("shared"), F.col("n_said")).alias("precision"), ratio(F.col("shared"), F.col("n_truth")).alias("recall"))
 
 
 def mask_summary(classes: DataFrame) -> DataFrame:
     """Macro IoU over classes of the truth (missed ones count as 0), micro as a ratio of sums."""
-    union = F.col("n_truth") + F.col("n_said") - F.col("both")
-    return classes.agg(F.avg(F.when(F.col("status") != "spurious", F.col("iou"))).alias("macro"), (F.sum("both") / F.sum(union)).alias("micro"), F.count_if(F.col("status") == "missed").alias("missed"))
+    union = F.col("n_truth") + F.col("n_said") - F.col("shared")
+    return classes.agg(F.avg(F.when(F.col("status") != "spurious", F.col("iou"))).alias("macro"), (F.sum("shared") / F.sum(union)).alias("micro"), F.count_if(F.col("status") == "missed").alias("missed"))
 
 
 def band_delta(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:

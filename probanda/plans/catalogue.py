@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import tabular
+from . import evidence, tabular
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(tabular.QUERIES)
-ORACLES: dict[str, str] = dict(tabular.ORACLES)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = tabular.QUERIES | evidence.QUERIES
+ORACLES: dict[str, str] = tabular.ORACLES | evidence.ORACLES
 FLAGSHIP = "pair_and_gate"
