@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evidence, tabular
+from . import evidence, robust, tabular
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = tabular.QUERIES | evidence.QUERIES
-ORACLES: dict[str, str] = tabular.ORACLES | evidence.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = tabular.QUERIES | evidence.QUERIES | robust.QUERIES
+ORACLES: dict[str, str] = tabular.ORACLES | evidence.ORACLES | robust.ORACLES
 FLAGSHIP = "pair_and_gate"

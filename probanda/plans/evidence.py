@@ -265,10 +265,10 @@ def band_delta(spark, sf_dir):
     return d.select("valid", "changed", "only_a", "only_b", "neither", *[F.round(k, 6).alias(k) for k in ("mean", "mae", "rmse", "least", "most")])
 
 
-@query(f"WITH c AS ({CELLS}) SELECT floor(x / 16)::BIGINT AS tx, floor(y / 16)::BIGINT AS ty, count(*) AS cells, round(avg(v), 6) AS mean, round(sqrt(avg(v * v)), 6) AS rms, round(var_pop(v), 3) AS detail FROM c WHERE run = 1 GROUP BY 1, 2")
+@query(f"WITH c AS ({CELLS}) SELECT floor(x / 16)::BIGINT AS tx, floor(y / 16)::BIGINT AS ty, count(*) AS cells, round(avg(v), 6) AS mean, round(sqrt(avg(v * v)), 6) AS rms, round(var_pop(v), 8) AS detail FROM c WHERE run = 1 GROUP BY 1, 2")
 def tile_aggregates(spark, sf_dir):
     t = grids.tiles(cells(spark, sf_dir).where("run = 1").withColumnRenamed("value", "err"), 16)
-    return t.select("tx", "ty", "cells", F.round("mean", 6).alias("mean"), F.round("rms", 6).alias("rms"), F.round("detail", 3).alias("detail"))
+    return t.select("tx", "ty", "cells", F.round("mean", 6).alias("mean"), F.round("rms", 6).alias("rms"), F.round("detail", 8).alias("detail"))
 
 
 RUNS = "SELECT l_linenumber AS run, l_partkey % 64 AS tile, round(avg(l_quantity), 4) AS v FROM lineitem GROUP BY 1, 2"
@@ -281,9 +281,9 @@ def noise_decisions(spark, sf_dir):
     return grids.outside_envelope(r.where("run = 5").select("tile", (F.col("value") - 25).alias("value")), e)
 
 
-@query(f"WITH RECURSIVE g AS ({GRID}), h AS (SELECT y * 64 + x AS id, x, y FROM g WHERE label = 'R'), r AS (SELECT id, id AS reach, x, y FROM h UNION SELECT r.id, h.id, h.x, h.y FROM r JOIN h ON abs(h.x - r.x) <= 1 AND abs(h.y - r.y) <= 1 WHERE r.y < 9 AND h.y < 9) SELECT id, min(reach) AS component FROM r WHERE y < 9 GROUP BY id")
+@query(f"WITH RECURSIVE g AS ({GRID}), h AS (SELECT y * 64 + x AS id, x, y FROM g WHERE label = 'N'), r AS (SELECT id, id AS reach, x, y FROM h UNION SELECT r.id, h.id, h.x, h.y FROM r JOIN h ON abs(h.x - r.x) <= 1 AND abs(h.y - r.y) <= 1 WHERE r.y < 9 AND h.y < 9) SELECT id, min(reach) AS component FROM r WHERE y < 9 GROUP BY id")
 def pixel_components(spark, sf_dir):
-    h = grid(spark, sf_dir).where("label = 'R' and y < 9").select((F.col("y") * 64 + F.col("x")).alias("id"), "x", "y")
+    h = grid(spark, sf_dir).where("label = 'N' and y < 9").select((F.col("y") * 64 + F.col("x")).alias("id"), "x", "y")
     c = components.components(grids.neighbours(h))
     return h.join(c, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
 

@@ -1 +1 @@
-"""Measurement evidence as DataFrame programs."""
+"""Streams of events: recomputing what new files touch, appends that may be repeated, windows, pacing."""
