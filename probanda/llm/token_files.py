@@ -16,6 +16,8 @@ no files and gives no rows.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -27,12 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import key_ranges, partitions, range_of, shared_path, written
+from .common import key_ranges, partitions, range_of, shared_path, text_batches, written
 
 MASK = 0xA282EAD8
 WIDE, NO_ID = 1, 2
 #: Chunks remembered with their ids by each worker, then forgotten together.
-REMEMBERED = 400_000
+REMEMBERED, WORDS = 600_000, 700_000
+#: A word of letters and a tail of ASCII marks without apostrophes.
+PLAIN = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+TOGETHER = 60_000
 #: Longer chunks are not remembered.
 LONG = 200
 
@@ -71,6 +76,7 @@ class Encoder:
     """Ids of whole texts. The tokenizer parts texts at white space, so each chunk is encoded once and remembered."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -79,22 +85,73 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         self.kind = "<u4" if self.size > 65536 else "<u2"
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Chunks of a letter word and a tail of plain marks have the word's ids and the tail's: no mark composes with a letter, and words are parted from marks."""
+        parted, words, others = [], set(), set()
+        for chunk in chunks:
+            m = PLAIN.fullmatch(chunk)
+            if m and len(chunk) < LONG and "\u03a3" not in chunk:  # the case of a last sigma depends on its place
+                word, tail = m[1].lower(), m[2]
+                parted.append((chunk, word, tail))
+                if word not in self.words:
+                    words.add(word)
+                if tail and tail not in self.words:
+                    others.add(tail)
+            else:
+                others.add(chunk)
+                parted.append((chunk, chunk, ""))
+        if len(self.words) + len(words) > WORDS:
+            self.words.clear()
+            words = {w for c, w, _ in parted if w is not c or w not in others}
+            others |= {t for _, _, t in parted if t}
+        words = list(words - others)
+        for at in range(0, len(words), 500):
+            # A line of words is one call; word numbers part its ids, if each word stayed one.
+            line = words[at : at + 500]
+            e = self.tokenizer.encode(" ".join(line), add_special_tokens=False)
+            numbers = np.array(e.word_ids, np.int64)
+            ends = np.flatnonzero(np.diff(numbers, append=-1)) + 1
+            if len(ends) == len(line):
+                ids, begin = np.array(e.ids, self.kind).tobytes(), 0
+                width = len(ids) // len(numbers)
+                for word, end in zip(line, (ends * width).tolist(), strict=True):
+                    self.words[word] = ids[begin:end]
+                    begin = end
+            else:
+                others.update(line)
+        others = list(others)
+        for chunk, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            self.words[chunk] = self._packed(e.ids)
+        for chunk, word, tail in parted:
+            self.known[chunk] = self.words[word] + self.words[tail] if tail else self.words[word]
+        for chunk in [c for c in others if len(c) > LONG]:
+            del self.words[chunk]
 
     def __call__(self, texts: list[str], end_id: int) -> Iterator[bytes]:
-        tail = np.array([end_id], self.kind).tobytes()
-        for text in texts:
-            chunks = text.replace("\n", " ").split(" ")  # other white space stays in its chunk, for the tokenizer to part
-            if new := {c for c in chunks if c not in self.known}:
-                if len(self.known) + len(new) > REMEMBERED:
-                    self.known.clear()
-                    new = set(chunks)
-                new = list(new)
-                for chunk, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    self.known[chunk] = np.array(e.ids, self.kind).tobytes()
-            yield b"".join([self.known[c] for c in chunks]) + tail
-            if len(new or ()) and max(map(len, new)) > LONG:
-                for chunk in [c for c in new if len(c) > LONG]:
-                    del self.known[chunk]
+        """Texts are taken together up to TOGETHER chunks, so that the library sees long lists of new chunks."""
+        tail, at = np.array([end_id], self.kind).tobytes(), 0
+        while at < len(texts):
+            group, size = [], 0
+            while at < len(texts) and (size < TOGETHER or not group):
+                group.append(texts[at].replace("\n", " ").split(" "))  # other white space stays in its chunk, for the tokenizer to part
+                size += len(group[-1])
+                at += 1
+            new = {c for g in group for c in g if c not in self.known}
+            if len(self.known) + len(new) > REMEMBERED:
+                self.known.clear()
+                new = {c for g in group for c in g}
+            new = list(new)
+            self._learn(new)
+            known = self.known
+            for g in group:
+                yield b"".join([known[c] for c in g]) + tail
+            for chunk in [c for c in new if len(c) > LONG]:
+                del known[chunk]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -151,6 +208,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
     """Writes the files; returns part, n_docs, n_tokens, path, one row a file, in ascending doc_id order of part."""
     spark = docs.sparkSession
+    text_batches(spark)
     folder = folder or shared_path(spark, "tokens")
     files, base = _filesystem(folder)
     files.create_dir(base, recursive=True)
