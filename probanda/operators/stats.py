@@ -53,7 +53,7 @@ def paired_bootstrap(pairs: DataFrame, group: list[str], resamples: int = 2048,
         rows = rows.sort_values("ord")
         n = len(rows)
         if n < 6:
-            return pd.DataFrame([[*key, n, *[None] * 6]], columns=names)
+            return pd.DataFrame([[*key, n, *[pd.NA] * 6]], columns=names).astype(dict.fromkeys(names[-6:], "Float64"))
         d = (rows["after"] - rows["before"]).to_numpy()
         r = np.log(rows["after"].to_numpy()) - np.log(rows["before"].to_numpy())
         at = split_mix(seed, n, n * resamples).reshape(resamples, n)
@@ -85,12 +85,16 @@ def _best_segments(cost: np.ndarray, least: int, penalty: float) -> list[int]:
 def onsets(series: DataFrame, least: int = 5) -> DataFrame:
     """Sustained rises of each identity's series (identity, time, ms, repeat_range, floor, min_pct), 10 to 120 observations: exact segmentation of scaled logs by absolute deviation from segment medians."""
 
+    names = ["identity", "last_before", "first_changed", "before_ms", "after_ms", "materiality", "status"]
+
+    def none(identity: object, status: str) -> pd.DataFrame:
+        return pd.DataFrame([[identity, *[pd.NA] * 5, status]], columns=names).astype(dict.fromkeys(names[1:6], "Float64"))
+
     def detect(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        names = ["identity", "last_before", "first_changed", "before_ms", "after_ms", "materiality", "status"]
         rows = rows.sort_values("time")
         n = len(rows)
         if not 10 <= n <= 120:
-            return pd.DataFrame([[key[0], None, None, None, None, None, "insufficient"]], columns=names)
+            return none(key[0], "insufficient")
         ms, t = rows["ms"].to_numpy(), rows["time"].to_numpy()
         logs = np.log(ms)
         scale = max(np.median(np.abs(np.diff(logs))) * 1.048358, np.median(np.log1p(rows["repeat_range"].to_numpy() / ms)), 1e-6)
@@ -118,7 +122,7 @@ def onsets(series: DataFrame, least: int = 5) -> DataFrame:
             if after - before > limit and int((ms[split:end] - before > limit).sum()) >= 5:
                 out.append([key[0], t[split - 1], t[split], before, after, limit, "candidate"])
             first = split
-        return pd.DataFrame(out or [[key[0], None, None, None, None, None, "none"]], columns=names)
+        return pd.DataFrame(out, columns=names) if out else none(key[0], "none")
 
     kind = dict(series.dtypes)["identity"]
     return series.groupBy("identity").applyInPandas(detect, f"identity {kind}, last_before double, first_changed double, before_ms double, after_ms double, materiality double, status string")

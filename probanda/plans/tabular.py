@@ -140,9 +140,9 @@ def rank_candidates(spark, sf_dir):
     return ranking.rank_each(s).select("candidate", "image", "value", "place")
 
 
-@query(f"WITH s AS ({B.SCORES}), k AS (SELECT image FROM s WHERE value IS NOT NULL GROUP BY image HAVING count(DISTINCT candidate) = (SELECT count(DISTINCT candidate) FROM s)), r AS (SELECT *, rank() OVER (PARTITION BY image ORDER BY value) AS place FROM s WHERE image IN (SELECT image FROM k)), m AS (SELECT candidate, avg(place) AS mean_rank, avg(value) AS mean_value, count(*) AS n FROM r GROUP BY candidate) SELECT candidate, round(mean_rank, 6) AS mean_rank, round(mean_value, 4) AS mean_value, n, CASE WHEN n = (SELECT count(DISTINCT image) FROM s) THEN rank() OVER (ORDER BY mean_rank, mean_value) END AS place FROM m")
+@query(f"WITH s AS ({B.SCORES}), k AS (SELECT image FROM s WHERE value IS NOT NULL GROUP BY image HAVING count(DISTINCT candidate) = (SELECT count(DISTINCT candidate) FROM s)), r AS (SELECT *, rank() OVER (PARTITION BY image ORDER BY value) AS place FROM s WHERE image IN (SELECT image FROM k)), m AS (SELECT candidate, avg(place) AS mean_rank, avg(value) AS mean_value, count(*) AS n FROM r GROUP BY candidate) SELECT candidate, round(mean_rank, 6) AS mean_rank, round(mean_value, 8) AS mean_value, n, CASE WHEN n = (SELECT count(DISTINCT image) FROM s) THEN rank() OVER (ORDER BY mean_rank, mean_value) END AS place FROM m")
 def overall_ranking(spark, sf_dir):
-    return ranking.overall(B.scores(spark, sf_dir)).select("candidate", F.round("mean_rank", 6).alias("mean_rank"), F.round("mean_value", 4).alias("mean_value"), "n", "place")
+    return ranking.overall(B.scores(spark, sf_dir)).select("candidate", F.round("mean_rank", 6).alias("mean_rank"), F.round("mean_value", 8).alias("mean_value"), "n", "place")
 
 
 @query(f"WITH d AS ({B.DAILY}), c AS (SELECT entry, env, capture, min_by(value, seq) AS value FROM d GROUP BY 1, 2, 3), g AS (SELECT entry, env, count(*) AS n, min(value) AS least, max(value) AS most FROM c GROUP BY 1, 2) SELECT entry, env, n, least, most, round(most - least, 6) AS span, CASE WHEN n < 3 THEN 'insufficient' WHEN least <= 25 AND most > 25 THEN 'flaky_threshold' WHEN most - least > 25 THEN 'noise_dominates_threshold' ELSE 'stable' END AS finding, round(least(1.0, most + (most - least)), 6) AS suggested FROM g")

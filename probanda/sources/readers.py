@@ -62,7 +62,7 @@ def cues(files: DataFrame) -> DataFrame:
     line = r"(?m)^((?:\d+:)?\d\d:\d\d[,.]\d{3}) +--> +((?:\d+:)?\d\d:\d\d[,.]\d{3}).*$"
     stamp = lambda i: seconds(F.regexp_extract("block", line, i))
     body = F.regexp_replace("block", r"(?s)^.*?-->[^\n]*\n?", "")
-    return block.where(F.col("block").rlike(line)).select("path", "ordinal", stamp(1).alias("start"), stamp(2).alias("end"), F.trim(body).alias("text"))
+    return block.where(F.col("block").rlike(line)).select("path", "ordinal", stamp(1).alias("start"), stamp(2).alias("end"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("text"))
 
 
 def numbered(files: DataFrame) -> DataFrame:
