@@ -29,6 +29,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that go to Python at a time: whole texts are long, and a worker holds a few batches.
+BATCH = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of at most BATCH rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH:
+        spark.conf.set(name, BATCH)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_ranges, partitions, range_of
+from .common import key_ranges, partitions, range_of, text_batches
 
 P = np.uint64((1 << 31) - 1)
 SHIFT = np.uint64(31)
@@ -154,6 +154,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     to each, so that no range waits for another and the text is shuffled once.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = partitions(spark)
     cuts = key_ranges(rows.where("doc_id is not null"), "doc_id", n)

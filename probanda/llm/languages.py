@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import text_batches
+
 MAX_CHARS, SAMPLE, ALPHABET, PIECE = 160_000, 200, 96, 512
 OTHER = re.compile(r"[\W\d_]+")
 
@@ -186,6 +188,7 @@ def samples(docs: DataFrame, max_chars: int = MAX_CHARS) -> dict[str, str]:
 def identify(docs: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document; the automata go to the executors once (their size is bounded by max_chars)."""
     spark = docs.sparkSession
+    text_batches(spark)
     model = spark.sparkContext.broadcast(CrossParser(samples(docs, max_chars)))
 
     @F.pandas_udf("lang_pred string, score double")

@@ -68,7 +68,7 @@ aggregate(items,
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of every document."""
-    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.size(words(F.col("text"))), F.lit(0)).cast("long").alias("size")), "sizes")
+    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.size(words(F.coalesce(F.col("text"), F.lit("")))).cast("long").alias("size")), "sizes")
     targets = written(source_targets(sized, weights, share, cap), "targets")
     n_sources, most = targets.agg(F.count(F.lit(1)), F.max("n")).first()
     side = targets.withColumnRenamed("source", "_source")
@@ -107,7 +107,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents, each as often as the mix takes it. Rows of one doc_id are told apart by source and size; equal ones share their copies in any order."""
     nth = lambda *more: F.row_number().over(Window.partitionBy("_id", "_src", "_size").orderBy(*more))
     copies = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.coalesce("source", F.lit("")).alias("_src"), F.col("size").alias("_size"), F.col("copies").alias("_copies"), F.col("source").isNull().alias("_null"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_src"), F.coalesce(F.size(words(F.col("text"))), F.lit(0)).cast("long").alias("_size"), F.col("source").isNull().alias("_null"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_src"), F.size(words(F.coalesce(F.col("text"), F.lit("")))).cast("long").alias("_size"), F.col("source").isNull().alias("_null"))
     left = rows.withColumn("_nth", nth(F.xxhash64("_row")))
     right = copies.withColumn("_nth", nth("_copies")).toDF(*[f"{c}_r" for c in [*copies.columns, "_nth"]])
     match = F.col("_id").eqNullSafe(F.col("_id_r")) & (F.col("_src") == F.col("_src_r")) & (F.col("_size") == F.col("_size_r")) & (F.col("_nth") == F.col("_nth_r")) & (F.col("_null") == F.col("_null_r"))

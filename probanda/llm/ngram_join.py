@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import partitions, text_batches, written
 from .graph import components
 
 WIDTH, PERCENT, GROUPS = 4, 85, 32
@@ -277,13 +277,16 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def packed(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t).tobytes() for t in texts], dtype=object)
 
-    sets = rows.join(_small(wanted), "node", "left_semi").select("node", packed("text").alias("s")).where(F.length("s") > 0)
+    sets = rows.join(_small(wanted), "node", "left_semi").select("node", packed("text").alias("s"))
 
     @F.pandas_udf("boolean")
     def linked(left: pd.Series, right: pd.Series) -> pd.Series:
         out = []
         for p, q in zip(left, right, strict=True):
             x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            if not len(x) or not len(y):  # another text of the same doc_id
+                out.append(False)
+                continue
             if len(x) > len(y):
                 x, y = y, x
             both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
@@ -297,6 +300,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark: SparkSession = docs.sparkSession
+    text_batches(spark)
     found = records(docs)
     usable = found.where("n > 0 and doc_id is not null")
     names = written(usable.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")

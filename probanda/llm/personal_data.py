@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -286,6 +288,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 def personal_data(docs: DataFrame) -> DataFrame:
     """One row a document with its spans; each text is read in place, without a shuffle."""
     weights = learnt_weights()
+    text_batches(docs.sparkSession)
 
     @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
     def find(texts: pd.Series) -> pd.DataFrame:
@@ -311,6 +314,7 @@ def masked_text(text: str, spans: list[tuple[str, int, int]]) -> str:
 def masked_documents(docs: DataFrame) -> DataFrame:
     """The documents with all personal data masked; n_chars, where there is such a column, follows the text."""
     weights = learnt_weights()
+    text_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def mask(texts: pd.Series) -> pd.Series:
