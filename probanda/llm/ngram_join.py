@@ -1,8 +1,9 @@
 """N-gram Jaccard join through count vectors in R-trees.
 
 A document is its set of distinct WIDTH-word shingles (64-bit hashes). The
-shingles are hashed into GROUPS groups; a document's group counts are a point,
-and the sum of the smaller coordinates of two points bounds the overlap of
+shingles are hashed into groups, about one for every 16 of them (GROUPS to
+MOST_GROUPS, by powers of two, so that fine points fold into coarse ones); a
+document's group counts are a point, and the sum of the smaller coordinates of two points bounds the overlap of
 their sets. Pairs whose bound reaches the least overlap that the threshold
 asks for are verified on the sets themselves.
 
@@ -32,13 +33,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions, text_batches, written
 from .graph import components
 
-WIDTH, PERCENT, GROUPS = 4, 85, 32
+WIDTH, PERCENT, GROUPS, MOST_GROUPS = 4, 85, 32, 1024
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 #: Shingles of so many documents are counted at a time; those seen once in it are not reported.
@@ -47,7 +48,7 @@ COUNTED = 1_000_000
 FREQUENT, HOT_LIST = 32, 262_144
 BLOCK, LEAF, FAN = 4096, 24, 8
 #: Tables of ids up to this many rows (8 to 32 bytes each) are broadcast; longer ones are joined by shuffle.
-SMALL = 1_000_000
+SMALL = 2_000_000
 
 
 class _Hashes(dict):
@@ -77,12 +78,49 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 
 def group_counts(hashes: np.ndarray) -> bytes:
-    """The point: GROUPS counts, two bytes each, or four for sets too large for that."""
-    return np.bincount((hashes >> np.uint64(7)).astype(np.int64) % GROUPS, minlength=GROUPS).astype("<u2" if len(hashes) < 65536 else "<u4").tobytes()
-
-
-def points_of(column: pd.Series) -> np.ndarray:
-    return np.stack([np.frombuffer(b, "<u2" if len(b) == 2 * GROUPS else "<u4") for b in column]).astype(np.int32) if len(column) else np.zeros((0, GROUPS), np.int32)
+    """The point: counts of the groups, two bytes each, after one byte with the number of groups as a power of two. Counts beyond 65,534 read as without limit."""
+    groups = GROUPS
+    while 16 * groups < len(hashes) and groups < MOST_GROUPS:
+        groups *= 2
+    counts = np.bincount((hashes >> np.uint64(7)).astype(np.int64) % groups, minlength=groups)
+    return bytes([groups.bit_length() - 1]) + np.minimum(counts, 65_535).astype("<u2").tobytes()
+
+
+class Points:
+    """Points of one column, as matrices of every number of groups that some of them reach."""
+
+    def __init__(self, column: pd.Series):
+        raw = column.tolist()
+        self.groups = np.array([1 << b[0] for b in raw], np.int64)
+        self.rows, self.matrix = {}, {}
+        finer, kept = None, None
+        for groups in sorted({GROUPS, *self.groups.tolist()}, reverse=True):
+            own = np.flatnonzero(self.groups == groups)
+            m = np.frombuffer(b"".join(raw[i][1:] for i in own), "<u2").reshape(len(own), groups).astype(np.int32)
+            m[m == 65_535] = 1 << 24
+            if kept is not None and len(kept):
+                own, m = np.concatenate([own, kept]), np.concatenate([m, finer.reshape(len(kept), -1, groups).sum(1, dtype=np.int32)])
+            kept, finer = own, m
+            place = np.full(len(raw), -1, np.int64)
+            place[own] = np.arange(len(own))
+            self.rows[groups], self.matrix[groups] = place, m
+
+    def coarse(self) -> np.ndarray:
+        return self.matrix[GROUPS][self.rows[GROUPS]]
+
+    def at(self, groups: int, i: np.ndarray) -> np.ndarray:
+        return self.matrix[groups][self.rows[groups][i]]
+
+
+def bounded(left: Points, i: np.ndarray, n: np.ndarray, right: Points, j: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether the points of the pairs (i, j), as fine as both have them, allow the overlap that sizes n and m need."""
+    groups, need, ok = np.minimum(left.groups[i], right.groups[j]), least_overlap(n, m), np.zeros(len(i), bool)
+    for g in np.unique(groups).tolist():
+        at = np.flatnonzero(groups == g)
+        for low in range(0, len(at), 4_000_000 // g):
+            part = at[low : low + 4_000_000 // g]
+            ok[part] = np.minimum(left.at(g, i[part]), right.at(g, j[part])).sum(1) >= need[part]
+    return ok
 
 
 def least_overlap(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -166,10 +204,14 @@ def suffices(pairs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def bound(n: pd.Series, m: pd.Series, p: pd.Series, q: pd.Series) -> pd.Series:
-        return pd.Series(np.minimum(points_of(p), points_of(q)).sum(1) >= least_overlap(n.to_numpy(), m.to_numpy()))
+        at = np.arange(len(n))
+        return pd.Series(bounded(Points(p), at, n.to_numpy(), Points(q), at, m.to_numpy()))
+
+    return pairs.where(near("n_a", "n_b")).where(bound("n_a", "n_b", "p_a", "p_b"))
+
 
-    near = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
-    return pairs.where(near).where(bound("n_a", "n_b", "p_a", "p_b"))
+def near(n: str, m: str) -> Column:
+    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
 class RTree:
@@ -236,7 +278,8 @@ def _join_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not len(rows):
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         key, part, node, n, comp = (rows[c].to_numpy(np.int64) for c in ("key", "chunk", "node", "n", "comp"))
-        moved, points = rows["moved"].to_numpy(bool), points_of(rows["point"])
+        moved, fine = rows["moved"].to_numpy(bool), Points(rows["point"])
+        points = fine.coarse()
         starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
         out = []
         for low, high in zip(starts, np.r_[starts[1:], len(key)], strict=True):
@@ -244,6 +287,8 @@ def _join_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             at = slice(low, high)
             i, j = RTree(points[at], n[at], comp[at]).pairs()
+            ok = bounded(fine, low + i, n[low + i], fine, low + j, n[low + j])
+            i, j = i[ok], j[ok]
             if part[low]:  # pairs of rows that are in all chunks are found in the first
                 ok = ~(moved[at][i] & moved[at][j])
                 i, j = i[ok], j[ok]
@@ -306,8 +351,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     names = written(usable.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
     n_names = names.count()
     nodes = usable.join(_small(names, n_names), "digest").where("doc_id = node").select("node", "n", "point", "keys")
-    keys = nodes.select(F.explode("keys").alias("key"), "node")
-    shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("center")).where("c > 1"), "blocks")
+    keys = nodes.select(F.explode("keys").alias("key"), "node", "n")
+    shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("center"), F.min_by("n", "node").alias("center_n")).where("c > 1"), "blocks")
     members = written(keys.join(_small(shared), "key"), "members")
     points = nodes.select("node", "n", "point")
     side = lambda x: points.toDF(x, f"n_{x}", f"p_{x}")
@@ -315,7 +360,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     def checked(pairs: DataFrame) -> DataFrame:
         return verified(suffices(pairs.join(side("a"), "a").join(side("b"), "b")), docs, nodes)
 
-    first = checked(members.where("node > center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct())
+    first = checked(members.where("node > center").where(near("n", "center_n")).select(F.col("center").alias("a"), F.col("node").alias("b")).distinct())
     so_far = written(components(first), "so-far")
     # The first node has been tried against all others; blocks whose other nodes are of one component are done.
     open_rows = members.where("c > 2 and node <> center").join(_small(so_far), "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
@@ -340,8 +385,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without those that have an earlier document in their component; of rows that repeat a doc_id one stays. Rows with null doc_id stay."""
     kept = written(near_copies(docs).where("doc_id is not null and component_id = doc_id").groupBy("doc_id").count(), "kept")
     n = kept.count()
-    key = F.col("doc_id").cast("long") == F.col("_id")
-    once = _small(kept.where("count = 1").select(F.col("doc_id").alias("_id")), n)
-    often = _small(kept.where("count > 1").select(F.col("doc_id").alias("_id")), n)
+    key = F.col("doc_id").cast("long") == F.col("__kept_id")
+    once = _small(kept.where("count = 1").select(F.col("doc_id").alias("__kept_id")), n)
+    often = _small(kept.where("count > 1").select(F.col("doc_id").alias("__kept_id")), n)
     repeated = docs.join(often, key, "left_semi").dropDuplicates(["doc_id"])
     return docs.join(once, key, "left_semi").unionByName(repeated).unionByName(docs.where("doc_id is null"))
