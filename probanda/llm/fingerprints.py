@@ -140,8 +140,8 @@ def _edited(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 new = fingerprint(changed)
                 out.append((old_id, len(old), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), old_mark.hex(), new.hex(), likeness(old_mark, new), likeness(old_mark, mark)))
             held = None if halo else (part, doc_id, text, mark)
-        frame = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-        yield frame
+        if out:
+            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
