@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: The six white-space characters that part words.
-SPACES = " \t\n\x0b\x0c\r"
-
+from ..sources.tables import shared_path, written
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that all executors and the driver share (spark.checkpoint.dir); a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="probanda-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+__all__ = ["SPACES", "count_of", "global_rank", "key_ranges", "partitions", "range_of", "shared_path", "text_batches", "words", "written"]
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back: later uses neither recompute it nor lose it with an executor."""
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: The six white-space characters that part words.
+SPACES = " \t\n\x0b\x0c\r"
 
 
 #: Rows that go to Python at a time: whole texts are long, and a worker holds a few batches.

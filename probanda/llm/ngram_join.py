@@ -1,7 +1,7 @@
 """N-gram Jaccard join through count vectors in R-trees.
 
 A document is its set of distinct WIDTH-word shingles (64-bit hashes). The
-shingles are hashed into groups, about one for every 16 of them (GROUPS to
+shingles are hashed into groups, about one for each (but GROUPS to
 MOST_GROUPS, by powers of two, so that fine points fold into coarse ones); a
 document's group counts are a point, and the sum of the smaller coordinates of two points bounds the overlap of
 their sets. Pairs whose bound reaches the least overlap that the threshold
@@ -11,9 +11,10 @@ Points are brought together by blocks, so that no tree needs all documents:
 documents that link share one of the first n - ceil(t n) + 1 shingles in any common order, and each
 such shingle is a block. The order puts frequent shingles last, so that
 common passages hardly ever open a block. Sets that are equal are one node.
-Linking runs in two rounds: each node of a block is tried against the block's
-first node; then, in blocks that still hold several components, a tree finds
-all pairs of different components whose bound suffices. Pairs within a
+Linking runs in two rounds: nodes alone in a block with one other are tried
+against it, and every node against the first node of most of its larger
+blocks; then, in larger blocks that still hold several components, a tree
+finds all pairs of different components whose bound suffices. Pairs within a
 component need no look, so groups of thousands of near copies stay linear.
 Blocks above BLOCK nodes are split: the largest component's nodes part into
 chunks, the others go to all chunks.
@@ -36,10 +37,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import partitions, text_batches, written
-from .graph import components
 
-WIDTH, PERCENT, GROUPS, MOST_GROUPS = 4, 85, 32, 1024
+WIDTH, PERCENT, GROUPS, MOST_GROUPS = 4, 85, 256, 1024
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 #: Shingles of so many documents are counted at a time; those seen once in it are not reported.
@@ -78,12 +79,12 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 
 def group_counts(hashes: np.ndarray) -> bytes:
-    """The point: counts of the groups, two bytes each, after one byte with the number of groups as a power of two. Counts beyond 65,534 read as without limit."""
+    """The point: counts of the groups, a byte each, after one byte with the number of groups as a power of two. Counts beyond 254 read as without limit."""
     groups = GROUPS
-    while 16 * groups < len(hashes) and groups < MOST_GROUPS:
+    while groups < len(hashes) and groups < MOST_GROUPS:
         groups *= 2
     counts = np.bincount((hashes >> np.uint64(7)).astype(np.int64) % groups, minlength=groups)
-    return bytes([groups.bit_length() - 1]) + np.minimum(counts, 65_535).astype("<u2").tobytes()
+    return bytes([groups.bit_length() - 1]) + np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
 class Points:
@@ -96,8 +97,8 @@ class Points:
         finer, kept = None, None
         for groups in sorted({GROUPS, *self.groups.tolist()}, reverse=True):
             own = np.flatnonzero(self.groups == groups)
-            m = np.frombuffer(b"".join(raw[i][1:] for i in own), "<u2").reshape(len(own), groups).astype(np.int32)
-            m[m == 65_535] = 1 << 24
+            m = np.frombuffer(b"".join(raw[i][1:] for i in own), np.uint8).reshape(len(own), groups).astype(np.int32)
+            m[m == 255] = 1 << 20
             if kept is not None and len(kept):
                 own, m = np.concatenate([own, kept]), np.concatenate([m, finer.reshape(len(kept), -1, groups).sum(1, dtype=np.int32)])
             kept, finer = own, m
@@ -240,8 +241,8 @@ class RTree:
         ok &= ~((first[i] == last[i]) & (first[j] == last[j]) & (first[i] == first[j]))
         i, j = i[ok], j[ok]
         out = [np.zeros(0, bool)]
-        for low in range(0, len(i), 20_000):
-            a, b = i[low : low + 20_000], j[low : low + 20_000]
+        for low in range(0, len(i), 16_000):
+            a, b = i[low : low + 16_000], j[low : low + 16_000]
             out.append(np.minimum(high[a], high[b]).sum(1) >= least_overlap(small[a], small[b]))
         ok = np.concatenate(out)
         return i[ok], j[ok]
@@ -263,7 +264,10 @@ class RTree:
                 if not level:
                     ok = (self.comp[a] != self.comp[b]) & (100 * np.minimum(self.n[a], self.n[b]) >= PERCENT * np.maximum(self.n[a], self.n[b]))
                     a, b = a[ok], b[ok]
-                    ok = np.minimum(self.points[a], self.points[b]).sum(1) >= least_overlap(self.n[a], self.n[b])
+                    ok = np.zeros(len(a), bool)
+                    for at in range(0, len(a), 16_000):
+                        x, y = a[at : at + 16_000], b[at : at + 16_000]
+                        ok[at : at + 16_000] = np.minimum(self.points[x], self.points[y]).sum(1) >= least_overlap(self.n[x], self.n[y])
                     a, b = a[ok], b[ok]
                 found.append((a, b))
             i, j = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -360,10 +364,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
     def checked(pairs: DataFrame) -> DataFrame:
         return verified(suffices(pairs.join(side("a"), "a").join(side("b"), "b")), docs, nodes)
 
-    first = checked(members.where("node > center").where(near("n", "center_n")).select(F.col("center").alias("a"), F.col("node").alias("b")).distinct())
+    twos = members.where("c = 2 and node > center").where(near("n", "center_n")).select(F.col("center").alias("a"), F.col("node").alias("b"))
+    large = members.where("c > 2 and node > center").where(near("n", "center_n")).groupBy("node", "center").agg(F.count(F.lit(1)).alias("k"))
+    best = large.groupBy("node").agg(F.max_by("center", "k").alias("a")).select("a", F.col("node").alias("b"))
+    first = checked(twos.union(best).distinct())
     so_far = written(components(first), "so-far")
-    # The first node has been tried against all others; blocks whose other nodes are of one component are done.
-    open_rows = members.where("c > 2 and node <> center").join(_small(so_far), "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    # Blocks whose nodes are of one component are done.
+    open_rows = members.where("c > 2").join(_small(so_far), "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     open_rows = written(open_rows, "open")
     by_comp = open_rows.groupBy("key", "comp").count()
     blocks = written(by_comp.groupBy("key").agg(F.sum("count").alias("size"), F.max_by("comp", "count").alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1"), "open-blocks")

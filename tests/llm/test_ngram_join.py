@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 from probanda.llm import ngram_join as j
-from probanda.llm.graph import components
+from probanda.operators.components import components
 
 from .conftest import edge_rows, prose
 
