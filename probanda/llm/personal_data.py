@@ -36,7 +36,7 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
-SENTENCES, ROUNDS, LONGEST = 400, 8, 8
+SENTENCES, ROUNDS, LONGEST = 400, 8, 16
 
 
 def luhn(digits: str) -> bool:
@@ -76,8 +76,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 TRIGGER = re.compile(r"[0-9@][0-9]*")
-#: Address words stand for the signs.
-WORDS = ("(at)", "[at]", " dot ")
+#: Address words stand for the signs; a plain "at" does beside a dotted host.
+WORDS = re.compile(r"\(\s?at\s?\)|\[\s?at\s?\]|\sdot\s|[(\[]dot[)\]]|\sat\s(?=[^\W_][\w-]*\.[^\W_])", re.IGNORECASE)
 CUES = {"email": ("mail", "email", "contact", "write"), "ip": ("ip", "host", "server", "address"), "card": ("card", "visa", "pay", "credit"), "phone": ("phone", "tel", "call", "mobile", "fax", "ring")}
 
 
@@ -196,7 +196,7 @@ def generated_lines(n: int = SENTENCES, seed: int = 5) -> list[tuple[str, list[t
         kind = r.choice(KINDS)
         if kind == "email":
             a, b, c = word() + r.choice(["", "." + word(), d(2)]), r.choice(["mail", "post", word()]) + r.choice(["", d(1)]), r.choice(["com", "org", "net"])
-            return kind, r.choice([f"{a}@{b}.{c}", f"{a} at {b} dot {c}", f"{a} (at) {b} (dot) {c}", f"{a}[at]{b}.{c}"])
+            return kind, r.choice([f"{a}@{b}.{c}", f"{a} at {b} dot {c}", f"{a} (at) {b} (dot) {c}", f"{a}[at]{b}.{c}", f"{a} at {b}.{c}"])
         if kind == "ip":
             return kind, ".".join(str(r.randint(1, 255)) for _ in range(4))
         if kind == "card":
@@ -241,11 +241,7 @@ def learnt_weights(n: int = SENTENCES, rounds: int = ROUNDS) -> dict[str, float]
 def windows(text: str) -> Iterator[tuple[int, int]]:
     """Stretches of text around triggers, between white space; no entity can lie outside."""
     places = [m.span() for m in TRIGGER.finditer(text)]
-    for word in WORDS:
-        at = text.find(word)
-        while at >= 0:
-            places.append((at, at + len(word)))
-            at = text.find(word, at + 1)
+    places += [m.span() for m in WORDS.finditer(text)]
     last = None
     for start, end in sorted(places):
         a, b = max(0, start - 80), min(len(text), end + 80)

@@ -60,3 +60,16 @@ def test_table(edges, nothing):
     r = masked.where("doc_id = 12").first()
     assert "[EMAIL]" in r["text"] and "[PHONE]" in r["text"] and r["n_chars"] == len(r["text"])
     assert masked.where("doc_id = 0").first()["text"] is None
+
+
+def test_each_address_form_is_found_whole():
+    field = p.Field(p.learnt_weights())
+    people, hosts = ("john", "mary.smith", "thonin45", "erin.quti", "anreti"), (("mail", "com"), ("post7", "org"), ("lequ", "net"))
+    for form in ("{}@{}.{}", "{} at {} dot {}", "{} (at) {} (dot) {}", "{}[at]{}.{}", "{} AT {} DOT {}", "{} (AT) {} (DOT) {}", "{}[AT]{}.{}", "{} at {}.{}"):
+        found = []
+        for before in ("please write to ", "in the morning contact: ", "therin ti "):
+            for a in people:
+                for b, c in hosts:
+                    e = form.format(a, b, c)
+                    found.append(("email", len(before), len(before) + len(e)) in p.personal_spans(f"{before}{e} for more words here", field)[1])
+        assert sum(found) / len(found) > 0.9, form
