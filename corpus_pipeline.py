@@ -21,8 +21,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the least doc_id."""
-    return ngram_join.one_of_each(docs)
+    """One document of each group of near copies (five-word shingles, 0.8 or more) stays, the one with the least doc_id."""
+    return ngram_join.one_of_each(docs, width=5, percent=80)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -113,9 +113,9 @@ class Points:
         return self.matrix[groups][self.rows[groups][i]]
 
 
-def bounded(left: Points, i: np.ndarray, n: np.ndarray, right: Points, j: np.ndarray, m: np.ndarray) -> np.ndarray:
+def bounded(left: Points, i: np.ndarray, n: np.ndarray, right: Points, j: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Whether the points of the pairs (i, j), as fine as both have them, allow the overlap that sizes n and m need."""
-    groups, need, ok = np.minimum(left.groups[i], right.groups[j]), least_overlap(n, m), np.zeros(len(i), bool)
+    groups, need, ok = np.minimum(left.groups[i], right.groups[j]), least_overlap(n, m, percent), np.zeros(len(i), bool)
     for g in np.unique(groups).tolist():
         at = np.flatnonzero(groups == g)
         for low in range(0, len(at), 4_000_000 // g):
@@ -124,31 +124,33 @@ def bounded(left: Points, i: np.ndarray, n: np.ndarray, right: Points, j: np.nda
     return ok
 
 
-def least_overlap(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+def least_overlap(n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The least overlap of linked sets of these sizes."""
-    return -(-PERCENT * (n + m) // (100 + PERCENT))
+    return -(-percent * (n + m) // (100 + percent))
 
 
-def _frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held, size = [], 0
+def _frequent(width: int):
+    def frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
 
-    def flush():
-        h, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        return pd.DataFrame({"h": h[n > 1].view(np.int64), "n": n[n > 1]})
+        def flush():
+            h, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            return pd.DataFrame({"h": h[n > 1].view(np.int64), "n": n[n > 1]})
 
-    for batch in batches:
-        for text in batch["text"]:
-            held.append(shingle_set(text))
-            size += len(held[-1])
-            if size > COUNTED:
-                yield flush()
-                held, size = [], 0
-    yield flush()
+        for batch in batches:
+            for text in batch["text"]:
+                held.append(shingle_set(text, width))
+                size += len(held[-1])
+                if size > COUNTED:
+                    yield flush()
+                    held, size = [], 0
+        yield flush()
 
+    return frequent
 
-def frequent_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(rows: DataFrame, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (ascending) and frequencies of at most HOT_LIST frequent shingles."""
-    counts = written(rows.select("text").mapInPandas(_frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT), "frequent")
+    counts = written(rows.select("text").mapInPandas(_frequent(width), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > FREQUENT), "frequent")
     room, least = HOT_LIST, 1 << 62
     for r in sorted(counts.groupBy(F.floor(F.log2("n") * 4).alias("q")).agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("c")).collect(), key=lambda r: -r["q"]):
         room -= r["c"]
@@ -161,10 +163,10 @@ def frequent_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], found["n"].to_numpy(np.int64)[order]
 
 
-def block_keys(hashes: np.ndarray, hot: np.ndarray, often: np.ndarray) -> np.ndarray:
+def block_keys(hashes: np.ndarray, hot: np.ndarray, often: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The first shingles of the set in the common order: rare ones by hash, then frequent ones by frequency and hash."""
     n = len(hashes)
-    take = n + (-PERCENT * n // 100) + 1
+    take = n + (-percent * n // 100) + 1
     if not len(hot):
         return hashes[:take]
     at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
@@ -176,18 +178,18 @@ def block_keys(hashes: np.ndarray, hot: np.ndarray, often: np.ndarray) -> np.nda
     return np.concatenate([rare, rest[: take - len(rare)]])
 
 
-def records(docs: DataFrame) -> DataFrame:
+def records(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n, digest, point, keys of every row, written once."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hot = docs.sparkSession.sparkContext.broadcast(frequent_shingles(rows))
+    hot = docs.sparkSession.sparkContext.broadcast(frequent_shingles(rows, width))
 
     @F.pandas_udf("n long, digest binary, point binary, keys array<long>")
     def describe(texts: pd.Series) -> pd.DataFrame:
         out = []
         for text in texts:
-            h = shingle_set(text)
+            h = shingle_set(text, width)
             if len(h):
-                out.append((len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), group_counts(h), block_keys(h, *hot.value).view(np.int64)))
+                out.append((len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), group_counts(h), block_keys(h, *hot.value, percent).view(np.int64)))
             else:
                 out.append((0, None, None, np.zeros(0, np.int64)))
         return pd.DataFrame(out, columns=["n", "digest", "point", "keys"])
@@ -200,25 +202,26 @@ def _small(df: DataFrame, count: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if count is None else count) <= SMALL else df
 
 
-def suffices(pairs: DataFrame) -> DataFrame:
+def suffices(pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b, n_a, n_b, p_a, p_b) whose sizes and points allow a link."""
 
     @F.pandas_udf("boolean")
     def bound(n: pd.Series, m: pd.Series, p: pd.Series, q: pd.Series) -> pd.Series:
         at = np.arange(len(n))
-        return pd.Series(bounded(Points(p), at, n.to_numpy(), Points(q), at, m.to_numpy()))
+        return pd.Series(bounded(Points(p), at, n.to_numpy(), Points(q), at, m.to_numpy(), percent))
 
-    return pairs.where(near("n_a", "n_b")).where(bound("n_a", "n_b", "p_a", "p_b"))
+    return pairs.where(near("n_a", "n_b", percent)).where(bound("n_a", "n_b", "p_a", "p_b"))
 
 
-def near(n: str, m: str) -> Column:
-    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+def near(n: str, m: str, percent: int = PERCENT) -> Column:
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
 class RTree:
     """Points in leaves of LEAF, packed by size and then by the most varied coordinate of each slab; boxes keep the largest coordinates, as overlap is bounded from above."""
 
-    def __init__(self, points: np.ndarray, n: np.ndarray, comp: np.ndarray):
+    def __init__(self, points: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int = PERCENT):
+        self.percent = percent
         order = np.argsort(n, kind="stable")
         slab = LEAF * FAN
         for low in range(0, len(order), slab):
@@ -237,13 +240,13 @@ class RTree:
     def _open(self, level: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the pairs of boxes, those that may hold a link between different components."""
         high, small, large, first, last = self.levels[level]
-        ok = (100 * large[i] >= PERCENT * small[j]) & (100 * large[j] >= PERCENT * small[i])
+        ok = (100 * large[i] >= self.percent * small[j]) & (100 * large[j] >= self.percent * small[i])
         ok &= ~((first[i] == last[i]) & (first[j] == last[j]) & (first[i] == first[j]))
         i, j = i[ok], j[ok]
         out = [np.zeros(0, bool)]
         for low in range(0, len(i), 16_000):
             a, b = i[low : low + 16_000], j[low : low + 16_000]
-            out.append(np.minimum(high[a], high[b]).sum(1) >= least_overlap(small[a], small[b]))
+            out.append(np.minimum(high[a], high[b]).sum(1) >= least_overlap(small[a], small[b], self.percent))
         ok = np.concatenate(out)
         return i[ok], j[ok]
 
@@ -262,61 +265,64 @@ class RTree:
                 ok = (a < size) & (b < size) & (a <= b if level else a < b)
                 a, b = a[ok], b[ok]
                 if not level:
-                    ok = (self.comp[a] != self.comp[b]) & (100 * np.minimum(self.n[a], self.n[b]) >= PERCENT * np.maximum(self.n[a], self.n[b]))
+                    ok = (self.comp[a] != self.comp[b]) & (100 * np.minimum(self.n[a], self.n[b]) >= self.percent * np.maximum(self.n[a], self.n[b]))
                     a, b = a[ok], b[ok]
                     ok = np.zeros(len(a), bool)
                     for at in range(0, len(a), 16_000):
                         x, y = a[at : at + 16_000], b[at : at + 16_000]
-                        ok[at : at + 16_000] = np.minimum(self.points[x], self.points[y]).sum(1) >= least_overlap(self.n[x], self.n[y])
+                        ok[at : at + 16_000] = np.minimum(self.points[x], self.points[y]).sum(1) >= least_overlap(self.n[x], self.n[y], self.percent)
                     a, b = a[ok], b[ok]
                 found.append((a, b))
             i, j = (np.concatenate(x) for x in zip(*found, strict=True))
         return self.order[i], self.order[j]
 
 
-def _join_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by block; the last block of a batch waits for the rest of its rows."""
-    seen: set[tuple[int, int]] = set()
-
-    def joined(rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        key, part, node, n, comp = (rows[c].to_numpy(np.int64) for c in ("key", "chunk", "node", "n", "comp"))
-        moved, fine = rows["moved"].to_numpy(bool), Points(rows["point"])
-        points = fine.coarse()
-        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
-        out = []
-        for low, high in zip(starts, np.r_[starts[1:], len(key)], strict=True):
-            if high - low < 2:
-                continue
-            at = slice(low, high)
-            i, j = RTree(points[at], n[at], comp[at]).pairs()
-            ok = bounded(fine, low + i, n[low + i], fine, low + j, n[low + j])
-            i, j = i[ok], j[ok]
-            if part[low]:  # pairs of rows that are in all chunks are found in the first
-                ok = ~(moved[at][i] & moved[at][j])
+def _join_blocks(percent: int):
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by block; the last block of a batch waits for the rest of its rows."""
+        seen: set[tuple[int, int]] = set()
+
+        def joined(rows: pd.DataFrame) -> pd.DataFrame:
+            if not len(rows):
+                return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+            key, part, node, n, comp = (rows[c].to_numpy(np.int64) for c in ("key", "chunk", "node", "n", "comp"))
+            moved, fine = rows["moved"].to_numpy(bool), Points(rows["point"])
+            points = fine.coarse()
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+            out = []
+            for low, high in zip(starts, np.r_[starts[1:], len(key)], strict=True):
+                if high - low < 2:
+                    continue
+                at = slice(low, high)
+                i, j = RTree(points[at], n[at], comp[at], percent).pairs()
+                ok = bounded(fine, low + i, n[low + i], fine, low + j, n[low + j], percent)
                 i, j = i[ok], j[ok]
-            a, b = node[at][i], node[at][j]
-            for x in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True):
-                if x not in seen:
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add(x)
-                    out.append(x)
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64") if out else joined(rows[:0])
-
-    held = None
-    for batch in batches:
-        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        last = rows["key"].iloc[-1], rows["chunk"].iloc[-1]
-        ends = ((rows["key"] == last[0]) & (rows["chunk"] == last[1])).to_numpy().argmax()
-        held = rows.iloc[ends:]
-        yield joined(rows.iloc[:ends])
-    if held is not None:
-        yield joined(held)
-
-
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+                if part[low]:  # pairs of rows that are in all chunks are found in the first
+                    ok = ~(moved[at][i] & moved[at][j])
+                    i, j = i[ok], j[ok]
+                a, b = node[at][i], node[at][j]
+                for x in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True):
+                    if x not in seen:
+                        if len(seen) > 500_000:
+                            seen.clear()
+                        seen.add(x)
+                        out.append(x)
+            return pd.DataFrame(out, columns=["a", "b"]).astype("int64") if out else joined(rows[:0])
+
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = rows["key"].iloc[-1], rows["chunk"].iloc[-1]
+            ends = ((rows["key"] == last[0]) & (rows["chunk"] == last[1])).to_numpy().argmax()
+            held = rows.iloc[ends:]
+            yield joined(rows.iloc[:ends])
+        if held is not None:
+            yield joined(held)
+
+    return join
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose sets link. Only texts that some pair names are read for their sets."""
     pairs = written(pairs.select("a", "b").distinct(), "candidates")
     wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
@@ -324,7 +330,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t).tobytes() for t in texts], dtype=object)
+        return pd.Series([shingle_set(t, width).tobytes() for t in texts], dtype=object)
 
     sets = rows.join(_small(wanted), "node", "left_semi").select("node", packed("text").alias("s"))
 
@@ -339,18 +345,18 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
             if len(x) > len(y):
                 x, y = y, x
             both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            out.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            out.append(100 * both >= percent * (len(x) + len(y) - both))
         return pd.Series(out, dtype=bool)
 
     left, right = sets.toDF("a", "s_a"), sets.toDF("b", "s_b")
     return written(pairs.join(left, "a").join(right, "b").where(linked("s_a", "s_b")).select("a", "b").distinct(), "links")
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; documents link whose sets of width-word shingles have a Jaccard similarity of percent or more."""
     spark: SparkSession = docs.sparkSession
     text_batches(spark)
-    found = records(docs)
+    found = records(docs, width, percent)
     usable = found.where("n > 0 and doc_id is not null")
     names = written(usable.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
     n_names = names.count()
@@ -362,10 +368,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     side = lambda x: points.toDF(x, f"n_{x}", f"p_{x}")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        return verified(suffices(pairs.join(side("a"), "a").join(side("b"), "b")), docs, nodes)
+        return verified(suffices(pairs.join(side("a"), "a").join(side("b"), "b"), percent), docs, nodes, width, percent)
 
-    twos = members.where("c = 2 and node > center").where(near("n", "center_n")).select(F.col("center").alias("a"), F.col("node").alias("b"))
-    large = members.where("c > 2 and node > center").where(near("n", "center_n")).groupBy("node", "center").agg(F.count(F.lit(1)).alias("k"))
+    twos = members.where("c = 2 and node > center").where(near("n", "center_n", percent)).select(F.col("center").alias("a"), F.col("node").alias("b"))
+    large = members.where("c > 2 and node > center").where(near("n", "center_n", percent)).groupBy("node", "center").agg(F.count(F.lit(1)).alias("k"))
     best = large.groupBy("node").agg(F.max_by("center", "k").alias("a")).select("a", F.col("node").alias("b"))
     first = checked(twos.union(best).distinct())
     so_far = written(components(first), "so-far")
@@ -380,7 +386,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("chunk", F.explode(F.when(F.col("moved"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), chunks).cast("int")))))
     rows = rows.select("key", "chunk", "node", "comp", "moved").join(points, "node")
     dealt = rows.repartition(partitions(spark), "key", "chunk").sortWithinPartitions("key", "chunk")
-    more = dealt.mapInPandas(_join_blocks, "a long, b long").distinct()
+    more = dealt.mapInPandas(_join_blocks(percent), "a long, b long").distinct()
     second = checked(more.join(first, ["a", "b"], "left_anti"))
     final = written(components(first.union(second)), "components")
     named = _small(names.join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component")), n_names)
@@ -388,9 +394,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The documents without those that have an earlier document in their component; of rows that repeat a doc_id one stays. Rows with null doc_id stay."""
-    kept = written(near_copies(docs).where("doc_id is not null and component_id = doc_id").groupBy("doc_id").count(), "kept")
+    kept = written(near_copies(docs, width, percent).where("doc_id is not null and component_id = doc_id").groupBy("doc_id").count(), "kept")
     n = kept.count()
     key = F.col("doc_id").cast("long") == F.col("__kept_id")
     once = _small(kept.where("count = 1").select(F.col("doc_id").alias("__kept_id")), n)

@@ -99,3 +99,40 @@ def test_components(spark):
         for a, b in links:
             root[a] = root[b] = min(root[a], root[b])
     assert got == {k: v for k, v in root.items() if any(k in p and p[0] != p[1] for p in links)}
+
+
+def test_other_widths_and_limits_against_all_pairs(spark):
+    import corpus_pipeline
+
+    rows = near(4)
+    r = random.Random(9)
+    for k in range(12):  # similarity of five-word shingles between 0.80 and 0.85
+        base = [f"w{k}x{i}" for i in range(104)]
+        other = list(base)
+        other[r.randrange(8, 45)], other[r.randrange(55, 95)] = "new", "newer"
+        rows += [(9000 + 2 * k, " ".join(base)), (9001 + 2 * k, " ".join(other))]
+
+    def shingles(text):
+        w = re.findall(r"[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    sets = [(d, shingles(x)) for d, x in rows if d is not None]
+    root = {d: d for d, _ in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, (d, s) in enumerate(sets):
+        for e, t in sets[:a]:
+            both = len(s & t)
+            if both and 100 * both >= 80 * (len(s) + len(t) - both):
+                x, y = find(d), find(e)
+                root[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(x) for x in j.near_copies(docs, 5, 80).where("doc_id is not null").collect()]
+    assert sorted(got) == sorted((d, len(s), find(d)) for d, s in sets)
+    kept = {x["doc_id"] for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept - {None} == {d for d, _ in sets if find(d) == d}
+    assert all(9001 + 2 * k not in kept for k in range(12))
