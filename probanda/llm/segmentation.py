@@ -3,10 +3,12 @@
 The model's pieces and scores are read from its file; merging is done here. An
 agenda holds the candidate merges of a stretch of text, best score first,
 then leftmost; each candidate that comes up is skipped if a keyed hash of seed,
-variant, stretch, place and piece falls below the dropout rate. No piece of the
-model crosses from a letter to a space, so stretches between spaces are
-merged on their own and remembered. A document's variant (of VARIANTS) follows from
-seed and doc_id: documents differ in how they part the same word, reruns do not.
+doc_id, copy, place of the stretch, place in it and piece falls below the dropout
+rate. No piece of the model crosses from a letter to a space, so stretches between
+spaces are merged on their own. What is remembered of a stretch is its
+segmentation without dropout and the candidates that led there: where none of them
+is skipped that is the result, elsewhere the stretch is merged again. Each
+occurrence of a word is parted on its own; reruns part it alike.
 
 Characters that are no piece become byte pieces, so that every text decodes to
 itself, the space sign U+2581 too (always as bytes). Null text counts as empty
@@ -25,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import text_batches
 
@@ -33,7 +36,7 @@ STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Where no piece joins a letter to anything else, letters are also parted from what follows.
 FINE = re.compile(rf"{SPACE}*[^\W\d_]+|{SPACE}*(?:[^\w{SPACE}]|[\d_])+|{SPACE}+")
 LETTER = re.compile(r"[^\W\d_]")
-VARIANTS, REMEMBERED, LONG = 2, 500_000, 40
+REMEMBERED, LONG = 500_000, 40
 NONE = float("inf")
 #: Stretches of up to so many characters are merged side by side, SIDE at a time; texts are taken together up to TOGETHER stretches.
 WIDTHS, SIDE, TOGETHER = (6, 9, 12, 16, 24), 4096, 60_000
@@ -58,10 +61,9 @@ class Segmenter:
             self.raw[i] = bytes([b])
         self.kind = "<u2" if n <= 65536 else "<u4"
         self.seed, self.limit = seed, int(dropout * (1 << 32))
-        self.known: list[dict[str | None, bytes]] = []
-        self.keys = [zlib.crc32(b"%d:%d" % (seed, v)) for v in range(VARIANTS)]
         self.sign = np.array([self.bytes[b] for b in SPACE.encode()], self.kind).tobytes()
-        self.known = [{None: self.sign} for _ in range(VARIANTS)]
+        #: Ids without dropout and the candidates taken (places times K1 plus pieces times K2); None where they were not kept.
+        self.known: dict[str | None, tuple[bytes, np.ndarray | None]] = {}
         # Numbers of symbols: pieces have their ids, further characters of pieces follow, the last is any other character.
         number = dict(self.ids)
         for c in sorted({c for p in self.ids for c in p}):
@@ -75,14 +77,21 @@ class Segmenter:
         for p, i in self.ids.items():
             self.costs[i] = self.scores[p]
 
-    def variant(self, doc_id: object) -> int:
-        return zlib.crc32(f"{self.seed}:{doc_id}".encode()) % VARIANTS
-
-    def key(self, stretch: str, variant: int) -> int:
-        return zlib.crc32(stretch.encode("utf-8", "surrogatepass"), self.seed & 0xFFFFFFFF) << 32 | self.keys[variant]
-
-    def merge_many(self, stretches: list[str], variant: int) -> list[bytes]:
-        """Ids of many stretches: those of like length are merged side by side, the others one by one."""
+    def variant(self, doc_id: object, copy: int = 0) -> int:
+        """The key of a document, or of one of its copies."""
+        return int.from_bytes(hashlib.blake2b(f"{self.seed}:{doc_id}:{copy}".encode(), digest_size=8).digest(), "little")
+
+    @staticmethod
+    def places(variant: int, n: int) -> np.ndarray:
+        """Keys of the first n stretches of a document."""
+        h = (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(K1)) ^ np.uint64(variant & M64)
+        h = (h ^ h >> np.uint64(31)) * np.uint64(K2)
+        h = (h ^ h >> np.uint64(29)) * np.uint64(K3)
+        return h ^ h >> np.uint64(32)
+
+    def merge_many(self, stretches: list[str], variant: int | np.ndarray, taken: list | None = None) -> list[bytes]:
+        """Ids of many stretches under their keys: those of like length are merged side by side, the others one by one. Without dropout `taken` gets the candidates of those side by side."""
+        keys = np.broadcast_to(np.asarray(variant, np.uint64), len(stretches))
         out: list[bytes] = [b""] * len(stretches)
         sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
         low = 0
@@ -90,11 +99,11 @@ class Segmenter:
             which = np.flatnonzero((sizes > low) & (sizes <= high))
             for at in range(0, len(which), SIDE):
                 part = which[at : at + SIDE]
-                for i, ids in zip(part, self._merge_side([stretches[i] for i in part], high, variant), strict=True):
+                for i, ids in zip(part, self._merge_side([stretches[i] for i in part], high, keys[part], part, taken), strict=True):
                     out[i] = ids
             low = high
         for i in np.flatnonzero(sizes > low):
-            out[i] = np.array(self.merge(stretches[i], variant), self.kind).tobytes()
+            out[i] = np.array(self.merge(stretches[i], int(keys[i]), taken is None), self.kind).tobytes()
         return out
 
     def _merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -103,7 +112,7 @@ class Segmenter:
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where((self.pair_keys[at] == key) & (a >= 0) & (b >= 0), self.pair_ids[at], -1)
 
-    def _merge_side(self, stretches: list[str], width: int, variant: int) -> list[bytes]:
+    def _merge_side(self, stretches: list[str], width: int, keys: np.ndarray, part: np.ndarray, taken: list | None) -> list[bytes]:
         """The agenda of every stretch as a row of candidates; in a step each row takes its best, leftmost one."""
         n = len(stretches)
         points = np.zeros((n, width), np.uint32)
@@ -114,7 +123,6 @@ class Segmenter:
         sym = np.where(inside, np.where(self.char_points[at] == points, self.char_ids[at], self.symbols - 1), -1).astype(np.int32)
         final, starts = sym.copy(), np.broadcast_to(np.arange(width, dtype=np.int32), sym.shape).copy()
         begins = starts.copy()
-        keys = np.array([self.key(s, variant) for s in stretches], np.uint64)
         rows, cols = np.arange(n), np.arange(width)
         edge = np.full((n, 1), -1, np.int32)
         to = np.concatenate([self._merged(sym[:, :-1], sym[:, 1:]), edge], 1).astype(np.int32)
@@ -131,8 +139,12 @@ class Segmenter:
                 if not len(rows):
                     break
             piece = to[line, i]
-            h = keys ^ (starts[line, i].astype(np.uint64) * np.uint64(K1) + piece.astype(np.uint64) * np.uint64(K2))
-            skip = ((h ^ h >> np.uint64(29)) * np.uint64(K3)) >> np.uint64(32) < np.uint64(self.limit)
+            mark = starts[line, i].astype(np.uint64) * np.uint64(K1) + piece.astype(np.uint64) * np.uint64(K2)
+            if taken is None:
+                skip = self.skipped(keys, mark)
+            else:
+                skip = np.zeros(len(line), bool)
+                taken.append((part[rows], mark))
             to[line[skip], i[skip]] = -1
             r, k, made = line[~skip], i[~skip], piece[~skip]
             if len(r):
@@ -176,9 +188,13 @@ class Segmenter:
                     out += [self.bytes[b] for b in s.encode("utf-8", "surrogatepass")]
         return out
 
-    def merge(self, stretch: str, variant: int) -> list[int]:
+    def skipped(self, keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        h = keys ^ marks
+        return ((h ^ h >> np.uint64(29)) * np.uint64(K3)) >> np.uint64(32) < np.uint64(self.limit)
+
+    def merge(self, stretch: str, variant: int, drop: bool = True) -> list[int]:
         """The agenda as a heap over linked symbols; stale entries are recognised by the piece they stood for."""
-        get, ids, limit = self.scores.get, self.ids, self.limit
+        get, ids, limit = self.scores.get, self.ids, self.limit if drop else 0
         symbols: list[str | None] = list(stretch)
         n = len(symbols)
         agenda = []
@@ -189,7 +205,7 @@ class Segmenter:
                 agenda.append((score, i, pair))
         if agenda:
             after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-            key = self.key(stretch, variant)
+            key = variant & M64
             heapq.heapify(agenda)
             pop, push = heapq.heappop, heapq.heappush
         while agenda:
@@ -227,32 +243,51 @@ class Segmenter:
                 out += self.stretch.findall((SPACE if not k else "") + part.replace(" ", SPACE))
         return out
 
+    def _remember(self, stretches: list[str]) -> None:
+        """Adds what merging without dropout gives."""
+        taken: list[tuple[np.ndarray, np.ndarray]] = []
+        ids = self.merge_many(stretches, 0, taken)
+        rows = np.concatenate([np.zeros(0, np.int64), *(r for r, _ in taken)])
+        order = np.argsort(rows, kind="stable")
+        marks = np.concatenate([np.zeros(0, np.uint64), *(m for _, m in taken)])[order]
+        ends = np.cumsum(np.bincount(rows, minlength=len(stretches)))
+        for s, x, a, b in zip(stretches, ids, np.r_[0, ends[:-1]], ends, strict=True):
+            self.known[s] = x, marks[a:b].copy() if len(s) <= WIDTHS[-1] else None
+
     def encode_many(self, texts: list[str], variants: list[int]) -> Iterator[np.ndarray]:
-        """Ids of each text; new stretches of several texts are merged together."""
+        """Ids of each text under its key; stretches of several texts are merged together."""
         at = 0
         while at < len(texts):
-            group, size, end = [], 0, at
+            group, keys, size, end = [], [], 0, at
             while end < len(texts) and (size < TOGETHER or end == at):
                 group.append(self._stretches(texts[end]))
+                keys.append(self.places(variants[end], len(group[-1])))
                 size += len(group[-1])
                 end += 1
-            for v in set(variants[at:end]):
-                known = self.known[v]
-                new = {s for g, w in zip(group, variants[at:end], strict=True) if w == v for s in g if s not in known}
-                new.discard(None)
-                if len(known) + len(new) > REMEMBERED:
-                    known.clear()
-                    known[None] = self.sign
-                    new = {s for g, w in zip(group, variants[at:end], strict=True) if w == v for s in g if s is not None}
-                new = list(new)
-                known.update(zip(new, self.merge_many(new, v), strict=True))
-                for g, w in zip(group, variants[at:end], strict=True):
-                    if w == v:
-                        g[:] = [known[s] for s in g]
-                for s in [s for s in new if len(s) > LONG]:
-                    del known[s]
+            flat, key = [s for g in group for s in g], np.concatenate(keys)
+            new = {s for s in flat if s is not None and s not in self.known}
+            if len(self.known) + len(new) > REMEMBERED:
+                self.known.clear()
+                new = {s for s in flat if s is not None}
+            self._remember(list(new))
+            self.known[None] = self.sign, np.zeros(0, np.uint64)
+            found = [self.known[s] for s in flat]
+            out = [x for x, _ in found]
+            if self.limit:
+                sizes = np.fromiter((0 if m is None else len(m) for _, m in found), np.int64, len(found))
+                again = np.fromiter((m is None for _, m in found), bool, len(found))
+                if sizes.sum():
+                    hit = self.skipped(np.repeat(key, sizes), np.concatenate([m for _, m in found if m is not None]))
+                    again[np.repeat(np.arange(len(found)), sizes)[hit]] = True
+                redo = np.flatnonzero(again)
+                for i, x in zip(redo.tolist(), self.merge_many([flat[i] for i in redo], key[redo]), strict=True):
+                    out[i] = x
+            for s in [s for s in new if len(s) > LONG]:
+                del self.known[s]
+            low = 0
             for g in group:
-                yield np.frombuffer(b"".join(g), self.kind)
+                yield np.frombuffer(b"".join(out[low : low + len(g)]), self.kind)
+                low += len(g)
             at = end
 
     def encode(self, text: str, variant: int = 0) -> np.ndarray:
@@ -274,17 +309,19 @@ def segmenter(path: str, dropout: float, seed: int) -> Segmenter:
 
 
 def segmented(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 11) -> DataFrame:
-    """doc_id, ids array<int> of every document."""
+    """doc_id, ids array<int> of every row; rows that repeat a document are its copies and are parted each on its own."""
 
     text_batches(docs.sparkSession)
 
     @F.pandas_udf("array<int>")
-    def encode(ids: pd.Series, texts: pd.Series) -> pd.Series:
+    def encode(ids: pd.Series, copies: pd.Series, texts: pd.Series) -> pd.Series:
         s = segmenter(path, dropout, seed)
-        found = s.encode_many([t or "" for t in texts], [s.variant(i) for i in ids])
+        found = s.encode_many([t or "" for t in texts], [s.variant(i, c) for i, c in zip(ids, copies, strict=True)])
         return pd.Series([x.astype(np.int32) for x in found], dtype=object)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), encode(F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("ids"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("_hash", F.xxhash64("text"))
+    rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy("_hash")) - 1)
+    return rows.select("doc_id", encode(F.col("doc_id").cast("string"), "_copy", "text").alias("ids"))
 
 
 def round_trips(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 11) -> DataFrame:

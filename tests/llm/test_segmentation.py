@@ -40,3 +40,17 @@ def test_table(edges, nothing):
     assert s.round_trips(nothing, PATH).count() == 0
     ids = {r["doc_id"]: r["ids"] for r in s.segmented(edges, PATH).collect()}
     assert ids[0] == [] and len(ids[9]) > 10_000
+
+
+def test_each_occurrence_and_copy_is_parted_on_its_own(spark):
+    g = s.Segmenter(PATH, 0.3)
+    texts, docs = ["segmentation " * 40] * 10, [g.variant(i) for i in range(10)]
+    ways = {bytes(x) for t, d in zip(texts, docs, strict=True) for x in g.merge_many(g._stretches(t)[1:40], g.places(d, 40)[1:40])}
+    assert len(ways) > 10
+    for text, d, ids in zip([*TEXTS, *texts], [g.variant(9)] * len(TEXTS) + docs, g.encode_many([*TEXTS, *texts], [g.variant(9)] * len(TEXTS) + docs), strict=True):
+        parts = g._stretches(text)
+        want = [np.frombuffer(g.sign, g.kind).tolist() if x is None else g.merge(x, int(k)) for x, k in zip(parts, g.places(d, len(parts)), strict=True)]
+        assert ids.tolist() == sum(want, []) and g.decode(ids).decode() == text
+    rows = spark.createDataFrame([(1, prose(3, 200))] * 3, "doc_id long, text string")
+    first, again = (sorted(r["ids"] for r in s.segmented(rows, PATH).collect()) for _ in range(2))
+    assert first == again and len({tuple(x) for x in first}) == 3
