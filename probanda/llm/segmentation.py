@@ -5,10 +5,11 @@ agenda holds the candidate merges of a stretch of text, best score first,
 then leftmost; each candidate that comes up is skipped if a keyed hash of seed,
 doc_id, copy, place of the stretch, place in it and piece falls below the dropout
 rate. No piece of the model crosses from a letter to a space, so stretches between
-spaces are merged on their own. What is remembered of a stretch is its
-segmentation without dropout and the candidates that led there: where none of them
-is skipped that is the result, elsewhere the stretch is merged again. Each
-occurrence of a word is parted on its own; reruns part it alike.
+spaces are merged on their own. What is remembered of a stretch is a tree of
+what its agenda came to: a node has the candidates that follow the skips so far, the
+segmentation if none of them is skipped, and a branch for each of them as the next skip.
+An occurrence follows its own skips down the tree, branches being merged as they are
+first asked for. Each occurrence of a word is parted on its own; reruns part it alike.
 
 Characters that are no piece become byte pieces, so that every text decodes to
 itself, the space sign U+2581 too (always as bytes). Null text counts as empty
@@ -19,27 +20,31 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_batches
+from .common import Ragged, by_size, chunked, plain_parts, text_batches
 
 SPACE = "▁"
 STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Where no piece joins a letter to anything else, letters are also parted from what follows.
 FINE = re.compile(rf"{SPACE}*[^\W\d_]+|{SPACE}*(?:[^\w{SPACE}]|[\d_])+|{SPACE}+")
 LETTER = re.compile(r"[^\W\d_]")
-REMEMBERED, LONG = 500_000, 40
-NONE = float("inf")
-#: Stretches of up to so many characters are merged side by side, SIDE at a time; texts are taken together up to TOGETHER stretches.
-WIDTHS, SIDE, TOGETHER = (6, 9, 12, 16, 24), 4096, 60_000
+#: Nodes and their ids that a worker remembers, then forgets together.
+REMEMBERED, IDS = 1_000_000, 16_000_000
+SLOT_BITS = 21
+#: Stretches of up to so many characters are merged side by side, SIDE at a time; longer ones one by one, at every place. Texts are taken together up to TOGETHER characters.
+WIDTHS, SIDE, TOGETHER = (6, 9, 12, 16, 24), 4096, 4_000_000
 M64, K1, K2, K3 = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x94D049BB133111EB
 
 
@@ -61,9 +66,12 @@ class Segmenter:
             self.raw[i] = bytes([b])
         self.kind = "<u2" if n <= 65536 else "<u4"
         self.seed, self.limit = seed, int(dropout * (1 << 32))
-        self.sign = np.array([self.bytes[b] for b in SPACE.encode()], self.kind).tobytes()
-        #: Ids without dropout and the candidates taken (places times K1 plus pieces times K2); None where they were not kept.
-        self.known: dict[str | None, tuple[bytes, np.ndarray | None]] = {}
+        self.sign = np.array([self.bytes[b] for b in SPACE.encode()], self.kind)
+        self.decoded = Ragged("u1")
+        self.decoded.add(np.frombuffer(b"".join(self.raw), np.uint8), np.array([len(x) for x in self.raw], np.int64))
+        self.shown, self.bare = Ragged(self.kind), {}
+        self.shown.add(np.arange(n).astype(self.kind), np.ones(n, np.int64))
+        self.forget()
         # Numbers of symbols: pieces have their ids, further characters of pieces follow, the last is any other character.
         number = dict(self.ids)
         for c in sorted({c for p in self.ids for c in p}):
@@ -72,10 +80,25 @@ class Segmenter:
         chars = sorted(c for c in number if len(c) == 1)
         self.char_points, self.char_ids = np.array([ord(c) for c in chars], np.uint32), np.array([number[c] for c in chars], np.int32)
         pairs = sorted((number[p[:k]] * self.symbols + number[p[k:]], i) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number)
-        self.pair_keys, self.pair_ids = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
-        self.costs = np.full(self.symbols + 1, NONE)  # the last is for -1
+        self.pair_keys, self.pair_ids = np.array([k for k, _ in pairs], np.int64), np.array([i for _, i in pairs], np.int32)
+        self.slots = self._hash_pairs()
+        #: Equal scores have equal ranks; the last is for -1.
+        self.ranks = np.full(self.symbols + 1, len(self.ids) + 1, np.int32)
+        place = {c: k for k, c in enumerate(sorted(set(self.scores.values())))}
         for p, i in self.ids.items():
-            self.costs[i] = self.scores[p]
+            self.ranks[i] = place[self.scores[p]]
+
+    def forget(self) -> None:
+        """Node 0 is a space sign of the text itself."""
+        #: Of a node: ids, candidates (places times K1 plus pieces times K2), what it stands for (None for long stretches), and skips before.
+        self.pieces, self.marks, self.of, self.skips = Ragged(self.kind), Ragged("<u8"), [None], [()]
+        self.pieces.add(self.sign, np.array([len(self.sign)]))
+        self.marks.add(np.zeros(0, np.uint64), np.zeros(1, np.int64))
+        #: Beside each candidate, the node that follows its skip, or -1.
+        self.next = np.zeros(0, np.int32)
+        #: Nodes of stretches without skips; those too long for a tree are below 0, as numbers of `long` less one.
+        self.roots: dict[str | None, int] = {None: 0}
+        self.long: list[str] = []
 
     def variant(self, doc_id: object, copy: int = 0) -> int:
         """The key of a document, or of one of its copies."""
@@ -89,31 +112,59 @@ class Segmenter:
         h = (h ^ h >> np.uint64(29)) * np.uint64(K3)
         return h ^ h >> np.uint64(32)
 
-    def merge_many(self, stretches: list[str], variant: int | np.ndarray, taken: list | None = None) -> list[bytes]:
-        """Ids of many stretches under their keys: those of like length are merged side by side, the others one by one. Without dropout `taken` gets the candidates of those side by side."""
-        keys = np.broadcast_to(np.asarray(variant, np.uint64), len(stretches))
-        out: list[bytes] = [b""] * len(stretches)
+    def _grow(self, stretches: list[str], skips: list[tuple[int, ...]]) -> np.ndarray:
+        """New nodes of stretches after these skips; those of like length are merged side by side."""
+        out = np.zeros(len(stretches), np.int64)
         sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
         low = 0
         for high in WIDTHS:
             which = np.flatnonzero((sizes > low) & (sizes <= high))
             for at in range(0, len(which), SIDE):
-                part = which[at : at + SIDE]
-                for i, ids in zip(part, self._merge_side([stretches[i] for i in part], high, keys[part], part, taken), strict=True):
-                    out[i] = ids
+                part = which[at : at + SIDE].tolist()
+                names, before = [stretches[i] for i in part], [skips[i] for i in part]
+                ids, n_ids, marks, n_marks = self._merge_side(names, high, before)
+                out[part] = self.pieces.add(ids, n_ids)
+                self.marks.add(marks, n_marks)
+                self.of += names
+                self.skips += before
             low = high
-        for i in np.flatnonzero(sizes > low):
-            out[i] = np.array(self.merge(stretches[i], int(keys[i]), taken is None), self.kind).tobytes()
+        room = len(self.marks.flat) - len(self.next)
+        if room > 0:
+            self.next = np.concatenate([self.next, np.full(room, -1, np.int32)])
         return out
 
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(K1) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def _hash_pairs(self) -> np.ndarray:
+        """Open addressing: a slot has 1 + the number of a pair, or 0."""
+        slots, at, left = np.zeros(1 << SLOT_BITS, np.int32), self._slot(self.pair_keys), np.arange(len(self.pair_keys))
+        while len(left):
+            free = left[slots[at[left]] == 0]
+            first = free[np.unique(at[free], return_index=True)[1]]
+            slots[at[first]] = first + 1
+            left = left[slots[at[left]] != left + 1]
+            at[left] = at[left] + 1 & (1 << SLOT_BITS) - 1
+        return slots
+
     def _merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """What neighbouring symbols join to, or -1."""
-        key = a.astype(np.int64) * self.symbols + b
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where((self.pair_keys[at] == key) & (a >= 0) & (b >= 0), self.pair_ids[at], -1)
+        key = (a.astype(np.int64) * self.symbols + b).ravel()
+        at = self._slot(key)
+        pair = self.slots[at] - 1
+        out = np.where(self.pair_keys[pair] == key, self.pair_ids[pair], -1)
+        left = np.flatnonzero((out < 0) & (pair >= 0))
+        while len(left):
+            at[left] = at[left] + 1 & (1 << SLOT_BITS) - 1
+            pair = self.slots[at[left]] - 1
+            out[left] = np.where((self.pair_keys[pair] == key[left]) & (pair >= 0), self.pair_ids[pair], -1)
+            left = left[(out[left] < 0) & (pair >= 0)]
+        out = out.reshape(a.shape)
+        out[(a < 0) | (b < 0)] = -1
+        return out
 
-    def _merge_side(self, stretches: list[str], width: int, keys: np.ndarray, part: np.ndarray, taken: list | None) -> list[bytes]:
-        """The agenda of every stretch as a row of candidates; in a step each row takes its best, leftmost one."""
+    def _merge_side(self, stretches: list[str], width: int, skips: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The agenda of every stretch as a row of candidates; in a step each row takes its best, leftmost one, or skips it if told. Gives the ids of each and their number, and the candidates taken after the last skip and their number."""
         n = len(stretches)
         points = np.zeros((n, width), np.uint32)
         sizes = np.fromiter(map(len, stretches), np.int64, n)
@@ -126,56 +177,65 @@ class Segmenter:
         rows, cols = np.arange(n), np.arange(width)
         edge = np.full((n, 1), -1, np.int32)
         to = np.concatenate([self._merged(sym[:, :-1], sym[:, 1:]), edge], 1).astype(np.int32)
-        while len(rows):
-            score = self.costs[to]
-            i = score.argmin(1)
-            line = np.arange(len(rows))
-            live = score[line, i] < NONE
-            if not live.all():  # settled rows leave
-                done = rows[~live]
-                final[done], begins[done] = sym[~live], starts[~live]
-                rows, sym, starts, to, keys, i = rows[live], sym[live], starts[live], to[live], keys[live], i[live]
-                line = np.arange(len(rows))
-                if not len(rows):
-                    break
+        # Skips as a matrix; no candidate is 0, as no merge makes the first piece.
+        told = np.zeros((n, max(map(len, skips))), np.uint64)
+        for i, x in enumerate(skips):
+            told[i, : len(x)] = x
+        final_skip = told[np.arange(n), [len(x) - 1 for x in skips]] if told.shape[1] else np.zeros(n, np.uint64)
+        past = np.array([not x for x in skips])
+        taken: list[tuple[np.ndarray, np.ndarray]] = []
+        while True:
+            i, line = self.ranks[to].argmin(1), np.arange(len(rows))
             piece = to[line, i]
-            mark = starts[line, i].astype(np.uint64) * np.uint64(K1) + piece.astype(np.uint64) * np.uint64(K2)
-            if taken is None:
-                skip = self.skipped(keys, mark)
-            else:
-                skip = np.zeros(len(line), bool)
-                taken.append((part[rows], mark))
-            to[line[skip], i[skip]] = -1
-            r, k, made = line[~skip], i[~skip], piece[~skip]
-            if len(r):
-                take = np.minimum(cols + (cols > k[:, None]), width - 1)
-                new = np.take_along_axis(sym[r], take, 1)
-                new[:, -1] = -1
-                new[np.arange(len(r)), k] = made
-                sym[r] = new
-                starts[r] = np.take_along_axis(starts[r], take, 1)
-                moved = np.take_along_axis(to[r], take, 1)
-                moved[:, -1] = -1
-                one = np.arange(len(r))
-                right = new[one, np.minimum(k + 1, width - 1)]
-                moved[one, k] = np.where(k + 1 < width, self._merged(made, right), -1)
-                left = np.maximum(k - 1, 0)
-                moved[one, left] = np.where(k > 0, self._merged(new[one, left], made), moved[one, left])
-                to[r] = moved
-        known = np.where(final < len(self.raw), final, -2)
-        if not ((final >= 0) & (known == -2)).any():
-            flat, ends = final[final >= 0].astype(self.kind), np.cumsum((final >= 0).sum(1))
-            return [flat[low:high].tobytes() for low, high in zip(np.r_[0, ends[:-1]], ends, strict=True)]
-        out = []
-        for stretch, ids, begin in zip(stretches, final, begins, strict=True):
-            found: list[int] = []
-            for symbol, at_char in zip(ids.tolist(), begin.tolist(), strict=True):
-                if symbol >= len(self.raw):  # a character that is no piece
-                    found += [self.bytes[b] for b in stretch[at_char].encode("utf-8", "surrogatepass")]
-                elif symbol >= 0:
-                    found.append(symbol)
-            out.append(np.array(found, self.kind).tobytes())
-        return out
+            live = np.flatnonzero(piece >= 0)
+            if 4 * len(live) < 3 * len(rows):  # settled rows leave
+                final[rows], begins[rows] = sym, starts
+                rows, sym, starts, to, i, piece = rows[live], sym[live], starts[live], to[live], i[live], piece[live]
+                live = np.arange(len(rows))
+            if not len(live):
+                final[rows], begins[rows] = sym, starts
+                break
+            k, made = i[live], piece[live]
+            mark = starts[live, k].astype(np.uint64) * np.uint64(K1) + made.astype(np.uint64) * np.uint64(K2)
+            if told.shape[1]:
+                skip = (told[rows[live]] == mark[:, None]).any(1)
+                past[rows[live[skip & (mark == final_skip[rows[live]])]]] = True
+                to[live[skip], k[skip]] = -1
+                live, k, made, mark = live[~skip], k[~skip], made[~skip], mark[~skip]
+            new = past[rows[live]]
+            taken.append((rows[live[new]], mark[new]))
+            # The symbols after each merge move up by one; the last place is empty.
+            shift = (live * width)[:, None] + np.minimum(cols + (cols > k[:, None]), width - 1)
+            one = np.arange(len(live))
+            moved = sym.ravel()[shift]
+            moved[:, -1] = -1
+            moved[one, k] = made
+            sym[live] = moved
+            right, left = np.where(k + 1 < width, moved[one, np.minimum(k + 1, width - 1)], -1), np.maximum(k - 1, 0)
+            before = np.where(k > 0, moved[one, left], -1)
+            starts[live] = starts.ravel()[shift]
+            moved = to.ravel()[shift]
+            moved[:, -1] = -1
+            moved[one, left] = np.where(k > 0, self._merged(before, made), moved[one, left])
+            moved[one, k] = self._merged(made, right)
+            to[live] = moved
+        who, marks = (np.concatenate(x) for x in zip((np.zeros(0, np.int64), np.zeros(0, np.uint64)), *taken, strict=True))
+        marks, n_marks = marks[np.argsort(who, kind="stable")], np.bincount(who, minlength=n)
+        # What is no piece becomes bytes: rows of `shown` after the pieces.
+        bare = np.nonzero(final >= len(self.raw))
+        if len(bare[0]):
+            code, which = np.unique(points[bare[0], begins[bare]], return_inverse=True)
+            final[bare] = np.array([self._bytes_of(chr(c)) for c in code.tolist()])[which]
+        some = final >= 0
+        flat, sizes = self.shown.take(final[some])
+        return flat, np.bincount(np.nonzero(some)[0], sizes, n).astype(np.int64), marks, n_marks
+
+    def _bytes_of(self, char: str) -> int:
+        """The row of `shown` with a character's byte pieces."""
+        if char not in self.bare:
+            found = [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")]
+            self.bare[char] = int(self.shown.add(np.array(found, self.kind), np.array([len(found)]))[0])
+        return self.bare[char]
 
     def numbered(self, symbols: list[str | None]) -> list[int]:
         out: list[int] = []
@@ -243,59 +303,104 @@ class Segmenter:
                 out += self.stretch.findall((SPACE if not k else "") + part.replace(" ", SPACE))
         return out
 
-    def _remember(self, stretches: list[str]) -> None:
-        """Adds what merging without dropout gives."""
-        taken: list[tuple[np.ndarray, np.ndarray]] = []
-        ids = self.merge_many(stretches, 0, taken)
-        rows = np.concatenate([np.zeros(0, np.int64), *(r for r, _ in taken)])
-        order = np.argsort(rows, kind="stable")
-        marks = np.concatenate([np.zeros(0, np.uint64), *(m for _, m in taken)])[order]
-        ends = np.cumsum(np.bincount(rows, minlength=len(stretches)))
-        for s, x, a, b in zip(stretches, ids, np.r_[0, ends[:-1]], ends, strict=True):
-            self.known[s] = x, marks[a:b].copy() if len(s) <= WIDTHS[-1] else None
+    def _learn(self, stretches: Iterable[str]) -> None:
+        """Roots of stretches that have none yet."""
+        new = list(dict.fromkeys(s for s in stretches if s not in self.roots))
+        short = [s for s in new if len(s) <= WIDTHS[-1]]
+        self.roots.update(zip(short, self._grow(short, [()] * len(short)).tolist(), strict=True))
+        for s in new:
+            if len(s) > WIDTHS[-1]:
+                self.long.append(s)
+                self.roots[s] = -len(self.long)
+
+    def _root(self, stretches: list[str | None]) -> np.ndarray:
+        return np.fromiter(map(self.roots.__getitem__, stretches), np.int64, len(stretches))
+
+    def _roots(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Roots of the stretches of the texts, and how many each text has. Texts whose stretches are what stands between single spaces are cut together, distinct chunks once."""
+        column = pa.array(texts, pa.large_string())
+        codes, chunks, counts = chunked(column)
+        sizes = pc.utf8_length(chunks).to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(texts)), counts)
+        apart = pc.match_substring(column, SPACE).to_numpy(zero_copy_only=False)
+        apart[owner[sizes[codes] == 0]] = True
+        plain, words, tails = plain_parts(chunks) if self.stretch is FINE else (np.zeros(len(chunks), bool), chunks.slice(0, 0), chunks.slice(0, 0))
+        words, tails = words.dictionary_encode(), tails.dictionary_encode()
+        text_of = lambda x: x.to_numpy(zero_copy_only=False).tolist()
+        word, tail = [SPACE + w for w in text_of(words.dictionary)], text_of(tails.dictionary)
+        other = [self.stretch.findall(SPACE + c) for c in text_of(chunks.filter(pa.array(~plain)))]
+        by_hand = {i: self._stretches(texts[i]) for i in np.flatnonzero(apart).tolist()}
+        self._learn(itertools.chain(word, filter(None, tail), *other, (s for x in by_hand.values() for s in x if s is not None)))
+        # Two places for each plain chunk, the second empty where it has no tail; -1 << 40 stands for empty.
+        none = -(1 << 40)
+        of_chunk = Ragged("<i8")
+        n_parts = np.full(len(chunks), 2, np.int64)
+        n_parts[~plain] = [len(x) for x in other]
+        flat = np.zeros(n_parts.sum(), np.int64)
+        begin = np.cumsum(n_parts) - n_parts
+        flat[begin[plain]] = self._root(word)[words.indices]
+        flat[begin[plain] + 1] = np.array([self.roots[t] if t else none for t in tail], np.int64)[tails.indices]
+        flat[np.repeat(~plain, n_parts)] = self._root([s for x in other for s in x])
+        of_chunk.add(flat, n_parts)
+        kept = ~apart[owner]
+        roots, sizes = of_chunk.take(codes[kept])
+        owner = np.repeat(owner[kept], sizes)
+        roots, owner = roots[roots != none], owner[roots != none]
+        counts = np.bincount(owner, minlength=len(texts))
+        if by_hand:
+            parts = np.split(roots, np.cumsum(counts)[:-1])
+            for i, stretches in by_hand.items():
+                parts[i] = self._root(stretches)
+                counts[i] = len(stretches)
+            roots = np.concatenate(parts)
+        return roots, counts
+
+    def _followed(self, nodes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The nodes where occurrences end that start at these roots under these keys."""
+        nodes, active = nodes.copy(), np.arange(len(nodes))
+        while len(active):
+            at, sizes = self.marks.places(nodes[active])
+            hit = np.flatnonzero(self.skipped(np.repeat(keys[active], sizes), self.marks.flat[at]))
+            owner = np.repeat(np.arange(len(active)), sizes)[hit]
+            first = np.r_[True, owner[1:] != owner[:-1]][: len(owner)]
+            active, place = active[owner[first]], at[hit[first]]
+            missing, one = np.unique(place[self.next[place] < 0], return_index=True)
+            if len(missing):
+                above = nodes[active[self.next[place] < 0][one]].tolist()
+                made = self._grow([self.of[x] for x in above], [(*self.skips[x], m) for x, m in zip(above, self.marks.flat[missing].tolist(), strict=True)])
+                self.next[missing] = made
+            nodes[active] = self.next[place]
+        return nodes
 
     def encode_many(self, texts: list[str], variants: list[int]) -> Iterator[np.ndarray]:
         """Ids of each text under its key; stretches of several texts are merged together."""
-        at = 0
-        while at < len(texts):
-            group, keys, size, end = [], [], 0, at
-            while end < len(texts) and (size < TOGETHER or end == at):
-                group.append(self._stretches(texts[end]))
-                keys.append(self.places(variants[end], len(group[-1])))
-                size += len(group[-1])
-                end += 1
-            flat, key = [s for g in group for s in g], np.concatenate(keys)
-            new = {s for s in flat if s is not None and s not in self.known}
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = {s for s in flat if s is not None}
-            self._remember(list(new))
-            self.known[None] = self.sign, np.zeros(0, np.uint64)
-            found = [self.known[s] for s in flat]
-            out = [x for x, _ in found]
+        begin = 0
+        for group in by_size(texts, TOGETHER):
+            if len(self.of) > REMEMBERED or self.pieces.used > IDS or len(self.long) > SIDE:
+                self.forget()
+            nodes, counts = self._roots(group)
+            keys = np.concatenate([self.places(v, c) for v, c in zip(variants[begin : begin + len(group)], counts.tolist(), strict=True)])
+            begin += len(group)
+            short = nodes >= 0
             if self.limit:
-                sizes = np.fromiter((0 if m is None else len(m) for _, m in found), np.int64, len(found))
-                again = np.fromiter((m is None for _, m in found), bool, len(found))
-                if sizes.sum():
-                    hit = self.skipped(np.repeat(key, sizes), np.concatenate([m for _, m in found if m is not None]))
-                    again[np.repeat(np.arange(len(found)), sizes)[hit]] = True
-                redo = np.flatnonzero(again)
-                for i, x in zip(redo.tolist(), self.merge_many([flat[i] for i in redo], key[redo]), strict=True):
-                    out[i] = x
-            for s in [s for s in new if len(s) > LONG]:
-                del self.known[s]
-            low = 0
-            for g in group:
-                yield np.frombuffer(b"".join(out[low : low + len(g)]), self.kind)
-                low += len(g)
-            at = end
+                nodes[short] = self._followed(nodes[short], keys[short])
+            own = self.pieces
+            if not short.all():  # long stretches have a row each for this group
+                own, which = Ragged(self.kind), np.flatnonzero(~short)
+                flat, sizes = self.pieces.take(nodes[short])
+                found = [self.merge(self.long[-nodes[i] - 1], int(keys[i])) for i in which.tolist()]
+                own.add(np.concatenate([flat, np.array([p for x in found for p in x], self.kind)]), np.concatenate([sizes, [len(x) for x in found]]))
+                nodes[short], nodes[which] = np.arange(len(sizes)), np.arange(len(sizes), len(nodes))
+            ids, sizes = own.take(nodes)
+            ends = np.r_[0, np.cumsum(sizes)][np.cumsum(counts)].tolist()
+            yield from (ids[a:b] for a, b in zip([0, *ends], ends, strict=False))
 
     def encode(self, text: str, variant: int = 0) -> np.ndarray:
         return next(self.encode_many([text], [variant]))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the text; the space that encoding put first goes."""
-        raw = b"".join(map(self.raw.__getitem__, ids.tolist()))
+        raw = self.decoded.take(ids)[0].tobytes()
         return raw[1:] if raw[:1] == b" " else raw
 
 
