@@ -16,8 +16,9 @@ against it, and every node against the first node of most of its larger
 blocks; then, in larger blocks that still hold several components, a tree
 finds all pairs of different components whose bound suffices. Pairs within a
 component need no look, so groups of thousands of near copies stay linear.
-Blocks above BLOCK nodes are split: the largest component's nodes part into
-chunks, the others go to all chunks.
+Blocks above BLOCK nodes are split into chunks of about BLOCK, those of the largest
+component's nodes apart from the others; each pair of chunks is joined once, but for two
+of the largest component, so that no task has more than two chunks.
 
 Words are runs without white space after lower-casing A-Z. A text of fewer than
 WIDTH words is one shingle; null texts and texts without words have no
@@ -179,10 +180,12 @@ def block_keys(hashes: np.ndarray, hot: np.ndarray, often: np.ndarray, percent:
 
 
 def records(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, digest, point, keys of every row, written once."""
+    """doc_id, row (its number), n, digest, point, keys of every row, written once."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hot = docs.sparkSession.sparkContext.broadcast(frequent_shingles(rows, width))
 
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+
     @F.pandas_udf("n long, digest binary, point binary, keys array<long>")
     def describe(texts: pd.Series) -> pd.DataFrame:
         out = []
@@ -194,7 +197,7 @@ def records(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
                 out.append((0, None, None, np.zeros(0, np.int64)))
         return pd.DataFrame(out, columns=["n", "digest", "point", "keys"])
 
-    return written(rows.select("doc_id", describe("text").alias("r")).select("doc_id", "r.*"), "records")
+    return written(rows.select("doc_id", "row", describe("text").alias("r")).select("doc_id", "row", "r.*"), "records")
 
 
 def _small(df: DataFrame, count: int | None = None) -> DataFrame:
@@ -220,28 +223,30 @@ def near(n: str, m: str, percent: int = PERCENT) -> Column:
 class RTree:
     """Points in leaves of LEAF, packed by size and then by the most varied coordinate of each slab; boxes keep the largest coordinates, as overlap is bounded from above."""
 
-    def __init__(self, points: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int = PERCENT):
+    def __init__(self, points: np.ndarray, n: np.ndarray, labels: list[np.ndarray], percent: int = PERCENT):
+        """Pairs are looked for that differ in every label."""
         self.percent = percent
-        order = np.argsort(n, kind="stable")
+        order = np.lexsort((n, labels[-1])) if len(labels) > 1 else np.argsort(n, kind="stable")
         slab = LEAF * FAN
         for low in range(0, len(order), slab):
             part = order[low : low + slab]
             widest = int(np.argmax(points[part].max(0) - points[part].min(0)))
             order[low : low + slab] = part[np.argsort(points[part, widest], kind="stable")]
-        self.order, self.points, self.n, self.comp = order, points[order], n[order], comp[order]
-        cuts = np.arange(0, len(order), LEAF)
-        reduce = lambda f, x, at: f.reduceat(x, at, axis=0)
-        self.levels = [(reduce(np.maximum, self.points, cuts), reduce(np.minimum, self.n, cuts), reduce(np.maximum, self.n, cuts), reduce(np.minimum, self.comp, cuts), reduce(np.maximum, self.comp, cuts))]
-        while len(self.levels[-1][1]) > 1:
-            high, small, large, first, last = self.levels[-1]
-            cuts = np.arange(0, len(small), FAN)
-            self.levels.append((reduce(np.maximum, high, cuts), reduce(np.minimum, small, cuts), reduce(np.maximum, large, cuts), reduce(np.minimum, first, cuts), reduce(np.maximum, last, cuts)))
+        self.order, self.points, self.n, self.labels = order, points[order], n[order], [x[order] for x in labels]
+        level, wide = (self.points, self.n, self.n, self.labels, self.labels), LEAF
+        self.levels: list[tuple] = []
+        while not self.levels or len(self.levels[-1][1]) > 1:
+            cuts = np.arange(0, len(level[1]), wide)
+            least, most = (lambda x, c=cuts: np.minimum.reduceat(x, c, axis=0)), (lambda x, c=cuts: np.maximum.reduceat(x, c, axis=0))
+            level, wide = (most(level[0]), least(level[1]), most(level[2]), [least(x) for x in level[3]], [most(x) for x in level[4]]), FAN
+            self.levels.append(level)
 
     def _open(self, level: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the pairs of boxes, those that may hold a link between different components."""
-        high, small, large, first, last = self.levels[level]
+        """Of the pairs of boxes, those that may hold a link between rows that differ in every label."""
+        high, small, large, firsts, lasts = self.levels[level]
         ok = (100 * large[i] >= self.percent * small[j]) & (100 * large[j] >= self.percent * small[i])
-        ok &= ~((first[i] == last[i]) & (first[j] == last[j]) & (first[i] == first[j]))
+        for first, last in zip(firsts, lasts, strict=True):
+            ok &= ~((first[i] == last[i]) & (first[j] == last[j]) & (first[i] == first[j]))
         i, j = i[ok], j[ok]
         out = [np.zeros(0, bool)]
         for low in range(0, len(i), 16_000):
@@ -251,7 +256,7 @@ class RTree:
         return i[ok], j[ok]
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of places (in the given points) whose bound allows a link, components differing: the tree joined with itself from the top."""
+        """Pairs of places (in the given points) whose bound allows a link: the tree joined with itself from the top."""
         i = j = np.zeros(1, np.int64)
         for level in range(len(self.levels) - 1, -1, -1):
             i, j = self._open(level, i, j)
@@ -265,7 +270,9 @@ class RTree:
                 ok = (a < size) & (b < size) & (a <= b if level else a < b)
                 a, b = a[ok], b[ok]
                 if not level:
-                    ok = (self.comp[a] != self.comp[b]) & (100 * np.minimum(self.n[a], self.n[b]) >= self.percent * np.maximum(self.n[a], self.n[b]))
+                    ok = 100 * np.minimum(self.n[a], self.n[b]) >= self.percent * np.maximum(self.n[a], self.n[b])
+                    for x in self.labels:
+                        ok &= x[a] != x[b]
                     a, b = a[ok], b[ok]
                     ok = np.zeros(len(a), bool)
                     for at in range(0, len(a), 16_000):
@@ -285,21 +292,19 @@ def _join_blocks(percent: int):
         def joined(rows: pd.DataFrame) -> pd.DataFrame:
             if not len(rows):
                 return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-            key, part, node, n, comp = (rows[c].to_numpy(np.int64) for c in ("key", "chunk", "node", "n", "comp"))
-            moved, fine = rows["moved"].to_numpy(bool), Points(rows["point"])
+            key, left, right, chunk, node, n, comp = (rows[c].to_numpy(np.int64) for c in ("key", "left", "right", "chunk", "node", "n", "comp"))
+            fine = Points(rows["point"])
             points = fine.coarse()
-            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
             out = []
             for low, high in zip(starts, np.r_[starts[1:], len(key)], strict=True):
                 if high - low < 2:
                     continue
                 at = slice(low, high)
-                i, j = RTree(points[at], n[at], comp[at], percent).pairs()
+                labels = [comp[at]] if left[low] == right[low] else [comp[at], chunk[at]]
+                i, j = RTree(points[at], n[at], labels, percent).pairs()
                 ok = bounded(fine, low + i, n[low + i], fine, low + j, n[low + j], percent)
                 i, j = i[ok], j[ok]
-                if part[low]:  # pairs of rows that are in all chunks are found in the first
-                    ok = ~(moved[at][i] & moved[at][j])
-                    i, j = i[ok], j[ok]
                 a, b = node[at][i], node[at][j]
                 for x in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True):
                     if x not in seen:
@@ -312,8 +317,7 @@ def _join_blocks(percent: int):
         held = None
         for batch in batches:
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = rows["key"].iloc[-1], rows["chunk"].iloc[-1]
-            ends = ((rows["key"] == last[0]) & (rows["chunk"] == last[1])).to_numpy().argmax()
+            ends = (rows[["key", "left", "right"]] == rows[["key", "left", "right"]].iloc[-1]).all(axis=1).to_numpy().argmax()
             held = rows.iloc[ends:]
             yield joined(rows.iloc[:ends])
         if held is not None:
@@ -322,8 +326,8 @@ def _join_blocks(percent: int):
     return join
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sets link. Only texts that some pair names are read for their sets."""
+def verified(pairs: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, repeated: bool = False) -> DataFrame:
+    """The pairs (a, b) whose sets link. Only texts that some pair names are read for their sets; of repeated rows one is."""
     pairs = written(pairs.select("a", "b").distinct(), "candidates")
     wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
     rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
@@ -332,7 +336,10 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int = W
     def packed(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t, width).tobytes() for t in texts], dtype=object)
 
-    sets = rows.join(_small(wanted), "node", "left_semi").select("node", packed("text").alias("s"))
+    rows = rows.join(_small(wanted), "node", "left_semi")
+    if repeated:
+        rows = rows.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["node", "_hash"])
+    sets = rows.select("node", packed("text").alias("s"))
 
     @F.pandas_udf("boolean")
     def linked(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -358,9 +365,14 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     text_batches(spark)
     found = records(docs, width, percent)
     usable = found.where("n > 0 and doc_id is not null")
-    names = written(usable.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
+    # A set's node is its least doc_id, described by one row; a doc_id of several sets links their nodes.
+    names = written(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by("row", "doc_id").alias("row")), "nodes")
     n_names = names.count()
-    nodes = usable.join(_small(names, n_names), "digest").where("doc_id = node").select("node", "n", "point", "keys")
+    nodes = usable.join(_small(names.select("node", "row"), n_names), "row").select("node", "n", "point", "keys")
+    several = usable.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")
+    held = written(usable.select("doc_id", "digest").join(several, "doc_id").join(names.select("digest", "node"), "digest").select("doc_id", "node").distinct(), "several")
+    same = held.join(held.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("a < node").select("a", F.col("node").alias("b"))
+    repeated = bool(usable.groupBy("doc_id", "digest").count().where("count > 1").head(1))
     keys = nodes.select(F.explode("keys").alias("key"), "node", "n")
     shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("center"), F.min_by("n", "node").alias("center_n")).where("c > 1"), "blocks")
     members = written(keys.join(_small(shared), "key"), "members")
@@ -368,28 +380,32 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     side = lambda x: points.toDF(x, f"n_{x}", f"p_{x}")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        return verified(suffices(pairs.join(side("a"), "a").join(side("b"), "b"), percent), docs, nodes, width, percent)
+        return verified(suffices(pairs.join(side("a"), "a").join(side("b"), "b"), percent), docs, width, percent, repeated)
 
     twos = members.where("c = 2 and node > center").where(near("n", "center_n", percent)).select(F.col("center").alias("a"), F.col("node").alias("b"))
     large = members.where("c > 2 and node > center").where(near("n", "center_n", percent)).groupBy("node", "center").agg(F.count(F.lit(1)).alias("k"))
     best = large.groupBy("node").agg(F.max_by("center", "k").alias("a")).select("a", F.col("node").alias("b"))
-    first = checked(twos.union(best).distinct())
+    first = checked(twos.union(best).distinct()).union(same)
     so_far = written(components(first), "so-far")
     # Blocks whose nodes are of one component are done.
     open_rows = members.where("c > 2").join(_small(so_far), "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     open_rows = written(open_rows, "open")
     by_comp = open_rows.groupBy("key", "comp").count()
-    blocks = written(by_comp.groupBy("key").agg(F.sum("count").alias("size"), F.max_by("comp", "count").alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1"), "open-blocks")
-    chunks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = open_rows.join(_small(blocks), "key")
-    rows = rows.withColumn("moved", (F.col("comp") != F.col("top")) & (F.col("size") > BLOCK))
-    rows = rows.withColumn("chunk", F.explode(F.when(F.col("moved"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), chunks).cast("int")))))
-    rows = rows.select("key", "chunk", "node", "comp", "moved").join(points, "node")
-    dealt = rows.repartition(partitions(spark), "key", "chunk").sortWithinPartitions("key", "chunk")
+    blocks = written(by_comp.groupBy("key").agg(F.sum("count").alias("size"), F.max_by("comp", "count").alias("top"), F.max("count").alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1"), "open-blocks")
+    # Chunks 0 to m - 1 have the other components' nodes, m to m + t - 1 those of the largest.
+    large = F.col("size") > BLOCK
+    m = F.when(large, F.ceil((F.col("size") - F.col("most")) / BLOCK)).otherwise(1).cast("int")
+    t = F.when(large, F.ceil(F.col("most") / BLOCK)).otherwise(0).cast("int")
+    by_hash = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    rows = open_rows.join(_small(blocks), "key").withColumn("m", m).withColumn("t", t)
+    rows = rows.withColumn("chunk", F.when(~large, 0).when(F.col("comp") != F.col("top"), by_hash(F.col("m"))).otherwise(F.col("m") + by_hash(F.greatest("t", F.lit(1)))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("chunk") < F.col("m"), F.col("m") + F.col("t") - 1).otherwise(F.col("m") - 1))))
+    rows = rows.select("key", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"), "chunk", "node", "comp").join(points, "node")
+    dealt = rows.repartition(partitions(spark), "key", "left", "right").sortWithinPartitions("key", "left", "right")
     more = dealt.mapInPandas(_join_blocks(percent), "a long, b long").distinct()
     second = checked(more.join(first, ["a", "b"], "left_anti"))
     final = written(components(first.union(second)), "components")
-    named = _small(names.join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component")), n_names)
+    named = _small(names.drop("row").join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component")), n_names)
     out = found.select("doc_id", "n", "digest").join(named, "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 

@@ -59,9 +59,33 @@ def test_tree_finds_all_pairs_within_the_bound():
     points = r.integers(0, 6, (300, j.GROUPS)).astype(np.int32)
     points[150:] = np.maximum(points[:150] + r.integers(-1, 2, (150, j.GROUPS)) * (r.random((150, j.GROUPS)) < 0.1), 0)
     n, comp = points.sum(1).astype(np.int64), r.integers(0, 200, 300)
-    got = {tuple(sorted(x)) for x in zip(*(v.tolist() for v in j.RTree(points, n, comp).pairs()), strict=True)}
+    got = {tuple(sorted(x)) for x in zip(*(v.tolist() for v in j.RTree(points, n, [comp]).pairs()), strict=True)}
     want = {(a, b) for a in range(300) for b in range(a + 1, 300) if comp[a] != comp[b] and 100 * min(n[a], n[b]) >= 85 * max(n[a], n[b]) and np.minimum(points[a], points[b]).sum() >= -(-85 * (n[a] + n[b]) // 185)}
     assert got == want and want
+    side = r.integers(0, 2, 300)
+    got = {tuple(sorted(x)) for x in zip(*(v.tolist() for v in j.RTree(points, n, [comp, side]).pairs()), strict=True)}
+    assert got == {(a, b) for a, b in want if side[a] != side[b]} and got
+
+
+def test_repeated_ids_and_rows(spark, monkeypatch):
+    texts = [prose(2000 + k, 70) for k in range(6)]
+    rows = [(1, texts[0]), (2, texts[0]), (2, texts[1]), (3, texts[1]), (9, texts[2]), (8, texts[3]), (8, texts[2]), (8, texts[0] + " x"), (5, texts[4]), (6, None), (6, "")]
+    rows += [(7, texts[5])] * 150 + [(7, texts[5] + " more")] * 150 + [(4, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert {(d, c) for d, _, c in want} == {(1, 1), (2, 1), (3, 1), (9, 1), (8, 1), (5, 5), (6, 6), (7, 4), (4, 4)}
+    assert sorted((tuple(r) for r in j.near_copies(docs).collect()), key=str) == want
+
+
+def test_a_block_of_many_that_hardly_link(spark, monkeypatch):
+    """All share a passage that opens a block, few link; chunks of the block meet once."""
+    monkeypatch.setattr(j, "BLOCK", 40)
+    monkeypatch.setattr(j, "FREQUENT", 1 << 40)
+    r, common = random.Random(3), prose(77, 40)
+    rows = [(i, common + " " + " ".join(f"v{r.randrange(900)}" for _ in range(40))) for i in range(300)]
+    rows += [(1000 + i, rows[7 * i][1].replace(" v1", " w1", 1)) for i in range(40)] + [(2000 + i, rows[3][1] + f" u{i}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(x) for x in j.near_copies(docs).collect()), key=str) == brute(rows)
 
 
 def test_fine_points_never_exclude_a_link():
