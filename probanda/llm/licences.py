@@ -1,16 +1,21 @@
 """Licence scans: a trained paragraph classifier, in DataFrame functions only.
 
-A paragraph is a line with a letter or digit. Its distinct word n-grams up to
+A paragraph is what stands between empty lines and has a letter or digit. Its lines,
+and its runs of up to WRAP lines (notices may be wrapped), are classified: distinct word n-grams up to
 MOST words are the features of a softmax regression over licence families and
 `unknown`. Weights are learnt on the driver from generated
 variants of the notices below and of harmless lines, TRAINED of each, and go
 into the plan as one constant; small ones are dropped. A family counts only if
 its probability reaches a limit calibrated on other generated lines (at most
-MISSED of the harmless ones pass) and the paragraph shares at least SHARED of
-its word pairs, or of the notice's, with a notice of that family. Other
-candidates are `unknown`. Only lines with one of TRIGGERS are candidates.
+MISSED of the harmless ones pass) and the lines hold at least SHARED of the word pairs
+of a notice of that family. A line with an SPDX identifier has the family of that
+identifier, exactly, or none. All else is unknown.
 
-Null and empty texts have no paragraphs. Families are listed by name, once each.
+Lines are read without n-grams first: any that hold so much of a notice have one of
+`signs()`, words picked so that more than 1 - SHARED of each notice's pairs have one.
+
+Null and empty texts have no paragraphs. Families are listed by name, once each; n_licences counts
+each family once a paragraph.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from __future__ import annotations
 import json
 import random
 import re
+from collections import Counter
 from collections.abc import Callable
 from functools import cache
 
@@ -28,25 +34,46 @@ from pyspark.sql import functions as F
 #: Opening notices of common licences.
 NOTICES: dict[str, list[str]] = {
     "AGPL": ["This program is licensed under the GNU Affero General Public License, version 3.", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"],
-    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."],
+    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD 3-Clause License."],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "This text is available under the Creative Commons Attribution License."],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC0": ["Released under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related rights to this work and placed it in the public domain.", "Dedicated to the public domain under CC0."],
-    "GPL": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "Licensed under the GPL, version 2 or later.", "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "EPL": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "Licensed under the Eclipse Public License, version 1.0."],
+    "GPL": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "Licensed under the GPL, version 2 or later."],
+    "ISC": ["Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License."],
     "LGPL": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
-    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "Licensed under the MIT license.", "SPDX-License-Identifier: MIT"],
+    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "Licensed under the MIT license."],
     "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
     "Proprietary": ["Copyright. All rights reserved.", "No part of this publication may be reproduced, distributed or transmitted in any form without the prior written permission of the publisher. All rights reserved."],
 }
 #: Harmless lines with the same words.
 HARMLESS = ["her driver's license was issued in the city", "the license fee is due in version two of the plan", "a licensed physician works under the general hospital", "he had a fishing license and a public library card", "the apache helicopter landed in the field", "students of mit met the public", "the copyright office is open to the public", "licence plates are sold by the state", "free software was discussed at the meeting", "a creative commons of the village", "the terms of the public debt were general", "permission was granted to the visitors", "the software license costs money each year", "license"]
-#: Each family has one of these in all its notices, lower-cased.
-TRIGGERS = ("licen", "copyright", "public domain", "cc0", "cc by", "cc-by", "rights reserved", "redistribution and use", "permission is hereby granted", "redistribute it")
+#: The identifiers of each family.
+IDENTIFIERS: dict[str, str] = {
+    "AGPL": "AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later",
+    "Apache-2.0": "Apache-2.0",
+    "BSD": "BSD-2-Clause BSD-3-Clause 0BSD BSD-4-Clause",
+    "CC-BY": "CC-BY-3.0 CC-BY-4.0",
+    "CC-BY-NC": "CC-BY-NC-3.0 CC-BY-NC-4.0",
+    "CC-BY-SA": "CC-BY-SA-3.0 CC-BY-SA-4.0",
+    "CC0": "CC0-1.0",
+    "EPL": "EPL-1.0 EPL-2.0",
+    "GPL": "GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later",
+    "ISC": "ISC",
+    "LGPL": "LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later",
+    "MIT": "MIT MIT-0",
+    "MPL": "MPL-1.1 MPL-2.0",
+    "Unlicense": "Unlicense",
+    "Zlib": "Zlib",
+}
+IDENTIFIER = r"spdx-license-identifier:\s*([a-z0-9.+-]+)"
+#: What parts paragraphs: an end of line and one or more empty lines.
+BLANK = r"\n(?:[ \t\r\x0B\x0C]*\n)+"
 UNKNOWN = "unknown"
 CLASSES = (UNKNOWN, *sorted(NOTICES))
-MOST, TRAINED, ROUNDS, DROPPED, MISSED, SHARED = 3, 60, 120, 0.03, 0.01, 0.6
+MOST, TRAINED, ROUNDS, DROPPED, MISSED, SHARED, WRAP = 3, 60, 120, 0.03, 0.01, 0.6, 4
 TOKEN = re.compile("[a-z0-9]+")
 
 
@@ -124,6 +151,20 @@ def _pairs(text: str) -> list[str]:
     return list(dict.fromkeys(" ".join(p) for p in zip(w, w[1:], strict=False)))
 
 
+@cache
+def signs() -> tuple[str, ...]:
+    """Words of which every line or run that shares enough with a notice has one, found greedily: those that most pairs still need, the longest first."""
+    words = Counter(w for v in NOTICES.values() for t in v for w in TOKEN.findall(t.lower()))
+    out: list[str] = []
+    left = [p for v in NOTICES.values() for p in map(_pairs, v) if p]
+    while left:
+        best = max(words, key=lambda w: (len(w) >= 5, sum(w in x.split() for p in left for x in p) * min(len(w), 8), w))
+        out.append(best)
+        del words[best]
+        left = [p for p in left if sum(any(w in x.split() for w in out) for x in p) <= (1 - SHARED) * len(p)]
+    return tuple(sorted(out))
+
+
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
@@ -135,7 +176,7 @@ def _runs(w: Column, k: int) -> Column:
 
 
 def _classified(line: Column, m: Model) -> Column:
-    """family, probability, shared of a paragraph."""
+    """family, probability, shared of lower-cased lines."""
     weights = F.from_json(F.lit(json.dumps(m.weights)), "map<string,array<double>>")
     notices = F.from_json(F.lit(json.dumps({k: [_pairs(t) for t in v] for k, v in NOTICES.items()})), "map<string,array<array<string>>>")
     names = F.array(*[F.lit(c) for c in CLASSES])
@@ -150,63 +191,75 @@ def _classified(line: Column, m: Model) -> Column:
         def compared(b: Column) -> Column:
             family = F.element_at(names, b["k"])
             own = F.array_distinct(_runs(w, 2))
-            shared = _let(own, lambda o: F.array_max(F.transform(F.try_element_at(notices, family), lambda t: F.size(F.array_intersect(o, t)) / F.greatest(F.least(F.size(o), F.size(t)), F.lit(1)))))
+            shared = _let(own, lambda o: F.array_max(F.transform(F.try_element_at(notices, family), lambda t: F.size(F.array_intersect(o, t)) / F.size(t))))
             return F.struct(family.alias("family"), b["p"].alias("probability"), F.coalesce(shared, F.lit(0.0)).alias("shared"))
 
         return _let(best, compared)
 
-    return _let(F.regexp_extract_all(F.lower(line), F.lit("[a-z0-9]+"), 0), judged)
+    return _let(F.regexp_extract_all(line, F.lit("[a-z0-9]+"), 0), judged)
 
 
-def _has_trigger(lowered: Column) -> Column:
-    found = F.lit(False)
-    for t in TRIGGERS:
-        found = found | F.contains(lowered, F.lit(t))
+def _has_sign(lowered: Column) -> Column:
+    found = F.contains(lowered, F.lit("spdx-license-identifier:"))
+    for sign in signs():
+        found = found | F.contains(lowered, F.lit(sign))
     return found
 
 
+def _identified(line: Column) -> Column:
+    """The family that an SPDX identifier names, or null."""
+    named = F.from_json(F.lit(json.dumps({i.lower(): k for k, v in IDENTIFIERS.items() for i in v.split()})), "map<string,string>")
+    return F.try_element_at(named, F.rtrim(F.regexp_extract(line, IDENTIFIER, 1), F.lit(".")))
+
+
 def licences(docs: DataFrame) -> DataFrame:
-    """doc_id, n_paragraphs, n_candidates, n_licences, n_unknown (long), families (comma-joined) of every document; no shuffle."""
+    """doc_id, n_paragraphs, n_licences, n_unknown (paragraphs without a licence), all long, families (comma-joined) of every document; no shuffle."""
     m = model()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    lines = F.split("text", "\n")
-    rows = rows.select(
-        "doc_id",
-        F.size(F.filter(lines, lambda x: x.rlike("[\\p{L}\\p{N}]"))).cast("long").alias("n_paragraphs"),
-        F.when(_has_trigger(F.lower("text")), F.filter(lines, lambda x: _has_trigger(F.lower(x)))).otherwise(F.array().cast("array<string>")).alias("_found"),
-    )
-    rows = rows.withColumn("_classes", F.transform("_found", lambda x: _classified(x, m)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
+    has_content = lambda x: x.rlike("[\\p{L}\\p{N}]")
+    blocks = F.filter(F.split("text", BLANK), has_content)
+    rows = rows.select("doc_id", F.size(blocks).cast("long").alias("n_paragraphs"), F.when(_has_sign(F.col("text")), F.filter(blocks, _has_sign)).otherwise(F.array().cast("array<string>")).alias("_blocks"))
+
+    def units(block: Column) -> Column:
+        """The lines of a paragraph, and its runs of lines, that have a sign."""
+        runs = lambda ls: F.concat(ls, *[F.transform(F.slice(ls, F.lit(1), F.greatest(F.size(ls) - (k - 1), F.lit(0))), lambda x, i: F.concat_ws(" ", x, *[F.get(ls, i + j) for j in range(1, k)])) for k in range(2, WRAP + 1)])  # noqa: E731, B023
+        return _let(F.filter(F.split(block, "\n"), has_content), lambda ls: F.concat(F.transform(ls, _identified), F.transform(F.filter(F.transform(F.filter(runs(ls), _has_sign), lambda x: _classified(x, m)), sure), lambda c: c["family"])))
+
     sure = lambda c: (c["family"] != UNKNOWN) & (c["probability"] >= m.limit) & (c["shared"] >= SHARED)
-    rows = rows.withColumn("_sure", F.filter("_classes", sure))
-    families = F.array_join(F.array_sort(F.array_distinct(F.transform("_sure", lambda c: c["family"]))), ",")
+    rows = rows.withColumn("_found", F.transform("_blocks", lambda b: F.array_compact(F.array_distinct(units(b)))))
     size = lambda c: F.size(c).cast("long")
-    return rows.select("doc_id", "n_paragraphs", size("_found").alias("n_candidates"), size("_sure").alias("n_licences"), (size("_found") - size("_sure")).alias("n_unknown"), families.alias("families"))
+    return rows.select("doc_id", "n_paragraphs", size(F.flatten("_found")).alias("n_licences"), (F.col("n_paragraphs") - size(F.filter("_found", lambda x: F.size(x) > 0))).alias("n_unknown"), F.array_join(F.array_sort(F.array_distinct(F.flatten("_found"))), ",").alias("families"))
 
 
 def licences_sql() -> str:
-    """The same scan as DuckDB SQL over the same weights."""
+    """The same scan as DuckDB SQL over the same weights, with every line and run classified."""
     m = model()
     text = lambda s: "'" + s.replace("'", "''") + "'"
     listed = lambda xs: "[" + ", ".join(xs) + "]"
     weights = ", ".join(f"({text(g)}, {listed(map(str, v))})" for g, v in m.weights.items())
     notices = ", ".join(f"({text(k)}, {listed(map(text, _pairs(t)))})" for k, v in NOTICES.items() for t in v)
-    trigger = lambda c: "(" + " OR ".join(f"contains({c}, {text(t)})" for t in TRIGGERS) + ")"
+    named = ", ".join(f"({text(i.lower())}, {text(k)})" for k, v in IDENTIFIERS.items() for i in v.split())
     run = lambda k: f"list_transform(generate_series(1, len(w) - {k - 1}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))"
+    content = "regexp_matches({}, '[\\p{{L}}\\p{{N}}]')".format
     return f"""
-WITH weights(g, v) AS (VALUES {weights}), notices(family, pairs) AS (VALUES {notices}),
-d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-l AS (SELECT r, generate_subscripts(x, 1) AS i, unnest(x) AS line FROM (SELECT r, string_split(text, chr(10)) AS x FROM d)),
-n AS (SELECT r, count(*) FILTER (WHERE regexp_matches(line, '[\\p{{L}}\\p{{N}}]')) AS n_paragraphs FROM l GROUP BY r),
-c AS (SELECT r, i, regexp_extract_all(lower(line), '[a-z0-9]+') AS w FROM l WHERE {trigger("lower(line)")}),
-f AS (SELECT r, i, unnest(list_distinct(list_concat(w, {run(2)}, {run(3)}))) AS g FROM c),
-s AS (SELECT r, i, k, sum(v[k]) AS z FROM f JOIN weights USING (g), generate_series(1, {len(CLASSES)}) AS t(k) GROUP BY ALL),
-a AS (SELECT c.r, c.i, t.k, coalesce(z, 0) + ({listed(map(str, m.bias))})[t.k] AS z FROM c CROSS JOIN generate_series(1, {len(CLASSES)}) AS t(k) LEFT JOIN s ON s.r = c.r AND s.i = c.i AND s.k = t.k),
-b AS (SELECT r, i, arg_max(k, z) AS k, 1 / sum(exp(z - top)) AS p FROM (SELECT *, max(z) OVER (PARTITION BY r, i) AS top FROM a) GROUP BY r, i),
-e AS (SELECT b.r, b.i, ({listed(map(text, CLASSES))})[b.k] AS family, p, list_distinct({run(2)}) AS own FROM b JOIN c ON b.r = c.r AND b.i = c.i),
-h AS (SELECT e.r, e.i, e.family, p, coalesce(max(len(list_intersect(own, pairs)) / greatest(least(len(own), len(pairs)), 1)), 0) AS shared FROM e LEFT JOIN notices USING (family) GROUP BY ALL),
-o AS (SELECT r, count(*) AS n_candidates, count(*) FILTER (WHERE sure) AS n_licences, string_agg(DISTINCT family, ',' ORDER BY family) FILTER (WHERE sure) AS families
-      FROM (SELECT *, family <> '{UNKNOWN}' AND p >= {m.limit} AND shared >= {SHARED} AS sure FROM h) GROUP BY r)
-SELECT doc_id, CAST(n_paragraphs AS BIGINT) AS n_paragraphs, CAST(coalesce(n_candidates, 0) AS BIGINT) AS n_candidates, CAST(coalesce(n_licences, 0) AS BIGINT) AS n_licences,
-       CAST(coalesce(n_candidates, 0) - coalesce(n_licences, 0) AS BIGINT) AS n_unknown, coalesce(families, '') AS families
-FROM d LEFT JOIN n USING (r) LEFT JOIN o USING (r)
+WITH weights(g, v) AS (VALUES {weights}), notices(family, pairs) AS (VALUES {notices}), named(name, family) AS (VALUES {named}),
+d AS (SELECT row_number() OVER () AS r, doc_id, lower(coalesce(text, '')) AS text FROM documents),
+q AS (SELECT r, b, list_filter(string_split(block, chr(10)), lambda x: {content("x")}) AS ls
+      FROM (SELECT r, generate_subscripts(x, 1) AS b, unnest(x) AS block FROM (SELECT r, string_split_regex(text, '{BLANK}') AS x FROM d)) WHERE {content("block")}),
+u AS (SELECT row_number() OVER () AS i, r, b, k, array_to_string(ls[j:j + k - 1], ' ') AS line
+      FROM (SELECT r, b, ls, k, unnest(generate_series(1, len(ls) - k + 1)) AS j FROM q, generate_series(1, {WRAP}) AS t(k))),
+c AS (SELECT i, regexp_extract_all(line, '[a-z0-9]+') AS w FROM u),
+f AS (SELECT i, unnest(list_distinct(list_concat(w, {run(2)}, {run(3)}))) AS g FROM c),
+s AS (SELECT i, k, sum(v[k]) AS z FROM f JOIN weights USING (g), generate_series(1, {len(CLASSES)}) AS t(k) GROUP BY ALL),
+a AS (SELECT s.i, t.k, coalesce(z, 0) + ({listed(map(str, m.bias))})[t.k] AS z FROM (SELECT DISTINCT i FROM s) AS s CROSS JOIN generate_series(1, {len(CLASSES)}) AS t(k) LEFT JOIN s AS z ON s.i = z.i AND z.k = t.k),
+b AS (SELECT i, arg_max(k, z) AS k, 1 / sum(exp(z - top)) AS p FROM (SELECT *, max(z) OVER (PARTITION BY i) AS top FROM a) GROUP BY i),
+e AS (SELECT b.i, ({listed(map(text, CLASSES))})[b.k] AS family, p, list_distinct({run(2)}) AS own FROM b JOIN c USING (i) WHERE p >= {m.limit}),
+h AS (SELECT DISTINCT i, family FROM e JOIN notices USING (family) WHERE len(list_intersect(own, pairs)) / len(pairs) >= {SHARED}),
+o AS (SELECT r, b, family FROM h JOIN u USING (i) UNION
+      SELECT r, b, family FROM u JOIN named ON k = 1 AND name = rtrim(regexp_extract(line, '{IDENTIFIER}', 1), '.')),
+n AS (SELECT r, count(*) AS n_paragraphs FROM q GROUP BY r),
+x AS (SELECT r, count(*) AS n_licences, count(DISTINCT b) AS n_known, string_agg(DISTINCT family, ',' ORDER BY family) AS families FROM o GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_paragraphs, 0) AS BIGINT) AS n_paragraphs, CAST(coalesce(n_licences, 0) AS BIGINT) AS n_licences,
+       CAST(coalesce(n_paragraphs, 0) - coalesce(n_known, 0) AS BIGINT) AS n_unknown, coalesce(families, '') AS families
+FROM d LEFT JOIN n USING (r) LEFT JOIN x USING (r)
 """
