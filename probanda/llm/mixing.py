@@ -81,7 +81,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     same = ["source", "source_size", "target"]
     parts = [rows.where(~open_row).select(*same, "doc_id", "size", F.col("base").alias("copies"))]
     blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    level_rows = rows.where(open_row).select(*same, "doc_id", "size", "p", "base", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), blocks).alias("block"))
+    # Rows alike in id and size are counted and numbered, so that they part into blocks as well.
+    alike = rows.where(open_row).groupBy(*same, "n", "doc_id", "size", "p", "base").agg(F.count(F.lit(1)).alias("_c")).withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), "_c")))
+    level_rows = alike.select(*same, "doc_id", "size", "p", "base", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "_nth"), blocks).alias("block"))
     n_blocks, level = -(-(most or 0) // BLOCK), 0
     while True:
         items = F.reverse(F.array_sort(F.collect_list(F.struct("size", "doc_id", "p", "base")))).alias("items")

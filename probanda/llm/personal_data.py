@@ -15,6 +15,7 @@ Null and empty texts have no spans. Offsets are code points, ends exclusive.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -76,6 +77,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 TRIGGER = re.compile(r"[0-9@][0-9]*")
+SPACE = re.compile(r"\s")
 #: Address words stand for the signs; a plain "at" does beside a dotted host.
 WORDS = re.compile(r"\(\s?at\s?\)|\[\s?at\s?\]|\sdot\s|[(\[]dot[)\]]|\sat\s(?=[^\W_][\w-]*\.[^\W_])", re.IGNORECASE)
 CUES = {"email": ("mail", "email", "contact", "write"), "ip": ("ip", "host", "server", "address"), "card": ("card", "visa", "pay", "credit"), "phone": ("phone", "tel", "call", "mobile", "fax", "ring")}
@@ -239,33 +241,37 @@ def learnt_weights(n: int = SENTENCES, rounds: int = ROUNDS) -> dict[str, float]
 
 
 def windows(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches of text around triggers, between white space; no entity can lie outside."""
+    """Stretches of text around triggers that begin and end at white space; no entity can lie outside. Those that touch are one."""
     places = [m.span() for m in TRIGGER.finditer(text)]
     places += [m.span() for m in WORDS.finditer(text)]
-    last = None
+    first, last = -1, -1
     for start, end in sorted(places):
         a, b = max(0, start - 80), min(len(text), end + 80)
-        if last is not None and a <= last[1]:
-            last = (last[0], b)
+        if b <= last:
+            continue
+        space = SPACE.search(text, b)
+        b = space.start() if space else len(text)
+        while a > last and a > 0 and not text[a - 1].isspace():
+            a -= 1
+        if a <= last:
+            last = b
         else:
-            if last is not None:
-                yield last
-            last = (a, b)
-    if last is not None:
-        yield last
+            if last >= 0:
+                yield first, last
+            first, last = a, b
+    if last >= 0:
+        yield first, last
 
 
 def added_spans(text: str, field: Field, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans of the field that touch no base span; its window ends at whole tokens."""
-    out = []
+    """Spans of the field that touch no base span."""
+    out, edges = [], sorted((x, y) for _, x, y in base)
+    starts, longest = [x for x, _ in edges], max((y - x for x, y in edges), default=0)
     for a, b in windows(text):
-        while a > 0 and not text[a - 1].isspace() and a % 4096:
-            a -= 1
-        while b < len(text) and not text[b].isspace() and b % 4096:
-            b += 1
         tokens = [m.span() for m in TOKEN.finditer(text, a, b)]
         for kind, s, e in field.best(text, tokens):
-            if all(e <= x or s >= y for _, x, y in base):
+            near = edges[bisect.bisect_left(starts, s - longest) : bisect.bisect_left(starts, e)]
+            if all(e <= x or s >= y for x, y in near):
                 out.append((kind, s, e))
     return out
 

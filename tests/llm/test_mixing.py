@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from probanda.llm import mixing as m
 
 from .conftest import edge_rows
@@ -41,11 +43,26 @@ def test_targets_and_sums(spark, nothing):
 
 
 def test_rounding_is_fair(spark):
-    """Over seeds, a document's mean number of copies is its rate."""
-    docs = spark.createDataFrame([(i, "w " * (1 + i % 4), f"s{i % 2}") for i in range(24)], "doc_id long, text string, source string")
-    runs = [{r["doc_id"]: (r["copies"], r["target"] / r["source_size"]) for r in m.mix(docs, seed=s).collect()} for s in range(3)]
-    mean = sum(c for run in runs for c, _ in run.values()) / sum(rate for run in runs for _, rate in run.values())
-    assert 0.9 < mean < 1.1
+    """Over seeds, every document's mean number of copies is its rate, and it takes each of two neighbouring numbers."""
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 3), f"s{i % 2}") for i in range(12)], "doc_id long, text string, source string")
+    rows = m.mix(docs, seed=0).select("doc_id", (F.col("target") / F.col("source_size")).alias("rate")).collect()
+    rate = {r["doc_id"]: r["rate"] for r in rows}
+    # The fold alone, with many seeds side by side: blocks as mix deals them, a level of one block a source.
+    items = spark.createDataFrame([(i % 2, 1 + i % 3, i, rate[i] % 1, int(rate[i])) for i in range(12)], "source int, size long, doc_id long, p double, base int")
+    seeds = spark.range(400).withColumnRenamed("id", "seed")
+    folded = items.crossJoin(seeds).groupBy("seed", "source").agg(F.reverse(F.array_sort(F.collect_list(F.struct("size", "doc_id", "p", "base")))).alias("items")).select("seed", "source", F.expr(m.FOLD.format(seed="seed", level=0)).alias("f"))
+    done = folded.select("source", F.explode("f.done").alias("d")).select("source", "d.doc_id", "d.copies")
+    left = folded.where("f.open is not null").select("source", "f.open.doc_id", (F.col("f.open.base") + F.col("f.open.p")).alias("copies"))
+    for r in done.union(left).groupBy("doc_id").agg(F.avg("copies").alias("mean"), F.count("*").alias("n"), F.min("copies").alias("low"), F.max("copies").alias("high")).collect():
+        p = rate[r["doc_id"]] % 1
+        assert r["n"] == 400 and abs(r["mean"] - rate[r["doc_id"]]) < 4 * (p * (1 - p) / 400) ** 0.5 + 1e-9
+        assert r["high"] - r["low"] <= 1 and (r["low"] < r["high"] or p < 1e-9)
+
+
+def test_repeated_rows_part_into_blocks(spark):
+    docs = spark.createDataFrame([(7, "a b c", "s0")] * 3000 + [(None, "x y", "s1")] * 2000 + [(i, "q " * (i % 9), "s2") for i in range(400)], "doc_id long, text string, source string")
+    out = m.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.count("*").alias("n")).collect()
+    assert sorted(r["n"] for r in out) == [400, 2000, 3000] and all(abs(r["taken"] - r["target"]) <= 9 for r in out)
 
 
 def test_edges(edges):

@@ -73,3 +73,20 @@ def test_each_address_form_is_found_whole():
                     e = form.format(a, b, c)
                     found.append(("email", len(before), len(before) + len(e)) in p.personal_spans(f"{before}{e} for more words here", field)[1])
         assert sum(found) / len(found) > 0.9, form
+
+
+def test_spans_do_not_depend_on_their_place():
+    field = p.Field(p.learnt_weights())
+    tail = " write to jo.do (at) mail (dot) com, or call (743) 555-3824; " + "q" * 300 + ",(743) 555-3824,x"
+    want = [(k, s, e) for k, s, e in p.personal_spans(tail, field)[1]]
+    assert len(want) >= 2
+    for k in (1, 79, 80, 81, *range(4000, 4110, 3), 8190):
+        for pad in ("z" * k, "z " * (k // 2)):
+            assert p.personal_spans(pad + tail, field)[1] == [(kind, s + len(pad), e + len(pad)) for kind, s, e in want]
+
+
+def test_windows_of_long_runs_are_apart():
+    text = ("7" + "x" * 500) * 2000 + " " + "y " * 300 + "a@b" + " z" * 100
+    found = list(p.windows(text))
+    assert found[0] == (0, text.index(" ")) or found[0][1] >= text.index(" ")
+    assert all(x[1] < y[0] for x, y in zip(found, found[1:], strict=False)) and found[-1][0] < text.index("@") < found[-1][1]
