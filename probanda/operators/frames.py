@@ -72,13 +72,13 @@ def temporal_energy(frames: DataFrame, group: list[str]) -> DataFrame:
     return d.groupBy(*group).agg(F.var_pop("_d").alias("delta_variance"), (F.avg(F.col("_s") * F.col("_s")) / 4).alias("second_energy"))
 
 
-def warm_up(frames: DataFrame, group: list[str], window: int = 5) -> DataFrame:
-    """Over the last two windows: relative change of means, population CV and normalised slope of the last."""
+def warm_up(frames: DataFrame, group: list[str], window: int = 16, mean: float = 0.02, cv: float = 0.03, slope: float = 0.001) -> DataFrame:
+    """Of the last two windows: absolute change of their means by the larger, and population CV and slope by frame, by the mean, of both together; converged where none is beyond its limit. Groups with fewer frames are left out."""
     back = frames.withColumn("_b", F.row_number().over(Window.partitionBy(*group).orderBy(F.col("index").desc()))).where(F.col("_b") <= 2 * window)
     last, first = F.when(F.col("_b") <= window, F.col("value")), F.when(F.col("_b") > window, F.col("value"))
-    out = back.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg(first).alias("_f"), F.avg(last).alias("_l"), F.stddev_pop(last).alias("_s"), F.regr_slope(last, -F.col("_b")).alias("_k"))
-    out = out.where(F.col("n") == 2 * window)
-    return out.select(*group, ((F.col("_l") - F.col("_f")) / F.col("_f")).alias("mean_change"), (F.col("_s") / F.col("_l")).alias("cv"), (F.col("_k") / F.col("_l")).alias("slope"))
+    out = back.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.avg(first).alias("_f"), F.avg(last).alias("_l"), (F.stddev_pop("value") / F.avg("value")).alias("cv"), (F.regr_slope("value", -F.col("_b")) / F.avg("value")).alias("slope"))
+    out = out.where(F.col("_n") == 2 * window).withColumn("mean_change", F.abs(F.col("_l") - F.col("_f")) / F.greatest("_f", "_l"))
+    return out.select(*group, "mean_change", "cv", "slope", ((F.col("mean_change") <= mean) & (F.col("cv") <= cv) & (F.abs("slope") <= slope)).alias("converged"))
 
 
 def motion(frames: DataFrame, group: list[str]) -> DataFrame:

@@ -63,22 +63,24 @@ def by_position(left: DataFrame, right: DataFrame, group: list[str], order: str,
 
 
 def manual(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Listed (i, j) pairs of places, in order `ord`; a pair is refused if an earlier listed pair used either side.
+    """Listed (i, j) pairs of places, in order `ord`, both of which exist. A pair is accepted if it is the first to name its i, and of such pairs the first to name its j: a pair refused for its i leaves its j free."""
+    ok = pairs.join(left.toDF("i", "left"), "i").join(right.toDF("j", "right"), "j")
+    for side in ("i", "j"):
+        ok = ok.withColumn("_n", F.row_number().over(Window.partitionBy(side).orderBy("ord"))).where("_n = 1").drop("_n")
+    return ok
 
-    A side that an earlier pair names counts as used, so refusal needs only
-    the first mention of each side."""
-    first = lambda c: F.min("ord").over(Window.partitionBy(c))
-    ok = pairs.withColumn("_i", first("i")).withColumn("_j", first("j")).where((F.col("_i") == F.col("ord")) & (F.col("_j") == F.col("ord"))).drop("_i", "_j")
-    return ok.join(left.toDF("i", "left"), "i").join(right.toDF("j", "right"), "j")
 
+def run_summary(entries: DataFrame, performance: DataFrame) -> DataFrame:
+    """By run: counts of identical, changed, errors; worst entry by mean; mismatched when twice the matches fall short of the smaller side; and a flag.
 
-def run_summary(entries: DataFrame) -> DataFrame:
-    """By run: counts of identical, changed, errors; worst entry by mean; mismatched when twice the matches fall short of the smaller side."""
+    performance: (run, qualified, complete, moved), a run without a row is unqualified. Identical images
+    are NO-EFFECT if a qualified, complete comparison moved nothing and PERF-ONLY if a qualified one moved
+    something; IMAGE-CHANGE needs entries on both sides and no error; all else is INCONCLUSIVE."""
     worst = F.max_by("name", F.struct(F.col("mean"), F.col("name")))
-    out = entries.groupBy("run").agg(
-        F.count_if(F.col("kind") == "identical").alias("identical"), F.count_if(F.col("kind") == "changed").alias("changed"),
-        F.count_if(F.col("kind") == "only_ref").alias("only_ref"), F.count_if(F.col("kind") == "only_run").alias("only_run"),
-        F.max("mean").alias("worst_mean"), worst.alias("worst"))
-    matched = F.col("identical") + F.col("changed")
-    flag = F.when(F.col("changed") > 0, "IMAGE-CHANGE").when(matched == 0, "INCONCLUSIVE").otherwise("NO-EFFECT")
-    return out.withColumn("mismatch", 2 * matched < F.least(matched + F.col("only_ref"), matched + F.col("only_run"))).withColumn("flag", flag)
+    kinds = ("identical", "changed", "error", "only_ref", "only_run")
+    out = entries.groupBy("run").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds], F.max("mean").alias("worst_mean"), worst.alias("worst")).join(performance, "run", "left")
+    matched, whole = F.col("identical") + F.col("changed"), F.col("error") + F.col("only_ref") + F.col("only_run") == 0
+    same = whole & (F.col("identical") > 0) & (F.col("changed") == 0)
+    says = lambda c: F.coalesce(F.col(c), F.lit(False))
+    flag = F.when(same & says("qualified") & says("complete") & ~says("moved"), "NO-EFFECT").when(same & says("qualified") & says("moved"), "PERF-ONLY").when(whole & (F.col("changed") > 0), "IMAGE-CHANGE").otherwise("INCONCLUSIVE")
+    return out.withColumn("mismatch", 2 * matched < F.least(matched + F.col("only_ref"), matched + F.col("only_run"))).withColumn("flag", flag).drop("qualified", "complete", "moved")

@@ -2,33 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import cosine, hamming
+from ..functions.scalars import hamming
 from .components import components
 
-#: Query vectors up to this many are broadcast; more are dealt in blocks.
-SMALL = 100_000
+#: Query vectors that meet the index in one pass.
+BLOCK = 4096
+
+
+def _cuts(radius: int) -> list[tuple[int, int]]:
+    """radius + 1 disjoint bands of 64 bits; codes within the radius agree on one of them."""
+    cuts = [round(i * 64 / (radius + 1)) for i in range(radius + 2)]
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
+def _band(code: Column, a: int, b: int) -> Column:
+    return F.shiftrightunsigned(code, a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1))
 
 
 def code_bands(codes: DataFrame, radius: int, key: str = "id") -> DataFrame:
-    """(band, bits, key, code): radius + 1 disjoint bands of a 64-bit code; codes within the radius agree on one of them."""
-    n = radius + 1
-    cuts = [round(i * 64 / n) for i in range(n + 1)]
-    band = lambda a, b: F.shiftrightunsigned("code", a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1))
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), band(a, b).alias("bits")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+    """(band, bits, key, code) for each band of a 64-bit code."""
+    bands = F.array(*[F.struct(F.lit(i).alias("band"), _band(F.col("code"), a, b).alias("bits")) for i, (a, b) in enumerate(_cuts(radius))])
     return codes.select(key, "code", F.explode(bands).alias("_b")).select("_b.band", "_b.bits", key, "code")
 
 
+def _first_band(difference: Column, radius: int) -> Column:
+    """The first band without a differing bit: pairs that meet in several bands count in that one alone."""
+    return F.coalesce(*[F.when(_band(difference, a, b) == 0, i) for i, (a, b) in enumerate(_cuts(radius))])
+
+
 def hamming_pairs(codes: DataFrame, radius: int) -> DataFrame:
-    """All pairs a < b within the radius (inclusive), exact; equal codes are first one code with its least id."""
+    """All pairs a < b within the radius (inclusive), exact; equal codes are first one code with its least id. Meant for radii small against 64 bits, whose bands are wide."""
     one = codes.groupBy("code").agg(F.min("id").alias("id"))
     left = code_bands(one, radius)
     right = left.select("band", "bits", F.col("id").alias("b"), F.col("code").alias("_c"))
-    near = left.withColumnRenamed("id", "a").join(right, ["band", "bits"]).where("a < b")
-    near = near.withColumn("distance", hamming(F.col("code"), F.col("_c"))).where(F.col("distance") <= radius).select("a", "b", "distance").distinct()
+    near = left.withColumnRenamed("id", "a").join(right, ["band", "bits"]).where("a < b").withColumn("_x", F.col("code").bitwiseXOR(F.col("_c")))
+    near = near.withColumn("distance", F.bit_count("_x")).where((F.col("distance") <= radius) & (F.col("band") == _first_band(F.col("_x"), radius))).select("a", "b", "distance")
     same = codes.join(one.withColumnRenamed("id", "a"), "code").where("id > a").select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
     return near.union(same)
 
@@ -46,16 +62,51 @@ def clusters(codes: DataFrame, radius: int) -> DataFrame:
     return codes.select("id").join(c, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+def _top_k(ids: np.ndarray, queries: np.ndarray, k: int):
+    """The k best rows of every batch for each query, queries being unit vectors; vectors without length match nothing."""
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = batch["id"].to_numpy()
+            v = np.array(batch["vector"].tolist(), np.float64) if len(batch) else np.zeros((0, queries.shape[1]))
+            norms = np.sqrt((v * v).sum(1))
+            rows, v = rows[norms > 0], v[norms > 0] / norms[norms > 0][:, None]
+            if not len(rows):
+                continue
+            scores = np.round(np.clip(queries @ v.T, -1, 1), 9)
+            # All that reach the k-th best score stay until ties are ordered by id.
+            limit = np.partition(scores, -min(k, len(rows)), axis=1)[:, -min(k, len(rows))]
+            q, i = np.nonzero(scores >= limit[:, None])
+            order = np.lexsort((rows[i], -scores[q, i], q))
+            q, i = q[order], i[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            yield pd.DataFrame({"query": ids[q], "id": rows[i], "cosine": scores[q, i]})[place < k]
+
+    return best
+
+
 def cosine_top_k(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """The k nearest of every query, exact, ties by id. A stated set of queries meets all vectors: queries go to the scan (by broadcast where few), each block of the index keeps its k best, then the blocks' best are ranked."""
+    """The k nearest of every query, exact, ties by id. A stated set of queries meets all vectors, BLOCK queries at a time (which go to the tasks): each batch of the index keeps its k best for every query, then the batches' best are ranked. Vectors without length match nothing."""
     n = queries.count()
-    q = queries.select(F.col("id").alias("query"), F.col("vector").alias("_q"))
-    if n > SMALL:
-        raise ValueError(f"{n} queries; at most {SMALL} are matched in one pass")
-    scored = index.crossJoin(F.broadcast(q)).select("query", "id", F.round(cosine(F.col("_q"), F.col("vector")), 9).alias("cosine"), F.pmod(F.xxhash64("id"), F.lit(64)).alias("_block"))
+    block = F.floor((F.row_number().over(Window.orderBy("id")) - 1) / BLOCK) if n > BLOCK else F.lit(0)
+    q, found = queries.select("id", "vector").withColumn("_block", block), None
+    for i in range(-(-n // BLOCK)):
+        rows = q.where(F.col("_block") == i).select("id", "vector").collect()
+        v = np.array([r["vector"] for r in rows], np.float64)
+        norms = np.sqrt((v * v).sum(1))
+        ids = np.array([r["id"] for r in rows], np.int64)[norms > 0]
+        hits = index.select(F.col("id").cast("long").alias("id"), "vector").mapInPandas(_top_k(ids, v[norms > 0] / norms[norms > 0][:, None], k), "query long, id long, cosine double")
+        found = hits if found is None else found.union(hits)
+    if found is None:
+        found = queries.limit(0).select(F.col("id").cast("long").alias("query"), F.col("id").cast("long").alias("id"), F.lit(0.0).alias("cosine"))
     order = [F.col("cosine").desc(), F.col("id")]
-    best = scored.withColumn("_n", F.row_number().over(Window.partitionBy("query", "_block").orderBy(*order))).where(F.col("_n") <= k)
-    return best.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("place") <= k).select("query", "id", "cosine", "place")
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("place") <= k)
+
+
+def content_pairs(items: DataFrame) -> DataFrame:
+    """Equal content as (a, b): the least id of each digest with every other, so that n copies give n - 1 pairs."""
+    first = items.groupBy("digest").agg(F.min("id").alias("a"))
+    return items.join(first, "digest").where("id > a").select("a", F.col("id").alias("b"))
 
 
 def cross_split(pairs: DataFrame, splits: DataFrame) -> DataFrame:

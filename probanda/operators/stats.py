@@ -11,19 +11,64 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
+from ..sources.tables import written
+from .components import components
+from .running import running_sums
+
+
+#: Groups of up to this many pairs of values are measured by listing them; larger ones by bisection.
+LISTED, HALVINGS = 100_000, 64
+
+
+def _selected(left: DataFrame, right: DataFrame, group: list[str], sign: float, triangle: bool) -> DataFrame:
+    """By group of large samples: the median of all x + sign * y (of x + y over i <= j if `triangle`), by bisection on the value. In a step each x counts the y below a bound by its place among them: n log n rows' work a step, no pairs."""
+
+    def median(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        a, b = np.sort(x["v"].to_numpy(float)), np.sort(sign * y["v"].to_numpy(float))
+        own = np.arange(len(a)) if triangle else 0
+        total = len(a) * (len(a) + 1) // 2 if triangle else len(a) * len(b)
+
+        def below(t: float) -> int:  # sums up to t
+            count = np.searchsorted(b, t - a, side="right")
+            return int(np.maximum(count - own, 0).sum())
+
+        def kth(k: int) -> float:
+            low, high = a[0] + b[0], a[-1] + b[-1]
+            for _ in range(HALVINGS):
+                mid = low + (high - low) / 2
+                low, high = (low, mid) if below(mid) >= k else (mid, high)
+            return high
+
+        return pd.DataFrame([[*key, (kth((total + 1) // 2) + kth(total // 2 + 1)) / 2]], columns=[*group, "m"])
+
+    kinds = dict(left.dtypes)
+    shape = ", ".join(f"`{g}` {kinds[g]}" for g in group) + ", m double"
+    apart = right.select(*[F.col(c).alias(c) for c in right.columns])  # so that a sample can meet itself
+    return left.groupBy(*group).cogroup(apart.groupBy(*group)).applyInPandas(median, shape)
+
 
 def hodges_lehmann(values: DataFrame, group: list[str], value: str = "value") -> DataFrame:
-    """Median of the averages of all pairs i <= j of each group, as a join of the group with itself."""
-    w = Window.partitionBy(*group).orderBy(value)
-    n = values.withColumn("_i", F.row_number().over(w))
-    right = n.select(*group, F.col(value).alias("_v"), F.col("_i").alias("_j"))
-    return n.join(right, group).where("_i <= _j").groupBy(*group).agg(F.percentile(F.col(value) * 0.5 + F.col("_v") * 0.5, F.lit(0.5)).alias("hl"), F.max("_i").alias("n"))
+    """Median of the averages of all pairs i <= j of each group: of a small group as a join with itself, of a large one by bisection."""
+    v = values.select(*group, F.col(value).alias("v")).where("v is not null")
+    n = v.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    small = F.col("n") * F.col("n") <= LISTED
+    numbered = v.join(n.where(small), group).withColumn("_i", F.row_number().over(Window.partitionBy(*group).orderBy("v")))
+    right = numbered.select(*group, F.col("v").alias("_v"), F.col("_i").alias("_j"))
+    listed = numbered.join(right, group).where("_i <= _j").groupBy(*group).agg(F.percentile(F.col("v") * 0.5 + F.col("_v") * 0.5, F.lit(0.5)).alias("hl"))
+    large = v.join(n.where(~small), group)
+    measured = _selected(large, large, group, 1.0, True).select(*group, (F.col("m") / 2).alias("hl"))
+    return listed.union(measured).join(n.withColumn("n", F.col("n").cast("int")), group)
 
 
 def shift(left: DataFrame, right: DataFrame, group: list[str], value: str = "value") -> DataFrame:
-    """Median of all differences between two samples of a group."""
-    both = left.select(*group, F.col(value).alias("_x")).join(right.select(*group, F.col(value).alias("_y")), group)
-    return both.groupBy(*group).agg(F.percentile(F.col("_x") - F.col("_y"), F.lit(0.5)).alias("shift"))
+    """Median of all differences x - y between two samples of a group, the pairs listed in small groups only."""
+    x, y = (df.select(*group, F.col(value).alias("v")).where("v is not null") for df in (left, right))
+    n = x.groupBy(*group).count().withColumnRenamed("count", "_n").join(y.groupBy(*group).count().withColumnRenamed("count", "_m"), group)
+    small = F.col("_n") * F.col("_m") <= LISTED
+    few = n.where(small).select(*group)
+    listed = x.join(few, group).join(y.join(few, group).withColumnRenamed("v", "_y"), group).groupBy(*group).agg(F.percentile(F.col("v") - F.col("_y"), F.lit(0.5)).alias("shift"))
+    many = n.where(~small).select(*group)
+    return listed.union(_selected(x.join(many, group), y.join(many, group), group, -1.0, False).withColumnRenamed("m", "shift"))
 
 
 def split_mix(seed: int, n: int, size: int) -> np.ndarray:
@@ -128,14 +173,26 @@ def onsets(series: DataFrame, least: int = 5) -> DataFrame:
     return series.groupBy("identity").applyInPandas(detect, f"identity {kind}, last_before double, first_changed double, before_ms double, after_ms double, materiality double, status string")
 
 
-def bradley_terry(votes: DataFrame, prior: float = 0.1, rounds: int = 500) -> DataFrame:
-    """Log-strengths, centred on 0, of candidates from votes (i, j, score of i). Wins and games are summed by Spark; the fit sees one row a pair of candidates that met."""
+#: Rows of candidates and of pairs that met up to which a fit is one task's work; with more, every round is a join.
+SMALL_PANEL = 20_000
+
+
+def bradley_terry(votes: DataFrame, prior: float = 0.1, rounds: int = 500, small: int = SMALL_PANEL) -> DataFrame:
+    """candidate, strength (log, centred on 0), place, connected (whether all candidates are linked by votes) from votes (i, j, score of i). Every pair of candidates also has `prior` wins each way. A round sets each strength to its wins by the sum of games / (own + other's strength) over all others.
+
+    The votes are summed by Spark. Of a panel of up to `small` pairs and candidates squared the rounds run in one task; of a larger one each is a join of the pairs with the strengths, written to the shared folder, where the prior counts between those that met only (a full prior would have a row for every two candidates)."""
     v = votes.where("i <> j")
     both = v.select("i", "j", F.col("score").alias("s")).union(v.select("j", "i", 1 - F.col("score")))
-    pairs = both.groupBy("i", "j").agg(F.count(F.lit(1)).cast("double").alias("games"), F.sum("s").alias("wins"))
+    pairs = written(both.groupBy("i", "j").agg(F.count(F.lit(1)).cast("double").alias("games"), F.sum("s").alias("wins")), "pairs")
+    names = pairs.select(F.col("i").alias("candidate")).distinct()
+    parts = components(pairs.where("i < j").select(F.col("i").alias("a"), F.col("j").alias("b"))).agg(F.count_distinct("component")).first()[0]
+    n = names.count()
+    out = _panel(pairs, prior, rounds) if n * n <= small else _rounds(pairs, names, prior, rounds)
+    return out.withColumn("connected", F.lit(parts <= 1))
+
 
+def _panel(pairs: DataFrame, prior: float, rounds: int) -> DataFrame:
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        # One row a pair that met: candidates of one panel.
         names = np.unique(np.concatenate([rows["i"], rows["j"]]))
         n = len(names)
         games = np.full((n, n), 2 * prior)
@@ -151,9 +208,27 @@ def bradley_terry(votes: DataFrame, prior: float = 0.1, rounds: int = 500) -> Da
             if done:
                 break
         strength = np.log(p)
-        return pd.DataFrame({"panel": rows["panel"].iloc[0], "candidate": names, "strength": strength, "place": [1 + int((strength > s).sum()) for s in strength]})
-
-    return pairs.withColumn("panel", F.lit(0)).groupBy("panel").applyInPandas(fit, "panel int, candidate long, strength double, place int").drop("panel")
+        return pd.DataFrame({"candidate": names, "strength": strength, "place": [1 + int((strength > s).sum()) for s in strength]})
+
+    return pairs.withColumn("panel", F.lit(0)).groupBy("panel").applyInPandas(fit, "candidate long, strength double, place int")
+
+
+def _rounds(pairs: DataFrame, names: DataFrame, prior: float, rounds: int, close: float = 1e-6) -> DataFrame:
+    met = written(pairs.select("i", "j", (F.col("games") + 2 * prior).alias("games"), (F.col("wins") + prior).alias("wins")), "met")
+    wins = written(met.groupBy(F.col("i").alias("candidate")).agg(F.sum("wins").alias("wins")), "wins")
+    now = written(names.select("candidate", F.lit(0.0).alias("strength")), "strengths")
+    for _ in range(rounds):
+        side = lambda c, s: now.select(F.col("candidate").alias(c), F.col("strength").alias(s))  # noqa: E731, B023
+        sums = met.join(side("i", "a"), "i").join(side("j", "b"), "j").groupBy(F.col("i").alias("candidate")).agg(F.sum(F.col("games") / (F.exp("a") + F.exp("b"))).alias("_d"))
+        new = written(wins.join(sums, "candidate").join(now.withColumnRenamed("strength", "_old"), "candidate").select("candidate", F.log(F.col("wins") / F.col("_d")).alias("strength"), "_old"), "strengths")
+        mean = new.agg(F.avg("strength")).first()[0]
+        moved = new.agg(F.max(F.abs(F.col("strength") - mean - F.col("_old")))).first()[0]
+        now = new.select("candidate", (F.col("strength") - mean).alias("strength"))
+        if moved < close:
+            break
+    ranked = now.groupBy("strength").agg(F.count(F.lit(1)).alias("_n"))
+    below = running_sums(ranked, F.col("strength").desc(), ["_n"]).join(ranked.withColumnRenamed("_n", "_own"), "strength").select("strength", (1 + F.col("_n") - F.col("_own")).cast("int").alias("place"))
+    return now.join(below, "strength").select("candidate", "strength", "place")
 
 
 def isotonic(bins: DataFrame, group: list[str]) -> DataFrame:

@@ -36,13 +36,36 @@ def sample(rows: DataFrame, group: list[str], what: str, seed: str, n: int, tie:
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
+#: Passages that are looked up in each text directly; more go by a join on runs of words.
+FEW, FEW_BYTES = 64, 8 << 20
+
+
+def _direct(passages: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc_id) of passages that a text has, by looking for each of a block of at most FEW passages in every text."""
+    p = passages.withColumn("_block", F.floor((F.row_number().over(Window.orderBy("item_id")) - 1) / FEW))
+    n = p.agg(F.max("_block")).first()[0]
+    out = None
+    for i in range(-1 if n is None else n + 1):
+        hits = docs.join(F.broadcast(p.where(F.col("_block") == i).select("item_id", F.col("text").alias("_p"))), F.contains("text", F.col("_p"))).select("item_id", "doc_id")
+        out = hits if out is None else out.union(hits)
+    return out if out is not None else docs.limit(0).select(F.lit(None).cast(passages.schema["item_id"].dataType).alias("item_id"), "doc_id")
+
+
 def containing(passages: DataFrame, docs: DataFrame, words: int = 6) -> DataFrame:
-    """item_id and how many documents hold the passage word for word. Runs of words after the first, which a document must hold at a word's start, bring both sides together; the whole passage is then looked up."""
-    run = lambda w, i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(words)])
-    split = lambda t: F.split(t, r"[ \n]")
-    p = passages.withColumn("_w", split("text")).where(F.size("_w") > words + 1).select("item_id", F.col("text").alias("_p"), F.xxhash64(run(F.col("_w"), F.lit(1))).alias("_h"))
-    d = docs.select("doc_id", "text", split("text").alias("_w"))
-    d = d.withColumn("_h", F.explode(F.expr(f"array_distinct(transform(sequence(0, greatest(size(_w) - {words}, 0)), i -> xxhash64(concat_ws(' ', slice(_w, i + 1, {words})))))"))).select("doc_id", "_h")
-    hits = d.join(F.broadcast(p), "_h").select("doc_id", "item_id", "_p").distinct()
-    found = docs.select("doc_id", "text").join(hits, "doc_id").where(F.contains("text", F.col("_p")))
+    """item_id and how many documents hold the passage word for word; passages that none has are left out, null and empty ones too.
+
+    Few passages are looked for in each text. Of many, those long enough meet the texts by a run of words
+    after their first, which a document must hold at a word's start, and are then looked up whole; the short ones go block by block."""
+    p = passages.where("text <> ''").select("item_id", "text")
+    size = p.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    d = docs.select("doc_id", "text")
+    if size[0] <= FEW and size[1] <= FEW_BYTES:
+        found = _direct(p, d)
+    else:
+        split = lambda t: F.split(t, r"[ \n]")
+        long = F.size(split("text")) > words + 1
+        p_runs = p.where(long).select("item_id", F.col("text").alias("_p"), F.xxhash64(F.concat_ws(" ", F.slice(split("text"), 2, words))).alias("_h"))
+        d_runs = d.select("doc_id", split("text").alias("_w")).withColumn("_h", F.explode(F.expr(f"array_distinct(transform(sequence(0, greatest(size(_w) - {words}, 0)), i -> xxhash64(concat_ws(' ', slice(_w, i + 1, {words})))))"))).select("doc_id", "_h")
+        hits = d_runs.join(p_runs, "_h").select("doc_id", "item_id", "_p").distinct()
+        found = d.join(hits, "doc_id").where(F.contains("text", F.col("_p"))).select("item_id", "doc_id").union(_direct(p.where(~long), d))
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))

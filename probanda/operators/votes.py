@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .running import running_sums
+
 
 def reliability(predictions: DataFrame, bins: int = 10) -> DataFrame:
     """Equal-width bins of confidence, the last closed: n, mean confidence (unclamped), accuracy."""
@@ -19,10 +21,9 @@ def calibration_error(predictions: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def suggested_gate(predictions: DataFrame, target: float, support: int) -> DataFrame:
-    """Least confidence whose tail has the support and accuracy; null if none. Tails are sums over the distinct confidences."""
-    by = predictions.groupBy("confidence").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("correct").cast("long")).alias("good"))
-    w = Window.orderBy(F.col("confidence").desc())  # one row a distinct confidence
-    tail = by.withColumn("n", F.sum("n").over(w)).withColumn("good", F.sum("good").over(w))
+    """Least confidence whose tail has the support and accuracy; null if none. Tails are running sums over the distinct confidences, by ranges."""
+    by = predictions.groupBy("confidence").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("correct").cast("long")).alias("good")).where("confidence is not null")
+    tail = running_sums(by, F.col("confidence").desc(), ["n", "good"])
     return tail.agg(F.min(F.when((F.col("n") >= support) & (F.col("good") / F.col("n") >= target), F.col("confidence"))).alias("gate"))
 
 

@@ -124,13 +124,14 @@ def midpoint_threshold(spark, sf_dir):
 
 # --- coverage --------------------------------------------------------------
 
-CASES = "WITH e AS (SELECT n_nationkey || ':' || seg AS case_id, n_nationkey % 4 > 0 AS required FROM nation, (SELECT DISTINCT c_mktsegment AS seg FROM customer)), s AS (SELECT (c_nationkey + c_custkey % 2) || ':' || c_mktsegment AS case_id FROM customer WHERE c_custkey % 7 = 0), x AS (SELECT case_id, count(*) AS ne, bool_or(required) AS required FROM e GROUP BY 1), y AS (SELECT case_id, count(*) AS ns FROM s GROUP BY 1), r AS (SELECT case_id, coalesce(ne, 0) AS n_expected, coalesce(ns, 0) AS n_supplied, CASE WHEN ne IS NULL THEN 'unexpected' WHEN ne > 1 THEN 'duplicate_expected' WHEN ns > 1 THEN 'duplicate_supplied' WHEN ns IS NULL THEN CASE WHEN required THEN 'missing' ELSE 'missing_optional' END ELSE 'supplied' END AS outcome FROM x FULL JOIN y USING (case_id))"
+CASES = "WITH e AS (SELECT n_nationkey || ':' || seg AS case_id, n_nationkey % 4 > 0 AS required FROM nation, (SELECT DISTINCT c_mktsegment AS seg FROM customer)), g AS (SELECT list(DISTINCT c_mktsegment ORDER BY c_mktsegment) AS segs FROM customer), s AS (SELECT (s_nationkey + s_suppkey % 2) || ':' || segs[s_suppkey % 4 + 1] AS case_id FROM supplier, g), x AS (SELECT case_id, count(*) AS ne, bool_or(required) AS required FROM e GROUP BY 1), y AS (SELECT case_id, count(*) AS ns FROM s GROUP BY 1), r AS (SELECT case_id, coalesce(ne, 0) AS n_expected, coalesce(ns, 0) AS n_supplied, CASE WHEN ne IS NULL THEN 'unexpected' WHEN ne > 1 THEN 'duplicate_expected' WHEN ns > 1 THEN 'duplicate_supplied' WHEN ns IS NULL THEN CASE WHEN required THEN 'missing' ELSE 'missing_optional' END ELSE 'supplied' END AS outcome FROM x FULL JOIN y USING (case_id))"
 
 
 def reconciled(spark, sf_dir):
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     e = n.crossJoin(F.broadcast(c.select("c_mktsegment").distinct())).select(F.concat_ws(":", "n_nationkey", "c_mktsegment").alias("case_id"), (F.col("n_nationkey") % 4 > 0).alias("required"))
-    s = c.where("c_custkey % 7 = 0").select(F.concat_ws(":", F.col("c_nationkey") + F.col("c_custkey") % 2, "c_mktsegment").alias("case_id"))
+    segments = c.agg(F.array_sort(F.collect_set("c_mktsegment")).alias("segs"))  # one row of a few names
+    s = table(spark, sf_dir, "supplier").crossJoin(F.broadcast(segments)).select(F.concat_ws(":", F.col("s_nationkey") + F.col("s_suppkey") % 2, F.get("segs", (F.col("s_suppkey") % 4).cast("int"))).alias("case_id"))
     return coverage.reconcile(e, s)
 
 
@@ -151,14 +152,14 @@ def coverage_counts(spark, sf_dir):
     return coverage.by_axes(c, ["pri", "axis"])
 
 
-@query("WITH p AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_linenumber = 7), x AS (SELECT count(*) AS repeated_a FROM (SELECT a FROM p GROUP BY a HAVING count(*) > 1)), y AS (SELECT count(*) AS repeated_b FROM (SELECT b FROM p GROUP BY b HAVING count(*) > 1)) SELECT *, repeated_a = 0 AND repeated_b = 0 AS bijective FROM x, y")
+@query("WITH p AS (SELECT o_orderkey AS a, o_custkey AS b FROM orders), x AS (SELECT count(*) AS repeated_a FROM (SELECT a FROM p GROUP BY a HAVING count(*) > 1)), y AS (SELECT count(*) AS repeated_b FROM (SELECT b FROM p GROUP BY b HAVING count(*) > 1)) SELECT *, repeated_a = 0 AND repeated_b = 0 AS bijective FROM x, y")
 def page_correspondence(spark, sf_dir):
-    return coverage.correspondence(table(spark, sf_dir, "lineitem").where("l_linenumber = 7").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).distinct())
+    return coverage.correspondence(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), F.col("o_custkey").alias("b")))
 
 
 # --- similarity ------------------------------------------------------------
 
-RADIUS = 18
+RADIUS = 12
 #: A 64-bit code in two halves, as DuckDB's shifts stop at the sign.
 CODES = "WITH m AS (SELECT vec_id AS id, embedding AS v, list_avg(list_transform(embedding, lambda x: x::DOUBLE)) AS mean FROM embeddings), c AS (SELECT id, list_sum(list_transform(v[1:32], lambda x, i: CASE WHEN x::DOUBLE > mean THEN 2::BIGINT ** (32 - i) ELSE 0 END))::BIGINT AS hi, list_sum(list_transform(v[33:64], lambda x, i: CASE WHEN x::DOUBLE > mean THEN 2::BIGINT ** (32 - i) ELSE 0 END))::BIGINT AS lo FROM m), p AS (SELECT a.id AS a, b.id AS b, (bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)))::INT AS distance FROM c a JOIN c b ON a.id < b.id)"
 
@@ -251,11 +252,11 @@ def mask_summary(spark, sf_dir):
     return grids.mask_summary(masks(spark, sf_dir)).select(F.round("macro", 6).alias("macro"), F.round("micro", 6).alias("micro"), "missed")
 
 
-CELLS = "SELECT l_partkey % 256 AS x, l_suppkey AS y, l_linenumber AS run, round(avg(l_quantity), 3) AS v FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1, 2, 3"
+CELLS = "SELECT l_partkey % 256 AS x, l_suppkey AS y, 2 - l_linenumber % 2 AS run, round(avg(l_quantity), 3) AS v FROM lineitem GROUP BY 1, 2, 3"
 
 
 def cells(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").groupBy((F.col("l_partkey") % 256).alias("x"), F.col("l_suppkey").alias("y"), F.col("l_linenumber").alias("run")).agg(F.round(F.avg("l_quantity"), 3).alias("value"))
+    return table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 256).alias("x"), F.col("l_suppkey").alias("y"), (2 - F.col("l_linenumber") % 2).alias("run")).agg(F.round(F.avg("l_quantity"), 3).alias("value"))
 
 
 @query(f"WITH c AS ({CELLS}), j AS (SELECT CASE WHEN a.v > 3 THEN a.v END AS a, CASE WHEN b.v > 3 THEN b.v END AS b FROM c a JOIN c b USING (x, y) WHERE a.run = 1 AND b.run = 2) SELECT count(b - a) AS valid, count(*) FILTER (b - a <> 0) AS changed, count(*) FILTER (a IS NOT NULL AND b IS NULL) AS only_a, count(*) FILTER (a IS NULL AND b IS NOT NULL) AS only_b, count(*) FILTER (a IS NULL AND b IS NULL) AS neither, round(avg(b - a), 6) AS mean, round(avg(abs(b - a)), 6) AS mae, round(sqrt(avg((b - a) * (b - a))), 6) AS rmse, round(min(b - a), 6) AS least, round(max(b - a), 6) AS most FROM j")
@@ -281,21 +282,24 @@ def noise_decisions(spark, sf_dir):
     return grids.outside_envelope(r.where("run = 5").select("tile", (F.col("value") - 25).alias("value")), e)
 
 
-@query(f"WITH RECURSIVE g AS ({GRID}), h AS (SELECT y * 64 + x AS id, x, y FROM g WHERE label = 'N'), r AS (SELECT id, id AS reach, x, y FROM h UNION SELECT r.id, h.id, h.x, h.y FROM r JOIN h ON abs(h.x - r.x) <= 1 AND abs(h.y - r.y) <= 1 WHERE r.y < 9 AND h.y < 9) SELECT id, min(reach) AS component FROM r WHERE y < 9 GROUP BY id")
+@query()
 def pixel_components(spark, sf_dir):
-    h = grid(spark, sf_dir).where("label = 'N' and y < 9").select((F.col("y") * 64 + F.col("x")).alias("id"), "x", "y")
+    h = grid(spark, sf_dir).where("label = 'N'").select((F.col("y") * 64 + F.col("x")).alias("id"), "x", "y")
     c = components.components(grids.neighbours(h))
     return h.join(c, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 # --- intervals -------------------------------------------------------------
 
-CUES = "WITH o AS (SELECT o_custkey AS \"group\", o_orderkey AS k, o_orderpriority AS text, date_diff('day', DATE '1990-01-01', o_orderdate::DATE)::DOUBLE AS t FROM orders), c AS (SELECT \"group\", k AS cue, text, t AS start, t + 30 AS \"end\" FROM o WHERE k % 2 = 0), b AS (SELECT \"group\", k AS obs, text, t FROM o WHERE k % 2 = 1), n AS (SELECT b.\"group\", obs, cue, t >= start AND t < \"end\" AS inside, CASE WHEN t >= start AND t < \"end\" THEN 0 WHEN t < start THEN start - t ELSE t - \"end\" END AS away FROM b JOIN c ON b.\"group\" = c.\"group\" AND b.text = c.text), r AS (SELECT * FROM n WHERE away <= 60 QUALIFY dense_rank() OVER (PARTITION BY \"group\", obs ORDER BY inside DESC, away) = 1), g AS (SELECT \"group\", obs, count(*) AS n, min(cue) AS cue, bool_or(inside) AS inside FROM r GROUP BY 1, 2), a AS (SELECT b.\"group\", b.obs, CASE WHEN n = 1 THEN cue END AS cue, coalesce(n > 1, false) AS ambiguous, CASE WHEN n = 1 THEN inside END AS active FROM b LEFT JOIN g ON b.\"group\" = g.\"group\" AND b.obs = g.obs)"
+CUES = "WITH o AS (SELECT o_custkey AS \"group\", o_orderkey AS k, o_orderpriority AS text, date_diff('day', DATE '1990-01-01', o_orderdate::DATE)::DOUBLE AS t, o_totalprice AS price, o_custkey % 2 = 0 AS dense FROM orders), c AS (SELECT \"group\", k AS cue, text, t AS start, t + 30 AS \"end\" FROM o WHERE k % 2 = 0), b AS (SELECT \"group\", k AS obs, CASE WHEN k % 13 = 0 THEN NULL WHEN k % 11 = 0 THEN '' ELSE text END AS text, t, CASE WHEN price > 300000 THEN false WHEN price > 20000 THEN true END AS legible FROM o WHERE k % 2 = 1 UNION ALL SELECT \"group\", -k * 5 - floor(d / 10)::BIGINT, CASE WHEN price > 200000 THEN 'other' WHEN price > 150000 THEN '' ELSE text END, t + d, true FROM o, (VALUES (3.5), (13.5), (23.5)) AS s(d) WHERE dense AND k % 2 = 0), n AS (SELECT b.\"group\", obs, cue, t >= start AND t < \"end\" AS inside, CASE WHEN t >= start AND t < \"end\" THEN 0 WHEN t < start THEN start - t ELSE t - \"end\" END AS away, t >= \"end\" AS past FROM b JOIN c ON b.\"group\" = c.\"group\" AND b.text = c.text), r AS (SELECT * FROM n WHERE away < 60 OR away = 60 AND NOT past QUALIFY dense_rank() OVER (PARTITION BY \"group\", obs ORDER BY inside DESC, away) = 1), g AS (SELECT \"group\", obs, count(*) AS n, min(cue) AS cue, bool_or(inside) AS inside FROM r GROUP BY 1, 2), a AS (SELECT b.\"group\", b.obs, CASE WHEN n = 1 THEN cue END AS cue, coalesce(n > 1, false) AS ambiguous, CASE WHEN n = 1 THEN inside END AS active FROM b LEFT JOIN g ON b.\"group\" = g.\"group\" AND b.obs = g.obs)"
 
 
 def cues(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("group"), F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("text"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date")).cast("double").alias("t"))
-    return o.where("k % 2 = 0").select("group", F.col("k").alias("cue"), "text", F.col("t").alias("start"), (F.col("t") + 30).alias("end")), o.where("k % 2 = 1").select("group", F.col("k").alias("obs"), "text", "t")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("group"), F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("text"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date")).cast("double").alias("t"), F.col("o_totalprice").alias("price"), (F.col("o_custkey") % 2 == 0).alias("dense"))
+    lines = o.where("k % 2 = 1").select("group", F.col("k").alias("obs"), F.expr("case when k % 13 = 0 then null when k % 11 = 0 then '' else text end").alias("text"), "t", F.expr("case when price > 300000 then false when price > 20000 then true end").alias("legible"))
+    more = o.where("dense and k % 2 = 0").withColumn("d", F.explode(F.array(F.lit(3.5), F.lit(13.5), F.lit(23.5))))
+    more = more.select("group", (-F.col("k") * 5 - F.floor(F.col("d") / 10)).alias("obs"), F.expr("case when price > 200000 then 'other' when price > 150000 then '' else text end").alias("text"), (F.col("t") + F.col("d")).alias("t"), F.lit(True).alias("legible"))
+    return o.where("k % 2 = 0").select("group", F.col("k").alias("cue"), "text", F.col("t").alias("start"), (F.col("t") + 30).alias("end")), lines.union(more)
 
 
 @query(CUES + " SELECT * FROM a")
@@ -303,10 +307,10 @@ def nearest_cues(spark, sf_dir):
     return intervals.assign(*cues(spark, sf_dir), 60.0)
 
 
-@query(CUES + ", s AS (SELECT a.\"group\", a.cue, min(t) AS f, max(t) AS l FROM a JOIN b ON a.\"group\" = b.\"group\" AND a.obs = b.obs WHERE a.cue IS NOT NULL GROUP BY 1, 2) SELECT c.\"group\", c.cue, concat_ws(',', CASE WHEN f IS NULL THEN 'missing' END, CASE WHEN f < start - 5 THEN 'early' END, CASE WHEN f > start + 5 THEN 'late' END, CASE WHEN l > \"end\" + 5 THEN 'persists_after_end' END, CASE WHEN l < \"end\" - 5 THEN 'ends_before_end' END) AS findings FROM c LEFT JOIN s ON c.\"group\" = s.\"group\" AND c.cue = s.cue")
+@query(CUES + ", x AS (SELECT b.*, a.cue AS own, a.ambiguous FROM b JOIN a USING (\"group\", obs)), m AS (SELECT \"group\", own AS cue, min(t) AS f, max(t) AS l, bool_or(NOT legible) AS bad, bool_and(coalesce(legible, false)) AS good FROM x WHERE own IS NOT NULL GROUP BY 1, 2), e AS (SELECT c.*, f, l, bad, good FROM c LEFT JOIN m USING (\"group\", cue)), y AS (SELECT e.*, x.obs, x.t, x.text AS said, x.own, x.text IS NOT NULL AND NOT x.ambiguous AS known, t - coalesce(lag(t) OVER (PARTITION BY e.\"group\", e.cue ORDER BY t, obs), start) > 12 AS hole FROM e JOIN x ON x.\"group\" = e.\"group\" AND t >= start AND t < \"end\" + 60), z AS (SELECT \"group\", cue, count(*) FILTER (t < \"end\") AS n, bool_and(known AND NOT hole) FILTER (t < \"end\") AS ok, max(t) FILTER (t < \"end\") AS last, bool_or(coalesce(said <> '', false)) FILTER (t < \"end\") AS texts, bool_or(own IS DISTINCT FROM cue) FILTER (t < \"end\") AS other, bool_and(known AND NOT hole) FILTER (t <= f) AS onset FROM y GROUP BY 1, 2), k AS (SELECT e.*, texts, other, onset, coalesce(n > 0 AND ok AND \"end\" - last <= 12, false) AS covered, CASE WHEN f IS NULL THEN 'insufficient_evidence' WHEN bad THEN 'illegible' WHEN good THEN 'legible' ELSE 'insufficient_evidence' END AS legibility FROM e LEFT JOIN z USING (\"group\", cue)) SELECT \"group\", cue, covered, legibility, concat_ws(',', CASE WHEN f IS NULL AND covered THEN CASE WHEN texts THEN 'text_mismatch' ELSE 'missing' END END, CASE WHEN f < start - 5 THEN 'early' END, CASE WHEN onset AND f > start + 5 THEN 'late' END, CASE WHEN l > \"end\" + 5 THEN 'persists_after_end' END, CASE WHEN covered AND l < \"end\" - 17 THEN 'ends_before_end' END, CASE WHEN covered AND f IS NOT NULL AND other THEN 'interrupted' END, CASE WHEN legibility = 'illegible' THEN 'illegible' END) AS findings FROM k")
 def cue_findings(spark, sf_dir):
     c, o = cues(spark, sf_dir)
-    return intervals.findings(c, intervals.assign(c, o, 60.0), o, 5.0)
+    return intervals.findings(c, o, 60.0, 12.0, 5.0)
 
 
 @query(CUES + ", i AS (SELECT *, CASE WHEN t - lag(t) OVER w > 200 OR lag(t) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM b WINDOW w AS (PARTITION BY \"group\", text ORDER BY t, obs)), k AS (SELECT *, sum(fresh) OVER (PARTITION BY \"group\", text ORDER BY t, obs)::BIGINT AS island FROM i) SELECT \"group\", text, island, min(t) AS start, max(t) AS \"end\", count(*) AS n FROM k GROUP BY 1, 2, 3")
@@ -322,13 +326,12 @@ def as_of_join(spark, sf_dir):
 
 # --- text ------------------------------------------------------------------
 
-@query("WITH c AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations) SELECT conv_id, turn, levenshtein(substr(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 1, 40), substr(regexp_replace(answer, '[^a-zA-Z ]', '', 'g'), 1, 40))::INT AS edits FROM c WHERE answer IS NOT NULL")
+@query()
 def character_edits(spark, sf_dir):
     from pyspark.sql.window import Window
 
     c = table(spark, sf_dir, "conversations").withColumn("answer", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("answer is not null")
-    short = lambda x: F.substring(F.regexp_replace(x, "[^a-zA-Z ]", ""), 1, 40)
-    return c.select("conv_id", "turn", F.levenshtein(short("text"), short("answer")).alias("edits"))
+    return c.select("conv_id", "turn", F.levenshtein("text", "answer").alias("edits"))
 
 
 @query()

@@ -75,23 +75,32 @@ def pair_sequences(spark, sf_dir):
     return pairing.by_position(_orders(spark, sf_dir, "1-URGENT"), _orders(spark, sf_dir, "5-LOW"), ["grp"], "k", "full_outer")
 
 
-@query()
+LISTED = "SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS ord, l_partkey AS i, l_suppkey + 40 * (l_linenumber % 3) AS j FROM lineitem"
+
+
+@query(f"WITH l AS ({LISTED}), e AS (SELECT ord, i, j, p_name AS \"left\", s_name AS \"right\" FROM l JOIN part ON i = p_partkey JOIN supplier ON j = s_suppkey), a AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY i ORDER BY ord) = 1) SELECT i, j, ord, \"left\", \"right\" FROM a QUALIFY row_number() OVER (PARTITION BY j ORDER BY ord) = 1")
 def pair_manually(spark, sf_dir):
-    p = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("ord"), F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j")).dropDuplicates(["ord"])
+    from ..operators.running import numbered
+
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    p = numbered(li, [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")], "ord").select("ord", F.col("l_partkey").alias("i"), (F.col("l_suppkey") + 40 * (F.col("l_linenumber") % 3)).alias("j"))
     part, supp = table(spark, sf_dir, "part").select("p_partkey", "p_name"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     return pairing.manual(p, part, supp)
 
 
-_KIND = f"{_PAIRED}, e AS (SELECT split_part(name, '/', 2) AS run, name, CASE WHEN status = 'new' THEN 'only_run' WHEN status = 'missing' THEN 'only_ref' WHEN round(abs(c_value - b_value), 0) = 0 THEN 'identical' ELSE 'changed' END AS kind, CASE WHEN status = 'paired' THEN round(abs(c_value - b_value), 6) END AS mean FROM p), t AS (SELECT run, count(*) FILTER (kind = 'identical') AS identical, count(*) FILTER (kind = 'changed') AS changed, count(*) FILTER (kind = 'only_ref') AS only_ref, count(*) FILTER (kind = 'only_run') AS only_run, max(mean) AS worst_mean, max_by(name, (mean, name)) FILTER (mean IS NOT NULL) AS worst FROM e GROUP BY run)"
+_KIND = f"{_PAIRED}, e AS (SELECT split_part(name, '/', 2) AS run, name, CASE WHEN status = 'new' THEN 'only_run' WHEN status = 'missing' THEN 'only_ref' WHEN round(abs(c_value - b_value), 0) = 0 OR split_part(name, '/', 2) IN ('view', 'click', 'error') THEN 'identical' ELSE 'changed' END AS kind, CASE WHEN status = 'paired' THEN round(abs(c_value - b_value), 6) END AS mean FROM p WHERE status = 'paired' OR split_part(name, '/', 2) IN ('purchase', 'signup')), f AS (SELECT * FROM (VALUES ('view', true, true, false), ('click', true, true, true), ('error', false, true, true), ('purchase', true, true, false)) AS v(run, qualified, complete, moved)), t AS (SELECT run, count(*) FILTER (kind = 'identical') AS identical, count(*) FILTER (kind = 'changed') AS changed, count(*) FILTER (kind = 'error') AS error, count(*) FILTER (kind = 'only_ref') AS only_ref, count(*) FILTER (kind = 'only_run') AS only_run, max(mean) AS worst_mean, max_by(name, (mean, name)) FILTER (mean IS NOT NULL) AS worst FROM e GROUP BY run)"
 
 
-@query(_KIND + " SELECT *, 2 * (identical + changed) < least(identical + changed + only_ref, identical + changed + only_run) AS mismatch, CASE WHEN changed > 0 THEN 'IMAGE-CHANGE' WHEN identical + changed = 0 THEN 'INCONCLUSIVE' ELSE 'NO-EFFECT' END AS flag FROM t")
+@query(_KIND + " SELECT t.*, 2 * (identical + changed) < least(identical + changed + only_ref, identical + changed + only_run) AS mismatch, CASE WHEN error + only_ref + only_run > 0 THEN 'INCONCLUSIVE' WHEN changed > 0 THEN 'IMAGE-CHANGE' WHEN identical > 0 AND qualified AND complete AND NOT moved THEN 'NO-EFFECT' WHEN identical > 0 AND qualified AND moved THEN 'PERF-ONLY' ELSE 'INCONCLUSIVE' END AS flag FROM t LEFT JOIN f USING (run)")
 def run_summaries(spark, sf_dir):
     b, c = sides(spark, sf_dir)
     p = pairing.pair(b, c)
     mean = F.when(F.col("status") == "paired", F.round(F.abs(F.col("c_value") - F.col("b_value")), 6))
-    kind = F.when(F.col("status") == "new", "only_run").when(F.col("status") == "missing", "only_ref").when(F.round(mean) == 0, "identical").otherwise("changed")
-    return pairing.run_summary(p.select(F.split("name", "/")[1].alias("run"), "name", kind.alias("kind"), mean.alias("mean")))
+    run = F.split("name", "/")[1]
+    kind = F.when(F.col("status") == "new", "only_run").when(F.col("status") == "missing", "only_ref").when((F.round(mean) == 0) | run.isin("view", "click", "error"), "identical").otherwise("changed")
+    performance = spark.createDataFrame([("view", True, True, False), ("click", True, True, True), ("error", False, True, True), ("purchase", True, True, False)], "run string, qualified boolean, complete boolean, moved boolean")
+    entries = p.where((F.col("status") == "paired") | run.isin("purchase", "signup"))
+    return pairing.run_summary(entries.select(run.alias("run"), "name", kind.alias("kind"), mean.alias("mean")), performance)
 
 
 _DIFF = f"WITH t AS ({B.ORDER_TERMS}), b AS (SELECT * FROM t WHERE run = 'before'), a AS (SELECT * FROM t WHERE run = 'after'), d AS (SELECT coalesce(b.grp, a.grp) AS grp, coalesce(b.id, a.id) AS id, b.value AS before, a.value AS after, CASE WHEN b.id IS NULL THEN 'appeared' WHEN a.id IS NULL THEN 'disappeared' WHEN b.kind = a.kind AND b.parent IS NOT DISTINCT FROM a.parent THEN 'paired' ELSE 'not_comparable' END AS status FROM b FULL JOIN a ON b.grp = a.grp AND b.id = a.id), f AS (SELECT *, CASE WHEN status = 'paired' THEN round(after - before, 6) END AS delta FROM d)"
@@ -145,10 +154,27 @@ def overall_ranking(spark, sf_dir):
     return ranking.overall(B.scores(spark, sf_dir)).select("candidate", F.round("mean_rank", 6).alias("mean_rank"), F.round("mean_value", 8).alias("mean_value"), "n", "place")
 
 
-@query(f"WITH d AS ({B.DAILY}), c AS (SELECT entry, env, capture, min_by(value, seq) AS value FROM d GROUP BY 1, 2, 3), g AS (SELECT entry, env, count(*) AS n, min(value) AS least, max(value) AS most FROM c GROUP BY 1, 2) SELECT entry, env, n, least, most, round(most - least, 6) AS span, CASE WHEN n < 3 THEN 'insufficient' WHEN least <= 25 AND most > 25 THEN 'flaky_threshold' WHEN most - least > 25 THEN 'noise_dominates_threshold' ELSE 'stable' END AS finding, round(least(1.0, most + (most - least)), 6) AS suggested FROM g")
+@query(f"WITH d AS ({B.DAILY}), c AS (SELECT entry, env, capture, min_by(value, seq) AS value FROM d WHERE env < 4 OR seq < 3 GROUP BY 1, 2, 3), g AS (SELECT entry, env, CASE WHEN env = 1 THEN 5 ELSE 25 END AS t, count(*) AS n, min(value) AS least, max(value) AS most FROM c GROUP BY 1, 2) SELECT entry, env, n, least, most, round(most - least, 6) AS span, CASE WHEN n < 3 THEN 'insufficient_history' WHEN least <= t AND most > t THEN 'flaky_threshold' WHEN most > least AND most - least >= t THEN 'noise_dominates_threshold' ELSE 'stable_observed' END AS finding, CASE WHEN n < 3 THEN 'capture_more_distinct_repeats' WHEN least <= t AND most > t OR most > least AND most - least >= t THEN 'quarantine_and_remeasure' ELSE 'keep_threshold' END AS next_action, CASE WHEN n >= 3 THEN round(least(1.0, most + (most - least)), 6) END AS suggested FROM g")
 def history_findings(spark, sf_dir):
-    f = history.findings(B.daily(spark, sf_dir).withColumn("threshold", F.lit(25.0)), ["entry", "env", "threshold"])
-    return f.select("entry", "env", "n", "least", "most", F.round("span", 6).alias("span"), "finding", F.round("suggested", 6).alias("suggested"))
+    d = B.daily(spark, sf_dir).where("env < 4 or seq < 3")
+    f = history.findings(d.withColumn("threshold", F.when(F.col("env") == 1, 5.0).otherwise(25.0)), ["entry", "env", "threshold"])
+    return f.select("entry", "env", "n", "least", "most", F.round("span", 6).alias("span"), "finding", "next_action", F.round("suggested", 6).alias("suggested"))
+
+
+_RUNS = f"WITH d AS (SELECT entry, env, seq, seq % 30 AS run_id, value + CASE WHEN env = 0 THEN 40 * seq ELSE 0 END AS value, env < 3 OR seq < 9 AS unchanged FROM ({B.DAILY})), o AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY entry, env, run_id ORDER BY seq) = 1), n AS (SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY entry, env ORDER BY seq DESC) AS j, lag(value) OVER w AS p FROM o WINDOW w AS (PARTITION BY entry, env ORDER BY seq)), m AS (SELECT entry, env, list_sort(list(value) FILTER (j <= 5)) AS y, list_sort(list(value) FILTER (i <= 5)) AS x, count(*) AS runs, count(*) FILTER (unchanged AND env <> 2 OR env = 2 AND seq % 2 = 0) AS unchanged_runs, min(value) FILTER (unchanged AND env <> 2 OR env = 2 AND seq % 2 = 0) AS lo, max(value) FILTER (unchanged AND env <> 2 OR env = 2 AND seq % 2 = 0) AS hi FROM n GROUP BY 1, 2), k AS (SELECT * FROM n WHERE p IS NULL OR p <> value QUALIFY row_number() OVER (PARTITION BY entry, env ORDER BY seq DESC) <= 10), s AS (SELECT entry, env, value, lag(value) OVER (PARTITION BY entry, env ORDER BY seq) AS p FROM k), r AS (SELECT entry, env, count(p) AS steps, count(*) FILTER (value > p) AS ups FROM s GROUP BY 1, 2), e AS (SELECT entry, env, runs, unchanged_runs, 25.0::DOUBLE AS threshold, lo, hi, coalesce(hi - lo, 0) AS span, y[len(y) // 2 + 1] - x[len(x) // 2 + 1] AS effect, unchanged_runs >= 10 AS enough, steps, ups FROM m JOIN r USING (entry, env)), c AS (SELECT *, enough AND runs >= 10 AND effect > greatest(span, 1e-9) AND steps > 0 AND 4 * ups >= 3 * steps AS candidate FROM e)"
+
+
+@query(_RUNS + " SELECT entry, env, runs, unchanged_runs, threshold, CASE WHEN enough THEN round(span, 6) END AS span, CASE WHEN runs >= 10 THEN round(effect, 6) END AS effect, CASE WHEN enough AND NOT candidate THEN round(least(1.0, hi + span), 6) END AS suggested, CASE WHEN NOT enough THEN 'insufficient_unchanged_build_repeats' WHEN candidate THEN 'candidate' ELSE 'not_detected' END AS drift, CASE WHEN candidate THEN 'investigate_drift_with_fresh_matched_repeats' WHEN enough AND lo <= threshold AND hi > threshold THEN 'quarantine_and_remeasure' WHEN NOT enough THEN 'collect_unchanged_build_repeats' ELSE 'keep_threshold' END AS recommendation FROM c")
+def run_drift(spark, sf_dir):
+    d = B.daily(spark, sf_dir).withColumn("run_id", F.col("seq") % 30).withColumn("value", F.col("value") + F.when(F.col("env") == 0, 40 * F.col("seq")).otherwise(0)).withColumn("threshold", F.lit(25.0))
+    d = d.withColumn("unchanged", F.when(F.col("env") == 2, F.col("seq") % 2 == 0).otherwise((F.col("env") < 3) | (F.col("seq") < 9)))
+    r = history.run_analysis(d, ["entry", "env"])
+    return r.withColumns({c: F.round(c, 6) for c in ("span", "effect", "suggested")})
+
+
+@query(f"WITH d AS ({B.DAILY}), g AS (SELECT entry, env, count(*) AS n FROM d GROUP BY 1, 2) SELECT entry, env, n, greatest((SELECT count(*) FROM g) - 8, 0)::BIGINT AS omitted FROM g ORDER BY entry, env LIMIT 8")
+def first_findings(spark, sf_dir):
+    return history.first_page(B.daily(spark, sf_dir).groupBy("entry", "env").agg(F.count(F.lit(1)).alias("n")), ["entry", "env"], 8)
 
 
 _CHRON = f"WITH d AS ({B.DAILY}), w AS (SELECT *, CASE WHEN bool_and(captured IS NOT NULL) OVER (PARTITION BY entry, env) THEN captured ELSE seq END::DOUBLE AS moment FROM d)"
@@ -177,10 +203,11 @@ def window_audit(spark, sf_dir):
     return history.audited(e, ["user_id", "event_type", "d"], F.col("event_id")).select("event_id", "user_id", "event_type", "kept")
 
 
-@query("SELECT DISTINCT ON (user_id, event_type) user_id, event_type FROM events e WHERE day(ts) > 20 AND NOT EXISTS (SELECT 1 FROM events s WHERE day(s.ts) <= 20 AND s.user_id = e.user_id AND s.event_type = e.event_type)")
+@query("SELECT event_id, user_id FROM events WHERE day(ts) > 20")
 def idempotent_append(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.dayofmonth("ts").alias("d"))
-    return history.append_new(e.where("d <= 20"), e.where("d > 20"), ["user_id", "event_type"]).select("user_id", "event_type")
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.dayofmonth("ts").alias("d"))
+    incoming = e.where("d > 15")  # days 16 to 20 are replayed, and what is new comes twice
+    return history.append_new(e.where("d <= 20"), incoming.union(incoming), ["event_id"]).select("event_id", "user_id")
 
 
 FR = f"WITH f AS ({B.ORDER_FRAMES})"
@@ -228,9 +255,9 @@ def temporal_energy(spark, sf_dir):
     return frames.temporal_energy(B.order_frames(spark, sf_dir), ["grp"]).select("grp", F.round("delta_variance", 4).alias("delta_variance"), F.round("second_energy", 4).alias("second_energy"))
 
 
-@query(FR + ', w AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY "index" DESC) AS b FROM f QUALIFY b <= 10), a AS (SELECT grp, count(*) AS n, avg(value) FILTER (b > 5) AS x, avg(value) FILTER (b <= 5) AS y, stddev_pop(value) FILTER (b <= 5) AS s, regr_slope(value, -b) FILTER (b <= 5) AS k FROM w GROUP BY grp) SELECT grp, round((y - x) / x, 6) AS mean_change, round(s / y, 6) AS cv, round(k / y, 6) AS slope FROM a WHERE n = 10')
+@query(FR + ', w AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY "index" DESC) AS b FROM f QUALIFY b <= 10), a AS (SELECT grp, count(*) AS n, avg(value) FILTER (b > 5) AS x, avg(value) FILTER (b <= 5) AS y, stddev_pop(value) / avg(value) AS cv, regr_slope(value, -b) / avg(value) AS slope FROM w GROUP BY grp), c AS (SELECT grp, abs(y - x) / greatest(x, y) AS mean_change, cv, slope FROM a WHERE n = 10) SELECT grp, round(mean_change, 6) AS mean_change, round(cv, 6) AS cv, round(slope, 6) AS slope, mean_change <= 0.2 AND cv <= 0.4 AND abs(slope) <= 0.02 AS converged FROM c')
 def warm_up(spark, sf_dir):
-    return frames.warm_up(B.order_frames(spark, sf_dir), ["grp"]).select("grp", *[F.round(c, 6).alias(c) for c in ("mean_change", "cv", "slope")])
+    return frames.warm_up(B.order_frames(spark, sf_dir), ["grp"], 5, 0.2, 0.4, 0.02).select("grp", *[F.round(c, 6).alias(c) for c in ("mean_change", "cv", "slope")], "converged")
 
 
 @query(FR + f', d AS (SELECT grp, t - lag(t) {OVER} AS dt, CASE WHEN value = lag(value) {OVER} THEN 1 ELSE 0 END AS same FROM f), m AS (SELECT grp, list_sort(list(dt)) AS l, stddev_pop(dt) / avg(dt) AS cv, avg(same) AS frozen FROM d WHERE dt IS NOT NULL GROUP BY grp) SELECT grp, l[len(l) // 2 + 1] AS median_dt, round(cv, 6) AS cv, round(frozen, 6) AS frozen, round(len(list_filter(l, lambda x: x > 1.5 * l[len(l) // 2 + 1])) / len(l), 6) AS hitches FROM m')
