@@ -69,13 +69,26 @@ def url_template(path: Column) -> Column:
 
 
 def glob_pattern(glob: str) -> str:
-    """Regular expression of a name glob: `**` crosses slashes, `*` and `?` do not."""
-    out, i = "", 0
+    """Regular expression of a name glob: `**` crosses slashes, `*` and `?` do not, `{a,b}` is either, `[a-c]` and `[!a-c]` are classes."""
+    out, i, depth = "", 0, 0
     while i < len(glob):
+        c, close = glob[i], glob.find("]", i + 2)
         if glob[i : i + 2] == "**":
             out, i = out + ".*", i + 2
+            continue
+        if c == "[" and close > 0:
+            inside = glob[i + 1 : close].replace("\\", "\\\\").replace("[", "\\[")
+            out, i = out + "[" + ("^" + inside[1:] if inside[0] in "!^" else inside) + "]", close + 1
+            continue
+        if c == "{" and "}" in glob[i:]:
+            out, depth = out + "(?:", depth + 1
+        elif c == "}" and depth:
+            out, depth = out + ")", depth - 1
+        elif c == "," and depth:
+            out += "|"
         else:
-            out, i = out + {"*": "[^/]*", "?": "[^/]"}.get(glob[i], re.escape(glob[i])), i + 1
+            out += {"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c))
+        i += 1
     return f"^{out}$"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -104,3 +106,40 @@ def bisect(verdicts: DataFrame, group: list[str]) -> DataFrame:
     both = verdicts.join(edges, group)
     out = both.groupBy(*group).agg(F.max("first_bad").alias("first_bad"), F.max(F.when((F.col("verdict") == "good") & (F.col("index") < F.col("first_bad")), F.col("index"))).alias("last_good"), F.max("_last").alias("_last"))
     return out.withColumn("non_monotonic", F.coalesce(F.col("_last") > F.col("first_bad"), F.lit(False))).drop("_last")
+
+
+def animation(frames: DataFrame, group: list[str], frame_error: float, local_error: float, flicker: float) -> DataFrame:
+    """By group of (index, raw, local, residual or null where unsupported): first frame beyond an error budget, largest flicker (null where a frame after the first has none), first frame of too much flicker, and the verdict; what is unsupported is a regression."""
+    w = Window.partitionBy(*group).orderBy("index")
+    f = frames.withColumn("_later", F.row_number().over(w) > 1)
+    change = F.when(F.col("_later"), F.col("residual"))
+    out = f.groupBy(*group).agg(
+        F.min(F.when((F.col("raw") > frame_error) | (F.col("local") > local_error), F.col("index"))).alias("first_divergence"), F.min(F.when(change > flicker, F.col("index"))).alias("first_flicker"),
+        F.max(change).alias("_most"), F.bool_and(~F.col("_later") | F.col("residual").isNotNull()).alias("_whole"))
+    fine = F.col("first_divergence").isNull() & F.col("first_flicker").isNull() & F.col("_whole")
+    return out.select(*group, "first_divergence", "first_flicker", F.when(F.col("_whole"), F.coalesce("_most", F.lit(0.0))).alias("flicker"), F.when(fine, "pass").otherwise("regression").alias("verdict"))
+
+
+def spectrum(frames: DataFrame, group: list[str], bands: int = 3) -> DataFrame:
+    """Energy of each of the equal bands of frequencies of a series about its mean: squared amplitudes at 1 to n / 2 cycles a series, as sums over frames and frequencies side by side."""
+    w = Window.partitionBy(*group)
+    f = frames.withColumn("_n", F.count("value").over(w)).withColumn("_x", F.col("value") - F.avg("value").over(w)).withColumn("_i", F.row_number().over(w.orderBy("index")) - 1)
+    f = f.where("_n >= 4").withColumn("_k", F.explode(F.sequence(F.lit(1), F.floor(F.col("_n") / 2).cast("int"))))
+    angle = F.lit(2 * math.pi) * F.col("_k") * F.col("_i") / F.col("_n")
+    a = f.groupBy(*group, "_n", "_k").agg(F.sum(F.col("_x") * F.cos(angle)).alias("_c"), F.sum(F.col("_x") * F.sin(angle)).alias("_s"))
+    band = F.least(F.floor((F.col("_k") - 1) * bands / F.floor(F.col("_n") / 2)), F.lit(bands - 1)).cast("int")
+    return a.groupBy(*group, band.alias("band")).agg(F.sum((F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s")) / (F.col("_n") * F.col("_n"))).alias("energy"))
+
+
+def spectral_distance(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:
+    """By group: the sum of absolute differences of band energies; a band that one side lacks has none."""
+    j = a.withColumnRenamed("energy", "_a").join(b.withColumnRenamed("energy", "_b"), [*group, "band"], "full_outer")
+    return j.groupBy(*group).agg(F.sum(F.abs(F.coalesce("_a", F.lit(0.0)) - F.coalesce("_b", F.lit(0.0)))).alias("distance"))
+
+
+def shannon_distance(a: DataFrame, b: DataFrame, group: list[str], bin: str = "bin") -> DataFrame:
+    """Jensen-Shannon distance in nats of two histograms (group.., bin, n) by group; null where a side is empty."""
+    share = lambda df, name: df.withColumn(name, F.col("n") / F.sum("n").over(Window.partitionBy(*group))).select(*group, bin, name)
+    j = share(a, "_p").join(share(b, "_q"), [*group, bin], "full_outer").withColumn("_p", F.coalesce("_p", F.lit(0.0))).withColumn("_q", F.coalesce("_q", F.lit(0.0)))
+    half = lambda x: F.when(F.col(x) > 0, F.col(x) * F.log(2 * F.col(x) / (F.col("_p") + F.col("_q"))) / 2).otherwise(0.0)
+    return j.groupBy(*group).agg(F.when((F.sum("_p") > 0) & (F.sum("_q") > 0), F.sum(half("_p") + half("_q"))).alias("js_nats"))

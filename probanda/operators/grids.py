@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .components import components
 
 
 def mask_metrics(truth: DataFrame, said: DataFrame) -> DataFrame:
@@ -55,3 +58,59 @@ def neighbours(cells: DataFrame, diagonal: bool = True) -> DataFrame:
     steps = [(1, 0), (0, 1)] + ([(1, 1), (1, -1)] if diagonal else [])
     moved = cells.select(F.col("id").alias("a"), F.explode(F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in steps])).alias("_m")).select("a", "_m.x", "_m.y")
     return moved.join(cells.select(F.col("id").alias("b"), "x", "y"), ["x", "y"]).select("a", "b")
+
+
+def summarised(cells: DataFrame, group: list[str], value: str = "err") -> DataFrame:
+    """Mean, nearest-rank p50, p95, p99 and largest error, and shares above 0.1 and 0.5, of kept cells; NaN ranks as infinite, and nothing kept gives nulls."""
+    v = F.when(F.isnan(value), float("inf")).otherwise(F.col(value).cast("double"))
+    rank = lambda q: F.expr(f"percentile_disc({q}) within group (order by _v)")
+    return cells.withColumn("_v", v).groupBy(*group).agg(F.count("_v").alias("cells"), F.avg(F.when(~F.isnan(value), F.col(value))).alias("mean"), rank(0.5).alias("p50"), rank(0.95).alias("p95"), rank(0.99).alias("p99"), F.max("_v").alias("most"), F.avg((F.col("_v") > 0.1).cast("int")).alias("above_01"), F.avg((F.col("_v") > 0.5).cast("int")).alias("above_05"))
+
+
+def masked_summary(cells: DataFrame, group: list[str], masks: DataFrame, value: str = "err") -> DataFrame:
+    """summarised() of the cells that no mask rectangle (group.., x0, y0, x1, y1, ends exclusive) covers; groups with nothing left keep their row. Rectangles are joined by rows of cells that they touch."""
+    rows = masks.withColumn("y", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1))).select(*group, "y", "x0", "x1").where("x0 < x1")
+    spans = rows.groupBy(*group, "y").agg(F.collect_set(F.struct("x0", "x1")).alias("_m"))
+    left = cells.join(spans, [*group, "y"], "left").where(~F.coalesce(F.exists("_m", lambda s: (F.col("x") >= s["x0"]) & (F.col("x") < s["x1"])), F.lit(False)))
+    return cells.select(*group).distinct().join(summarised(left, group, value), group, "left").withColumn("cells", F.coalesce("cells", F.lit(0)))
+
+
+def structural_checks(pixels: DataFrame, group: list[str]) -> DataFrame:
+    """By group of (r, g, b), 0 to 255 or null where not finite: all black, all white, luminance of the encoded values, samples not finite."""
+    c = lambda n: F.col(n) / 255
+    light = 0.2126 * c("r") + 0.7152 * c("g") + 0.0722 * c("b")
+    every = lambda v: F.bool_and((F.col("r") == v) & (F.col("g") == v) & (F.col("b") == v))
+    return pixels.groupBy(*group).agg(F.coalesce(every(0), F.lit(False)).alias("all_black"), F.coalesce(every(255), F.lit(False)).alias("all_white"), F.avg(light).alias("mean"), F.min(light).alias("least"), F.max(light).alias("most"), F.count_if(F.col("r").isNull() | F.col("g").isNull() | F.col("b").isNull()).alias("nonfinite"))
+
+
+def settling_tiles(samples: DataFrame, change: int, final: int, frames: int) -> DataFrame:
+    """By (tile, frame) of (tile, frame, at, value): mean error against the mean of the last `final` frames, and ghosting: how much of what stood before the change is left, as a projection, null where before and after are alike."""
+    place = ["tile", "at"]
+    levels = samples.groupBy(*place).agg(F.avg(F.when(F.col("frame") < change, F.col("value"))).alias("_pre"), F.avg(F.when(F.col("frame") >= frames - final, F.col("value"))).alias("_end"))
+    j = samples.join(levels, place).withColumn("_d", F.col("_pre") - F.col("_end"))
+    energy = F.sum(F.col("_d") * F.col("_d"))
+    return j.groupBy("tile", "frame").agg(F.avg(F.abs(F.col("value") - F.col("_end"))).alias("error"), F.when(energy > 1e-12, F.sum((F.col("value") - F.col("_end")) * F.col("_d")) / energy).alias("ghosting"))
+
+
+def worst_tiles(errors: DataFrame, final: int, frames: int, n: int = 16) -> DataFrame:
+    """The n tiles of the largest error over the last frames, by tile on ties, with their persistent ghosting."""
+    last = errors.where(F.col("frame") >= frames - final).groupBy("tile").agg(F.sum("error").alias("error"), F.avg("ghosting").alias("ghosting"))
+    return last.orderBy(F.col("error").desc(), "tile").limit(n)
+
+
+def attributed(errors: DataFrame, ids: DataFrame, group: list[str]) -> DataFrame:
+    """By group and object id: pixels, error and its share of the group's; pixels without an id are unattributed (null id)."""
+    j = errors.join(ids, [*group, "x", "y"], "left").groupBy(*group, "object").agg(F.count(F.lit(1)).alias("pixels"), F.sum("err").alias("error"))
+    total = F.sum("error").over(Window.partitionBy(*group))
+    return j.withColumn("share", F.when(total > 0, F.col("error") / total))
+
+
+def hotspots(cells: DataFrame, limit: float, share: float, n: int = 256) -> DataFrame:
+    """Stretches of touching cells (id, x, y, err) above the limit: box, cells, error, share of all error; of share or more, the n largest, the first by component on ties."""
+    hot = cells.where(F.col("err") > limit)
+    c = components(neighbours(hot))
+    named = hot.join(c, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
+    total = cells.agg(F.sum("err").alias("_t"))  # one row
+    out = named.groupBy("component").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("cells"), F.sum("err").alias("error"))
+    out = out.crossJoin(F.broadcast(total)).withColumn("share", F.col("error") / F.col("_t")).where(F.col("share") >= share).drop("_t")
+    return out.orderBy(F.col("error").desc(), "component").limit(n)

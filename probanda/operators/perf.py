@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from ..functions.scalars import strictest
@@ -64,3 +68,94 @@ def selected_ancestors(terms: DataFrame, selected: DataFrame, depth: int = 16) -
         now = now.join(chosen, F.col("at") == F.col("_s"), "left").withColumn("ancestor", F.coalesce("ancestor", "_s")).drop("_s")
         now = now.join(parents, F.col("at") == F.col("_p"), "left").select("id", F.when(F.col("ancestor").isNull(), F.col("_up")).alias("at"), "ancestor")
     return now.select("id", "ancestor")
+
+
+def counter_diff(before: DataFrame, after: DataFrame, key: list[str], terms: DataFrame) -> DataFrame:
+    """Counters (key.., id, counter, value) of terms, joined whether or not both sides have them: delta and pct only where the term itself is comparable; place within the term by absolute pct, unknown last, then name. terms: (key.., id, comparable)."""
+    on = [*key, "id", "counter"]
+    j = before.withColumnRenamed("value", "before").join(after.withColumnRenamed("value", "after"), on, "full_outer").join(terms, [*key, "id"], "left")
+    known = F.coalesce(F.col("comparable"), F.lit(False)) & F.col("before").isNotNull() & F.col("after").isNotNull()
+    j = j.withColumn("delta", F.when(known, F.col("after") - F.col("before"))).withColumn("pct", F.when(known & (F.col("before") != 0), 100 * (F.col("after") - F.col("before")) / F.col("before")))
+    w = Window.partitionBy(*key, "id").orderBy(F.coalesce(F.abs("pct"), F.lit(-1.0)).desc(), "counter")
+    return j.withColumn("place", F.row_number().over(w)).drop("comparable")
+
+
+#: Gaps and remainders below this many milliseconds count as nothing.
+TICK_TOLERANCE = 1e-6
+
+
+@F.pandas_udf(DoubleType())
+def _common_step(values: pd.Series) -> pd.Series:
+    """The greatest step that all gaps between the sorted values are multiples of, up to the tolerance."""
+    out = []
+    for row in values:
+        step, last = None, None
+        for v in [] if row is None else row:
+            if last is None:
+                last = v
+                continue
+            gap = v - last
+            if gap < TICK_TOLERANCE:
+                continue
+            last = v
+            if step is None:
+                step = gap
+                continue
+            large, small = max(gap, step), min(gap, step)
+            while (rest := math.fmod(large, small)) >= TICK_TOLERANCE and small - rest >= TICK_TOLERANCE:
+                large, small = small, rest
+            step = small
+        out.append(step)
+    return pd.Series(out, dtype="float64")
+
+
+def timer_quantum(samples: DataFrame, group: list[str], value: str = "value") -> DataFrame:
+    """By group: the timer's step, null under two distinct values. Spark keeps each distinct value once and sorts them; a step's values are a timer's readings, few for any one capture."""
+    return samples.groupBy(*group).agg(F.array_sort(F.collect_set(value)).alias("_v")).select(*group, _common_step("_v").alias("quantum"))
+
+
+def plan_check(plan: DataFrame, observed: DataFrame, session: list[str]) -> DataFrame:
+    """By session: what keeps paired samples from being used, comma-joined, or empty. plan: (at, pair_id, order), observed: (at, pair_id, order, before, after), joined by place: incomplete, changed (other ids or orders), repeated ids, invalid timings, too_few (under 6 pairs), one_order."""
+    p = plan.select(*session, "at", F.col("pair_id").alias("_id"), F.col("order").alias("_order"), F.lit(True).alias("_p"))
+    j = p.join(observed.withColumn("_o", F.lit(True)), [*session, "at"], "full_outer")
+    both = F.col("_p").isNotNull() & F.col("_o").isNotNull()
+    usable = lambda c: F.coalesce((F.col(c) > 0) & (F.col(c) <= 1e12) & ~F.isnan(c), F.lit(False))
+    flag = lambda c, name: F.when(c, F.lit(name))
+    found = F.array_compact(F.array(
+        flag(F.count_if(~both) > 0, "incomplete"), flag(F.count_if(both & ((F.col("_id") != F.col("pair_id")) | (F.col("_order") != F.col("order")))) > 0, "changed"),
+        flag(F.count("_id") > F.count_distinct("_id"), "repeated"), flag(F.count_if(both & ~(usable("before") & usable("after"))) > 0, "invalid"),
+        flag(F.count("_p") < 6, "too_few"), flag(F.count_distinct("_order") < 2, "one_order")))
+    return j.groupBy(*session).agg(F.count("_p").alias("planned"), F.count("_o").alias("observed"), F.array_join(found, ",").alias("reasons"))
+
+
+def bound_sidecars(captures: DataFrame, sidecars: DataFrame, key: list[str]) -> DataFrame:
+    """Captures with their sidecar's payload where it names the sha256 of the very content (and of its own payload); status bound, unbound (no sidecar), content_changed or payload_changed."""
+    c = captures.select(*key, F.sha2("content", 256).alias("_have"))
+    j = c.join(sidecars.select(*key, "content_sha256", "payload", "payload_sha256", F.lit(True).alias("_s")), key, "left")
+    status = F.when(F.col("_s").isNull(), "unbound").when(~F.col("content_sha256").eqNullSafe(F.col("_have")), "content_changed").when(~F.col("payload_sha256").eqNullSafe(F.sha2("payload", 256)), "payload_changed").otherwise("bound")
+    return j.withColumn("status", status).select(*key, "status", F.when(F.col("status") == "bound", F.col("payload")).alias("payload"))
+
+
+def bound_measurements(cases: DataFrame, measurements: DataFrame, files: DataFrame, roles: tuple[str, ...] = ("reference", "candidate", "mask")) -> DataFrame:
+    """By case: measured if a measurement exists and, for each role that it names, a file of that role whose hash is the recorded one; else not_measured, missing_<role> or changed_<role>, the first in order of roles. measurements: (case_id, <role>_sha256..), null where a role is not used."""
+    j = cases.select("case_id").join(measurements.withColumn("_m", F.lit(True)), "case_id", "left")
+    status = F.when(F.col("_m").isNull(), "not_measured")
+    for role in roles:
+        f = files.where(F.col("role") == role).select("case_id", F.col("sha256").alias(f"_{role}"))
+        j = j.join(f, "case_id", "left")
+        want, have = F.col(f"{role}_sha256"), F.col(f"_{role}")
+        status = status.when(want.isNotNull() & have.isNull(), f"missing_{role}").when(want != have, f"changed_{role}")
+    return j.select("case_id", status.otherwise("measured").alias("status"))
+
+
+def image_noise(runs: DataFrame, key: list[str], margin: float = 1.5) -> DataFrame:
+    """By key of (run, other, mean, p95, most), rows of pairs of repeats: the largest of each over the pairs, and a threshold `margin` above the largest mean."""
+    out = runs.where("run < other").groupBy(*key).agg(F.max("mean").alias("mean"), F.max("p95").alias("p95"), F.max("most").alias("most"), F.count(F.lit(1)).alias("pairs"))
+    return out.withColumn("threshold", F.least(F.lit(1.0), F.col("mean") * margin))
+
+
+def clock_windows(before: DataFrame, after: DataFrame, most_pct: float = 5.0) -> DataFrame:
+    """By window name of (window, clock): medians of both runs, and whether they are equal within most_pct; unknown where a side has none."""
+    side = lambda df, name: df.groupBy("window").agg(F.percentile("clock", F.lit(0.5)).alias(name))
+    j = side(before, "before").join(side(after, "after"), "window", "full_outer")
+    return j.withColumn("equal", F.abs(F.col("after") - F.col("before")) <= most_pct / 100 * F.greatest("before", "after"))

@@ -262,3 +262,139 @@ def exact_interval(counts: DataFrame, confidence: float = 0.95) -> DataFrame:
     """Clopper-Pearson bounds of hits of n, by bisection."""
     q = F.lit((1 - confidence) / 2)
     return counts.withColumn("low", _exact_lower("hits", "n", q)).withColumn("high", 1 - _exact_lower(F.col("n") - F.col("hits"), F.col("n"), q))
+
+
+def _percentile(values: np.ndarray, q: float) -> float:
+    return float(np.quantile(values, q))
+
+
+def arm_summary(base: DataFrame, arms: DataFrame, group: list[str], draws: int = 2048, seed: int = 11) -> DataFrame:
+    """By arm of (group.., ord, value), against the repeats of its baseline (group[:-1].., ord, value): repeats, median, interquartile range, Hodges-Lehmann shift, and its 95 % percentile interval over resampled repeats of both sides (null with one repeat on a side). Repeats are a few dozen; arms are Spark's groups."""
+    shared = group[:-1]
+    kinds = dict(arms.dtypes)
+    names = ["repeats", "median", "iqr", "shift", "low", "high"]
+    gathered = base.groupBy(*shared).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda x: x["value"]).alias("_base"))
+    rows = arms.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda x: x["value"]).alias("_arm")).join(gathered, shared)
+
+    def measure(batches):
+        for batch in batches:
+            out = []
+            for key, a, b in zip(batch[group].itertuples(index=False, name=None), batch["_arm"], batch["_base"], strict=True):
+                a, b = np.asarray(a, float), np.asarray(b, float)
+                middle = lambda x, y: float(np.median((x[:, None] - y[None, :]).ravel()))
+                low = high = None
+                if len(a) > 1 and len(b) > 1:
+                    at = _draws(seed, draws, len(a), len(b))
+                    d = np.median(a[at[:, : len(a)]][:, :, None] - b[at[:, len(a) :]][:, None, :], axis=(1, 2))
+                    low, high = _percentile(d, 0.025), _percentile(d, 0.975)
+                out.append((*key, len(a), float(np.median(a)), _percentile(a, 0.75) - _percentile(a, 0.25), middle(a, b), low, high))
+            yield pd.DataFrame(out, columns=[*group, *names])
+
+    shape = ", ".join(f"`{g}` {kinds[g]}" for g in group) + ", repeats int, median double, iqr double, shift double, low double, high double"
+    return rows.mapInPandas(measure, shape)
+
+
+def _draws(seed: int, draws: int, n: int, m: int) -> np.ndarray:
+    """draws rows of n places below n and m below m, from one stream in that order; with one bound the rows are cut from it at once."""
+    if n == m:
+        return split_mix(seed, n, draws * (n + m)).reshape(draws, n + m)
+    # A draw that is passed over depends on its bound, so the stream is walked with the bound of each place.
+    bounds = np.tile(np.r_[np.full(n, n), np.full(m, m)], draws).astype(np.uint64)
+    step = np.arange(1, len(bounds) + 1, dtype=np.uint64)
+    z = np.uint64(seed) + step * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    z = z ^ z >> np.uint64(31)
+    tops = {int(k): (1 << 64) // int(k) * int(k) for k in (n, m)}
+    if all((z[bounds == k] < np.uint64(min(top, (1 << 64) - 1))).all() for k, top in tops.items()):
+        return (z % bounds).astype(np.int64).reshape(draws, n + m)
+    out, at = [], 0
+    while len(out) < len(bounds):  # some draw is passed over: one by one
+        at += 1
+        x = (seed + at * 0x9E3779B97F4A7C15) & (1 << 64) - 1
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
+        x ^= x >> 31
+        k = int(bounds[len(out)])
+        if x < tops[k]:
+            out.append(x % k)
+    return np.array(out, np.int64).reshape(draws, n + m)
+
+
+def grouped_interval(rows: DataFrame, group: list[str], unit: str, value: str, draws: int = 1000, seed: int = 7, confidence: float = 0.95) -> DataFrame:
+    """By group: the mean of value and its percentile interval over resampled units (all rows of a unit together). Spark sums the rows of a unit; a draw reads one sum and count a unit."""
+    units = rows.where(F.col(value).isNotNull()).groupBy(*group, unit).agg(F.sum(F.col(value).cast("double")).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    tail = (1 - confidence) / 2
+
+    def measure(key: tuple, u: pd.DataFrame) -> pd.DataFrame:
+        u = u.sort_values(unit)
+        s, n = u["_s"].to_numpy(float), u["_n"].to_numpy(float)
+        low = high = None
+        if len(s) > 1:
+            at = split_mix(seed, len(s), draws * len(s)).reshape(draws, len(s))
+            d = s[at].sum(1) / n[at].sum(1)
+            low, high = _percentile(d, tail), _percentile(d, 1 - tail)
+        return pd.DataFrame([[*key, len(s), s.sum() / n.sum(), low, high]], columns=[*group, "units", "mean", "low", "high"]).astype({"low": "float64", "high": "float64"})
+
+    kinds = dict(rows.dtypes)
+    shape = ", ".join(f"`{g}` {kinds[g]}" for g in group) + ", units int, mean double, low double, high double"
+    return units.groupBy(*group).applyInPandas(measure, shape)
+
+
+def timing_verdict(pairs: DataFrame, session: list[str], band_pct: float, looks: list[int], confidence: float = 0.95, resamples: int = 1024, seed: int = 7) -> DataFrame:
+    """By session of pairs (ord, block, order ab or ba, aa, before, after): effect in percent, interval, noise floor of the same-build (aa) pairs, what speaks against a verdict, and the verdict.
+
+    The confidence is shared out over the looks. Effects are Hodges-Lehmann estimates of log ratios; intervals
+    resample whole blocks. Without reasons against it the verdict is faster or slower (the interval lies beyond
+    the band), equivalent (within it), or inconclusive; with any it is inconclusive."""
+    each = 1 - (1 - confidence) / len(looks)
+    percent = lambda x: float(np.expm1(x) * 100)
+
+    def estimate(rows: pd.DataFrame, seed: int) -> tuple[float, float, float, int]:
+        r = np.log(rows["after"].to_numpy(float)) - np.log(rows["before"].to_numpy(float))
+        _, block = np.unique(rows["block"], return_inverse=True)
+        parts = [r[block == b] for b in range(block.max() + 1)]
+        middle = lambda x: float(_walsh_medians(x[None, :])[0])
+        at = split_mix(seed, len(parts), resamples * len(parts)).reshape(resamples, len(parts))
+        d = np.array([middle(np.concatenate([parts[i] for i in row])) for row in at])
+        return percent(middle(r)), percent(_percentile(d, (1 - each) / 2)), percent(_percentile(d, 1 - (1 - each) / 2)), len(parts)
+
+    names = ["effect", "low", "high", "floor", "reasons", "verdict"]
+
+    def judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ord")
+        ab, aa = rows[~rows["aa"]], rows[rows["aa"]]
+        why, effect, low, high, floor = [], None, None, None, None
+        if not ((rows["before"] > 0) & (rows["after"] > 0) & np.isfinite(rows["before"]) & np.isfinite(rows["after"])).all():
+            return pd.DataFrame([[*key, None, None, None, None, "invalid_timings", "inconclusive"]], columns=[*session, *names]).astype(dict.fromkeys(names[:4], "float64"))
+        if (1 - each) * 0.5 * resamples < 10:
+            why.append("bootstrap_tail_underresolved")
+        if len(ab) < 6:
+            why.append("too_few_pairs")
+        if len(aa) < 6:
+            why.append("too_few_same_session_aa_pairs")
+        if not {"ab", "ba"} <= set(ab["order"]):
+            why.append("order_not_interleaved")
+        if len(ab) >= 6:
+            effect, low, high, n = estimate(ab, seed)
+            if n < 6:
+                why.append("too_few_independent_blocks")
+        if len(aa) >= 6:
+            _, a, b, n = estimate(aa, seed ^ 1)
+            floor = max(abs(a), abs(b))
+            if n < 6:
+                why.append("too_few_aa_blocks")
+            if floor > band_pct:
+                why.append("aa_noise_floor_too_wide")
+        if len(ab) not in looks:
+            why.append("not_a_declared_look")
+        if set(ab["block"]) & set(aa["block"]):
+            why.append("aa_ab_share_resampling_block")
+        verdict = "inconclusive" if why else "faster" if high < -band_pct else "slower" if low > band_pct else "equivalent" if -band_pct <= low and high <= band_pct else "inconclusive"
+        if not why and verdict == "inconclusive":
+            why.append("ci_spans_equivalence_band")
+        return pd.DataFrame([[*key, effect, low, high, floor, ",".join(why), verdict]], columns=[*session, *names]).astype(dict.fromkeys(names[:4], "float64"))
+
+    kinds = dict(pairs.dtypes)
+    shape = ", ".join(f"`{g}` {kinds[g]}" for g in session) + ", effect double, low double, high double, floor double, reasons string, verdict string"
+    return pairs.groupBy(*session).applyInPandas(judge, shape)

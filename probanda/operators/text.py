@@ -69,3 +69,42 @@ def containing(passages: DataFrame, docs: DataFrame, words: int = 6) -> DataFram
         hits = d_runs.join(p_runs, "_h").select("doc_id", "item_id", "_p").distinct()
         found = d.join(hits, "doc_id").where(F.contains("text", F.col("_p"))).select("item_id", "doc_id").union(_direct(p.where(~long), d))
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))
+
+
+def matched_units(before: DataFrame, after: DataFrame, group: list[str], moved: float = 4.0) -> DataFrame:
+    """What happened to text units (group.., at, text, x, y, h): moved, changed, missing or added; units in place are left out.
+
+    In order of `at`, each unit takes the nearest unused one of equal text (the first on ties), then each of
+    the others the nearest unused one not further than its height (8 at least). Units of a page are matched
+    together; pages are Spark's groups."""
+    columns = ["at", "text", "x", "y", "h"]
+
+    def match(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = (df.sort_values("at")[columns].to_dict("records") for df in (a, b))
+        free, out, left = dict(enumerate(b)), [], []
+        far = lambda u, v: ((u["x"] - v["x"]) ** 2 + (u["y"] - v["y"]) ** 2) ** 0.5
+        by_text: dict[str, list[int]] = {}
+        for j, v in free.items():
+            by_text.setdefault(v["text"], []).append(j)
+        for u in a:
+            same = [j for j in by_text.get(u["text"], ()) if j in free]
+            if not same:
+                left.append(u)
+                continue
+            j = min(same, key=lambda j: (far(u, free[j]), j))
+            v = free.pop(j)
+            if far(u, v) > moved:
+                out.append((*key, "moved", u["at"], v["at"]))
+        for u in left:
+            j = min(free, key=lambda j: (far(u, free[j]), j), default=None)
+            if j is not None and far(u, free[j]) <= max(u["h"], 8.0):
+                out.append((*key, "changed", u["at"], free.pop(j)["at"]))
+            else:
+                out.append((*key, "missing", u["at"], None))
+        out += [(*key, "added", None, v["at"]) for v in free.values()]
+        return pd.DataFrame(out, columns=[*group, "kind", "before", "after"]).astype({"before": "Int64", "after": "Int64"})
+
+    kinds = dict(before.dtypes)
+    shape = ", ".join(f"`{g}` {kinds[g]}" for g in group) + ", kind string, before long, after long"
+    rows = lambda df: df.select(*group, F.col("at").cast("long").alias("at"), "text", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "h")])
+    return rows(before).groupBy(*group).cogroup(rows(after).groupBy(*group)).applyInPandas(match, shape)

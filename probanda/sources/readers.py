@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType
 from pyspark.sql.window import Window
 
 from ..functions.scalars import seconds
@@ -87,3 +91,70 @@ def clipped(boxes: DataFrame, width: Column, height: Column) -> DataFrame:
     cut = (left != F.col("x")) | (top != F.col("y")) | (right != F.col("x") + F.col("w")) | (low != F.col("y") + F.col("h"))
     out = boxes.withColumn("clipped", cut).withColumn("dropped", (right <= left) | (low <= top))
     return out.withColumns({"x": left, "y": top, "w": F.greatest(right - left, F.lit(0.0)), "h": F.greatest(low - top, F.lit(0.0))})
+
+
+@F.pandas_udf(MapType(StringType(), StringType()))
+def _flat(documents: pd.Series) -> pd.Series:
+    def walk(prefix: str, value, out: dict) -> None:
+        if isinstance(value, dict) and (value or not prefix):
+            for k, v in value.items():
+                walk(f"{prefix}.{k}" if prefix else k, v, out)
+        else:
+            out[prefix] = value if isinstance(value, str) else json.dumps(value, separators=(",", ":"), ensure_ascii=False)
+
+    found = []
+    for text in documents:
+        try:
+            out: dict[str, str] | None = {}
+            walk("", json.loads(text), out)
+        except (TypeError, ValueError):
+            out = None
+        found.append(out)
+    return pd.Series(found, dtype=object)
+
+
+def flattened(rows: DataFrame, key: list[str], column: str = "json") -> DataFrame:
+    """key.., name, value of JSON documents: one row a leaf under its dotted name; arrays and empty objects are values as they stand, strings come without quotes. What is no JSON has no rows."""
+    return rows.select(*key, F.explode(_flat(column))).toDF(*key, "name", "value")
+
+
+def index_lines(lines: DataFrame, schema: str, version: str) -> DataFrame:
+    """Lines (path, line, text) of an append-only index as path, line, row (the parsed struct) and problem: malformed, or version_skew where `schema` is not the version; empty lines are passed over. A problem names its line, so that nothing is dropped unseen."""
+    d = lines.where(F.trim("text") != "").withColumn("row", F.from_json("text", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    bad = F.col("row").isNull() | F.col("row._bad").isNotNull()
+    problem = F.when(bad, F.concat(F.lit("line "), F.col("line"), F.lit(": malformed"))).when(~F.col("row.schema").eqNullSafe(F.lit(version)), F.concat(F.lit("line "), F.col("line"), F.lit(": version_skew")))
+    return d.withColumn("problem", problem).withColumn("row", F.when(F.col("problem").isNull(), F.col("row").dropFields("_bad")))
+
+
+def safe_relative(path: Column) -> Column:
+    """Whether a path stays below its root: relative, with no empty, `.` or `..` part, drive or backslash."""
+    return path.isNotNull() & (path != "") & ~path.rlike(r"^/|\\|^[A-Za-z]:|//|(^|/)\.{1,2}(/|$)|/$")
+
+
+FRAME_MAP = "schema string, fps double, frames array<struct<index:bigint,time_s:double,path:string>>"
+
+
+def frame_maps(files: DataFrame) -> DataFrame:
+    """path, index, time, file of frame maps (path, content), with problem: malformed, no_frames, unsafe_path, or order (index or time does not rise)."""
+    d = files.select("path", F.from_json("content", FRAME_MAP + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("m"))
+    bad = F.when(F.col("m").isNull() | F.col("m._bad").isNotNull(), "malformed").when(F.size(F.coalesce("m.frames", F.array())) == 0, "no_frames")
+    d = d.withColumn("_p", bad).select("path", "_p", F.posexplode_outer("m.frames").alias("at", "f"))
+    w = Window.partitionBy("path").orderBy("at")
+    order = (F.col("f.index") <= F.lag("f.index").over(w)) | (F.col("f.time_s") <= F.lag("f.time_s").over(w))
+    problem = F.coalesce(F.col("_p"), F.when(~safe_relative(F.col("f.path")), "unsafe_path").when(order, "order"))
+    return d.select("path", F.col("f.index").alias("index"), F.col("f.time_s").alias("time"), F.col("f.path").alias("file"), problem.alias("problem"))
+
+
+COCO = "images array<struct<id:bigint,file_name:string,width:bigint,height:bigint>>, annotations array<struct<id:bigint,image_id:bigint,category_id:bigint,bbox:array<double>>>, categories array<struct<id:bigint,name:string>>"
+
+
+def coco_boxes(files: DataFrame) -> DataFrame:
+    """path, image, id, label, x, y, w, h, problem of COCO files (path, content): every annotation of every image; unknown_image, unknown_category or bad_box (not four numbers, no area, or outside the image)."""
+    d = files.select("path", F.from_json("content", COCO).alias("c"))
+    images = d.select("path", F.explode("c.images").alias("i")).select("path", F.col("i.id").alias("image_id"), F.col("i.file_name").alias("image"), "i.width", "i.height")
+    names = d.select("path", F.explode("c.categories").alias("k")).select("path", F.col("k.id").alias("category_id"), F.col("k.name").alias("label"))
+    a = d.select("path", F.explode("c.annotations").alias("a")).select("path", "a.*").join(images, ["path", "image_id"], "left").join(names, ["path", "category_id"], "left")
+    x, y, w, h = (F.get("bbox", F.lit(i)) for i in range(4))
+    fits = (F.size("bbox") == 4) & (w > 0) & (h > 0) & (x >= 0) & (y >= 0) & (x + w <= F.col("width")) & (y + h <= F.col("height"))
+    problem = F.when(F.col("image").isNull(), "unknown_image").when(F.col("label").isNull(), "unknown_category").when(~F.coalesce(fits, F.lit(False)), "bad_box")
+    return a.select("path", "image", "id", "label", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"), problem.alias("problem"))
