@@ -1,7 +1,7 @@
 """Licence scans: a trained paragraph classifier, in DataFrame functions only.
 
 A paragraph is what stands between empty lines and has a letter or digit. Its lines,
-and its runs of up to WRAP lines (notices may be wrapped), are classified: distinct word n-grams up to
+and its runs of up to WRAP lines of at most WRAPPED characters each (notices may be wrapped), are classified: distinct word n-grams up to
 MOST words are the features of a softmax regression over licence families and
 `unknown`. Weights are learnt on the driver from generated
 variants of the notices below and of harmless lines, TRAINED of each, and go
@@ -25,7 +25,7 @@ import random
 import re
 from collections import Counter
 from collections.abc import Callable
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -73,7 +73,7 @@ IDENTIFIER = r"spdx-license-identifier:\s*([a-z0-9.+-]+)"
 BLANK = r"\n(?:[ \t\r\x0B\x0C]*\n)+"
 UNKNOWN = "unknown"
 CLASSES = (UNKNOWN, *sorted(NOTICES))
-MOST, TRAINED, ROUNDS, DROPPED, MISSED, SHARED, WRAP = 3, 60, 120, 0.03, 0.01, 0.6, 4
+MOST, TRAINED, ROUNDS, DROPPED, MISSED, SHARED, WRAP, WRAPPED = 3, 60, 120, 0.03, 0.01, 0.6, 4, 200
 TOKEN = re.compile("[a-z0-9]+")
 
 
@@ -178,13 +178,14 @@ def _runs(w: Column, k: int) -> Column:
 def _classified(line: Column, m: Model) -> Column:
     """family, probability, shared of lower-cased lines."""
     weights = F.from_json(F.lit(json.dumps(m.weights)), "map<string,array<double>>")
+    known = F.from_json(F.lit(json.dumps(list(m.weights))), "array<string>")
     notices = F.from_json(F.lit(json.dumps({k: [_pairs(t) for t in v] for k, v in NOTICES.items()})), "map<string,array<array<string>>>")
     names = F.array(*[F.lit(c) for c in CLASSES])
     bias = F.array(*[F.lit(b) for b in m.bias])
     add = lambda acc, g: _let(F.try_element_at(weights, g), lambda v: F.when(v.isNull(), acc).otherwise(F.zip_with(acc, v, lambda a, b: a + b)))
 
     def judged(w: Column) -> Column:
-        features = F.array_distinct(F.concat(w, *[_runs(w, k) for k in range(2, MOST + 1)]))
+        features = F.array_intersect(F.concat(w, *[_runs(w, k) for k in range(2, MOST + 1)]), known)  # distinct ones that have weights
         scores = F.aggregate(features, bias, add)
         best = _let(scores, lambda z: F.struct(F.array_position(z, F.array_max(z)).cast("int").alias("k"), (1 / F.aggregate(z, F.lit(0.0), lambda a, v: a + F.exp(v - F.array_max(z)))).alias("p")))
 
@@ -200,10 +201,8 @@ def _classified(line: Column, m: Model) -> Column:
 
 
 def _has_sign(lowered: Column) -> Column:
-    found = F.contains(lowered, F.lit("spdx-license-identifier:"))
-    for sign in signs():
-        found = found | F.contains(lowered, F.lit(sign))
-    return found
+    """Whether a sign, or what begins an identifier, is among the words."""
+    return F.arrays_overlap(F.split(lowered, "[^a-z0-9]+"), F.array(*[F.lit(s) for s in (*signs(), "spdx")]))
 
 
 def _identified(line: Column) -> Column:
@@ -222,7 +221,10 @@ def licences(docs: DataFrame) -> DataFrame:
 
     def units(block: Column) -> Column:
         """The lines of a paragraph, and its runs of lines, that have a sign."""
-        runs = lambda ls: F.concat(ls, *[F.transform(F.slice(ls, F.lit(1), F.greatest(F.size(ls) - (k - 1), F.lit(0))), lambda x, i: F.concat_ws(" ", x, *[F.get(ls, i + j) for j in range(1, k)])) for k in range(2, WRAP + 1)])  # noqa: E731, B023
+        start = lambda ls, k: F.slice(ls, F.lit(1), F.greatest(F.size(ls) - (k - 1), F.lit(0)))
+        short = lambda x, *more: reduce(lambda a, b: a & b, [F.length(y) <= WRAPPED for y in (x, *more)])
+        joined = lambda ls, k: F.transform(start(ls, k), lambda x, i: F.when(short(x, *[F.get(ls, i + j) for j in range(1, k)]), F.concat_ws(" ", x, *[F.get(ls, i + j) for j in range(1, k)])))
+        runs = lambda ls: F.concat(ls, *[F.array_compact(joined(ls, k)) for k in range(2, WRAP + 1)])
         return _let(F.filter(F.split(block, "\n"), has_content), lambda ls: F.concat(F.transform(ls, _identified), F.transform(F.filter(F.transform(F.filter(runs(ls), _has_sign), lambda x: _classified(x, m)), sure), lambda c: c["family"])))
 
     sure = lambda c: (c["family"] != UNKNOWN) & (c["probability"] >= m.limit) & (c["shared"] >= SHARED)
@@ -247,7 +249,7 @@ d AS (SELECT row_number() OVER () AS r, doc_id, lower(coalesce(text, '')) AS tex
 q AS (SELECT r, b, list_filter(string_split(block, chr(10)), lambda x: {content("x")}) AS ls
       FROM (SELECT r, generate_subscripts(x, 1) AS b, unnest(x) AS block FROM (SELECT r, string_split_regex(text, '{BLANK}') AS x FROM d)) WHERE {content("block")}),
 u AS (SELECT row_number() OVER () AS i, r, b, k, array_to_string(ls[j:j + k - 1], ' ') AS line
-      FROM (SELECT r, b, ls, k, unnest(generate_series(1, len(ls) - k + 1)) AS j FROM q, generate_series(1, {WRAP}) AS t(k))),
+      FROM (SELECT r, b, ls, k, unnest(generate_series(1, len(ls) - k + 1)) AS j FROM q, generate_series(1, {WRAP}) AS t(k)) WHERE k = 1 OR list_max(list_transform(ls[j:j + k - 1], lambda x: length(x))) <= {WRAPPED}),
 c AS (SELECT i, regexp_extract_all(line, '[a-z0-9]+') AS w FROM u),
 f AS (SELECT i, unnest(list_distinct(list_concat(w, {run(2)}, {run(3)}))) AS g FROM c),
 s AS (SELECT i, k, sum(v[k]) AS z FROM f JOIN weights USING (g), generate_series(1, {len(CLASSES)}) AS t(k) GROUP BY ALL),
