@@ -31,7 +31,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import Ragged, by_size, chunked, plain_parts, text_batches
 
@@ -41,10 +40,10 @@ STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 FINE = re.compile(rf"{SPACE}*[^\W\d_]+|{SPACE}*(?:[^\w{SPACE}]|[\d_])+|{SPACE}+")
 LETTER = re.compile(r"[^\W\d_]")
 #: Nodes and their ids that a worker remembers, then forgets together.
-REMEMBERED, IDS = 1_000_000, 16_000_000
+REMEMBERED, IDS = 300_000, 8_000_000
 SLOT_BITS = 21
 #: Stretches of up to so many characters are merged side by side, SIDE at a time; longer ones one by one, at every place. Texts are taken together up to TOGETHER characters.
-WIDTHS, SIDE, TOGETHER = (6, 9, 12, 16, 24), 4096, 4_000_000
+WIDTHS, SIDE, TOGETHER = (6, 9, 12, 16, 24), 4096, 1_000_000
 M64, K1, K2, K3 = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x94D049BB133111EB
 
 
@@ -90,8 +89,12 @@ class Segmenter:
 
     def forget(self) -> None:
         """Node 0 is a space sign of the text itself."""
-        #: Of a node: ids, candidates (places times K1 plus pieces times K2), what it stands for (None for long stretches), and skips before.
-        self.pieces, self.marks, self.of, self.skips = Ragged(self.kind), Ragged("<u8"), [None], [()]
+        #: Of a node: ids, and candidates (places times K1 plus pieces times K2).
+        self.pieces, self.marks = Ragged(self.kind), Ragged("<u8")
+        #: Of a node: the number of its stretch in `names`, the node above (-1 for roots), and the skip that leads from there.
+        self.names: list[str] = []
+        self.above = np.zeros(256, [("name", np.int32), ("node", np.int32), ("skip", np.uint64)])
+        self.above["node"] = -1
         self.pieces.add(self.sign, np.array([len(self.sign)]))
         self.marks.add(np.zeros(0, np.uint64), np.zeros(1, np.int64))
         #: Beside each candidate, the node that follows its skip, or -1.
@@ -112,21 +115,31 @@ class Segmenter:
         h = (h ^ h >> np.uint64(29)) * np.uint64(K3)
         return h ^ h >> np.uint64(32)
 
-    def _grow(self, stretches: list[str], skips: list[tuple[int, ...]]) -> np.ndarray:
-        """New nodes of stretches after these skips; those of like length are merged side by side."""
-        out = np.zeros(len(stretches), np.int64)
+    def _skips(self, node: int) -> list[int]:
+        """The skips that lead to a node."""
+        out: list[int] = []
+        while self.above["node"][node] >= 0:
+            out.append(int(self.above["skip"][node]))
+            node = self.above["node"][node]
+        return out[::-1]
+
+    def _grow(self, names: np.ndarray, above: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """New nodes of stretches, below these nodes (-1 for roots) by these skips; those of like length are merged side by side."""
+        stretches, out = [self.names[i] for i in names.tolist()], np.zeros(len(names), np.int64)
+        skips = [[*self._skips(a), s] if a >= 0 else [] for a, s in zip(above.tolist(), last.tolist(), strict=True)]
         sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
         low = 0
         for high in WIDTHS:
             which = np.flatnonzero((sizes > low) & (sizes <= high))
             for at in range(0, len(which), SIDE):
                 part = which[at : at + SIDE].tolist()
-                names, before = [stretches[i] for i in part], [skips[i] for i in part]
-                ids, n_ids, marks, n_marks = self._merge_side(names, high, before)
-                out[part] = self.pieces.add(ids, n_ids)
+                ids, n_ids, marks, n_marks = self._merge_side([stretches[i] for i in part], high, [skips[i] for i in part])
+                out[part] = nodes = self.pieces.add(ids, n_ids)
                 self.marks.add(marks, n_marks)
-                self.of += names
-                self.skips += before
+                if self.pieces.n > len(self.above):
+                    more = np.zeros(len(self.above), self.above.dtype)
+                    self.above = np.concatenate([self.above, more, np.zeros(max(0, self.pieces.n - 2 * len(more)), self.above.dtype)])
+                self.above["name"][nodes], self.above["node"][nodes], self.above["skip"][nodes] = names[part], above[part], last[part]
             low = high
         room = len(self.marks.flat) - len(self.next)
         if room > 0:
@@ -163,7 +176,7 @@ class Segmenter:
         out[(a < 0) | (b < 0)] = -1
         return out
 
-    def _merge_side(self, stretches: list[str], width: int, skips: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _merge_side(self, stretches: list[str], width: int, skips: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The agenda of every stretch as a row of candidates; in a step each row takes its best, leftmost one, or skips it if told. Gives the ids of each and their number, and the candidates taken after the last skip and their number."""
         n = len(stretches)
         points = np.zeros((n, width), np.uint32)
@@ -307,7 +320,10 @@ class Segmenter:
         """Roots of stretches that have none yet."""
         new = list(dict.fromkeys(s for s in stretches if s not in self.roots))
         short = [s for s in new if len(s) <= WIDTHS[-1]]
-        self.roots.update(zip(short, self._grow(short, [()] * len(short)).tolist(), strict=True))
+        none = np.full(len(short), -1)
+        first = len(self.names)
+        self.names += short
+        self.roots.update(zip(short, self._grow(np.arange(first, len(self.names)), none, none.astype(np.uint64)).tolist(), strict=True))
         for s in new:
             if len(s) > WIDTHS[-1]:
                 self.long.append(s)
@@ -366,8 +382,8 @@ class Segmenter:
             active, place = active[owner[first]], at[hit[first]]
             missing, one = np.unique(place[self.next[place] < 0], return_index=True)
             if len(missing):
-                above = nodes[active[self.next[place] < 0][one]].tolist()
-                made = self._grow([self.of[x] for x in above], [(*self.skips[x], m) for x, m in zip(above, self.marks.flat[missing].tolist(), strict=True)])
+                above = nodes[active[self.next[place] < 0][one]]
+                made = self._grow(self.above["name"][above], above, self.marks.flat[missing])
                 self.next[missing] = made
             nodes[active] = self.next[place]
         return nodes
@@ -376,7 +392,7 @@ class Segmenter:
         """Ids of each text under its key; stretches of several texts are merged together."""
         begin = 0
         for group in by_size(texts, TOGETHER):
-            if len(self.of) > REMEMBERED or self.pieces.used > IDS or len(self.long) > SIDE:
+            if self.pieces.n > REMEMBERED or self.pieces.used > IDS or len(self.long) > SIDE:
                 self.forget()
             nodes, counts = self._roots(group)
             keys = np.concatenate([self.places(v, c) for v, c in zip(variants[begin : begin + len(group)], counts.tolist(), strict=True)])
@@ -414,7 +430,7 @@ def segmenter(path: str, dropout: float, seed: int) -> Segmenter:
 
 
 def segmented(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 11) -> DataFrame:
-    """doc_id, ids array<int> of every row; rows that repeat a document are its copies and are parted each on its own."""
+    """doc_id, ids array<int> of every row. Rows that repeat a document are its copies and are parted each on its own, by their place in the input: the same files, split alike, give the same pieces again, and no row is moved to number it."""
 
     text_batches(docs.sparkSession)
 
@@ -424,8 +440,7 @@ def segmented(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 11)
         found = s.encode_many([t or "" for t in texts], [s.variant(i, c) for i, c in zip(ids, copies, strict=True)])
         return pd.Series([x.astype(np.int32) for x in found], dtype=object)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("_hash", F.xxhash64("text"))
-    rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy("_hash")) - 1)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("_copy"))
     return rows.select("doc_id", encode(F.col("doc_id").cast("string"), "_copy", "text").alias("ids"))
 
 
