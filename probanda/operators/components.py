@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import written
+from ..sources.tables import replaced
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -22,10 +22,10 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (least node reachable) of every node of the links (a, b); nodes without links are not listed."""
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
+    edges, path = replaced(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges", None)
     state = None
     while True:
-        edges = written(_stars(_stars(edges, True), False), "edges")
+        edges, path = replaced(_stars(_stars(edges, True), False), "edges", path)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
