@@ -76,8 +76,7 @@ def counter_diff(before: DataFrame, after: DataFrame, key: list[str], terms: Dat
     j = before.withColumnRenamed("value", "before").join(after.withColumnRenamed("value", "after"), on, "full_outer").join(terms, [*key, "id"], "left")
     known = F.coalesce(F.col("comparable"), F.lit(False)) & F.col("before").isNotNull() & F.col("after").isNotNull()
     j = j.withColumn("delta", F.when(known, F.col("after") - F.col("before"))).withColumn("pct", F.when(known & (F.col("before") != 0), 100 * (F.col("after") - F.col("before")) / F.col("before")))
-    w = Window.partitionBy(*key, "id").orderBy(F.coalesce(F.abs("pct"), F.lit(-1.0)).desc(), "counter")
-    return j.withColumn("place", F.row_number().over(w)).drop("comparable")
+    return by_change(j, [*key, "id"]).drop("comparable")
 
 
 #: Gaps and remainders below this many milliseconds count as nothing.

@@ -114,3 +114,14 @@ def midpoint_threshold(scores: DataFrame) -> DataFrame:
     f = scores.where("part = 'fit'").agg(F.min(F.when(F.col("label") == 1, F.col("score"))).alias("lo"), F.max(F.when(F.col("label") == 0, F.col("score"))).alias("hi")).withColumn("limit", (F.col("lo") + F.col("hi")) / 2)
     h = scores.where("part <> 'fit'").crossJoin(F.broadcast(f.select("limit")))
     return h.groupBy("limit").agg(F.count_if((F.col("label") == 0) & (F.col("score") >= F.col("limit"))).alias("false_positives"), F.count_if((F.col("label") == 1) & (F.col("score") < F.col("limit"))).alias("false_negatives"), F.count(F.lit(1)).alias("n"))
+
+
+def labelled(predictions: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+    """Predictions with their labels; those without keep their row, so that they can be counted."""
+    return predictions.join(labels, keys, "left")
+
+
+def label_coverage(joined: DataFrame) -> DataFrame:
+    """How many predictions have a label, and their accuracy, null without any."""
+    n = F.count("correct")
+    return joined.agg(F.count(F.lit(1)).alias("predictions"), n.alias("labelled"), (F.count(F.lit(1)) - n).alias("unlabelled"), F.avg("correct").alias("accuracy"))

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evidence, review, robust, tabular
+from . import evidence, review, robust, small, tabular
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = tabular.QUERIES | evidence.QUERIES | robust.QUERIES | review.QUERIES
-ORACLES: dict[str, str] = tabular.ORACLES | evidence.ORACLES | robust.ORACLES | review.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = tabular.QUERIES | evidence.QUERIES | robust.QUERIES | review.QUERIES | small.QUERIES
+ORACLES: dict[str, str] = tabular.ORACLES | evidence.ORACLES | robust.ORACLES | review.ORACLES | small.ORACLES
 FLAGSHIP = "pair_and_gate"
