@@ -367,8 +367,8 @@ def latency_percentiles(spark, sf_dir):
 
 @query()
 def matched_units(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("at"), F.col("l_returnflag").alias("text"), (F.col("l_partkey") % 500).alias("x"), (F.col("l_suppkey") * 5).alias("y"), F.lit(12).alias("h"))
-    return text.matched_units(li.where("at < 5"), li.where("at > 1").withColumn("x", F.col("x") + F.when(F.col("page") % 2 == 0, 9).otherwise(1)), ["page"])
+    li = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 200).alias("page"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("at"), F.concat_ws("-", "l_returnflag", F.col("l_partkey") % 40).alias("text"), (F.col("l_partkey") % 500).alias("x"), (F.col("l_suppkey") * 5).alias("y"), F.lit(12).alias("h"))
+    return text.matched_units(li.where("at % 8 < 5"), li.where("at % 8 > 1").withColumn("x", F.col("x") + F.when(F.col("page") % 2 == 0, 9).otherwise(1)), ["page"])
 
 
 # --- readers ---------------------------------------------------------------
