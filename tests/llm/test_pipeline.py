@@ -46,7 +46,7 @@ def test_run_against_plain_python(spark, tmp_path):
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     out = c.run(spark, str(tmp_path)).collect()
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    kept = {(r["doc_id"], r["n_words"]) for r in quality.quality_report(docs).where("kept").collect()}
+    kept = {(r["doc_id"], r["n_words"]) for r in quality.quality_report(docs).collect() if r["kept"]}
     texts = [(i, x, r[3]) for r in rows for i, x in [(r[0], r[1] or "")] if (i, len(x.split())) in kept]
     sets = [ngram_join.shingle_set(x, 5) for _, x, _ in texts]
     near = lambda a, b: 100 * (n := len(set(a.tolist()) & set(b.tolist()))) >= 80 * (len(a) + len(b) - n)
