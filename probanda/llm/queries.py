@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, languages, licences, mixing, ngram_join, personal_data, quality, segmentation, token_files, toxicity
+from . import fill_middle, fingerprints, languages, licences, minhash, mixing, ngram_join, personal_data, quality, resampling, segmentation, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +59,21 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_copies(_table(spark, sf_dir, "documents"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.report(_table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_fingerprints, op2_personal_data, op3_toxicity, op4_languages, op5_quality, op6_mixing, op7_token_files, op8_segmentation, op9_licences, op10_ngram_join)
+    for f in (op1_fingerprints, op2_personal_data, op3_toxicity, op4_languages, op5_quality, op6_mixing, op7_token_files, op8_segmentation, op9_licences, op10_ngram_join, op11_minhash, op12_fill_middle, op13_resampling)
 }
 
 _STOPS = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS)))
@@ -88,4 +100,4 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        NOT base_failed AND {_RULES} AS kept FROM q
 """
 
-ORACLES: dict[str, str] = {"op5_quality": QUALITY_SQL, "op9_licences": licences.licences_sql()}
+ORACLES: dict[str, str] = {"op5_quality": QUALITY_SQL, "op9_licences": licences.licences_sql(), "op11_minhash": minhash.DUPLICATES_SQL, "op12_fill_middle": fill_middle.MIDDLE_SQL, "op13_resampling": resampling.RESAMPLING_SQL}
