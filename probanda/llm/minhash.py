@@ -7,15 +7,19 @@ coordinate is the least value that it gives any shingle. COORDINATES coordinates
 bands of ROWS; documents that agree in a band share a bucket. A pair of similarity 0.8 shares none of 32
 bands of 4 with probability 5e-8.
 
-Sets that are equal are one node. Linking runs in two rounds. Nodes alone in a
+Sets that are equal are one node. Linking runs in three rounds. Nodes alone in a
 bucket with one other are tried against it, and every node against the first
-node of most of its larger buckets. Then buckets that still hold several
-components are joined: pairs of different components whose sizes allow a link and
-whose signatures agree in no fewer coordinates than SLACK deviations below the threshold's expectation.
+node of most of its larger buckets. Then, in buckets that still hold several
+components, every node outside the largest one is tried against the BEST nodes of
+other components whose signatures are most like its own, if that promises a link.
+At last all pairs of different components that share a bucket are, if their sizes allow a link and
+their signatures agree in no fewer coordinates than SLACK deviations below the
+threshold's expectation; a pair is taken up in the first band in which it agrees.
 Pairs within a component need no look, so groups of thousands of near copies
 stay linear. Buckets above BLOCK nodes part into chunks, and each pair of chunks
 is joined once, but for two of the largest component. All pairs are verified on whole sets: a node's set
-is read once for each group of at most FOLLOWERS nodes that are tried against it.
+is read once for each group of at most FOLLOWERS nodes that are tried against it, and in the last round
+once for each bucket that needs it, so that pairs that do not link are never rows.
 
 Words are runs without white space after lower-casing A-Z. A text of fewer than
 WIDTH words is one shingle; null texts and texts without words have no
@@ -42,7 +46,11 @@ from .ngram_join import near, shingle_set
 WIDTH, PERCENT, COORDINATES, ROWS = 2, 80, 128, 4
 #: Deviations of the share of agreeing coordinates; a link falls below with a probability near 1e-9.
 SLACK = 6
+#: Before all pairs are joined, a node is tried against so many nodes of a bucket, unless they agree in fewer coordinates than LIKELY deviations below.
+BEST, LIKELY = 8, 2
 BLOCK, FOLLOWERS = 2048, 256
+#: And a chunk has about so many shingles, as a task holds the sets of two chunks.
+BLOCK_WORDS = 4_000_000
 #: Tables of ids up to this many rows (8 to 32 bytes each) are broadcast; longer ones are joined by shuffle.
 SMALL = 2_000_000
 #: Shingles that are permuted together, so that they stay in a core's cache.
@@ -92,10 +100,10 @@ def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return (keys ^ keys >> np.uint64(32)).view(np.int64)
 
 
-def least_agreement(percent: int, coordinates: int) -> int:
+def least_agreement(percent: int, coordinates: int, slack: float = SLACK) -> int:
     """The coordinates in which linked signatures agree at the least."""
     t = percent / 100
-    return int(np.floor(coordinates * t - SLACK * np.sqrt(coordinates * t * (1 - t))))
+    return int(np.floor(coordinates * t - slack * np.sqrt(coordinates * t * (1 - t))))
 
 
 def records(docs: DataFrame, width: int, coordinates: int, rows: int) -> DataFrame:
@@ -128,29 +136,89 @@ def _small(df: DataFrame, count: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if count is None else count) <= SMALL else df
 
 
-def _join_buckets(percent: int, least: int):
-    def joined(rows: pd.DataFrame) -> pd.DataFrame:
-        key, left, right, chunk, node, n, comp = (rows[c].to_numpy(np.int64) for c in ("key", "left", "right", "chunk", "node", "n", "comp"))
-        brief = np.frombuffer(b"".join(rows["brief"]), np.uint8).reshape(len(rows), -1)
-        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
-        out = [np.zeros((0, 2), np.int64)]
-        for low, high in zip(starts, np.r_[starts[1:], len(key)], strict=True):
-            apart = left[low] != right[low]
-            order = low + np.argsort(n[low:high], kind="stable")
-            sizes = n[order]
-            # Sizes ascend, so the partners of a row that are no smaller end where they get too large for it.
-            ends = np.searchsorted(sizes * percent, sizes * 100, "right")
-            for i in range(len(order) - 1):
-                at, others = order[i], order[i + 1 : ends[i]]
-                others = others[comp[others] != comp[at]]
-                if apart:
-                    others = others[chunk[others] != chunk[at]]
-                if len(others):
-                    others = others[(brief[others] == brief[at]).sum(1) >= least]
-                    out.append(np.column_stack([np.minimum(node[others], node[at]), np.maximum(node[others], node[at])]))
-        return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
-
-    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _first_band(x: np.ndarray, y: np.ndarray, rows: int) -> np.ndarray:
+    """The first band in which the brief signatures x agree with y. Bytes agree by chance in an earlier band with a probability near 1e-8."""
+    return (x == y).reshape(len(x), x.shape[1] // rows, rows).all(2).argmax(1)
+
+
+def _buckets(rows: pd.DataFrame, percent: int) -> Iterator[tuple]:
+    """Each bucket, or pair of its chunks: places of its rows by ascending size, their components (which may be changed meanwhile), and a function from a place to those that sizes, components and chunks let it link with (the later ones, or all)."""
+    key, left, right, chunk, n, comp = (rows[c].to_numpy(np.int64) for c in ("key", "left", "right", "chunk", "n", "comp"))
+    starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
+    for low, high in zip(starts, np.r_[starts[1:], len(key)], strict=True):
+        order = low + np.argsort(n[low:high], kind="stable")
+        sizes, comps, chunks = n[order], comp[order], chunk[order]
+        if (comps == comps[0]).all():
+            continue
+        apart = left[low] != right[low]
+        begins, ends = np.searchsorted(sizes * 100, sizes * percent, "left"), np.searchsorted(sizes * percent, sizes * 100, "right")
+
+        def partners(i: int, later: bool, c=comps, k=chunks, b=begins, e=ends, apart=apart) -> np.ndarray:
+            at = np.arange(i + 1 if later else b[i], e[i])
+            return at[(c[at] != c[i]) & (k[at] != k[i] if apart else True)]
+
+        yield order, comps, partners
+
+
+def _briefs(rows: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["brief"]), np.uint8).reshape(len(rows), -1)
+
+
+def _most_alike(rows: pd.DataFrame, percent: int, least: int, per_band: int) -> pd.DataFrame:
+    """Of each node outside the largest component of its bucket, the pairs with the BEST most like ones."""
+    brief, node, out = _briefs(rows), rows["node"].to_numpy(np.int64), [np.zeros((0, 2), np.int64)]
+    for order, comps, partners in _buckets(rows, percent):
+        names, counts = np.unique(comps, return_counts=True)
+        for i in np.flatnonzero(comps != names[counts.argmax()]):
+            others = order[partners(i, False)]
+            like = (brief[others] == brief[order[i]]).sum(1)
+            others = node[others[np.argsort(-like, kind="stable")[:BEST]][: (like >= least).sum()]]
+            out.append(np.column_stack([np.minimum(others, node[order[i]]), np.maximum(others, node[order[i]])]))
+    return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
+
+
+def _alike(brief: np.ndarray, order: np.ndarray, i: int, others: np.ndarray, band: int, least: int, per_band: int) -> np.ndarray:
+    """Those of the others that agree with i in enough coordinates, and in no earlier band."""
+    x, y = brief[order[others]], brief[order[i]]
+    ok = (x == y).sum(1) >= least
+    ok[ok] = _first_band(x[ok], y, per_band) == band
+    return others[ok]
+
+
+def _still_open(rows: pd.DataFrame, percent: int, least: int, per_band: int) -> pd.DataFrame:
+    """The rows that are to be compared with some other row of their bucket."""
+    brief, band, wanted = _briefs(rows), rows["band"].to_numpy(), np.zeros(len(rows), bool)
+    for order, _, partners in _buckets(rows, percent):
+        for i in range(len(order) - 1):
+            others = _alike(brief, order, i, partners(i, True), band[order[0]], least, per_band)
+            wanted[order[others]] = True
+            wanted[order[i]] |= bool(len(others))
+    return rows[wanted]
+
+
+def _links_within(rows: pd.DataFrame, percent: int, least: int, per_band: int) -> pd.DataFrame:
+    """Links between components that the buckets hold, until they are one."""
+    brief, band, node, out = _briefs(rows), rows["band"].to_numpy(), rows["node"].to_numpy(np.int64), []
+    sets = [np.frombuffer(s, np.uint64) for s in rows["s"]]
+    for order, comps, partners in _buckets(rows, percent):
+        for i in range(len(order) - 1):
+            for j in _alike(brief, order, i, partners(i, True), band[order[0]], least, per_band):
+                if comps[i] != comps[j] and linked_sets(sets[order[i]], sets[order[j]], percent):
+                    out.append(sorted((node[order[i]], node[order[j]])))
+                    comps[comps == comps[j]] = comps[i]
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def linked_sets(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(small):
+        return False
+    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _by_bucket(work, *parameters):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by bucket and chunks; the last of a batch wait for the rest of theirs."""
         held = None
         for batch in batches:
@@ -158,11 +226,11 @@ def _join_buckets(percent: int, least: int):
             ends = (rows[["key", "left", "right"]] == rows[["key", "left", "right"]].iloc[-1]).all(axis=1).to_numpy().argmax()
             held = rows.iloc[ends:]
             if ends:
-                yield joined(rows.iloc[:ends])
+                yield work(rows.iloc[:ends], *parameters)
         if held is not None:
-            yield joined(held)
+            yield work(held, *parameters)
 
-    return join
+    return run
 
 
 def _linked(percent: int):
@@ -176,33 +244,60 @@ def _linked(percent: int):
                 if not follows:
                     now, head = (a, part), x
                 elif (a, part) == now:
-                    small, large = (x, head) if len(x) <= len(head) else (head, x)
-                    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-                    if 100 * both >= percent * (len(x) + len(head) - both):
+                    if linked_sets(x, head, percent):
                         out.append((a, node))
             yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return linked
 
 
-def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, width: int, percent: int, repeated: bool) -> DataFrame:
-    """The pairs of nodes (a, b) whose sets link. Only texts that some pair names are read for their sets; of repeated rows one is."""
-    pairs = written(pairs.select("a", "b").distinct(), "candidates")
-    wanted = written(names.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node").select("doc_id", "hash", "node"), "wanted")
+def sets_of(nodes: DataFrame, docs: DataFrame, names: DataFrame, width: int, repeated: bool) -> DataFrame:
+    """node, s (its set) of the nodes. Only their texts are read for sets; of repeated rows one is."""
+    wanted = written(names.join(nodes.distinct(), "node").select("doc_id", "hash", "node"), "wanted")
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t, width).tobytes() for t in texts], dtype=object)
 
     rows = _texts(docs).join(_small(wanted), ["doc_id", "hash"]).select("node", "text")
-    sets = (rows.dropDuplicates(["node"]) if repeated else rows).select("node", packed("text").alias("s"))
+    return (rows.dropDuplicates(["node"]) if repeated else rows).select("node", packed("text").alias("s"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of nodes (a, b) whose sets link. The set of a is read once for each FOLLOWERS pairs."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FOLLOWERS).cast("int").alias("parts"))
     tried = pairs.join(_small(parts), "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.col("b").alias("node"), F.lit(True).alias("follows"))
     heads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("node"), F.lit(False).alias("follows"))
-    met = tried.union(heads).join(sets, "node").repartition(partitions(docs.sparkSession), "a", "part").sortWithinPartitions("a", "part", "follows")
+    met = tried.union(heads).join(sets, "node").repartition(partitions(pairs.sparkSession), "a", "part").sortWithinPartitions("a", "part", "follows")
     return written(met.select("a", "part", "node", "follows", "s").mapInPandas(_linked(percent), "a long, b long"), "links")
 
 
+def open_buckets(members: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components of the links, dealt and sorted by bucket and pair of chunks."""
+    so_far = written(components(links), "so-far")
+    rows = members.where("c > 2").join(_small(so_far), "node", "left").select("key", "band", "node", "n", F.coalesce("component", "node").alias("comp"))
+    rows = written(rows, "open")
+    by_comp = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("words"))
+    largest = F.max(F.struct("count", "words", "comp")).alias("m")
+    several = by_comp.groupBy("key").agg(F.sum("count").alias("size"), F.sum("words").alias("words"), largest, F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    # Chunks 0 to m - 1 have the other components' nodes, m to m + t - 1 those of the largest.
+    chunks = lambda size, words: F.ceil(F.greatest(size / BLOCK, words / BLOCK_WORDS)).cast("int")
+    wide = (F.col("size") > BLOCK) | (F.col("words") > BLOCK_WORDS)
+    m = F.when(wide, chunks(F.col("size") - F.col("m.count"), F.col("words") - F.col("m.words"))).otherwise(1)
+    t = F.when(wide, chunks(F.col("m.count"), F.col("m.words"))).otherwise(0)
+    several = written(several.select("key", wide.alias("wide"), F.col("m.comp").alias("top"), m.alias("m"), t.alias("t")), "open-buckets")
+    by_hash = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    dealt = rows.join(_small(several), "key")
+    dealt = dealt.withColumn("chunk", F.when(~F.col("wide"), 0).when(F.col("comp") != F.col("top"), by_hash(F.col("m"))).otherwise(F.col("m") + by_hash(F.greatest("t", F.lit(1)))))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("chunk") < F.col("m"), F.col("m") + F.col("t") - 1).otherwise(F.col("m") - 1))))
+    sides = [F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right")]
+    return sorted_buckets(dealt.select("key", "band", *sides, "chunk", "node", "n", "comp").join(nodes.select("node", "brief"), "node"))
+
+
+def sorted_buckets(rows: DataFrame) -> DataFrame:
+    return rows.repartition(partitions(rows.sparkSession), "key", "left", "right").sortWithinPartitions("key", "left", "right")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, coordinates: int = COORDINATES, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     spark = docs.sparkSession
@@ -216,37 +311,32 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     repeated = bool(usable.groupBy("doc_id", "hash").count().where("count > 1").head(1))
     nodes = usable.drop("digest").join(_small(names.drop("digest"), n_names), ["doc_id", "hash"]).select("node", "n", "keys", "brief")
     nodes = written(nodes.dropDuplicates(["node"]) if repeated else nodes, "node-rows")
-    keys = nodes.select(F.explode("keys").alias("key"), "node", "n")
+    keys = nodes.select(F.posexplode("keys").alias("band", "key"), "node", "n")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "n")).alias("m")).where("c > 1")
     shared = written(shared.select("key", "c", F.col("m.node").alias("center"), F.col("m.n").alias("center_n")), "buckets")
     members = written(keys.join(_small(shared), "key"), "members")
-    checked = lambda pairs: verified(pairs, docs, names, width, percent, repeated)
 
     twos = members.where("c = 2 and node > center").where(near("n", "center_n", percent)).select("center", "node")
     large = members.where("c > 2 and node > center").where(near("n", "center_n", percent)).groupBy("node", "center").agg(F.count(F.lit(1)).alias("k"))
-    best = large.groupBy("node").agg(F.max(F.struct("k", "center")).alias("m")).select("m.center", "node")
-    first = checked(twos.union(best).toDF("a", "b"))
-    so_far = written(components(first), "so-far")
-    open_rows = members.where("c > 2").join(_small(so_far), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
-    open_rows = written(open_rows, "open")
-    by_comp = open_rows.groupBy("key", "comp").count()
-    several = by_comp.groupBy("key").agg(F.sum("count").alias("size"), F.max(F.struct("count", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    several = written(several.select("key", "size", F.col("m.comp").alias("top"), F.col("m.count").alias("most")), "open-buckets")
-    # Chunks 0 to m - 1 have the other components' nodes, m to m + t - 1 those of the largest.
-    wide = F.col("size") > BLOCK
-    m = F.when(wide, F.ceil((F.col("size") - F.col("most")) / BLOCK)).otherwise(1).cast("int")
-    t = F.when(wide, F.ceil(F.col("most") / BLOCK)).otherwise(0).cast("int")
-    by_hash = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    dealt = open_rows.join(_small(several), "key").withColumn("m", m).withColumn("t", t)
-    dealt = dealt.withColumn("chunk", F.when(~wide, 0).when(F.col("comp") != F.col("top"), by_hash(F.col("m"))).otherwise(F.col("m") + by_hash(F.greatest("t", F.lit(1)))))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("chunk") < F.col("m"), F.col("m") + F.col("t") - 1).otherwise(F.col("m") - 1))))
-    dealt = dealt.select("key", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"), "chunk", "node", "n", "comp").join(nodes.select("node", "brief"), "node")
-    dealt = dealt.repartition(partitions(spark), "key", "left", "right").sortWithinPartitions("key", "left", "right")
-    more = dealt.mapInPandas(_join_buckets(percent, least_agreement(percent, coordinates)), "a long, b long").distinct()
-    second = checked(more.join(first, ["a", "b"], "left_anti"))
+    most = large.groupBy("node").agg(F.max(F.struct("k", "center")).alias("m")).select("m.center", "node")
+    tried = written(twos.union(most).toDF("a", "b").distinct(), "candidates")
+    sets = lambda x: sets_of(x, docs, names, width, repeated)
+    ends = lambda x: x.select(F.col("a").alias("node")).union(x.select("b"))
+    links = verified(tried, sets(ends(tried)), percent)
+
+    least = least_agreement(percent, coordinates, LIKELY)
+    likely = open_buckets(members, nodes, links).mapInPandas(_by_bucket(_most_alike, percent, least, rows), "a long, b long")
+    likely = written(likely.distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
+    links = links.union(verified(likely, sets(ends(likely)), percent))
+
+    least = least_agreement(percent, coordinates)
+    rest = open_buckets(members, nodes, links)
+    rest = written(rest.mapInPandas(_by_bucket(_still_open, percent, least, rows), rest.schema), "rest")
+    rest = sorted_buckets(rest.join(sets(rest.select("node")), "node"))
+    links = links.union(written(rest.mapInPandas(_by_bucket(_links_within, percent, least, rows), "a long, b long").distinct(), "links"))
     # From nodes to documents: links of their least ids, and those that the sets of one doc_id make.
     id_of = lambda x: names.select(F.col("node").alias(x), F.col("doc_id").alias(f"id_{x}"))
-    between = first.union(second).join(_small(id_of("a"), n_names), "a").join(_small(id_of("b"), n_names), "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    between = links.join(_small(id_of("a"), n_names), "a").join(_small(id_of("b"), n_names), "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     mixed = usable.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")
     least = names.select("digest", F.col("doc_id").alias("a"))
     same = usable.select("doc_id", "digest").join(mixed, "doc_id").join(least, "digest").where("a < doc_id").select("a", F.col("doc_id").alias("b"))
