@@ -53,12 +53,6 @@ def shard(path: Column) -> Column:
     return F.conv(F.substring(F.sha2(path, 256), 1, 2), 16, 10).cast("int")
 
 
-def mean_code(vector: Column) -> Column:
-    """64 bits of a 64-d vector: bit i is set where the value exceeds the mean."""
-    mean = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(vector)
-    return F.aggregate(vector, F.expr("0L"), lambda s, x: F.shiftleft(s, 1).bitwiseOR(F.when(x.cast("double") > mean, F.expr("1L")).otherwise(F.expr("0L"))))
-
-
 def plain_space(x: Column) -> Column:
     return F.regexp_replace(F.trim(x), r"\s+", " ")
 

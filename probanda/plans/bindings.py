@@ -69,3 +69,42 @@ def order_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORDER_FRAMES = "SELECT grp, seq, \"index\", t, value, round(value / 500, 6) AS err, value AS candidate, round(value / 2, 4) AS baseline, value AS capture FROM (SELECT o_custkey % 100 AS grp, CAST(floor(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) / 7) AS BIGINT) AS \"index\", round(avg(o_totalprice) / 1000, 3) AS value, min(o_orderkey) AS seq, CAST(max(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE))) AS DOUBLE) AS t FROM orders GROUP BY 1, 2)"
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grey pictures of 8 x 8 pixels: each vector as one (even number), and a copy in which every pixel differs by at most two levels (odd number)."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    y, x = F.floor(F.col("i") / 8).cast("int"), (F.col("i") % 8).cast("int")
+    level = F.round(128 + 400 * F.col("e").cast("double")) + F.col("k") * ((3 * x + 5 * y + F.col("vec_id")) % 5 - 2)
+    return e.select((2 * F.col("vec_id") + F.col("k")).alias("image"), F.lit(8).alias("width"), F.lit(8).alias("height"), y.alias("y"), x.alias("x"), F.greatest(F.lit(0.0), F.least(F.lit(255.0), level)).alias("v"))
+
+
+PICTURES = "SELECT 2 * vec_id + k AS image, (i - 1) // 8 AS y, (i - 1) % 8 AS x, greatest(0.0, least(255.0, round(128 + 400 * e) + k * ((3 * ((i - 1) % 8) + 5 * ((i - 1) // 8) + vec_id) % 5 - 2))) AS v FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) AS i FROM embeddings), (VALUES (0), (1)) t(k)"
+
+
+def picture_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions b and c of each vector's picture, with shares of light: by the remainder of the label the same, with a checked noise, with one half lighter, or with more contrast; and whether a pixel is a gap."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 4).alias("k"), F.posexplode("embedding").alias("i", "e"))
+    y, x = F.floor(F.col("i") / 8).cast("int"), (F.col("i") % 8).cast("int")
+    b = F.round(0.5 + F.col("e").cast("double"), 4)
+    c = F.when(F.col("k") == 0, b).when(F.col("k") == 1, b + 0.001 * (2 * ((x + y) % 2) - 1)).when((F.col("k") == 2) & (x < 4), b + 0.05).when(F.col("k") == 2, b).otherwise(0.5 + 1.5 * (b - 0.5))
+    return e.select(F.col("vec_id").alias("image"), "k", x.alias("x"), y.alias("y"), b.alias("b"), F.round(c, 6).alias("c"))
+
+
+PICTURE_PAIRS = "SELECT vec_id AS image, k, x, y, b, round(CASE WHEN k = 0 THEN b WHEN k = 1 THEN b + 0.001 * (2 * ((x + y) % 2) - 1) WHEN k = 2 AND x < 4 THEN b + 0.05 WHEN k = 2 THEN b ELSE 0.5 + 1.5 * (b - 0.5) END, 6) AS c FROM (SELECT vec_id, label % 4 AS k, (i - 1) % 8 AS x, (i - 1) // 8 AS y, round(0.5 + e, 4) AS b FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) AS i FROM embeddings))"
+
+
+#: All three hashes of the pictures, each in two halves.
+PICTURE_CODES = f"""px AS ({PICTURES}),
+kinds AS (SELECT * FROM (VALUES ('a', 8, 8), ('d', 9, 8), ('p', 32, 32)) t(kind, ow, oh)),
+wraw AS (SELECT kind, 'x' AS axis, o, i, 1 - abs(i + 0.5 - (o + 0.5) * 8 / ow) / greatest(8 / ow, 1) AS w FROM kinds, range(40) r(o), range(8) s(i) WHERE o < ow
+         UNION ALL SELECT kind, 'y', o, i, 1 - abs(i + 0.5 - (o + 0.5) * 8 / oh) / greatest(8 / oh, 1) FROM kinds, range(40) r(o), range(8) s(i) WHERE o < oh),
+wt AS (SELECT kind, axis, o, i, w / sum(w) OVER (PARTITION BY kind, axis, o) AS w FROM wraw WHERE w > 0),
+tall AS (SELECT image, kind, o AS oy, x, sum(v * w) AS s FROM px JOIN wt ON axis = 'y' AND i = y GROUP BY ALL),
+pic AS (SELECT image, t.kind, oy AS y, o AS x, round(round(sum(s * w), 6)) AS v FROM tall t JOIN wt ON axis = 'x' AND wt.kind = t.kind AND i = x GROUP BY ALL),
+cs AS (SELECT i, k, cos((2 * i + 1) * k * pi() / 64) AS c FROM range(32) r(i), range(8) s(k)),
+fr AS (SELECT image, k AS v, u, round(sum(s * c), 6) AS c FROM (SELECT image, y, k AS u, sum(v * c) AS s FROM pic JOIN cs ON i = x WHERE kind = 'p' GROUP BY ALL) JOIN cs ON i = y GROUP BY ALL),
+bits AS (SELECT image, kind, 8 * y + x AS bit FROM (SELECT *, v > avg(v) OVER (PARTITION BY image) AS lit FROM pic WHERE kind = 'a') WHERE lit
+         UNION ALL SELECT image, kind, 8 * y + x FROM (SELECT *, v > lead(v) OVER (PARTITION BY image, y ORDER BY x) AS lit FROM pic WHERE kind = 'd') WHERE lit AND x < 8
+         UNION ALL SELECT image, 'p', 8 * v + u FROM (SELECT *, c > list_sort(list(c) OVER (PARTITION BY image))[32] AS lit FROM fr WHERE u + v > 0) WHERE lit),
+codes AS (SELECT i.image, """ + ", ".join(f"coalesce(sum(1::BIGINT << greatest(0, least(31, bit - {low}))::INT) FILTER (kind = '{k}' AND bit BETWEEN {low} AND {low + 31}), 0)::BIGINT AS {k}{half}" for k in "adp" for half, low in (("_hi", 32), ("_lo", 0))) + " FROM (SELECT DISTINCT image FROM px) i LEFT JOIN bits b ON i.image = b.image GROUP BY 1)"

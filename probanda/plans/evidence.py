@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import components, coverage, grids, intervals, similarity, text, votes
-from ..sources.tables import table
+from ..operators import components, coverage, grids, intervals, perceptual, similarity, text, votes
+from ..sources.tables import table, written
+from . import bindings as B
 
 QUERIES, ORACLES = {}, {}
 
@@ -160,12 +161,12 @@ def page_correspondence(spark, sf_dir):
 # --- similarity ------------------------------------------------------------
 
 RADIUS = 12
-#: A 64-bit code in two halves, as DuckDB's shifts stop at the sign.
-CODES = "WITH m AS (SELECT vec_id AS id, embedding AS v, list_avg(list_transform(embedding, lambda x: x::DOUBLE)) AS mean FROM embeddings), c AS (SELECT id, list_sum(list_transform(v[1:32], lambda x, i: CASE WHEN x::DOUBLE > mean THEN 2::BIGINT ** (32 - i) ELSE 0 END))::BIGINT AS hi, list_sum(list_transform(v[33:64], lambda x, i: CASE WHEN x::DOUBLE > mean THEN 2::BIGINT ** (32 - i) ELSE 0 END))::BIGINT AS lo FROM m), p AS (SELECT a.id AS a, b.id AS b, (bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)))::INT AS distance FROM c a JOIN c b ON a.id < b.id)"
+#: dHashes of the pictures and of their near copies, in two halves, as DuckDB's shifts stop at the sign.
+CODES = "WITH " + B.PICTURE_CODES + ", c AS (SELECT image AS id, d_hi AS hi, d_lo AS lo FROM codes), p AS (SELECT a.id AS a, b.id AS b, (bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)))::INT AS distance FROM c a JOIN c b ON a.id < b.id)"
 
 
 def codes(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), S.mean_code(F.col("embedding")).alias("code"))
+    return written(perceptual.hashes(B.pictures(spark, sf_dir), "d").select(F.col("image").alias("id"), F.col("dhash").alias("code")), "codes")
 
 
 @query(CODES + f" SELECT * FROM p WHERE distance <= {RADIUS}")
