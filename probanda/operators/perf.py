@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from ..functions.scalars import strictest
@@ -81,36 +77,29 @@ def counter_diff(before: DataFrame, after: DataFrame, key: list[str], terms: Dat
 
 #: Gaps and remainders below this many milliseconds count as nothing.
 TICK_TOLERANCE = 1e-6
+#: Divisions after which two numbers up to 10^12 tolerances apart have come down to their common step.
+DIVISIONS = 64
+#: Parts that the gaps of a group are dealt to before their steps meet.
+PARTS = 64
 
 
-@F.pandas_udf(DoubleType())
-def _common_step(values: pd.Series) -> pd.Series:
-    """The greatest step that all gaps between the sorted values are multiples of, up to the tolerance."""
-    out = []
-    for row in values:
-        step, last = None, None
-        for v in [] if row is None else row:
-            if last is None:
-                last = v
-                continue
-            gap = v - last
-            if gap < TICK_TOLERANCE:
-                continue
-            last = v
-            if step is None:
-                step = gap
-                continue
-            large, small = max(gap, step), min(gap, step)
-            while (rest := math.fmod(large, small)) >= TICK_TOLERANCE and small - rest >= TICK_TOLERANCE:
-                large, small = small, rest
-            step = small
-        out.append(step)
-    return pd.Series(out, dtype="float64")
+def common_step(a: Column, b: Column) -> Column:
+    """The greatest step that both numbers are whole multiples of, up to the tolerance: division with remainder until nothing is left."""
+    rest = lambda s: s["large"] % s["small"]
+    goes_on = lambda s: (rest(s) >= TICK_TOLERANCE) & (s["small"] - rest(s) >= TICK_TOLERANCE)
+    step = lambda s, _: F.when(goes_on(s), F.struct(s["small"].alias("large"), rest(s).alias("small"))).otherwise(s)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(DIVISIONS)), F.struct(F.greatest(a, b).alias("large"), F.least(a, b).alias("small")), step)["small"]
 
 
 def timer_quantum(samples: DataFrame, group: list[str], value: str = "value") -> DataFrame:
-    """By group: the timer's step, null under two distinct values. Spark keeps each distinct value once and sorts them; a step's values are a timer's readings, few for any one capture."""
-    return samples.groupBy(*group).agg(F.array_sort(F.collect_set(value)).alias("_v")).select(*group, _common_step("_v").alias("quantum"))
+    """By group: the timer's step, null under two distinct values. It is the common step of the distinct gaps between neighbouring values, which are found by a
+    window and meet in two steps, so that a task folds a part of a group's gaps only."""
+    values = samples.select(*group, F.col(value).cast("double").alias("_v")).distinct()
+    gap = F.col("_v") - F.lag("_v").over(Window.partitionBy(*group).orderBy("_v"))
+    gaps = values.select(*group, F.when(gap >= TICK_TOLERANCE, F.round(gap, 9)).alias("_gap")).distinct()
+    met = lambda gaps: F.aggregate(F.array_sort(F.collect_set(gaps)), F.lit(None).cast("double"), lambda now, x: F.when(now.isNull(), x).otherwise(common_step(now, x)))
+    parts = gaps.groupBy(*group, F.pmod(F.xxhash64("_gap"), F.lit(PARTS)).alias("_part")).agg(met("_gap").alias("_step"))
+    return parts.groupBy(*group).agg(met("_step").alias("quantum"))
 
 
 def plan_check(plan: DataFrame, observed: DataFrame, session: list[str]) -> DataFrame:

@@ -341,60 +341,99 @@ def grouped_interval(rows: DataFrame, group: list[str], unit: str, value: str, d
     return units.groupBy(*group).applyInPandas(measure, shape)
 
 
-def timing_verdict(pairs: DataFrame, session: list[str], band_pct: float, looks: list[int], confidence: float = 0.95, resamples: int = 1024, seed: int = 7) -> DataFrame:
-    """By session of pairs (ord, block, order ab or ba, aa, before, after): effect in percent, interval, noise floor of the same-build (aa) pairs, what speaks against a verdict, and the verdict.
-
-    The confidence is shared out over the looks. Effects are Hodges-Lehmann estimates of log ratios; intervals
-    resample whole blocks. Without reasons against it the verdict is faster or slower (the interval lies beyond
-    the band), equivalent (within it), or inconclusive; with any it is inconclusive."""
-    each = 1 - (1 - confidence) / len(looks)
-    percent = lambda x: float(np.expm1(x) * 100)
-
-    def estimate(rows: pd.DataFrame, seed: int) -> tuple[float, float, float, int]:
-        r = np.log(rows["after"].to_numpy(float)) - np.log(rows["before"].to_numpy(float))
+#: The fewest pairs and blocks, and the fewest draws that a tail of the bootstrap must hold.
+LEAST_PAIRS, TAIL_DRAWS = 6, 10
+#: Sums of weights that a slice of draws holds at a time, and values up to which all their pairs are listed.
+SLICE, PAIRED = 4_000_000, 1000
+
+
+def weighted_pseudomedians(values: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """For each row of `times` (how often each value is drawn): the median of the means of all pairs of the values drawn, each with itself too."""
+    order = np.argsort(values, kind="stable")
+    x, times = values[order], times[:, order].astype(np.int64)
+    n = times.sum(1)
+    pairs = n * (n + 1) // 2
+    wanted = np.stack([(pairs + 1) // 2, pairs // 2 + 1], 1)
+    if len(x) > PAIRED:
+        return np.array([_halved(x, t, k).mean() for t, k in zip(times, wanted, strict=True)])
+    i, j = np.triu_indices(len(x))
+    means = x[i] * 0.5 + x[j] * 0.5
+    by_mean = np.argsort(means, kind="stable")
+    i, j, means = i[by_mean], j[by_mean], means[by_mean]
+    step, out = max(1, SLICE // len(means)), []
+    for low in range(0, len(times), step):
+        t = times[low : low + step]
+        upto = np.cumsum(np.where(i == j, t[:, i] * (t[:, i] + 1) // 2, t[:, i] * t[:, j]), 1)
+        out += [means[np.searchsorted(u, k)].mean() for u, k in zip(upto, wanted[low : low + step], strict=True)]
+    return np.array(out)
+
+
+def _halved(x: np.ndarray, times: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The wanted-th least means of pairs by halving the range; a pair of places counts as often as both are drawn."""
+    upto = np.concatenate([[0], np.cumsum(times)])
+
+    def below(t: float) -> int:
+        both = int((times * upto[np.searchsorted(x, 2 * t - x, "right")]).sum())
+        return (both + int(times[x <= t].sum())) // 2
+
+    out = []
+    for k in wanted:
+        low, high = x[0], x[-1]
+        for _ in range(HALVINGS):
+            mid = low + (high - low) / 2
+            low, high = (low, mid) if below(mid) >= k else (mid, high)
+        out.append(high)
+    return np.array(out)
+
+
+def block_effects(pairs: DataFrame, group: list[str], coverage: float, resamples: int, seed: int) -> DataFrame:
+    """By group of pairs (block, before, after, seed_mask): effect in percent (pseudomedian of log ratios), low and high over resampled blocks. A block is drawn whole, so only how often each comes matters."""
+    tail = (1 - coverage) / 2
+
+    def measure(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         _, block = np.unique(rows["block"], return_inverse=True)
-        parts = [r[block == b] for b in range(block.max() + 1)]
-        middle = lambda x: float(_walsh_medians(x[None, :])[0])
-        at = split_mix(seed, len(parts), resamples * len(parts)).reshape(resamples, len(parts))
-        d = np.array([middle(np.concatenate([parts[i] for i in row])) for row in at])
-        return percent(middle(r)), percent(_percentile(d, (1 - each) / 2)), percent(_percentile(d, 1 - (1 - each) / 2)), len(parts)
+        r = np.log(rows["after"].to_numpy(float) / rows["before"].to_numpy(float))
+        n = int(block.max()) + 1
+        drawn = split_mix(seed ^ int(rows["seed_mask"].iloc[0]), n, resamples * n).reshape(resamples, n)
+        often = np.zeros((resamples, n), np.int64)
+        np.add.at(often, (np.arange(resamples)[:, None], drawn), 1)
+        spread = weighted_pseudomedians(r, often[:, block])
+        middle = weighted_pseudomedians(r, np.ones((1, len(r)), np.int64))[0]
+        return pd.DataFrame([[*key, *(float(np.expm1(v) * 100) for v in (middle, _percentile(spread, tail), _percentile(spread, 1 - tail)))]], columns=[*group, "effect", "low", "high"])
+
+    kinds = dict(pairs.dtypes)
+    shape = ", ".join(f"`{g}` {kinds[g]}" for g in group) + ", effect double, low double, high double"
+    return pairs.groupBy(*group).applyInPandas(measure, shape)
 
-    names = ["effect", "low", "high", "floor", "reasons", "verdict"]
 
-    def judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord")
-        ab, aa = rows[~rows["aa"]], rows[rows["aa"]]
-        why, effect, low, high, floor = [], None, None, None, None
-        if not ((rows["before"] > 0) & (rows["after"] > 0) & np.isfinite(rows["before"]) & np.isfinite(rows["after"])).all():
-            return pd.DataFrame([[*key, None, None, None, None, "invalid_timings", "inconclusive"]], columns=[*session, *names]).astype(dict.fromkeys(names[:4], "float64"))
-        if (1 - each) * 0.5 * resamples < 10:
-            why.append("bootstrap_tail_underresolved")
-        if len(ab) < 6:
-            why.append("too_few_pairs")
-        if len(aa) < 6:
-            why.append("too_few_same_session_aa_pairs")
-        if not {"ab", "ba"} <= set(ab["order"]):
-            why.append("order_not_interleaved")
-        if len(ab) >= 6:
-            effect, low, high, n = estimate(ab, seed)
-            if n < 6:
-                why.append("too_few_independent_blocks")
-        if len(aa) >= 6:
-            _, a, b, n = estimate(aa, seed ^ 1)
-            floor = max(abs(a), abs(b))
-            if n < 6:
-                why.append("too_few_aa_blocks")
-            if floor > band_pct:
-                why.append("aa_noise_floor_too_wide")
-        if len(ab) not in looks:
-            why.append("not_a_declared_look")
-        if set(ab["block"]) & set(aa["block"]):
-            why.append("aa_ab_share_resampling_block")
-        verdict = "inconclusive" if why else "faster" if high < -band_pct else "slower" if low > band_pct else "equivalent" if -band_pct <= low and high <= band_pct else "inconclusive"
-        if not why and verdict == "inconclusive":
-            why.append("ci_spans_equivalence_band")
-        return pd.DataFrame([[*key, effect, low, high, floor, ",".join(why), verdict]], columns=[*session, *names]).astype(dict.fromkeys(names[:4], "float64"))
+def timing_verdict(pairs: DataFrame, session: list[str], band_pct: float, looks: list[int], confidence: float = 0.95, resamples: int = 1024, seed: int = 7) -> DataFrame:
+    """By session of pairs (ord, block, order ab or ba, aa, before, after): effect in percent, interval, noise floor of the same-build (aa) pairs, what speaks against a verdict, and the verdict.
 
-    kinds = dict(pairs.dtypes)
-    shape = ", ".join(f"`{g}` {kinds[g]}" for g in session) + ", effect double, low double, high double, floor double, reasons string, verdict string"
-    return pairs.groupBy(*session).applyInPandas(judge, shape)
+    The confidence is shared out over the looks. Spark counts pairs, blocks and orders and sets the flags; a task only resamples the blocks of one side of a
+    session. Without reasons against it the verdict is faster or slower (the interval lies beyond
+    the band), equivalent (within it), or inconclusive; with any it is inconclusive. A timing that is no positive number leaves its session without an effect."""
+    coverage = 1 - (1 - confidence) / len(looks)
+    usable = lambda c: F.coalesce((F.col(c) > 0) & (F.col(c) < float("inf")) & ~F.isnan(c), F.lit(False))
+    ab, aa = ~F.col("aa"), F.col("aa")
+    by_block = pairs.groupBy(*session, "block").agg(
+        F.count_if(ab).alias("_ab"), F.count_if(aa).alias("_aa"), F.count_if(ab & (F.col("order") == "ab")).alias("_first"), F.count_if(ab & (F.col("order") == "ba")).alias("_second"),
+        F.count_if(~(usable("before") & usable("after"))).alias("_unusable"))
+    counts = by_block.groupBy(*session).agg(
+        *[F.sum(f"_{c}").alias(f"_{c}") for c in ("ab", "aa", "first", "second", "unusable")], *[F.count_if(F.expr(test)).alias(name) for test, name in (("_ab > 0", "_ab_blocks"), ("_aa > 0", "_aa_blocks"), ("_ab > 0 and _aa > 0", "_shared"))])
+    enough = counts.where("_unusable = 0").select(*session, (F.col("_ab") >= LEAST_PAIRS).alias("_ab_enough"), (F.col("_aa") >= LEAST_PAIRS).alias("_aa_enough"))
+    taken = pairs.join(enough, session).where(F.when(aa, F.col("_aa_enough")).otherwise(F.col("_ab_enough")))
+    effects = block_effects(taken.withColumn("seed_mask", aa.cast("int")).drop("_ab_enough", "_aa_enough"), [*session, "aa"], coverage, resamples, seed)
+    own = effects.where(ab).drop("aa")
+    floor = effects.where(aa).select(*session, F.greatest(F.abs("low"), F.abs("high")).alias("floor"))
+    s = counts.join(own, session, "left").join(floor, session, "left")
+    flags = [
+        (F.lit((1 - coverage) / 2 * resamples < TAIL_DRAWS), "bootstrap_tail_underresolved"), (F.col("_ab") < LEAST_PAIRS, "too_few_pairs"), (F.col("_aa") < LEAST_PAIRS, "too_few_same_session_aa_pairs"),
+        ((F.col("_first") == 0) | (F.col("_second") == 0), "order_not_interleaved"), ((F.col("_ab") >= LEAST_PAIRS) & (F.col("_ab_blocks") < LEAST_PAIRS), "too_few_independent_blocks"),
+        ((F.col("_aa") >= LEAST_PAIRS) & (F.col("_aa_blocks") < LEAST_PAIRS), "too_few_aa_blocks"), (F.col("floor") > band_pct, "aa_noise_floor_too_wide"),
+        (~F.col("_ab").isin(looks), "not_a_declared_look"), (F.col("_shared") > 0, "aa_ab_share_resampling_block")]  # fixed names
+    against = F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in flags]))
+    s = s.withColumn("_against", F.when(F.col("_unusable") > 0, F.array(F.lit("invalid_timings"))).otherwise(against))
+    found = F.when(F.size("_against") > 0, "inconclusive").when(F.col("high") < -band_pct, "faster").when(F.col("low") > band_pct, "slower").when((F.col("low") >= -band_pct) & (F.col("high") <= band_pct), "equivalent").otherwise("inconclusive")
+    s = s.withColumn("verdict", found)
+    reasons = F.when((F.size("_against") == 0) & (F.col("verdict") == "inconclusive"), "ci_spans_equivalence_band").otherwise(F.array_join("_against", ","))
+    return s.select(*session, "effect", "low", "high", "floor", reasons.alias("reasons"), "verdict")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 from pyspark.sql.window import Window
 
+from ..sources.tables import written
+
 
 @F.pandas_udf(IntegerType())
 def token_edits(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -71,40 +73,59 @@ def containing(passages: DataFrame, docs: DataFrame, words: int = 6) -> DataFram
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))
 
 
-def matched_units(before: DataFrame, after: DataFrame, group: list[str], moved: float = 4.0) -> DataFrame:
+def in_turn(wishes: DataFrame, page: list[str]) -> DataFrame:
+    """page.., a, b: who gets what if all choose one after another. wishes: (page.., a, turn, b, wish): each chooser's wishes from 1 on.
+
+    Everybody asks for the first wish at once; what several ask for stays with the one whose turn comes first, and the others ask for
+    their next wish that nobody before them holds. Holders only ever give way to earlier ones, so this ends where choosing in turn does, in as
+    many rounds as the longest chain of refusals."""
+    wishes = written(wishes, "wishes")
+    asking = wishes.where("wish = 1")
+    while True:
+        asking = written(asking, "asking")
+        held = asking.groupBy(*page, "b").agg(F.min("turn").alias("holder"))
+        judged = asking.join(held, [*page, "b"])
+        refused = judged.where("turn > holder").select(*page, "a", F.col("wish").alias("last"))
+        if not refused.head(1):
+            return asking.select(*page, "a", "b")
+        left = wishes.join(refused, [*page, "a"]).where("wish > last").join(held, [*page, "b"], "left").where("holder is null or turn < holder")
+        following = left.groupBy(*page, "a", "turn").agg(F.min(F.struct("wish", "b")).alias("m")).select(*page, "a", "turn", F.col("m.b").alias("b"), F.col("m.wish").alias("wish"))
+        asking = judged.where("turn = holder").select(*page, "a", "turn", "b", "wish").union(following)
+
+
+def matched_units(before: DataFrame, after: DataFrame, group: list[str], moved: float = 4.0, least_reach: float = 8.0) -> DataFrame:
     """What happened to text units (group.., at, text, x, y, h): moved, changed, missing or added; units in place are left out.
 
-    In order of `at`, each unit takes the nearest unused one of equal text (the first on ties), then each of
-    the others the nearest unused one not further than its height (8 at least). Units of a page are matched
-    together; pages are Spark's groups."""
-    columns = ["at", "text", "x", "y", "h"]
-
-    def match(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = (df.sort_values("at")[columns].to_dict("records") for df in (a, b))
-        free, out, left = dict(enumerate(b)), [], []
-        far = lambda u, v: ((u["x"] - v["x"]) ** 2 + (u["y"] - v["y"]) ** 2) ** 0.5
-        by_text: dict[str, list[int]] = {}
-        for j, v in free.items():
-            by_text.setdefault(v["text"], []).append(j)
-        for u in a:
-            same = [j for j in by_text.get(u["text"], ()) if j in free]
-            if not same:
-                left.append(u)
-                continue
-            j = min(same, key=lambda j: (far(u, free[j]), j))
-            v = free.pop(j)
-            if far(u, v) > moved:
-                out.append((*key, "moved", u["at"], v["at"]))
-        for u in left:
-            j = min(free, key=lambda j: (far(u, free[j]), j), default=None)
-            if j is not None and far(u, free[j]) <= max(u["h"], 8.0):
-                out.append((*key, "changed", u["at"], free.pop(j)["at"]))
-            else:
-                out.append((*key, "missing", u["at"], None))
-        out += [(*key, "added", None, v["at"]) for v in free.values()]
-        return pd.DataFrame(out, columns=[*group, "kind", "before", "after"]).astype({"before": "Int64", "after": "Int64"})
-
-    kinds = dict(before.dtypes)
-    shape = ", ".join(f"`{g}` {kinds[g]}" for g in group) + ", kind string, before long, after long"
-    rows = lambda df: df.select(*group, F.col("at").cast("long").alias("at"), "text", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "h")])
-    return rows(before).groupBy(*group).cogroup(rows(after).groupBy(*group)).applyInPandas(match, shape)
+    In order of `at`, each unit gets the nearest free one of equal text (the first on ties), then each of
+    the others the nearest free one not further than its height (least_reach at least). Units of equal text meet by a join on it, near ones by a
+    join on squares as wide as the reach; pages are never gathered. Units alike in `at` go in any order."""
+    place = lambda c: F.row_number().over(Window.partitionBy(*group).orderBy("at", "text", "x", "y")).alias(c)
+    numbers = lambda df: [F.col("at").cast("long").alias("at"), "text", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "h")]]
+    a = written(before.select(*group, place("a"), *numbers(before)), "before")
+    b = written(after.select(*group, place("b"), *numbers(after)), "after")
+    there = b.select(*group, "b", F.col("text").alias("_text"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    far = F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2))
+    wish = lambda df: df.select(*group, "a", F.col("a").alias("turn"), "b", F.row_number().over(Window.partitionBy(*group, "a").orderBy("far", "b")).alias("wish"))
+
+    same = a.join(there, group).where(F.col("text") == F.col("_text")).withColumn("far", far)
+    kept = in_turn(wish(same), group)
+    far_of = a.join(kept, [*group, "a"]).join(there, [*group, "b"]).withColumn("far", far)
+
+    left, free = a.join(kept, [*group, "a"], "left_anti"), there.join(kept, [*group, "b"], "left_anti")
+    reach = F.greatest("h", F.lit(least_reach))
+    left = written(left.withColumn("reach", reach).withColumn("level", F.ceil(F.log2("reach")).cast("int")), "left")
+    square = lambda v: F.floor(v / F.pow(F.lit(2.0), "level")).cast("long")
+    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    looks = left.withColumns({"sx": square(F.col("x")), "sy": square(F.col("y"))}).withColumn("sx", around("sx")).withColumn("sy", around("sy"))
+    levels = left.select("level").distinct()  # powers of two between the least and the greatest reach
+    stands = free.join(F.broadcast(levels)).withColumns({"sx": square(F.col("_x")), "sy": square(F.col("_y"))})
+    close = looks.join(stands, [*group, "level", "sx", "sy"]).withColumn("far", far).where("far <= reach")
+    changed = in_turn(wish(close), group)
+
+    at = lambda df, side, key, name: df.join(side.select(*group, key, F.col("at").alias(name)), [*group, key])
+    rows = far_of.where(F.col("far") > moved).select(*group, "a", "b", F.lit("moved").alias("kind")).union(changed.select(*group, "a", "b", F.lit("changed")))
+    both = at(at(rows, a, "a", "before"), b, "b", "after").select(*group, "kind", "before", "after")
+    none = F.lit(None).cast("long")
+    missing = left.join(changed, [*group, "a"], "left_anti").select(*group, F.lit("missing").alias("kind"), F.col("at").alias("before"), none.alias("after"))
+    added = b.join(kept, [*group, "b"], "left_anti").join(changed, [*group, "b"], "left_anti").select(*group, F.lit("added").alias("kind"), none.alias("before"), F.col("at").alias("after"))
+    return both.union(missing).union(added)

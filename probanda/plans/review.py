@@ -58,7 +58,7 @@ def counter_differences(spark, sf_dir):
     return d.withColumn("pct", F.round("pct", 6))
 
 
-@query()
+@query("WITH v AS (SELECT DISTINCT event_type, floor(value * 8) AS v FROM events), g AS (SELECT DISTINCT event_type, CAST(v - lag(v) OVER (PARTITION BY event_type ORDER BY v) AS BIGINT) AS g FROM v) SELECT event_type, list_reduce(list(g) FILTER (g > 0), lambda a, b: gcd(a, b)) * 0.125 AS quantum FROM g GROUP BY 1")
 def timer_quanta(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_type", (F.floor(F.col("value") * 8) * 0.125).alias("value"))
     return perf.timer_quantum(e, ["event_type"])

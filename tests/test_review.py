@@ -165,6 +165,52 @@ def test_matched_units(spark):
     assert got == [(1, "added", None, 3), (1, "changed", 1, 2), (1, "missing", 2, None), (1, "moved", 0, 1), (2, "missing", 0, None)]
 
 
+def test_units_choose_in_turn(spark):
+    """Against choosing one after another, on crowded pages with equal texts and ties."""
+    r = random.Random(11)
+    shape = "page int, at int, text string, x double, y double, h double"
+    side = lambda n: [(p, i, r.choice("abc") * (1 + p % 2), float(r.randrange(12)), float(r.randrange(12)), float(r.choice([2, 9, 20]))) for p in range(4) for i in range(n - 3 * p)]
+    a, b = side(25), side(22) + [(1, 90, "a", 500.0, 500.0, 9.0), (3, 91, "q", 900.0, 0.0, 9.0)]
+    want = []
+    for p in range(4):
+        free = {x[1]: x for x in b if x[0] == p}
+        far = lambda u, v: math.hypot(u[3] - v[3], u[4] - v[4])
+        rest = []
+        for u in sorted(x for x in a if x[0] == p):
+            best = min((far(u, v), i) for i, v in free.items() if v[2] == u[2]) if any(v[2] == u[2] for v in free.values()) else None
+            if best is None:
+                rest.append(u)
+                continue
+            del free[best[1]]
+            if best[0] > 4:
+                want.append((p, "moved", u[1], best[1]))
+        for u in rest:
+            best = min(((far(u, v), i) for i, v in free.items()), default=(math.inf, None))
+            if best[0] <= max(u[5], 8):
+                del free[best[1]]
+                want.append((p, "changed", u[1], best[1]))
+            else:
+                want.append((p, "missing", u[1], None))
+        want += [(p, "added", None, i) for i in free]
+    got = [tuple(x) for x in text.matched_units(rows(spark, a, shape), rows(spark, b, shape), ["page"]).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and {x[1] for x in want} == {"moved", "changed", "missing", "added"}
+
+
+def test_pseudomedians_of_draws():
+    r = np.random.default_rng(3)
+    x = np.round(r.normal(size=40), 3)
+    times = r.poisson(1, (30, 40))
+    want = []
+    for t in times:
+        v = np.repeat(x, t)
+        i, j = np.triu_indices(len(v))
+        want.append(np.median(v[i] * 0.5 + v[j] * 0.5))
+    assert np.allclose(stats.weighted_pseudomedians(x, times), want, rtol=0, atol=1e-12)
+    assert np.allclose([stats._halved(np.sort(x), t[np.argsort(x, kind="stable")], np.array([(n := t.sum()) * (n + 1) // 4 + 1])) for t in times], [[np.sort((v := np.repeat(x, t))[np.triu_indices(len(v))[0]] * 0.5 + v[np.triu_indices(len(v))[1]] * 0.5)[len(v) * (len(v) + 1) // 4]] for t in times], rtol=0, atol=1e-9)
+    many = r.normal(size=5000)
+    assert abs(stats.weighted_pseudomedians(many, np.ones((1, 5000), int))[0] - np.median(many)) < 0.05
+
+
 def test_many_passages_and_short_ones(spark, monkeypatch):
     r = random.Random(2)
     words = [f"w{i}" for i in range(60)]
