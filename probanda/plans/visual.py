@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import flashes, keyframes, perceptual, pyramid
+from ..functions import colour
+from ..operators import buffers, flashes, keyframes, perceptual, pyramid
 from ..sources.tables import table
 from . import bindings as B
 
@@ -122,3 +123,104 @@ def change_classes(spark, sf_dir):
     """Tiles of two pixels have no inner pixel, so that their own detail is never asked for; the whole picture's is."""
     c = pyramid.change_classes(B.picture_pairs(spark, sf_dir), _TILE)
     return c.select("image", "class", "regions", "shifted", F.round("share", 6).alias("share"), *[F.round(x, 9).alias(x) for x in ("detail_ratio", "coarse")])
+
+
+# --- colours ---------------------------------------------------------------
+
+_COLOURS = "c AS (SELECT event_id, [event_id % 256, user_id % 256, floor(value) % 256] AS a, [event_id * 7 % 256, user_id % 256, (floor(value) + hour(ts)) % 256] AS b FROM events)"
+
+
+def colours(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    blue = F.floor("value")
+    one, two = (F.col("event_id") % 256, F.col("user_id") % 256, blue % 256), (F.col("event_id") * 7 % 256, F.col("user_id") % 256, (blue + F.hour("ts")) % 256)
+    return e.select("event_id", *[v.cast("double").alias(f"{s}{i}") for s, x in (("a", one), ("b", two)) for i, v in enumerate(x)])
+
+
+def _sql_difference(name: str, source: str, sides: tuple[str, str]) -> str:
+    """The CTEs from linear colours (arrays of three in `source`) to their CIEDE2000 difference in `name`."""
+    white = ["0.95047", "1.0", "1.08883"]
+    xyz = [[f"({' + '.join(f'{w} * {s}[{k + 1}]' for k, w in enumerate(row))}) / {white[i]}" for i, row in enumerate(colour.XYZ)] for s in sides]
+    bent = [[f"CASE WHEN {v} > 216 / 24389 THEN cbrt({v}) ELSE (24389 / 27 * ({v}) + 16) / 116 END" for v in side] for side in xyz]
+    return f"""
+{name}0 AS (SELECT *, {', '.join(f'{v} AS f{s}{i}' for s, side in zip('12', bent) for i, v in enumerate(side))} FROM {source}),
+{name}1 AS (SELECT *, {', '.join(f'116 * f{s}1 - 16 AS l{s}, 500 * (f{s}0 - f{s}1) AS a{s}, 200 * (f{s}1 - f{s}2) AS b{s}' for s in '12')} FROM {name}0),
+{name}2 AS (SELECT *, (sqrt(a1 * a1 + b1 * b1) + sqrt(a2 * a2 + b2 * b2)) / 2 AS cm FROM {name}1),
+{name}3 AS (SELECT *, {', '.join(f'(1.5 - 0.5 * sqrt(cm ** 7 / (cm ** 7 + 25 ** 7))) * a{s} AS p{s}' for s in '12')} FROM {name}2),
+{name}4 AS (SELECT *, {', '.join(f'sqrt(p{s} * p{s} + b{s} * b{s}) AS c{s}, CASE WHEN p{s} = 0 AND b{s} = 0 THEN 0 ELSE fmod(degrees(atan2(b{s}, p{s})) + 360, 360) END AS h{s}' for s in '12')} FROM {name}3),
+{name}5 AS (SELECT *, l2 - l1 AS dl, c2 - c1 AS dc, (l1 + l2) / 2 AS l, (c1 + c2) / 2 AS c, CASE WHEN c1 * c2 = 0 THEN 0 WHEN h2 - h1 > 180 THEN h2 - h1 - 360 WHEN h2 - h1 < -180 THEN h2 - h1 + 360 ELSE h2 - h1 END AS dh,
+  CASE WHEN c1 * c2 = 0 THEN h1 + h2 WHEN abs(h1 - h2) <= 180 THEN (h1 + h2) / 2 WHEN h1 + h2 < 360 THEN (h1 + h2 + 360) / 2 ELSE (h1 + h2 - 360) / 2 END AS h FROM {name}4),
+{name}6 AS (SELECT *, dl / (1 + 0.015 * (l - 50) ** 2 / sqrt(20 + (l - 50) ** 2)) AS x, dc / (1 + 0.045 * c) AS y,
+  2 * sqrt(c1 * c2) * sin(radians(dh / 2)) / (1 + 0.015 * c * (1 - 0.17 * cos(radians(h - 30)) + 0.24 * cos(radians(2 * h)) + 0.32 * cos(radians(3 * h + 6)) - 0.20 * cos(radians(4 * h - 63)))) AS z,
+  -2 * sqrt(c ** 7 / (c ** 7 + 25 ** 7)) * sin(radians(60 * exp(-(((h - 275) / 25) ** 2)))) AS rt FROM {name}5),
+{name} AS (SELECT event_id, sqrt(greatest(0, x * x + y * y + z * z + rt * y * z)) AS d FROM {name}6)"""
+
+
+_LINEAR = "list_transform({s}, lambda v: CASE WHEN v / 255 <= 0.04045 THEN v / 255 / 12.92 ELSE ((v / 255 + 0.055) / 1.055) ** 2.4 END)"
+_CVD = lambda m, s: "[" + ", ".join(f"greatest(0, least(1, {' + '.join(f'({w}) * {s}[{k + 1}]' for k, w in enumerate(row))}))" for row in m) + "]"
+
+
+@query("WITH " + _COLOURS + f", li AS (SELECT event_id, {_LINEAR.format(s='a')} AS la, {_LINEAR.format(s='b')} AS lb FROM c), " + _sql_difference("pl", "li", ("la", "lb")) + ", "
+       + ", ".join(f"{k[0]}s AS (SELECT event_id, {_CVD(m, 'la')} AS sa, {_CVD(m, 'lb')} AS sb FROM li), " + _sql_difference(k, f"{k[0]}s", ("sa", "sb")) for k, m in colour.DEFICIENCIES.items())
+       + " SELECT event_id, round(pl.d, 4) AS plain, round(protan.d, 4) AS protan, round(deutan.d, 4) AS deutan, round(tritan.d, 4) AS tritan FROM pl JOIN protan USING (event_id) JOIN deutan USING (event_id) JOIN tritan USING (event_id)")
+def colour_differences(spark, sf_dir):
+    """How far two colours are apart, to all eyes and to those without one kind of cones."""
+    rows = colours(spark, sf_dir)
+    rows = rows.withColumns({c: colour.linear_light(F.col(c) / 255) for c in rows.columns if c != "event_id"})
+    for kind in ("plain", *colour.DEFICIENCIES):
+        for s in "ab":
+            own = [F.col(f"{s}{i}") for i in range(3)]
+            seen = own if kind == "plain" else colour.simulated(kind, own)
+            rows = rows.withColumns({f"{s}_{i}": v for i, v in enumerate(seen)})
+            rows = colour.with_lab(rows, [f"{s}_{i}" for i in range(3)], [f"{s}_l", f"{s}_a", f"{s}_b"])
+        rows = colour.with_ciede2000(rows, ["a_l", "a_a", "a_b"], ["b_l", "b_a", "b_b"], kind)
+    return rows.select("event_id", *[F.round(k, 4).alias(k) for k in ("plain", *colour.DEFICIENCIES)])
+
+
+_PQ = "list_transform(list_transform({s}, lambda v: (v / 255) ** (32 / 2523)), lambda p: (greatest(p - 3424 / 4096, 0) / (2413 / 128 - 2392 / 128 * p)) ** (16384 / 2610))"
+_LMS = lambda s: "list_transform([" + ", ".join("(" + " + ".join(f"{w} * {s}[{k + 1}]" for k, w in enumerate(row)) + ") / 4096" for row in colour.LMS) + "], lambda v: ((3424 / 4096 + 2413 / 128 * v ** (2610 / 16384)) / (1 + 2392 / 128 * v ** (2610 / 16384))) ** (2523 / 32))"
+_ITP = lambda s: "[" + ", ".join("(" + " + ".join(f"({w}) * {s}[{k + 1}]" for k, w in enumerate(row)) + ") / 4096" for row in colour.ICTCP) + "]"
+
+
+@query("WITH " + _COLOURS + f", p AS (SELECT event_id, {_PQ.format(s='a')} AS a, {_PQ.format(s='b')} AS b FROM c), q AS (SELECT event_id, {_LMS('a')} AS a, {_LMS('b')} AS b FROM p), r AS (SELECT event_id, {_ITP('a')} AS a, {_ITP('b')} AS b FROM q) SELECT event_id, round(720 * sqrt((a[1] - b[1]) ** 2 + 0.25 * (a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2), 4) AS difference FROM r")
+def light_differences(spark, sf_dir):
+    rows = colours(spark, sf_dir)
+    rows = rows.withColumns({c: F.col(c) / 255 for c in rows.columns if c != "event_id"})
+    for s in "ab":
+        rows = colour.with_ictcp(rows, [f"{s}{i}" for i in range(3)], [f"{s}_i", f"{s}_t", f"{s}_p"])
+    return rows.select("event_id", F.round(colour.itp_difference(["a_i", "a_t", "a_p"], ["b_i", "b_t", "b_p"]), 4).alias("difference"))
+
+
+# --- buffers ---------------------------------------------------------------
+
+_KINDS = ("depth", "depth", "normal", "normal", "motion", "id")
+_CODES = ("linear01", "reverse_z", "rgb_snorm", "oct", "rg_snorm", "exact")
+
+
+def samples(spark, sf_dir):
+    """Vectors as pixels of three samples, some of them invalid on a side, and a few without end; the capture is the baseline with a shift that grows with the vector's number."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.transform(F.slice("embedding", i * 3 + 1, 3), lambda x: F.round(0.5 + x.cast("double"), 4)))).alias("at", "b"))
+    pick = lambda names: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("vec_id") % 6 + 1).cast("int"))
+    shift = (F.col("vec_id") % 5) * 0.002
+    moved = F.array(*[F.get("b", F.lit(i)) + shift * k for i, k in ((0, 1), (1, -1), (2, 0))])
+    endless = (F.col("vec_id") % 60 == 12) & (F.col("at") == 3)
+    return e.select("vec_id", "at", pick(_KINDS).alias("kind"), pick(_CODES).alias("encoding"), F.lit(4.0).alias("scale"), "b", F.when(endless, F.array(F.lit(float("inf")))).otherwise(moved).alias("c"),
+                    (F.get("b", F.lit(0)) > 0.3).alias("valid_b"), (F.get("b", F.lit(1)) > 0.25).alias("valid_c"))
+
+
+_UNIT = "list_transform({v}, lambda x: x / sqrt(list_sum(list_transform({v}, lambda y: y * y))))"
+_SAMPLES = (
+    "e AS (SELECT vec_id, i AS at_, list_transform(embedding[3 * i + 1:3 * i + 3], lambda x: round(0.5 + x::DOUBLE, 4)) AS b FROM embeddings, range(21) r(i)),"
+    + f" s AS (SELECT *, {list(_KINDS)}[vec_id % 6 + 1] AS kind, {list(_CODES)}[vec_id % 6 + 1] AS encoding, CASE WHEN vec_id % 60 = 12 AND at_ = 3 THEN ['inf'::DOUBLE] ELSE [b[1] + (vec_id % 5) * 0.002, b[2] - (vec_id % 5) * 0.002, b[3]] END AS c, b[1] > 0.3 AS vb, b[2] > 0.25 AS vc FROM e),"
+    + " u AS (SELECT *, list_transform(b, lambda x: 2 * x - 1) AS nb, list_transform(c, lambda x: 2 * x - 1) AS nc FROM s),"
+    + " o AS (SELECT *, " + ", ".join(f"CASE WHEN encoding <> 'oct' THEN n{s} WHEN 1 - abs(n{s}[1]) - abs(n{s}[2]) < 0 THEN [(1 - abs(n{s}[2])) * CASE WHEN n{s}[1] >= 0 THEN 1 ELSE -1 END, (1 - abs(n{s}[1])) * CASE WHEN n{s}[2] >= 0 THEN 1 ELSE -1 END, 1 - abs(n{s}[1]) - abs(n{s}[2])] ELSE [n{s}[1], n{s}[2], 1 - abs(n{s}[1]) - abs(n{s}[2])] END AS o{s}" for s in "bc") + " FROM u),"
+    + f" w AS (SELECT *, CASE WHEN kind = 'normal' THEN {_UNIT.format(v='ob')} END AS wb, CASE WHEN kind = 'normal' THEN {_UNIT.format(v='oc')} END AS wc FROM o),"
+    + " x AS (SELECT *, CASE kind WHEN 'depth' THEN abs(CASE WHEN encoding = 'reverse_z' THEN (1 - c[1]) - (1 - b[1]) ELSE c[1] - b[1] END) WHEN 'normal' THEN CASE WHEN wb = wc THEN 0 ELSE degrees(acos(greatest(-1, least(1, wb[1] * wc[1] + wb[2] * wc[2] + wb[3] * wc[3])))) END WHEN 'motion' THEN sqrt(((c[1] - b[1]) * 8) ** 2 + ((c[2] - b[2]) * 8) ** 2) ELSE (b <> c)::INT END AS err FROM w),"
+    + " y AS (SELECT *, CASE WHEN NOT vb AND NOT vc THEN 'neither' WHEN NOT vc THEN 'only_b' WHEN NOT vb THEN 'only_c' WHEN err IS NULL OR isinf(err) OR isnan(err) THEN 'odd' ELSE 'compared' END AS state FROM x),"
+    + " z AS (SELECT *, CASE WHEN state = 'compared' THEN err END AS error, CASE kind WHEN 'depth' THEN 0.01 WHEN 'normal' THEN 1.0 WHEN 'motion' THEN 0.5 ELSE 0 END AS lim FROM y)")
+
+
+@query("WITH " + _SAMPLES + " SELECT vec_id, kind, " + ", ".join(f"count(*) FILTER (state = '{s}') AS {s}" for s in ("compared", "only_b", "only_c", "odd")) + ", round(avg(error), 5) AS mean, round(max(error), 5) AS most, round(avg(error / greatest(abs(CASE WHEN encoding = 'reverse_z' THEN 1 - b[1] ELSE b[1] END), 1e-12)) FILTER (kind = 'depth'), 6) AS relative, CASE WHEN count(error) = 0 OR count(*) FILTER (state = 'odd') > 0 THEN 'unknown' WHEN avg(error) <= max(lim) THEN 'pass' ELSE 'fail' END AS status FROM z GROUP BY 1, 2")
+def buffer_errors(spark, sf_dir):
+    s = buffers.summaries(samples(spark, sf_dir), ["vec_id"])
+    return s.select("vec_id", "kind", "compared", "only_b", "only_c", "odd", F.round("mean", 5).alias("mean"), F.round("most", 5).alias("most"), F.round("relative", 6).alias("relative"), "status")

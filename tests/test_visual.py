@@ -7,7 +7,8 @@ import random
 import numpy as np
 import pytest
 
-from probanda.operators import flashes, keyframes, perceptual, pyramid
+from probanda.functions import colour
+from probanda.operators import buffers, flashes, keyframes, perceptual, pyramid
 
 
 # --- hashes ----------------------------------------------------------------
@@ -175,3 +176,110 @@ def test_kinds_of_change(spark):
     gaps = cells_of(spark, [(b, b + 1e-4)]).withColumn("gap_b", pyramid.F.lit(False)).withColumn("gap_c", pyramid.F.col("x") < 8)
     assert pyramid.change_classes(gaps, 4).first()["class"] == "systematic_shift"
     assert pyramid.change_classes(gaps.where("false"), 4).count() == 0
+
+
+# --- colours ---------------------------------------------------------------
+
+#: The published test pairs of CIEDE2000 (fixed values): two CIELAB colours and their difference.
+PAIRS = [
+    (50.0, 2.6772, -79.7751, 50.0, 0.0, -82.7485, 2.0425),
+    (50.0, 3.1571, -77.2803, 50.0, 0.0, -82.7485, 2.8615),
+    (50.0, 2.8361, -74.02, 50.0, 0.0, -82.7485, 3.4412),
+    (50.0, -1.3802, -84.2814, 50.0, 0.0, -82.7485, 1.0),
+    (50.0, -1.1848, -84.8006, 50.0, 0.0, -82.7485, 1.0),
+    (50.0, -0.9009, -85.5211, 50.0, 0.0, -82.7485, 1.0),
+    (50.0, 0.0, 0.0, 50.0, -1.0, 2.0, 2.3669),
+    (50.0, -1.0, 2.0, 50.0, 0.0, 0.0, 2.3669),
+    (50.0, 2.49, -0.001, 50.0, -2.49, 0.0009, 7.1792),
+    (50.0, 2.49, -0.001, 50.0, -2.49, 0.001, 7.1792),
+    (50.0, 2.49, -0.001, 50.0, -2.49, 0.0011, 7.2195),
+    (50.0, 2.49, -0.001, 50.0, -2.49, 0.0012, 7.2195),
+    (50.0, -0.001, 2.49, 50.0, 0.0009, -2.49, 4.8045),
+    (50.0, -0.001, 2.49, 50.0, 0.001, -2.49, 4.8045),
+    (50.0, -0.001, 2.49, 50.0, 0.0011, -2.49, 4.7461),
+    (50.0, 2.5, 0.0, 50.0, 0.0, -2.5, 4.3065),
+    (50.0, 2.5, 0.0, 73.0, 25.0, -18.0, 27.1492),
+    (50.0, 2.5, 0.0, 61.0, -5.0, 29.0, 22.8977),
+    (50.0, 2.5, 0.0, 56.0, -27.0, -3.0, 31.903),
+    (50.0, 2.5, 0.0, 58.0, 24.0, 15.0, 19.4535),
+    (50.0, 2.5, 0.0, 50.0, 3.1736, 0.5854, 1.0),
+    (50.0, 2.5, 0.0, 50.0, 3.2972, 0.0, 1.0),
+    (50.0, 2.5, 0.0, 50.0, 1.8634, 0.5757, 1.0),
+    (50.0, 2.5, 0.0, 50.0, 3.2592, 0.335, 1.0),
+    (60.2574, -34.0099, 36.2677, 60.4626, -34.1751, 39.4387, 1.2644),
+    (63.0109, -31.0961, -5.8663, 62.8187, -29.7946, -4.0864, 1.263),
+    (61.2901, 3.7196, -5.3901, 61.4292, 2.248, -4.962, 1.8731),
+    (35.0831, -44.1164, 3.7933, 35.0232, -40.0716, 1.5901, 1.8645),
+    (22.7233, 20.0904, -46.694, 23.0331, 14.973, -42.5619, 2.0373),
+    (36.4612, 47.858, 18.3852, 36.2715, 50.5065, 21.2231, 1.4146),
+    (90.8027, -2.0831, 1.441, 91.1528, -1.6435, 0.0447, 1.4441),
+    (90.9257, -0.5406, -0.9208, 88.6381, -0.8985, -0.7239, 1.5381),
+    (6.7747, -0.2908, -2.4247, 5.8714, -0.0985, -2.2286, 0.6377),
+    (2.0776, 0.0795, -1.135, 0.9033, -0.0636, -0.5514, 0.9082),
+]
+
+
+def test_published_pairs_of_ciede2000(spark):
+    names = ["l1", "a1", "b1", "l2", "a2", "b2"]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(PAIRS)], "i int, " + ", ".join(f"{n} double" for n in [*names, "want"]))
+    there = colour.with_ciede2000(rows, names[:3], names[3:], "d")
+    back = colour.with_ciede2000(rows, names[3:], names[:3], "d")
+    assert there.columns == [*rows.columns, "d"]
+    for df in (there, back):
+        assert all(round(x["d"], 4) == x["want"] for x in df.collect())
+
+
+def test_light_and_eyes(spark):
+    F = colour.F
+    v = spark.createDataFrame([(0.0,), (0.04,), (0.2,), (0.735,), (1.0,)], "v double")
+    got = v.select("v", colour.linear_light(F.col("v")).alias("l"), colour.encoded(colour.linear_light(F.col("v"))).alias("e"), colour.quantized(colour.light_of(F.col("v"))).alias("q")).collect()
+    assert all(x["e"] == pytest.approx(x["v"], abs=1e-9) and x["q"] == pytest.approx(x["v"], abs=1e-6) for x in got) and got[2]["l"] == pytest.approx(0.0331047666)
+    white = spark.createDataFrame([(1.0, 1.0, 1.0)], "r double, g double, b double")
+    lab = colour.with_lab(white, ["r", "g", "b"], ["l", "a", "bb"]).first()
+    assert (lab["l"], lab["a"], lab["bb"]) == (pytest.approx(100), pytest.approx(0, abs=0.02), pytest.approx(0, abs=0.02))
+    # Rows of a simulation's matrix sum to one, so grey stays grey; red and green come near each other for a protan eye.
+    for kind in colour.DEFICIENCIES:
+        assert list(white.select(*colour.simulated(kind, [F.lit(0.4)] * 3)).first()) == pytest.approx([0.4] * 3, abs=1e-5)
+    itp = colour.with_ictcp(spark.createDataFrame([(0.5, 0.5, 0.5), (2.0, 0.0, 0.0)], "r double, g double, b double"), ["r", "g", "b"], ["i", "t", "p"]).collect()
+    assert itp[0]["i"] == pytest.approx(0.5, abs=1e-6) and itp[0]["t"] == pytest.approx(0, abs=1e-6) and itp[1]["i"] is None
+    apart = spark.createDataFrame([(0.5, 0.1, 0.2, 0.4, 0.3, 0.2)], "a double, b double, c double, d double, e double, f double")
+    assert apart.select(colour.itp_difference(["a", "b", "c"], ["d", "e", "f"])).first()[0] == pytest.approx(720 * math.sqrt(0.01 + 0.25 * 0.04))
+
+
+# --- buffers ---------------------------------------------------------------
+
+def unfolded(v):
+    """The octahedral point of a unit vector, as shares of 0 to 1."""
+    v = np.asarray(v, float) / np.abs(v).sum()
+    x, y = v[:2] if v[2] >= 0 else (1 - np.abs(v[1::-1])) * np.where(v[:2] >= 0, 1, -1)
+    return [float(x / 2 + 0.5), float(y / 2 + 0.5)]
+
+
+def test_errors_by_kind(spark):
+    r = np.random.default_rng(7)
+    rows, want = [], []
+    for _ in range(40):
+        a, b = r.normal(size=3), r.normal(size=3)
+        angle = math.degrees(math.acos(np.clip(a @ b / np.linalg.norm(a) / np.linalg.norm(b), -1, 1)))
+        rows += [("normal", "oct", None, unfolded(a), unfolded(b)), ("normal", None, None, (a / 4 + 0.5).tolist(), (b / 9 + 0.5).tolist())]
+        want += [angle, angle]
+    rows += [("depth", "reverse_z", None, [0.75], [0.5]), ("depth", None, None, [2.0], [2.25]), ("motion", None, 10.0, [0.5, 0.5], [0.65, 0.7]), ("id", None, None, [1.0, 2.0], [1.0, 2.0]), ("mask", None, None, [1.0], [0.0]), ("normal", None, None, [0.2, 0.7, 0.1], [0.2, 0.7, 0.1])]
+    want += [0.25, 0.25, 5.0, 0.0, 1.0, 0.0]
+    frame = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, kind string, encoding string, scale double, b array<double>, c array<double>")
+    got = {x["i"]: x for x in buffers.errors(frame).collect()}
+    assert [got[i]["error"] for i in range(len(rows))] == pytest.approx(want, abs=1e-6)
+    assert got[80]["relative"] == 1.0 and got[81]["relative"] == 0.125 and got[82]["relative"] is None
+
+
+def test_validity_and_odd_samples(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [("a", "depth", [0.5], [0.6], True, True), ("a", "depth", [0.5], [0.9], True, False), ("a", "depth", [0.5], [0.9], False, True), ("a", "depth", [0.5], [0.9], False, None), ("a", "depth", None, [0.1], True, True),
+            ("b", "depth", [inf], [inf], True, True), ("b", "depth", [0.1], [nan], True, True), ("c", "normal", [0.5, 0.5, 0.5], [1.0, 0.5, 0.5], True, True), ("d", "speed", [1.0], [2.0], True, True), ("e", "id", [1.0], [1.0], True, True), ("f", "depth", [0.5], [0.505], True, True)]
+    frame = spark.createDataFrame(rows, "g string, kind string, b array<double>, c array<double>, valid_b boolean, valid_c boolean").withColumns({"encoding": buffers.F.lit(None).cast("string"), "scale": buffers.F.lit(None).cast("double")})
+    got = {x["g"]: x for x in buffers.summaries(frame, ["g"]).collect()}
+    a = got["a"]
+    assert (a["compared"], a["only_b"], a["only_c"], a["neither"], a["odd"], a["status"]) == (1, 1, 2, 1, 0, "fail") and a["mean"] == pytest.approx(0.1) and a["above"] == 1.0
+    assert [got[g]["odd"] for g in "bcd"] == [2, 1, 1] and {got[g]["status"] for g in "bcd"} == {"unknown"}
+    assert got["e"]["status"] == got["f"]["status"] == "pass" and got["e"]["changed"] == 0
+    assert {x["g"]: x["status"] for x in buffers.summaries(frame, ["g"], {"depth": 0.2}).collect()}["a"] == "pass"
+    assert buffers.summaries(frame.where("false"), ["g"]).count() == 0
