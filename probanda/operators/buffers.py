@@ -50,7 +50,7 @@ def errors(pixels: DataFrame) -> DataFrame:
     depth = lambda side: F.when(F.col("encoding") == "reverse_z", 1 - at(side, 0)).otherwise(at(side, 0))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     cosine = F.aggregate(F.zip_with("_nb", "_nc", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    angle = F.when(F.col("_nb") == F.col("_nc"), 0.0).otherwise(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))))
+    angle = F.when(cosine.isNull(), None).when(F.col("_nb") == F.col("_nc"), 0.0).otherwise(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))))
     step = [(at("c", i) - at("b", i)) * 2 * F.coalesce("scale", F.lit(1.0)) for i in (0, 1)]
     error = F.when(kinds[0], F.abs(depth("c") - depth("b"))).when(kinds[1], angle).when(kinds[2], F.sqrt(step[0] * step[0] + step[1] * step[1])).otherwise((F.col("b") != F.col("c")).cast("double"))
     rows = rows.withColumn("_error", F.when(known, error))
