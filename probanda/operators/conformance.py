@@ -98,7 +98,6 @@ def resolved(keys: DataFrame, rules: DataFrame) -> DataFrame:
     A pattern fits the key itself, keys that it begins or ends at a dot, and as a glob (`*`) whole keys. Keys meet
     patterns by joins on their dotted beginnings and endings, globs by the plain beginning before the first star; so the number of rules does not matter. The key
     itself is most specific, then longer patterns; `vary` goes before `ignore`."""
-    own = lambda k, r: (r["rule_arm"].isNull() | (r["rule_arm"] == k["arm"]))
     r = rules.select(F.col("arm").alias("rule_arm"), "pattern", "kind").distinct().withColumn("star", F.contains("pattern", F.lit("*")))
     plain = F.regexp_extract("pattern", r"^((?:[^*.]+\.)*)", 1)
     r = r.withColumn("head", F.when(F.col("star"), F.rtrim(plain, F.lit("."))).otherwise(F.col("pattern")))

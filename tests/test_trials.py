@@ -1,5 +1,7 @@
 """Preference intervals, leases, conformance, validity, ablations and verified histories against plain Python."""
 
+import hashlib
+import json
 import math
 import random
 
@@ -7,7 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from probanda.operators import preferences, stats
+from probanda.operators import ablation as A
+from probanda.operators import conformance as C
+from probanda.operators import preferences
 from probanda.streaming import limiter, streams
 
 
@@ -79,10 +83,10 @@ def test_intervals_hold_the_truth_and_tell_the_close_from_the_far(spark):
 
 def test_large_panels_by_joins(spark):
     votes = spark.createDataFrame([v for v in some_votes(4, 5, 300) if v[0] != v[1]], "i long, j long, score double")
-    pairs = preferences.resampled(votes, 3, 1)
+    pairs = preferences.resampled(votes, 2, 1)
     # All met all, so the prior is the same either way.
-    a, b = (sorted((x["replicate"], x["candidate"], round(x["strength"], 2)) for x in df.collect()) for df in (preferences._fitted_apart(pairs, list(range(5)), 0.1, 500), preferences._fitted_together(pairs, 0.1, 500, 1e-4)))
-    assert a == b and len(a) == 15
+    a, b = (sorted((x["replicate"], x["candidate"], round(x["strength"], 1)) for x in df.collect()) for df in (preferences._fitted_apart(pairs, list(range(5)), 0.1, 500), preferences._fitted_together(pairs, 0.1, 500, 1e-3)))
+    assert a == b and len(a) == 10
 
 
 def test_poisson_quantiles():
@@ -150,3 +154,156 @@ def test_stream_with_a_stop_against_one_request_after_another(spark, tmp_path):
     for p, rows in want.items():
         assert sorted(map(str, ((x["id"], x["kind"], x["decision"], x["retry_at"]) for x in got if x["provider"] == p))) == sorted(map(str, rows))
         assert {x[2] for x in rows} == {"admitted", "paced", "exhausted", "released", "ignored"} | ({"duplicate"} if any(x[2] == "duplicate" for x in rows) else set())
+
+
+# --- captures --------------------------------------------------------------
+
+H = "a" * 64
+PRINT = {"fingerprint.schema": C.FINGERPRINT_SCHEMA, "producer.binary": f"sha256:{H}", "inputs.identity": f"sha256:{H}", "run.session": "r", "run.env.os": "x", "run.readiness.loaded.reached": "true"}
+SHAPES = {
+    "runs": "run string, schema string, complete boolean", "slots": "run string, slot string, settings string, fingerprint map<string,string>, domain string",
+    "acquisitions": "run string, slot string, status string, error string, settings string, fingerprint map<string,string>, domain string, clock_run string, start_ns long, end_ns long, path string, sha256 string", "files": "run string, path string, content string"}
+
+
+def record(**changes):
+    """Tables of one good run of two slots; what a test changes is given by slot and column."""
+    sha = hashlib.sha256(b"pixels").hexdigest()
+    slots = [{"run": "r", "slot": s, "settings": "hi", "fingerprint": PRINT, "domain": "main"} for s in "ab"]
+    made = [{"run": "r", "slot": s, "status": "acquired", "error": None, "settings": "hi", "fingerprint": PRINT, "domain": "main", "clock_run": "r", "start_ns": 10 * i, "end_ns": 10 * i + 5, "path": f"{s}.png", "sha256": sha} for i, s in enumerate("ab")]
+    tables = {"runs": [{"run": "r", "schema": C.RECORD_SCHEMA, "complete": True}], "slots": slots, "acquisitions": made, "files": [{"run": "r", "path": f"{s}.png", "content": "pixels"} for s in "ab"]}
+    for name, change in changes.items():
+        tables[name] = change(tables[name])
+    return tables
+
+
+def codes(spark, tables):
+    frames = [spark.createDataFrame([tuple(r[c.split(" ")[0]] for c in SHAPES[n].split(", ")) for r in tables[n]], SHAPES[n]) for n in SHAPES]
+    return sorted(((x["slot"], x["code"]) for x in C.conformance(*frames).collect()), key=str)
+
+
+def put(name, **values):
+    return lambda rows: [r | values if r["slot"] == name else r for r in rows]
+
+
+def test_one_defect_for_each_code(spark):
+    assert codes(spark, record()) == []
+    a = lambda **v: record(acquisitions=put("a", **v))
+    without = lambda key: {k: v for k, v in PRINT.items() if k != key}
+    cases = [
+        (a(status="skipped"), ["partial_run"]), (a(status="failed"), ["acquisition_failed"]), (a(error="x"), ["acquisition_failed"]), (a(settings="lo"), ["settings_mismatch"]), (a(settings=None), ["settings_mismatch"]), (a(fingerprint=None), ["missing_identity"]), (a(fingerprint=without("producer.binary")), ["missing_identity"]),
+        (a(fingerprint=PRINT | {"producer.binary": "sha256:short"}), ["missing_identity"]), (a(fingerprint=PRINT | {"run.env.os": "y"}), ["identity_mismatch"]), (a(fingerprint=PRINT | {"run.readiness.loaded.reached": "false"}), ["readiness_not_reached"]), (a(domain="other"), ["clock_mismatch"]), (a(domain=None), ["clock_mismatch"]), (a(clock_run="q"), ["clock_mismatch"]), (a(end_ns=-1), ["clock_mismatch"]),
+        (a(path=None), ["missing_image"]), (a(path="no.png"), ["missing_image"]), (a(path="../a.png"), ["unsafe_image_path"]), (a(sha256="A" * 64), ["invalid_record"]), (a(sha256=H), ["stale_hash"]), (record(acquisitions=lambda rows: rows[1:]), ["partial_run"]), (record(slots=put("a", domain=" ")), ["invalid_record"]), (record(slots=put("a", fingerprint=PRINT | {"run.session": "q"})), ["invalid_record"]),
+        (a(settings="lo", path=None, end_ns=-1), ["clock_mismatch", "missing_image", "settings_mismatch"])]
+    for tables, want in cases:
+        assert codes(spark, tables) == [("a", c) for c in want], want
+    assert codes(spark, record(acquisitions=put("a", end_ns=12))) == [("b", "clock_overlap")]
+
+
+def test_findings_of_whole_runs(spark):
+    again, stray = (lambda rows: [*rows, rows[0]]), (lambda rows: [*rows, rows[0] | {"slot": "z"}])
+    for tables in (record(acquisitions=again), record(slots=again), record(acquisitions=stray), record(slots=lambda rows: []), record(slots=put("a", slot=" "))):
+        assert codes(spark, tables) == [(None, "invalid_record")]
+    assert codes(spark, record(runs=lambda rows: [rows[0] | {"schema": "v0"}], acquisitions=again)) == [(None, "unsupported_schema")]
+    assert codes(spark, record(runs=lambda rows: [rows[0] | {"complete": None}])) == [(None, "partial_run")]
+
+
+# --- arms ------------------------------------------------------------------
+
+ARM = {"fingerprint.schema": C.FINGERPRINT_SCHEMA, "producer.binary": "b", "inputs.identity": "i", "run.mode": "full", "run.session": "s", "producer.build.opt": "3", "run.env.os": "x", "run.readiness.loaded.criterion": "c", "run.readiness.loaded.reached": "true", "run.readiness.loaded.observed": "o"}
+
+
+def findings(spark, base, capture, rules=()):
+    side = lambda d: spark.createDataFrame([("1", k, v) for k, v in d.items()], "arm string, key string, value string")
+    found = C.arm_findings(side(base), side(capture), spark.createDataFrame(list(rules), "arm string, pattern string, kind string"))
+    return sorted((x["key"], x["reason"]) for x in found.collect())
+
+
+def test_differences_go_to_the_most_specific_rule(spark):
+    base, capture = ARM | {"a.b.c": "1", "a.x.c": "1", "q.r": "1", "same": "1", "gone": "1"}, ARM | {"a.b.c": "2", "a.x.c": "2", "q.r": None, "same": "1"}
+    assert findings(spark, base, capture) == [("a.b.c", "difference"), ("a.x.c", "difference"), ("gone", "difference"), ("q.r", "difference")]
+    rules = [(None, "a", "ignore"), (None, "a.*.c", "vary"), (None, "a.b.c", "ignore"), ("1", "r", "vary"), ("2", "gone", "vary"), (None, "same", "vary"), (None, "*", "ignore")]
+    assert findings(spark, base, capture, rules) == [("a.b.c", "ignored"), ("a.x.c", "varied"), ("gone", "ignored"), ("q.r", "varied"), ("same", "never_varies")]
+    # A star does not reach over a slash, and letters of a pattern are no expression.
+    assert findings(spark, ARM | {"k/l": "1", "k.l": "1"}, ARM | {"k/l": "2", "k.l": "2"}, [(None, "k*", "vary"), (None, "k.", "ignore")]) == [("k.l", "varied"), ("k/l", "difference")]
+
+
+def test_identity_and_readiness(spark):
+    assert findings(spark, ARM, ARM) == []
+    drop = lambda *keys: {k: v for k, v in ARM.items() if k not in keys}
+    assert findings(spark, drop("inputs.identity"), drop("inputs.identity")) == [("inputs.identity", "missing")]
+    assert findings(spark, ARM | {"run.mode": " "}, ARM | {"run.mode": " "}) == [("run.mode", "malformed")]
+    assert findings(spark, ARM | {"fingerprint.schema": "v0"}, ARM | {"fingerprint.schema": "v0"}) == [("fingerprint.schema", "malformed")]
+    assert findings(spark, drop("run.env.os"), drop("run.env.os")) == [("run.env", "missing")]
+    late = ARM | {"run.readiness.loaded.reached": "false"}
+    assert findings(spark, late, late) == [("run.readiness.loaded.reached", "readiness_not_reached")]
+    unseen = drop("run.readiness.loaded.observed")
+    assert findings(spark, unseen, unseen) == [("run.readiness.loaded.observed", "missing")]
+    bare = {k: v for k, v in ARM.items() if "readiness" not in k}
+    assert findings(spark, bare, bare) == [("run.readiness", "missing")]
+    arms = spark.createDataFrame([("1",), ("2",)], "arm string")
+    found = spark.createDataFrame([("1", "varied"), ("2", "difference"), ("2", "missing")], "arm string, reason string")
+    assert sorted(tuple(x) for x in C.arm_validity(found, arms).collect()) == [("1", True, 0), ("2", False, 2)]
+
+
+# --- ablations -------------------------------------------------------------
+
+def study(spark, captures, times):
+    out = A.ablation(spark.createDataFrame([("s", *c) for c in captures], "study string, arm string, repeat int, image string, digest string, error double"), spark.createDataFrame([("s", *t) for t in times], "study string, arm string, repeat int, ms double"), "base")
+    return {x["arm"]: x for x in out.collect()}
+
+
+def test_an_image_that_fails_in_one_arm_leaves_all_means(spark):
+    errors = {"base": (0.0, 0.0, 0.0), "x": (0.1, 0.2, 0.9), "y": (0.3, 0.4, 0.5)}
+    captures = [(arm, r, i, f"{arm}{i}", e) for arm, row in errors.items() for r in (0, 1) for i, e in zip("abc", row, strict=True)]
+    times = [(arm, r, t + r) for arm, t in (("base", 10.0), ("x", 8.0), ("y", 8.5)) for r in (0, 1)]
+    whole = study(spark, captures, times)
+    assert (whole["x"]["images"], whole["x"]["mean"], whole["y"]["mean"]) == (3, pytest.approx(0.4), pytest.approx(0.4))
+    # Within the base's own range of 1 ms both are as fast.
+    assert (whole["x"]["shift"], whole["y"]["shift"], whole["x"]["place"], whole["y"]["place"]) == (-2.0, -1.5, 1, 1)
+    holed = [c[:4] + (None,) if c[0] == "y" and c[2] == "c" else c for c in captures]
+    part = study(spark, holed, [(a, r, t + 4 if a == "y" else t) for a, r, t in times])
+    assert (part["x"]["images"], part["x"]["mean"], part["y"]["mean"]) == (2, pytest.approx(0.15), pytest.approx(0.35)) and (part["x"]["place"], part["y"]["place"]) == (1, 2)
+    unread = [(*c[:3], None, c[4]) if c[0] == "y" and c[2] == "c" else c for c in captures]
+    out = study(spark, unread, times)
+    assert (out["y"]["status"], out["y"]["left_out"], out["y"]["place"], out["x"]["images"]) == ("excluded", 2, None, 3)
+
+
+def test_repeats_that_do_not_count(spark):
+    rows = [("base", r, i, f"{i}", 0.0) for r in (0, 1) for i in "ab"] + [("x", 0, "a", "a", 0.1), ("x", 1, "a", "a", 0.2), ("x", 1, "b", "b", 0.2), ("x", 2, "a", "z", 0.4), ("x", 2, "b", "b", 0.2), ("z", 0, "a", "a", 0.1), ("z", 0, "b", "b", 0.1), ("z", 1, "a", "a", 0.1), ("z", 1, "b", "b", 0.1), ("z", 1, "c", "c", 0.1)]
+    times = [("base", 0, 5.0), ("base", 1, 5.0), ("x", 1, 4.0), ("x", 2, 4.0), ("x", 0, 4.0), ("z", 1, 3.0), ("z", 0, -1.0)]
+    frames = spark.createDataFrame([("s", *c) for c in rows], "study string, arm string, repeat int, image string, digest string, error double"), spark.createDataFrame([("s", *t) for t in times], "study string, arm string, repeat int, ms double")
+    problems = {(x["arm"], x["repeat"]): x["problem"] for x in A.complete_repeats(*frames, "base").collect()}
+    assert problems == {("base", 0): None, ("base", 1): None, ("x", 0): "image_set_differs", ("x", 1): None, ("x", 2): None, ("z", 0): "missing_timing", ("z", 1): "image_set_differs"}
+    out = study(spark, rows, times)
+    assert (out["x"]["status"], out["x"]["unstable"], out["x"]["place"], out["z"]["status"]) == ("unstable", 1, None, "excluded")
+    lone = [r for r in rows if r[0] != "base"]
+    assert {x["status"] for x in study(spark, lone, times).values()} == {"no_base"}
+    assert study(spark, [], []) == {}
+
+
+# --- histories -------------------------------------------------------------
+
+def test_tampering_in_each_place(spark):
+    entry = {"name": "e", "status": "pass", "validity": "valid", "metric": "mean", "value": 0.5, "threshold": 1.0, "baseline_sha256": "b", "capture_sha256": "c"}
+    odd = [entry | {"name": "f", "status": "missing"}, entry | {"name": "g", "validity": "invalid"}, entry | {"name": "h", "value": None}, entry | {"name": "i", "capture_sha256": None}]
+    content = json.dumps({"config": "k", "entries": [entry, *odd, entry | {"name": "j", "value": 0.25, "validity": None}]})
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    kept = [("e", "mean", 0.5, 1.0, "b", "c"), ("j", "mean", 0.25, 1.0, "b", "c")]
+
+    def state(content=content, stored=content, config="k", samples=kept, report=None):
+        report = report or sha(content)
+        index = spark.createDataFrame([(report, sha(config))], "report string, config_sha256 string")
+        held = spark.createDataFrame([(report, *s) for s in samples], "report string, entry string, metric string, value double, threshold double, baseline_sha256 string, capture_sha256 string")
+        objects = spark.createDataFrame([(report, stored)] if stored is not None else [], "report string, content string")
+        x = C.verified_history(index, held, objects).first()
+        return tuple(x)[1:]
+
+    assert state() == ("verified", 0, 0, 0)
+    assert state(stored=None) == ("object_missing", None, None, None)
+    assert state(stored=content.replace("0.25", "0.26")) == ("content_changed", None, None, None)
+    assert state(report="x" * 64) == ("invalid_identity", None, None, None)
+    assert state(content="{", stored="{") == ("malformed", None, None, None)
+    assert state(config="other") == ("config_changed", 0, 0, 0)
+    assert state(samples=kept[:1]) == ("samples_changed", 1, 0, 0)
+    assert state(samples=[*kept, ("f", "mean", 0.5, 1.0, "b", "c")]) == ("samples_changed", 0, 1, 0)
+    assert state(samples=[kept[0], ("j", "mean", 0.2500001, 1.0, "b", "c")]) == ("samples_changed", 0, 0, 1)
