@@ -1,18 +1,19 @@
 """Licence scans: a trained paragraph classifier, in DataFrame functions only.
 
-A paragraph is what stands between empty lines and has a letter or digit. Its lines,
-and its runs of up to WRAP lines of at most WRAPPED characters each (notices may be wrapped), are classified: distinct word n-grams up to
+A paragraph is what stands between empty lines and has a letter or digit. It is read as its words in order,
+however its lines are broken, and a notice may be all of it or stand anywhere in it: around each of its
+`signs()`, windows as wide as the notices are long (`widths()`) are classified. Distinct word n-grams up to
 MOST words are the features of a softmax regression over licence families and
 `unknown`. Weights are learnt on the driver from generated
 variants of the notices below and of harmless lines, TRAINED of each, and go
 into the plan as one constant; small ones are dropped. A family counts only if
 its probability reaches a limit calibrated on other generated lines (at most
-MISSED of the harmless ones pass) and the lines hold at least SHARED of the word pairs
-of a notice of that family. A line with an SPDX identifier has the family of that
+MISSED of the harmless ones pass) and the window holds at least SHARED of the word pairs
+of a notice of that family. An SPDX identifier has the family of that
 identifier, exactly, or none. All else is unknown.
 
-Lines are read without n-grams first: any that hold so much of a notice have one of
-`signs()`, words picked so that more than 1 - SHARED of each notice's pairs have one.
+Signs are words picked so that more than 1 - SHARED of each notice's pairs have one: where none stands,
+nothing could be confirmed.
 
 Null and empty texts have no paragraphs. Families are listed by name, once each; n_licences counts
 each family once a paragraph.
@@ -25,7 +26,7 @@ import random
 import re
 from collections import Counter
 from collections.abc import Callable
-from functools import cache, reduce
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -73,7 +74,9 @@ IDENTIFIER = r"spdx-license-identifier:\s*([a-z0-9.+-]+)"
 BLANK = r"\n(?:[ \t\r\x0B\x0C]*\n)+"
 UNKNOWN = "unknown"
 CLASSES = (UNKNOWN, *sorted(NOTICES))
-MOST, TRAINED, ROUNDS, DROPPED, MISSED, SHARED, WRAP, WRAPPED = 3, 60, 120, 0.03, 0.01, 0.6, 4, 200
+MOST, TRAINED, ROUNDS, DROPPED, MISSED, SHARED = 3, 60, 120, 0.03, 0.01, 0.6
+#: Words that the narrowest windows reach to either side; the others double it until the longest notice fits.
+NARROWEST = 6
 TOKEN = re.compile("[a-z0-9]+")
 
 
@@ -153,7 +156,7 @@ def _pairs(text: str) -> list[str]:
 
 @cache
 def signs() -> tuple[str, ...]:
-    """Words of which every line or run that shares enough with a notice has one, found greedily: those that most pairs still need, the longest first."""
+    """Words of which all that shares enough with a notice has one, found greedily: those that most pairs still need, the longest first."""
     words = Counter(w for v in NOTICES.values() for t in v for w in TOKEN.findall(t.lower()))
     out: list[str] = []
     left = [p for v in NOTICES.values() for p in map(_pairs, v) if p]
@@ -165,6 +168,14 @@ def signs() -> tuple[str, ...]:
     return tuple(sorted(out))
 
 
+@cache
+def widths() -> tuple[int, ...]:
+    longest, out = max(len(TOKEN.findall(t)) for v in NOTICES.values() for t in v), [NARROWEST]
+    while out[-1] < longest:
+        out.append(2 * out[-1])
+    return tuple(out)
+
+
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
@@ -175,8 +186,20 @@ def _runs(w: Column, k: int) -> Column:
     return F.transform(first, lambda x, i: F.concat_ws(" ", x, *[F.get(w, i + j) for j in range(1, k)]))
 
 
-def _classified(line: Column, m: Model) -> Column:
-    """family, probability, shared of lower-cased lines."""
+def _windows(words: Column) -> Column:
+    """What stands around each sign among the words, at every width, once each."""
+    listed = F.array(*[F.lit(x) for x in signs()])
+
+    def around(p: Column) -> Column:  # p from 0
+        start = lambda n: F.greatest(p - (n - 2), F.lit(1))
+        return F.array(*[F.slice(words, start(n), p + n - start(n) + 1) for n in widths()])
+
+    places = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.flatten(F.transform(F.filter(places, lambda p: F.array_contains(listed, F.get(words, p))), around)))
+
+
+def _classified(words: Column, m: Model) -> Column:
+    """family, probability, shared of the words of a window."""
     weights = F.from_json(F.lit(json.dumps(m.weights)), "map<string,array<double>>")
     known = F.from_json(F.lit(json.dumps(list(m.weights))), "array<string>")
     notices = F.from_json(F.lit(json.dumps({k: [_pairs(t) for t in v] for k, v in NOTICES.items()})), "map<string,array<array<string>>>")
@@ -197,7 +220,7 @@ def _classified(line: Column, m: Model) -> Column:
 
         return _let(best, compared)
 
-    return _let(F.regexp_extract_all(line, F.lit("[a-z0-9]+"), 0), judged)
+    return judged(words)
 
 
 def _has_sign(lowered: Column) -> Column:
@@ -205,10 +228,10 @@ def _has_sign(lowered: Column) -> Column:
     return F.arrays_overlap(F.split(lowered, "[^a-z0-9]+"), F.array(*[F.lit(s) for s in (*signs(), "spdx")]))
 
 
-def _identified(line: Column) -> Column:
-    """The family that an SPDX identifier names, or null."""
+def _identified(block: Column) -> Column:
+    """The families that SPDX identifiers name, null for unknown ones."""
     named = F.from_json(F.lit(json.dumps({i.lower(): k for k, v in IDENTIFIERS.items() for i in v.split()})), "map<string,string>")
-    return F.try_element_at(named, F.rtrim(F.regexp_extract(line, IDENTIFIER, 1), F.lit(".")))
+    return F.transform(F.regexp_extract_all(block, F.lit(IDENTIFIER), 1), lambda x: F.try_element_at(named, F.rtrim(x, F.lit("."))))
 
 
 def licences(docs: DataFrame) -> DataFrame:
@@ -219,22 +242,19 @@ def licences(docs: DataFrame) -> DataFrame:
     blocks = F.filter(F.split("text", BLANK), has_content)
     rows = rows.select("doc_id", F.size(blocks).cast("long").alias("n_paragraphs"), F.when(_has_sign(F.col("text")), F.filter(blocks, _has_sign)).otherwise(F.array().cast("array<string>")).alias("_blocks"))
 
-    def units(block: Column) -> Column:
-        """The lines of a paragraph, and its runs of lines, that have a sign."""
-        start = lambda ls, k: F.slice(ls, F.lit(1), F.greatest(F.size(ls) - (k - 1), F.lit(0)))
-        short = lambda x, *more: reduce(lambda a, b: a & b, [F.length(y) <= WRAPPED for y in (x, *more)])
-        joined = lambda ls, k: F.transform(start(ls, k), lambda x, i: F.when(short(x, *[F.get(ls, i + j) for j in range(1, k)]), F.concat_ws(" ", x, *[F.get(ls, i + j) for j in range(1, k)])))
-        runs = lambda ls: F.concat(ls, *[F.array_compact(joined(ls, k)) for k in range(2, WRAP + 1)])
-        return _let(F.filter(F.split(block, "\n"), has_content), lambda ls: F.concat(F.transform(ls, _identified), F.transform(F.filter(F.transform(F.filter(runs(ls), _has_sign), lambda x: _classified(x, m)), sure), lambda c: c["family"])))
+    def found(block: Column) -> Column:
+        """The families of a paragraph."""
+        classified = lambda ws: F.transform(F.filter(F.transform(_windows(ws), lambda x: _classified(x, m)), sure), lambda c: c["family"])
+        return F.concat(_identified(block), _let(F.regexp_extract_all(block, F.lit("[a-z0-9]+"), 0), classified))
 
     sure = lambda c: (c["family"] != UNKNOWN) & (c["probability"] >= m.limit) & (c["shared"] >= SHARED)
-    rows = rows.withColumn("_found", F.transform("_blocks", lambda b: F.array_compact(F.array_distinct(units(b)))))
+    rows = rows.withColumn("_found", F.transform("_blocks", lambda b: F.array_compact(F.array_distinct(found(b)))))
     size = lambda c: F.size(c).cast("long")
     return rows.select("doc_id", "n_paragraphs", size(F.flatten("_found")).alias("n_licences"), (F.col("n_paragraphs") - size(F.filter("_found", lambda x: F.size(x) > 0))).alias("n_unknown"), F.array_join(F.array_sort(F.array_distinct(F.flatten("_found"))), ",").alias("families"))
 
 
 def licences_sql() -> str:
-    """The same scan as DuckDB SQL over the same weights, with every line and run classified."""
+    """The same scan as DuckDB SQL over the same weights."""
     m = model()
     text = lambda s: "'" + s.replace("'", "''") + "'"
     listed = lambda xs: "[" + ", ".join(xs) + "]"
@@ -246,19 +266,18 @@ def licences_sql() -> str:
     return f"""
 WITH weights(g, v) AS (VALUES {weights}), notices(family, pairs) AS (VALUES {notices}), named(name, family) AS (VALUES {named}),
 d AS (SELECT row_number() OVER () AS r, doc_id, lower(coalesce(text, '')) AS text FROM documents),
-q AS (SELECT r, b, list_filter(string_split(block, chr(10)), lambda x: {content("x")}) AS ls
+q AS (SELECT r, b, block, regexp_extract_all(block, '[a-z0-9]+') AS w
       FROM (SELECT r, generate_subscripts(x, 1) AS b, unnest(x) AS block FROM (SELECT r, string_split_regex(text, '{BLANK}') AS x FROM d)) WHERE {content("block")}),
-u AS (SELECT row_number() OVER () AS i, r, b, k, array_to_string(ls[j:j + k - 1], ' ') AS line
-      FROM (SELECT r, b, ls, k, unnest(generate_series(1, len(ls) - k + 1)) AS j FROM q, generate_series(1, {WRAP}) AS t(k)) WHERE k = 1 OR list_max(list_transform(ls[j:j + k - 1], lambda x: length(x))) <= {WRAPPED}),
-c AS (SELECT i, regexp_extract_all(line, '[a-z0-9]+') AS w FROM u),
+c AS (SELECT row_number() OVER () AS i, r, b, w[greatest(j - n + 1, 1):j + n - 1] AS w
+      FROM (SELECT r, b, w, unnest(generate_series(1, len(w))) AS j FROM q), (VALUES {", ".join(f"({n})" for n in widths())}) AS t(n) WHERE list_contains({listed(map(text, signs()))}, w[j])),
 f AS (SELECT i, unnest(list_distinct(list_concat(w, {run(2)}, {run(3)}))) AS g FROM c),
 s AS (SELECT i, k, sum(v[k]) AS z FROM f JOIN weights USING (g), generate_series(1, {len(CLASSES)}) AS t(k) GROUP BY ALL),
 a AS (SELECT s.i, t.k, coalesce(z, 0) + ({listed(map(str, m.bias))})[t.k] AS z FROM (SELECT DISTINCT i FROM s) AS s CROSS JOIN generate_series(1, {len(CLASSES)}) AS t(k) LEFT JOIN s AS z ON s.i = z.i AND z.k = t.k),
 b AS (SELECT i, arg_max(k, z) AS k, 1 / sum(exp(z - top)) AS p FROM (SELECT *, max(z) OVER (PARTITION BY i) AS top FROM a) GROUP BY i),
 e AS (SELECT b.i, ({listed(map(text, CLASSES))})[b.k] AS family, p, list_distinct({run(2)}) AS own FROM b JOIN c USING (i) WHERE p >= {m.limit}),
 h AS (SELECT DISTINCT i, family FROM e JOIN notices USING (family) WHERE len(list_intersect(own, pairs)) / len(pairs) >= {SHARED}),
-o AS (SELECT r, b, family FROM h JOIN u USING (i) UNION
-      SELECT r, b, family FROM u JOIN named ON k = 1 AND name = rtrim(regexp_extract(line, '{IDENTIFIER}', 1), '.')),
+o AS (SELECT r, b, family FROM h JOIN c USING (i) UNION
+      SELECT r, b, family FROM (SELECT r, b, unnest(regexp_extract_all(block, '{IDENTIFIER}', 1)) AS x FROM q) JOIN named ON name = rtrim(x, '.')),
 n AS (SELECT r, count(*) AS n_paragraphs FROM q GROUP BY r),
 x AS (SELECT r, count(*) AS n_licences, count(DISTINCT b) AS n_known, string_agg(DISTINCT family, ',' ORDER BY family) AS families FROM o GROUP BY r)
 SELECT doc_id, CAST(coalesce(n_paragraphs, 0) AS BIGINT) AS n_paragraphs, CAST(coalesce(n_licences, 0) AS BIGINT) AS n_licences,

@@ -22,6 +22,16 @@ def test_held_out_lines():
     assert sum(m.predict(t)[0] == k for k, t in lines) / len(lines) > 0.93
 
 
+def test_however_lines_are_broken(spark):
+    """Notices with few or many words a line, lines of thousands of characters, notices amid other words: the paragraph tells."""
+    words, filler = WRAPPED.split(), prose(9, 400)
+    wrap = lambda ws, n: "\n".join(" ".join(ws[i : i + n]) for i in range(0, len(ws), n))
+    texts = [wrap(words, n) for n in range(1, 13)] + [" ".join(words[:9]) + "\n" + " ".join(words[9:]) + " " + filler, filler + " " + " ".join(words) + " " + filler, (filler + "\n") * 3 + wrap(words, 4) + "\n" + filler]
+    texts += [wrap(words, 4) + "\n" + wrap("Licensed under CC BY-NC 4.0.".split(), 2) + "\n" + filler]
+    got = {x["doc_id"]: x["families"] for x in l.licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(filler) > 1500 and [got[i] for i in range(len(texts))] == ["MIT"] * (len(texts) - 1) + ["CC-BY-NC,MIT"]
+
+
 def test_table_against_sql(spark, edges, nothing):
     special = ["LICENSE\nReleased under the MIT License.\n\nLicensed under CC BY-NC 4.0.", "licence", "copyright é", "x\n// SPDX-License-Identifier: ISC\ny", "SPDX-License-Identifier: Unlicense.", "SPDX-License-Identifier: Vim", WRAPPED, WRAPPED.replace("\n", "\n\n"), prose(6, 200) + "\n" + WRAPPED + "\n\n \n" + prose(7, 50)]
     extra = special + [t for v in l.NOTICES.values() for t in v] + l.HARMLESS
