@@ -106,11 +106,11 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents, each as often as the mix takes it. Rows of one doc_id are told apart by source and size; equal ones share their copies in any order."""
+    """The documents, each as often as the mix takes it. Rows of one doc_id are told apart by source and size, and numbered by the hash of their text; rows alike in all these share their copies in any order. Other columns may be of any kind."""
     nth = lambda *more: F.row_number().over(Window.partitionBy("_id", "_src", "_size").orderBy(*more))
     copies = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.coalesce("source", F.lit("")).alias("_src"), F.col("size").alias("_size"), F.col("copies").alias("_copies"), F.col("source").isNull().alias("_null"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_src"), F.size(words(F.coalesce(F.col("text"), F.lit("")))).cast("long").alias("_size"), F.col("source").isNull().alias("_null"))
-    left = rows.withColumn("_nth", nth(F.xxhash64("_row")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_src"), F.size(words(F.coalesce(F.col("text"), F.lit("")))).cast("long").alias("_size"), F.col("source").isNull().alias("_null"), F.xxhash64(F.col("text").cast("string")).alias("_hash"))
+    left = rows.withColumn("_nth", nth("_hash"))
     right = copies.withColumn("_nth", nth("_copies")).toDF(*[f"{c}_r" for c in [*copies.columns, "_nth"]])
     match = F.col("_id").eqNullSafe(F.col("_id_r")) & (F.col("_src") == F.col("_src_r")) & (F.col("_size") == F.col("_size_r")) & (F.col("_nth") == F.col("_nth_r")) & (F.col("_null") == F.col("_null_r"))
     return left.join(right, match).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies_r")))).select("_row.*")

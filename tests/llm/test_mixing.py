@@ -71,5 +71,8 @@ def test_edges(edges):
     mixed = m.mixed_documents(edges)
     assert mixed.columns == edges.columns
     assert mixed.count() == sum(r["copies"] for r in out)
+    odd = edges.withColumn("more", F.create_map(F.lit("k"), F.col("score"))).withColumn("_hash", F.lit(1)).withColumn("_nth", F.lit("x"))
+    again = m.mixed_documents(odd)
+    assert again.columns == odd.columns and again.count() == mixed.count() and again.schema["more"].dataType.simpleString() == "map<string,double>"
     plan = m.mix_report(edges)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
