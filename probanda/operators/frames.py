@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import math
+import numpy as np
+import pandas as pd
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,14 +122,21 @@ def animation(frames: DataFrame, group: list[str], frame_error: float, local_err
 
 
 def spectrum(frames: DataFrame, group: list[str], bands: int = 3) -> DataFrame:
-    """Energy of each of the equal bands of frequencies of a series about its mean: squared amplitudes at 1 to n / 2 cycles a series, as sums over frames and frequencies side by side."""
-    w = Window.partitionBy(*group)
-    f = frames.withColumn("_n", F.count("value").over(w)).withColumn("_x", F.col("value") - F.avg("value").over(w)).withColumn("_i", F.row_number().over(w.orderBy("index")) - 1)
-    f = f.where("_n >= 4").withColumn("_k", F.explode(F.sequence(F.lit(1), F.floor(F.col("_n") / 2).cast("int"))))
-    angle = F.lit(2 * math.pi) * F.col("_k") * F.col("_i") / F.col("_n")
-    a = f.groupBy(*group, "_n", "_k").agg(F.sum(F.col("_x") * F.cos(angle)).alias("_c"), F.sum(F.col("_x") * F.sin(angle)).alias("_s"))
-    band = F.least(F.floor((F.col("_k") - 1) * bands / F.floor(F.col("_n") / 2)), F.lit(bands - 1)).cast("int")
-    return a.groupBy(*group, band.alias("band")).agg(F.sum((F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s")) / (F.col("_n") * F.col("_n"))).alias("energy"))
+    """Energy of each of the equal bands of frequencies of a series about its mean: squared amplitudes at 1 to n / 2 cycles a series. Series are Spark's groups, each transformed at once; those of fewer than four values have none."""
+
+    def energies(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows.sort_values("index")["value"].to_numpy(float)
+        half = len(x) // 2
+        if len(x) < 4:
+            return pd.DataFrame([], columns=[*group, "band", "energy"])
+        power = np.abs(np.fft.rfft(x - x.mean())[1 : half + 1]) ** 2 / len(x) ** 2
+        band = np.minimum(np.arange(half) * bands // half, bands - 1)
+        there = np.unique(band)
+        return pd.DataFrame([(*key, int(k), float(power[band == k].sum())) for k in there], columns=[*group, "band", "energy"])
+
+    kinds = dict(frames.dtypes)
+    shape = ", ".join(f"`{g}` {kinds[g]}" for g in group) + ", band int, energy double"
+    return frames.where("value is not null").select(*group, "index", F.col("value").cast("double").alias("value")).groupBy(*group).applyInPandas(energies, shape)
 
 
 def spectral_distance(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:

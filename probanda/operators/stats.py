@@ -85,11 +85,6 @@ def split_mix(seed: int, n: int, size: int) -> np.ndarray:
     return (out[:size] % np.uint64(n)).astype(np.int64)
 
 
-def _walsh_medians(rows: np.ndarray) -> np.ndarray:
-    i, j = np.triu_indices(rows.shape[1])
-    return np.median(rows[:, i] * 0.5 + rows[:, j] * 0.5, axis=1)
-
-
 def paired_bootstrap(pairs: DataFrame, group: list[str], resamples: int = 2048, seed: int = 42, confidence: float = 0.95) -> DataFrame:
     """By group of (before, after) in order of ord: Hodges-Lehmann effect with a percentile interval, in units and in percent of log ratios; both share their draws. Six pairs at least, else unknown."""
     tail = (1 - confidence) / 2
@@ -102,9 +97,11 @@ def paired_bootstrap(pairs: DataFrame, group: list[str], resamples: int = 2048,
         d = (rows["after"] - rows["before"]).to_numpy()
         r = np.log(rows["after"].to_numpy()) - np.log(rows["before"].to_numpy())
         at = split_mix(seed, n, n * resamples).reshape(resamples, n)
-        percent = lambda x: np.expm1(x) * 100
-        ms, logs = _walsh_medians(d[at]), _walsh_medians(r[at])
-        return pd.DataFrame([[*key, n, _walsh_medians(d[None])[0], *np.quantile(ms, [tail, 1 - tail]), percent(_walsh_medians(r[None])[0]), *percent(np.quantile(logs, [tail, 1 - tail]))]], columns=names)
+        percent, once = (lambda x: np.expm1(x) * 100), np.ones((1, n), np.int64)
+        often = np.zeros((resamples, n), np.int64)
+        np.add.at(often, (np.arange(resamples)[:, None], at), 1)
+        ms, logs = weighted_pseudomedians(d, often), weighted_pseudomedians(r, often)
+        return pd.DataFrame([[*key, n, weighted_pseudomedians(d, once)[0], *np.quantile(ms, [tail, 1 - tail]), percent(weighted_pseudomedians(r, once)[0]), *percent(np.quantile(logs, [tail, 1 - tail]))]], columns=names)
 
     names = [*group, "n", "delta", "low", "high", "pct", "pct_low", "pct_high"]
     keys = ", ".join(f"{c} {t}" for c, t in pairs.select(*group).dtypes)
@@ -232,14 +229,22 @@ def _rounds(pairs: DataFrame, names: DataFrame, prior: float, rounds: int, close
 
 
 def isotonic(bins: DataFrame, group: list[str]) -> DataFrame:
-    """Rising fit of rate over bin (weights n): every bin's value is the largest, over starts at or before it, of the least mean of a stretch from there to an end at or after it. Bins are few."""
-    w = Window.partitionBy(*group).orderBy("bin")
-    s = bins.select(*group, "bin", F.sum("n").over(w).alias("_n"), F.sum(F.col("rate") * F.col("n")).over(w).alias("_s"), F.col("n").alias("_w"), (F.col("rate") * F.col("n")).alias("_x"))
-    start = s.select(*group, F.col("bin").alias("_a"), (F.col("_n") - F.col("_w")).alias("_n0"), (F.col("_s") - F.col("_x")).alias("_s0"))
-    end = s.select(*group, F.col("bin").alias("_b"), F.col("_n").alias("_n1"), F.col("_s").alias("_s1"))
-    spans = start.join(end, group).where("_a <= _b").withColumn("_m", (F.col("_s1") - F.col("_s0")) / (F.col("_n1") - F.col("_n0")))
-    least = bins.select(*group, "bin").join(spans, group).where("_a <= bin and _b >= bin").groupBy(*group, "bin", "_a").agg(F.min("_m").alias("_m"))
-    return least.groupBy(*group, "bin").agg(F.max("_m").alias("fitted"))
+    """Rising fit of rate over bin (weights n): bins that fall are pooled with those before until none falls. A group's bins are pooled in one pass in one task; bins without weight or rate are left out."""
+
+    def pooled(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("bin")
+        pools: list[list[float]] = []  # weight, weighted sum, bins
+        for n, rate in zip(rows["n"].to_numpy(float), rows["rate"].to_numpy(float), strict=True):
+            now = [n, n * rate, 1]
+            while pools and pools[-1][1] * now[0] >= now[1] * pools[-1][0]:
+                now = [a + b for a, b in zip(pools.pop(), now, strict=True)]
+            pools.append(now)
+        fitted = np.repeat([x / n for n, x, _ in pools], [int(k) for _, _, k in pools])
+        return pd.DataFrame({**dict(zip(group, key, strict=True)), "bin": rows["bin"].to_numpy(), "fitted": fitted})
+
+    kinds = dict(bins.dtypes)
+    shape = ", ".join(f"`{c}` {kinds[c]}" for c in [*group, "bin"]) + ", fitted double"
+    return bins.where("n > 0 and rate is not null").select(*group, "bin", "n", "rate").groupBy(*group).applyInPandas(pooled, shape)
 
 
 @F.pandas_udf(DoubleType())
@@ -285,7 +290,8 @@ def arm_summary(base: DataFrame, arms: DataFrame, group: list[str], draws: int =
                 low = high = None
                 if len(a) > 1 and len(b) > 1:
                     at = _draws(seed, draws, len(a), len(b))
-                    d = np.median(a[at[:, : len(a)]][:, :, None] - b[at[:, len(a) :]][:, None, :], axis=(1, 2))
+                    step = max(1, SLICE // (len(a) * len(b)))  # draws whose differences are held at a time
+                    d = np.concatenate([np.median(a[x[:, : len(a)]][:, :, None] - b[x[:, len(a) :]][:, None, :], axis=(1, 2)) for x in (at[i : i + step] for i in range(0, draws, step))])
                     low, high = _percentile(d, 0.025), _percentile(d, 0.975)
                 out.append((*key, len(a), float(np.median(a)), _percentile(a, 0.75) - _percentile(a, 0.25), middle(a, b), low, high))
             yield pd.DataFrame(out, columns=[*group, *names])

@@ -267,10 +267,10 @@ def band_delta(spark, sf_dir):
     return d.select("valid", "changed", "only_a", "only_b", "neither", *[F.round(k, 6).alias(k) for k in ("mean", "mae", "rmse", "least", "most")])
 
 
-@query(f"WITH c AS ({CELLS}) SELECT floor(x / 16)::BIGINT AS tx, floor(y / 16)::BIGINT AS ty, count(*) AS cells, round(avg(v), 6) AS mean, round(sqrt(avg(v * v)), 6) AS rms, round(var_pop(v), 8) AS detail FROM c WHERE run = 1 GROUP BY 1, 2")
+@query(f"WITH c AS ({CELLS}) SELECT run, floor(x / 16)::BIGINT AS tx, floor(y / 16)::BIGINT AS ty, count(*) AS cells, round(avg(v), 6) AS mean, round(sqrt(avg(v * v)), 6) AS rms, round(var_pop(v), 8) AS detail FROM c GROUP BY 1, 2, 3")
 def tile_aggregates(spark, sf_dir):
-    t = grids.tiles(cells(spark, sf_dir).where("run = 1").withColumnRenamed("value", "err"), 16)
-    return t.select("tx", "ty", "cells", F.round("mean", 6).alias("mean"), F.round("rms", 6).alias("rms"), F.round("detail", 8).alias("detail"))
+    t = grids.tiles(cells(spark, sf_dir).withColumnRenamed("value", "err"), 16, ["run"])
+    return t.select("run", "tx", "ty", "cells", F.round("mean", 6).alias("mean"), F.round("rms", 6).alias("rms"), F.round("detail", 8).alias("detail"))
 
 
 RUNS = "SELECT l_linenumber AS run, l_partkey % 64 AS tile, round(avg(l_quantity), 4) AS v FROM lineitem GROUP BY 1, 2"

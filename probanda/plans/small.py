@@ -98,9 +98,11 @@ def manifest_status(spark, sf_dir):
     return sinks.verified_manifest(p.where("page_id % 6 > 0"), m)
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def pending_items(spark, sf_dir):
-    return sinks.receipts(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct(), "c_custkey")
+    """Orders are items, those of which a line came back have their receipt."""
+    done = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    return sinks.receipts(table(spark, sf_dir, "orders").select("o_orderkey"), done, "o_orderkey")
 
 
 @query("SELECT l_orderkey::VARCHAR AS image, format('{:d} {:.6f} {:.6f} {:.6f} {:.6f}', l_linenumber, (l_partkey % 80 + 5) / 100, (l_suppkey % 80 + 10) / 200, 10 / 100, 20 / 200) AS line FROM lineitem")

@@ -271,3 +271,32 @@ def test_globs(spark):
     hits = lambda g: [r[0] for r in df.where(F.col("n").rlike(glob_pattern(g))).collect()]
     assert hits("*.png") == ["a.png", "x1.png", "x9.png"] and hits("b/**") == ["b/a.png", "b/c/a.png"] and hits("{a,x?}.png") == ["a.png", "x1.png", "x9.png"]
     assert hits("x[0-5].png") == ["x1.png"] and hits("x[!0-5].png") == ["x9.png"] and hits("a{b") == ["a{b"]
+
+
+def test_long_series_and_many_bins(spark):
+    """One group of 5,000 values: the spectrum against numpy, the rising fit against pools of plain Python."""
+    r = np.random.default_rng(5)
+    x = np.cumsum(r.normal(size=5000))
+    got = {b["band"]: b["energy"] for b in frames.spectrum(rows(spark, [(0, i, float(v)) for i, v in enumerate(x)] + [(1, i, 1.0) for i in range(3)], "g int, index int, value double"), ["g"]).collect()}
+    power = np.abs(np.fft.fft(x - x.mean())[1:2501]) ** 2 / 5000**2
+    assert sorted(got) == [0, 1, 2] and [got[k] for k in range(3)] == pytest.approx([power[np.minimum(np.arange(2500) * 3 // 2500, 2) == k].sum() for k in range(3)])
+
+    n, rate = r.integers(1, 9, 5000), np.clip(np.linspace(0, 1, 5000) + r.normal(size=5000) * 0.3, 0, 1)
+    fit = {b["bin"]: b["fitted"] for b in stats.isotonic(rows(spark, [(0, i, int(k), float(v)) for i, (k, v) in enumerate(zip(n, rate, strict=True))], "g int, bin int, n int, rate double"), ["g"]).collect()}
+    values = [fit[i] for i in range(5000)]
+    assert all(a <= b + 1e-12 for a, b in itertools.pairwise(values)) and np.dot(values, n) == pytest.approx(np.dot(rate, n))
+    # The best rising fit: residuals of every pool sum to nothing, and no beginning of a pool lies below it.
+    for _, pool in itertools.groupby(range(5000), key=lambda i: round(values[i], 12)):
+        at = list(pool)
+        left = np.cumsum((rate[at] - values[at[0]]) * n[at])
+        assert abs(left[-1]) < 1e-6 and left.min() > -1e-6 or left[:-1].min(initial=0) >= -1e-6
+
+
+def test_many_repeats_in_slices(spark, monkeypatch):
+    r = random.Random(2)
+    data = [("g", "x", i, r.gauss(10, 1)) for i in range(60)]
+    base = [("g", i, r.gauss(9, 1)) for i in range(50)]
+    frames_ = rows(spark, base, "g string, ord int, value double"), rows(spark, data, "g string, arm string, ord int, value double")
+    whole = stats.arm_summary(*frames_, ["g", "arm"]).first()
+    monkeypatch.setattr(stats, "SLICE", 10_000)
+    assert tuple(stats.arm_summary(*frames_, ["g", "arm"]).first()) == tuple(whole)
