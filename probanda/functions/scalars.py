@@ -123,3 +123,14 @@ def seconds(stamp: Column) -> Column:
     """h:mm:ss,mmm or mm:ss.mmm to seconds."""
     part = lambda i: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(stamp, r"^(?:(\d+):)?(\d\d):(\d\d)[,.](\d{3})$", i), F.lit("")), F.lit("999999")).cast("double"), F.lit(0.0))
     return part(1) * 3600 + part(2) * 60 + part(3) + part(4) / 1000
+
+
+def is_abstention(answer: Column) -> Column:
+    """Whether an answer leaves the question open (fixed values: unsure, needs_human); false for null."""
+    return F.coalesce(answer.isin("unsure", "needs_human"), F.lit(False))
+
+
+def is_human(source: Column) -> Column:
+    """Whether a source names a person: `human`, or `human:` with a name, in any case and with blanks around; false for null."""
+    plain = F.lower(F.trim(source))
+    return F.coalesce((plain == "human") | plain.startswith("human:"), F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import colour
-from ..operators import buffers, flashes, keyframes, perceptual, pyramid
+from ..operators import buffers, flashes, keyframes, perceptual, pyramid, scopes
 from ..sources.tables import table
 from . import bindings as B
 
@@ -224,3 +224,33 @@ _SAMPLES = (
 def buffer_errors(spark, sf_dir):
     s = buffers.summaries(samples(spark, sf_dir), ["vec_id"])
     return s.select("vec_id", "kind", "compared", "only_b", "only_c", "odd", F.round("mean", 5).alias("mean"), F.round("most", 5).alias("most"), F.round("relative", 6).alias("relative"), "status")
+
+
+# --- scopes ----------------------------------------------------------------
+
+@query(f"WITH px AS ({B.PICTURE_PAIRS}), bx AS (SELECT DISTINCT image, image % 4 AS x, image % 3 AS y, 3 AS w, 4 AS h FROM px WHERE image % 11 > 0 UNION ALL SELECT DISTINCT image, CASE WHEN k = 2 THEN 0 ELSE 2 END, 0, 4, CASE WHEN image % 9 = 0 THEN 9 ELSE 8 END FROM px WHERE k > 1),"
+       " i AS (SELECT p.*, EXISTS (SELECT 1 FROM bx WHERE bx.image = p.image AND p.x >= bx.x AND p.x < bx.x + bx.w AND p.y >= bx.y AND p.y < bx.y + bx.h) AS ins FROM px p), e AS (SELECT i.*, abs(c - b) AS err, EXISTS (SELECT 1 FROM i o WHERE o.image = i.image AND abs(o.x - i.x) + abs(o.y - i.y) = 1 AND o.ins <> i.ins) AS edge FROM i),"
+       " v AS (SELECT image, bool_or(x + w > 8 OR y + h > 8) AS off FROM bx GROUP BY 1) SELECT e.image, " + ", ".join(f"count(*) FILTER ({t}) AS {n}_pixels, count(*) FILTER ({t} AND b <> c) AS {n}_changed, round(avg(err) FILTER ({t}), 8) AS {n}_mean" for n, t in (("inside", "ins"), ("outside", "NOT ins"), ("boundary", "edge")))
+       + ", CASE WHEN off IS NULL OR off THEN 'invalid_region' WHEN count(*) FILTER (NOT ins AND b <> c) > 0 THEN 'collateral_change' ELSE 'preserved' END AS verdict FROM e LEFT JOIN v USING (image) GROUP BY e.image, off")
+def localized_changes(spark, sf_dir):
+    p = B.picture_pairs(spark, sf_dir)
+    images = p.select("image", "k").distinct()
+    one = images.where("image % 11 > 0").select("image", (F.col("image") % 4).cast("int").alias("x"), (F.col("image") % 3).cast("int").alias("y"), F.lit(3).alias("w"), F.lit(4).alias("h"))
+    two = images.where("k > 1").select("image", F.when(F.col("k") == 2, 0).otherwise(2).alias("x"), F.lit(0).alias("y"), F.lit(4).alias("w"), F.when(F.col("image") % 9 == 0, 9).otherwise(8).alias("h"))
+    cells = p.select("image", "x", "y", F.col("b").alias("before"), F.col("c").alias("after"), F.abs(F.col("c") - F.col("b")).alias("error"))
+    out = scopes.localized(cells, one.union(two))
+    return out.select("image", *[c for n in ("inside", "outside", "boundary") for c in (f"{n}_pixels", f"{n}_changed", F.round(f"{n}_mean", 8).alias(f"{n}_mean"))], "verdict")
+
+
+_TILES = "t AS (SELECT page_id AS n, (3 + page_id % 3) AS z, page_id % 8 AS x, (page_id // 8) % 40 AS y, sha256(html) AS d FROM pages), r AS (SELECT *, count(*) OVER (PARTITION BY z, x, y) AS k FROM t WHERE x < 2 ** z AND y < 2 ** z), q AS (SELECT z, x, y, CASE WHEN n % 5 = 0 THEN 'x' ELSE d END AS d, count(*) OVER (PARTITION BY z, x, y) AS k FROM t WHERE n % 7 > 0 AND x < 2 ** z AND y < 2 ** z UNION ALL SELECT 9, n, n, d, 1 FROM t WHERE n % 13 = 0 AND n < 512)"
+
+
+@query("WITH " + _TILES + ", a AS (SELECT * FROM r WHERE k = 1), b AS (SELECT * FROM q WHERE k = 1), j AS (SELECT coalesce(a.z, b.z) AS z, a.d AS da, b.d AS db FROM a FULL JOIN b ON a.z = b.z AND a.x = b.x AND a.y = b.y) SELECT z, count(da) AS reference_tiles, count(db) AS candidate_tiles, count(*) FILTER (da IS NOT NULL AND db IS NOT NULL) AS paired, count(*) FILTER (db IS NULL) AS missing, count(*) FILTER (da IS NULL) AS extra, count(*) FILTER (da <> db) AS changed, CASE WHEN count(da) > 0 THEN round(count(*) FILTER (da IS NOT NULL AND db IS NOT NULL) / count(da), 6) END AS coverage, CASE WHEN count(*) FILTER (da IS NULL OR db IS NULL OR da <> db) = 0 THEN 'identical' ELSE 'changed' END AS verdict FROM j GROUP BY z")
+def tile_coverage(spark, sf_dir):
+    """Pages as tiles; the candidate lacks some, has others of its own, and some changed."""
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("n"), F.sha2("html", 256).alias("d"))
+    path = F.concat_ws("/", 3 + F.col("n") % 3, F.col("n") % 8, F.concat(F.expr("(n div 8) % 40"), F.lit(".png")))
+    reference = p.select(path.alias("path"), F.col("d").alias("digest"))
+    candidate = p.where("n % 7 > 0").select(path.alias("path"), F.when(F.col("n") % 5 == 0, "x").otherwise(F.col("d")).alias("digest"))
+    own = p.where("n % 13 = 0 and n < 512").select(F.concat_ws("/", F.lit(9), "n", F.concat("n", F.lit(".webp"))).alias("path"), F.col("d").alias("digest"))
+    return scopes.tile_coverage(reference, candidate.union(own)).withColumn("coverage", F.round("coverage", 6))

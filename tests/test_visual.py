@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from probanda.functions import colour
-from probanda.operators import buffers, flashes, keyframes, perceptual, pyramid
+from probanda.operators import buffers, flashes, keyframes, perceptual, pyramid, scopes
 
 
 # --- hashes ----------------------------------------------------------------
@@ -283,3 +283,41 @@ def test_validity_and_odd_samples(spark):
     assert got["e"]["status"] == got["f"]["status"] == "pass" and got["e"]["changed"] == 0
     assert {x["g"]: x["status"] for x in buffers.summaries(frame, ["g"], {"depth": 0.2}).collect()}["a"] == "pass"
     assert buffers.summaries(frame.where("false"), ["g"]).count() == 0
+
+
+# --- scopes ----------------------------------------------------------------
+
+def test_inside_outside_and_boundary(spark):
+    """A picture of 150 x 140, so that boxes span several squares; against sets of pixels."""
+    w, h = 150, 140
+    boxes = {1: [(60, 50, 70, 30), (100, 70, 40, 60)], 2: [(0, 0, 10, 10)], 3: [(140, 0, 20, 5)], 4: []}
+    changed = {1: {(61, 51), (139, 129)}, 2: {(9, 9), (10, 9)}, 3: set(), 4: {(0, 0)}}
+    cells = spark.range(w * h).selectExpr(f"int(id % {w}) x", f"int(id div {w}) y").crossJoin(spark.createDataFrame([(i,) for i in boxes], "image int"))
+    dots = spark.createDataFrame([(i, x, y) for i, s in changed.items() for x, y in s], "image int, x int, y int").withColumn("after", scopes.F.lit(2))
+    cells = cells.join(dots, ["image", "x", "y"], "left").selectExpr("image", "x", "y", "1 as before", "coalesce(after, 1) as after", "if(after is null, 0.0D, 0.5D) as error")
+    frame = spark.createDataFrame([(i, *b) for i, v in boxes.items() for b in v], "image int, x int, y int, w int, h int")
+    got = {r["image"]: r for r in scopes.localized(cells, frame).collect()}
+    for i, v in boxes.items():
+        ins = {(x, y) for bx, by, bw, bh in v for x in range(bx, min(bx + bw, w)) for y in range(by, min(by + bh, h))}
+        edge = {(x, y) for x in range(w) for y in range(h) for q in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)) if 0 <= q[0] < w and 0 <= q[1] < h and (q in ins) != ((x, y) in ins)}
+        r = got[i]
+        assert (r["inside_pixels"], r["outside_pixels"], r["boundary_pixels"]) == (len(ins), w * h - len(ins), len(edge))
+        assert (r["inside_changed"], r["outside_changed"], r["boundary_changed"]) == (len(changed[i] & ins), len(changed[i] - ins), len(changed[i] & edge))
+    assert [got[i]["verdict"] for i in boxes] == ["preserved", "collateral_change", "invalid_region", "invalid_region"]
+    assert {r["image"]: r["verdict"] for r in scopes.localized(cells, frame, 0.6).collect()}[2] == "preserved"
+
+
+def test_tile_trees(spark):
+    files = lambda *p: spark.createDataFrame([(x, d) for x, d in p], "path string, digest string")
+    a = files(("1/0/0.png", "a"), ("1/1/1.jpg", "b"), ("2/3/3.webp", "c"), ("1/2/0.png", "d"), ("1/0/x.png", "e"), ("2/0/0.png", "f"), ("2/0/0.jpg", "g"), ("0/0/0.png", None), (None, "z"))
+    assert sorted((str(x["path"]), x["problem"]) for x in scopes.tile_keys(a).collect() if x["problem"]) == [("1/0/x.png", "malformed"), ("1/2/0.png", "out_of_range"), ("2/0/0.jpg", "repeated"), ("2/0/0.png", "repeated"), ("None", "malformed")]
+    b = files(("1/0/0.jpg", "a"), ("1/1/0.png", "q"), ("2/3/3.png", "C"), ("0/0/0.png", None))
+    got = {x["z"]: tuple(x)[1:] for x in scopes.tile_coverage(a, b).collect()}
+    assert got == {0: (1, 1, 1, 0, 0, 0, 1.0, "identical"), 1: (2, 2, 1, 1, 1, 0, 0.5, "changed"), 2: (1, 1, 1, 0, 0, 1, 1.0, "changed")}
+
+
+def test_sources_and_answers(spark):
+    from probanda.functions import scalars as S
+
+    rows = spark.createDataFrame([("human", "yes"), (" Human:Ann ", "unsure"), ("humanoid", "needs_human"), ("model", None), (None, "Unsure")], "s string, a string")
+    assert [tuple(x) for x in rows.select(S.is_human(colour.F.col("s")), S.is_abstention(colour.F.col("a"))).collect()] == [(True, False), (True, True), (False, True), (False, False), (False, False)]
