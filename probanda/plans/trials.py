@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..operators import ablation as A
 from ..operators import conformance as C
 from ..operators import preferences
+from ..operators import readings as R
 from ..sources.tables import shared_path, table
 from ..streaming import limiter, streams
 
@@ -194,3 +195,23 @@ def verified_history(spark, sf_dir):
     held = held.withColumn("value", F.when((F.col("t") == 4) & F.col("_first"), F.col("value") + 0.01).otherwise(F.col("value"))).select("report", *C.SAMPLE)
     more = r.where("t = 6").select("report", F.lit("added").alias("entry"), F.lit("mean").alias("metric"), F.lit(1.0).alias("value"), F.lit(1000.0).alias("threshold"), F.lit("a").alias("baseline_sha256"), F.lit("b").alias("capture_sha256"))
     return C.verified_history(index, held.union(more), objects).join(r.select("report", "o_custkey"), "report").drop("report").withColumnRenamed("o_custkey", "report")
+
+
+# --- readings --------------------------------------------------------------
+
+#: Turns of conversations are lines; a word's confidence follows from its length and place, and every seventeenth has none. Expected are each conversation's own second and third word, a common word and one that is not there.
+_WORDS = "w AS (SELECT conv_id AS page, turn AS line, i AS at_, x[i] AS text, CASE WHEN i % 17 > 0 THEN (length(x[i]) * 7 + i) % 10 * 10.0 END AS confidence FROM (SELECT conv_id, turn, string_split(text, ' ') AS x FROM conversations), LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i)), li AS (SELECT conv_id AS page, turn AS line, text FROM conversations), b AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY page, line ORDER BY at_) - length(text) - 1 AS lo FROM w), ex AS (SELECT DISTINCT conv_id AS page, array_to_string(string_split(text, ' ')[2:3], ' ') AS phrase FROM conversations WHERE turn = 0 UNION SELECT DISTINCT conv_id, 'and' FROM conversations UNION SELECT DISTINCT conv_id, 'is not there' FROM conversations)"
+
+
+def turns(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("text is not null")
+    w = c.select(F.col("conv_id").alias("page"), F.col("turn").alias("line"), F.posexplode(F.split("text", " ", -1)).alias("at", "text")).withColumn("at", F.col("at") + 1)
+    words = w.withColumn("confidence", F.when(F.col("at") % 17 > 0, (F.length("text") * 7 + F.col("at")) % 10 * 10.0))
+    own = c.where("turn = 0").select(F.col("conv_id").alias("page"), F.array_join(F.slice(F.split("text", " ", -1), 2, 2), " ").alias("phrase"))
+    pages = c.select(F.col("conv_id").alias("page")).distinct()
+    return words, own.union(pages.select("page", F.lit("and"))).union(pages.select("page", F.lit("is not there")))
+
+
+@query("WITH " + _WORDS + ", m AS (SELECT ex.page, phrase, li.line, s FROM ex JOIN li USING (page), LATERAL (SELECT unnest(range(1, length(li.text) - length(phrase) + 2)) AS s) WHERE phrase <> '' AND substr(li.text, s, length(phrase)) = phrase), t AS (SELECT m.page, phrase, m.line, s, count(*) FILTER (confidence IS NULL) AS none, count(*) FILTER (confidence < 20) AS low FROM m JOIN b ON b.page = m.page AND b.line = m.line AND lo + length(b.text) > s - 1 AND lo < s - 1 + length(phrase) GROUP BY ALL), g AS (SELECT page, phrase, count(*) AS n, count(*) FILTER (none = 0 AND low = 0) AS sure, count(*) FILTER (none > 0) AS unknown FROM t GROUP BY ALL) SELECT ex.page, ex.phrase, coalesce(n, 0) > 0 AS present, CASE WHEN coalesce(sure, 0) > 0 THEN true WHEN coalesce(unknown, 0) = 0 THEN false END AS readable FROM ex LEFT JOIN g ON g.page = ex.page AND g.phrase = ex.phrase")
+def expected_readings(spark, sf_dir):
+    return R.expected_readings(*turns(spark, sf_dir), 20.0)

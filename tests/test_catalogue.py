@@ -36,6 +36,7 @@ def plain(df: pd.DataFrame) -> list[list[str]]:
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query(spark, duck, name):
     got = catalogue.QUERIES[name](spark, SMALL).toPandas()
+    assert len(got), "a query without rows shows nothing"
     if name in catalogue.ORACLES:
         want = duck.execute(catalogue.ORACLES[name]).df()
         assert sorted(got.columns) == sorted(want.columns)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from probanda.operators import ablation as A
 from probanda.operators import conformance as C
 from probanda.operators import preferences
+from probanda.operators import readings as R
 from probanda.streaming import limiter, streams
 
 
@@ -307,3 +308,45 @@ def test_tampering_in_each_place(spark):
     assert state(samples=kept[:1]) == ("samples_changed", 1, 0, 0)
     assert state(samples=[*kept, ("f", "mean", 0.5, 1.0, "b", "c")]) == ("samples_changed", 0, 1, 0)
     assert state(samples=[kept[0], ("j", "mean", 0.2500001, 1.0, "b", "c")]) == ("samples_changed", 0, 0, 1)
+
+
+# --- readings --------------------------------------------------------------
+
+def test_recognition_tables(spark):
+    good = "\n".join([R.HEADER, "1\t1\t0\t0\t0\t0\t0\t0\t90\t90\t-1\t", "5\t1\t1\t1\t1\t1\t5\t6\t20\t10\t96.5\tSave", "5\t1\t1\t1\t1\t2\t30\t6\t30\t10\t41\tall\tof", "5\t1\t1\t1\t2\t1\t80\t80\t20\t5\t90\tbeyond", "5\t1\t1\t1\t2\t2\tx\t1\t1\t1\t90\tbad", "5\t1\t1", "5\t1\t1\t1\t2\t3\t1\t1\t1\t1\t9\t", ""])
+    files = spark.createDataFrame([("a", good, 90, 90), ("b", "level\tx", 9, 9), ("c", R.HEADER, 9, 9), ("d", None, 9, 9)], "page string, content string, width int, height int")
+    got = sorted((x["page"], x["slot"], x["at"], x["text"], x["confidence"], x["problem"]) for x in R.tsv_words(files).collect() if x["problem"] is None)
+    assert got == [("a", "1/1/1/1/1", 1, "Save", 96.5, None), ("a", "1/1/1/1/2", 2, "all\tof", 41.0, None)]
+    assert sorted((x["page"], x["problem"]) for x in R.tsv_words(files).collect() if x["problem"]) == [("a", "malformed"), ("a", "malformed"), ("a", "outside"), ("b", "header"), ("d", "header")]
+
+
+def test_phrases_and_how_sure_they_are(spark):
+    words = [("p", 1, i, w, c) for i, (w, c) in enumerate([("Save", 90.0), ("all", 80.0), ("files", None)])] + [("p", 2, 0, "Save", 10.0), ("p", 2, 1, "alloy", 95.0), ("q", 1, 0, "a.b", 50.0), ("q", 1, 1, "aXb", 99.0)]
+    frame = spark.createDataFrame(words, "page string, line int, at int, text string, confidence double")
+    asked = [("p", "Save"), ("p", "Save all"), ("p", "all files"), ("p", "files"), ("p", "loy"), ("p", "none"), ("p", ""), ("q", "a.b"), ("r", "x")]
+    got = {(x["page"], x["phrase"]): (x["present"], x["readable"]) for x in R.expected_readings(frame, spark.createDataFrame(asked, "page string, phrase string"), 60.0).collect()}
+    assert got == {("p", "Save"): (True, True), ("p", "Save all"): (True, True), ("p", "all files"): (True, None), ("p", "files"): (True, None), ("p", "loy"): (True, True), ("p", "none"): (False, False), ("p", ""): (False, False), ("q", "a.b"): (True, False), ("r", "x"): (False, False)}
+    at = spark.createDataFrame([("aaaa", "aa"), ("xabab", "ab"), ("", "a"), ("a+b", "+")], "t string, p string").select(R.places(F.col("t"), F.col("p"))).collect()
+    assert [x[0] for x in at] == [[0, 2], [1, 3], [], [1]]
+
+
+def test_critical_regions(spark):
+    def gate(candidate, ocr=False, complete=True, legible=True, base=(("Total 5", 12.0, 12.0, 30.0, 10.0, 99.0),), source=True):
+        regions = spark.createDataFrame([("p", "r", 10, 10, 100, 20, ["Total 5", "Total 6"])], "page string, region string, x int, y int, w int, h int, accepted array<string>")
+        sources = spark.createDataFrame([("p", "baseline", False, True, 400, 300), *([("p", "candidate", ocr, complete, 400, 300)] if source else [])], "page string, side string, ocr boolean, complete boolean, width int, height int")
+        nodes = spark.createDataFrame([("p", s, *n) for s, rows in (("baseline", base), ("candidate", candidate)) for n in rows], "page string, side string, text string, x double, y double, w double, h double, confidence double")
+        seen = spark.createDataFrame([("p", "r", "baseline", True), ("p", "r", "candidate", legible)], "page string, region string, side string, legible boolean")
+        reason = {x["side"]: x["reason"] for x in R.region_texts(regions, sources, nodes, 60.0).collect()}["candidate"]
+        states = R.critical_text(regions, sources, nodes, seen, 60.0)
+        assert R.page_verdicts(states).first()["state"] == states.first()["state"]
+        return states.first()["state"], reason
+
+    node = lambda text="Total 6", x=12.0, y=12.0, w=30.0, h=10.0, c=99.0: (text, x, y, w, h, c)
+    assert gate([node()]) == ("pass", None)
+    assert gate([node("Total  6")]) == ("fail", None)
+    assert gate([node()], legible=False) == ("fail", None) and gate([node()], legible=None) == ("insufficient_evidence", None)
+    assert gate([]) == ("fail", "no_text") and gate([], ocr=True) == ("insufficient_evidence", "no_text") and gate([], complete=False) == ("insufficient_evidence", "no_text")
+    assert gate([node(), node("x", x=50.0)]) == ("insufficient_evidence", "several_units") and gate([node(), node("far", x=300.0, y=200.0)]) == ("pass", None)
+    assert gate([node(x=5.0)]) == ("insufficient_evidence", "crosses_boundary") and gate([node(x=None)]) == ("insufficient_evidence", "unlocated") and gate([node(), node("off", x=390.0)]) == ("insufficient_evidence", "invalid_geometry")
+    assert gate([node("other", c=50.0)], ocr=True) == ("insufficient_evidence", "unsure") and gate([node(c=None)], ocr=True) == ("insufficient_evidence", "unsure") and gate([node("other")], ocr=True) == ("fail", None)
+    assert gate([node()], complete=False) == ("insufficient_evidence", "incomplete") and gate([node()], source=False) == ("insufficient_evidence", "unavailable") and gate([node()], base=()) == ("insufficient_evidence", None)
