@@ -77,7 +77,7 @@ def with_ciede2000(rows: DataFrame, one: list[str], two: list[str], name: str) -
         "_rt": -2 * share(c("_c")) * F.sin(F.radians(60 * F.exp(-F.pow((c("_h") - 275) / 25, F.lit(2))))),
         "_sl": 1 + 0.015 * F.pow(c("_l") - 50, F.lit(2)) / F.sqrt(20 + F.pow(c("_l") - 50, F.lit(2)))})
     rows = rows.withColumns({"_x": c("_dl") / c("_sl"), "_y": c("_dc") / (1 + 0.045 * c("_c")), "_z": c("_dh") / (1 + 0.015 * c("_c") * c("_t"))})
-    rows = rows.withColumn(name, F.sqrt(c("_x") * c("_x") + c("_y") * c("_y") + c("_z") * c("_z") + c("_rt") * c("_y") * c("_z")))
+    rows = rows.withColumn(name, F.sqrt(F.greatest(F.lit(0.0), c("_x") * c("_x") + c("_y") * c("_y") + c("_z") * c("_z") + c("_rt") * c("_y") * c("_z"))))
     return rows.drop(*[f"_{k}{s}" for k in "abch" for s in "12"], "_g", "_dl", "_dc", "_l", "_c", "_turn", "_h", "_dh", "_t", "_rt", "_sl", "_x", "_y", "_z")
 
 

@@ -142,16 +142,17 @@ def arm_validity(spark, sf_dir):
 # --- ablations -------------------------------------------------------------
 
 #: Studies are suppliers by remainder, arms flags and states, repeats and images remainders of order and part; a few images cannot be read or compared, a few timings are gone.
-_CELLS = "l AS (SELECT l_suppkey % 10 AS study, l_returnflag || l_linestatus AS arm, l_orderkey % 3 AS repeat, l_partkey % 4 AS image, l_discount, l_quantity FROM lineitem), cell AS (SELECT study, arm, repeat, image, CASE WHEN count(*) % 29 > 0 THEN image || '-' || (round(avg(l_discount) * 1000) % 2)::INT END AS digest, CASE WHEN count(*) % 23 > 0 THEN round(avg(l_discount), 4) END AS error FROM l GROUP BY study, arm, repeat, image), tm AS (SELECT study, arm, repeat, round(avg(l_quantity), 4) AS ms FROM l GROUP BY ALL HAVING count(*) % 19 > 0)"
+_CELLS = "l AS (SELECT l_suppkey % 10 AS study, l_returnflag || l_linestatus AS arm, l_orderkey % 3 AS repeat, l_partkey % 4 AS image, l_discount, l_quantity FROM lineitem), cell AS (SELECT study, arm, repeat, image, CASE WHEN count(*) % 29 > 0 THEN image || '-' || (sum(round(l_discount * 100)::BIGINT) * 10 // count(*) % 2) END AS digest, CASE WHEN count(*) % 23 > 0 THEN (sum(round(l_discount * 100)::BIGINT) * 100 // count(*)) / 10000 END AS error FROM l GROUP BY study, arm, repeat, image), tm AS (SELECT study, arm, repeat, (sum(l_quantity::BIGINT) * 10000 // count(*)) / 10000 AS ms FROM l GROUP BY ALL HAVING count(*) % 19 > 0)"
 _REPEATS = _CELLS + ", e AS (SELECT study, arm, repeat, count(*) AS n, count(*) - count(digest) AS bad FROM cell GROUP BY ALL), fb AS (SELECT study, min(repeat) AS repeat FROM e WHERE arm = 'AF' AND bad = 0 GROUP BY 1), ex AS (SELECT study, image FROM cell JOIN fb USING (study, repeat) WHERE arm = 'AF'), q AS (SELECT e.*, (SELECT count(*) FROM ex WHERE ex.study = e.study) AS wanted, (SELECT count(*) FROM cell c JOIN ex USING (study, image) WHERE c.study = e.study AND c.arm = e.arm AND c.repeat = e.repeat) AS shared, t.ms IS NOT NULL AS timed FROM e LEFT JOIN tm t USING (study, arm, repeat)), rp AS (SELECT study, arm, repeat, CASE WHEN bad > 0 THEN 'unreadable' WHEN wanted = 0 OR n <> wanted OR shared <> wanted THEN 'image_set_differs' WHEN NOT timed AND bool_or(timed) OVER w AND count(*) OVER w > 1 THEN 'missing_timing' END AS problem FROM q WINDOW w AS (PARTITION BY study, arm))"
 
 
 def cells(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 10).alias("study"), F.concat("l_returnflag", "l_linestatus").alias("arm"), (F.col("l_orderkey") % 3).alias("repeat"), (F.col("l_partkey") % 4).alias("image"), "l_discount", "l_quantity")
     n = F.count(F.lit(1))
-    digest = F.concat_ws("-", "image", (F.round(F.avg("l_discount") * 1000) % 2).cast("int"))
-    captures = li.groupBy("study", "arm", "repeat", "image").agg(F.when(n % 29 > 0, digest).alias("digest"), F.when(n % 23 > 0, F.round(F.avg("l_discount"), 4)).alias("error"))
-    times = li.groupBy("study", "arm", "repeat").agg(F.round(F.avg("l_quantity"), 4).alias("ms"), n.alias("n")).where("n % 19 > 0").drop("n")
+    # Whole numbers, so that no rounding depends on the order of a sum.
+    captures = li.groupBy("study", "arm", "repeat", "image").agg(n.alias("n"), F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("s"))
+    captures = captures.select("study", "arm", "repeat", "image", F.expr("if(n % 29 > 0, concat_ws('-', image, s * 10 div n % 2), null)").alias("digest"), F.expr("if(n % 23 > 0, (s * 100 div n) / 10000D, null)").alias("error"))
+    times = li.groupBy("study", "arm", "repeat").agg(n.alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("s")).where("n % 19 > 0").select("study", "arm", "repeat", F.expr("(s * 10000 div n) / 10000D").alias("ms"))
     return captures, times
 
 
@@ -165,10 +166,10 @@ def ablation_repeats(spark, sf_dir):
        ", wh AS (SELECT c.* FROM cell c JOIN rp ON rp.study = c.study AND rp.arm = c.arm AND rp.repeat = c.repeat AND problem IS NULL), sp AS (SELECT study, arm, image, count(DISTINCT digest) AS d, max(error) - min(error) AS r FROM wh GROUP BY ALL), un AS (SELECT s.study, s.arm, count(*) AS unstable FROM sp s LEFT JOIN sp b ON b.study = s.study AND b.image = s.image AND b.arm = 'AF' WHERE s.arm <> 'AF' AND s.d > 1 AND coalesce(s.r, 1) > coalesce(b.r, 0) + 1e-6 GROUP BY ALL)"
        ", ti AS (SELECT t.* FROM tm t JOIN rp ON rp.study = t.study AND rp.arm = t.arm AND rp.repeat = t.repeat AND problem IS NULL), md AS (SELECT study, arm, quantile_cont(ms, 0.5) AS median FROM ti GROUP BY ALL), sh AS (SELECT x.study, x.arm, quantile_cont(x.ms - y.ms, 0.5) AS shift FROM ti x JOIN ti y ON y.study = x.study AND y.arm = 'AF' JOIN ok ON ok.study = x.study AND ok.arm = x.arm GROUP BY ALL), no AS (SELECT study, max(ms) - min(ms) AS noise FROM ti WHERE arm = 'AF' GROUP BY 1)"
        ", tb AS (SELECT ar.study, ar.arm, CASE WHEN NOT based THEN 'no_base' WHEN repeats = 0 THEN 'excluded' WHEN coalesce(unstable, 0) > 0 THEN 'unstable' ELSE 'accepted' END AS status, repeats, left_out, coalesce(images, 0) AS images, mean, coalesce(unstable, 0) AS unstable, median, shift, noise FROM ar LEFT JOIN me USING (study, arm) LEFT JOIN un USING (study, arm) LEFT JOIN md USING (study, arm) LEFT JOIN sh USING (study, arm) LEFT JOIN no USING (study))"
-       " SELECT study, arm, status, repeats, left_out, images, round(mean, 8) AS mean, unstable, CASE WHEN status IN ('accepted', 'unstable') THEN round(median, 6) END AS median, round(shift, 6) AS shift, CASE WHEN status = 'accepted' AND shift IS NOT NULL THEN 1 + (SELECT count(*) FROM tb o WHERE o.study = tb.study AND o.status = 'accepted' AND o.shift < tb.shift - tb.noise) END AS place FROM tb")
+       " SELECT study, arm, status, repeats, left_out, images, round(mean, 8) AS mean, unstable, CASE WHEN status IN ('accepted', 'unstable') THEN round(median, 6) END AS median, CASE WHEN round(shift, 6) = 0 THEN 0.0 ELSE round(shift, 6) END AS shift, CASE WHEN status = 'accepted' AND shift IS NOT NULL THEN 1 + (SELECT count(*) FROM tb o WHERE o.study = tb.study AND o.status = 'accepted' AND o.shift < tb.shift - tb.noise) END AS place FROM tb")
 def ablation_table(spark, sf_dir):
     out = A.ablation(*cells(spark, sf_dir), "AF")
-    return out.withColumns({"mean": F.round("mean", 8), "median": F.round("median", 6), "shift": F.round("shift", 6)})
+    return out.withColumns({"mean": F.round("mean", 8), "median": F.round("median", 6), "shift": F.when(F.round("shift", 6) == 0, 0.0).otherwise(F.round("shift", 6))})
 
 
 # --- histories -------------------------------------------------------------

@@ -40,9 +40,9 @@ def copy_distances(spark, sf_dir):
 
 # --- flashes ---------------------------------------------------------------
 
-#: Screens are event types, cells users by remainder, frames two hours, light the mean value; eight frames count as a second.
+#: Screens are event types, cells users by remainder, frames half days, light the mean value; eight frames count as a second.
 _FPS = 8
-_CELLS = "c AS (SELECT event_type AS series, user_id % 6 AS cell, CAST(floor(epoch(ts) / 7200) AS BIGINT) - 236664 AS frame, round(least(1.0, avg(value) / 100), 6) AS luminance FROM events GROUP BY ALL)"
+_CELLS = "c AS (SELECT event_type AS series, user_id % 2 AS cell, CAST(floor(epoch(ts) / 43200) AS BIGINT) - 39444 AS frame, round(least(1.0, avg(value) / 100), 6) AS luminance FROM events GROUP BY ALL)"
 _CHANGES = _CELLS + ", d AS (SELECT series, cell, frame, luminance, lag(luminance) OVER (PARTITION BY series, cell ORDER BY frame) AS b FROM c), ch AS (SELECT series, cell, frame, CASE WHEN luminance > b THEN 1 ELSE -1 END AS dir FROM d WHERE abs(luminance - b) >= 0.1 AND least(b, luminance) < 0.8)"
 _FLASHES = _CHANGES + ", r AS (SELECT *, sum(CASE WHEN before IS NULL OR before <> dir THEN 1 ELSE 0 END) OVER (PARTITION BY series, cell ORDER BY frame) AS run FROM (SELECT *, lag(dir) OVER (PARTITION BY series, cell ORDER BY frame) AS before FROM ch)), g AS (SELECT series, cell, run, min(frame) AS first, max(frame) AS last, count(*) AS n FROM r GROUP BY ALL), j AS (SELECT *, lag(last) OVER w - 1 AS start, max(CASE WHEN n > 1 THEN run END) OVER (PARTITION BY series, cell ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS longest FROM g WINDOW w AS (PARTITION BY series, cell ORDER BY run)), f AS (SELECT series, cell, start, first AS \"end\" FROM j WHERE start IS NOT NULL AND (run - coalesce(longest + 1, 2)) % 2 = 0)"
 _FRAMES = _FLASHES + f", e AS (SELECT *, unnest(generate_series(\"end\", \"end\" + {_FPS - 1})) AS frame FROM f), bc AS (SELECT series, cell, frame, count(*) AS n, min((\"end\", start)) AS m FROM e GROUP BY ALL), s AS (SELECT series, max(frame) AS last, count(DISTINCT cell) AS cells FROM c GROUP BY 1), fr AS (SELECT series, frame, max(n) AS peak, sum(CASE WHEN n > 3 THEN 1 ELSE 0 END) / max(cells) AS above, sum(CASE WHEN n >= 3 THEN 1 ELSE 0 END) / max(cells) AS near, min(m)[2] AS start FROM bc JOIN s USING (series) WHERE frame <= last GROUP BY ALL)"
@@ -50,8 +50,8 @@ _FRAMES = _FLASHES + f", e AS (SELECT *, unnest(generate_series(\"end\", \"end\"
 
 def light(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    frame = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 7_200_000_000).cast("long") - 236664
-    return e.groupBy(F.col("event_type").alias("series"), (F.col("user_id") % 6).alias("cell"), frame.alias("frame")).agg(F.round(F.least(F.lit(1.0), F.avg("value") / 100), 6).alias("luminance"))
+    frame = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 43_200_000_000).cast("long") - 39444
+    return e.groupBy(F.col("event_type").alias("series"), (F.col("user_id") % 2).alias("cell"), frame.alias("frame")).agg(F.round(F.least(F.lit(1.0), F.avg("value") / 100), 6).alias("luminance"))
 
 
 @query("WITH " + _FLASHES + ' SELECT series, cell, start, "end" FROM f')
@@ -99,15 +99,15 @@ _PROFILES = (
     + ", pr AS (SELECT *, abs(shift) > half AND abs(shift) > 0.02 AS shifted, abs(shift) > half AND abs(relative) > 0.02 AS relatively_shifted, " + _RATIO.format(a="vb", b="vc") + " AS variance_ratio FROM tp)")
 
 
-@query("WITH " + _LEVELS + " SELECT image, level, squares, round(difference, 9) AS difference FROM lv")
+@query("WITH " + _LEVELS + " SELECT image, level, squares, round(difference, 12) AS difference FROM lv")
 def pyramid_levels(spark, sf_dir):
-    return pyramid.levels(B.picture_pairs(spark, sf_dir)).withColumn("difference", F.round("difference", 9))
+    return pyramid.levels(B.picture_pairs(spark, sf_dir)).withColumn("difference", F.round("difference", 12))
 
 
-@query("WITH " + _PROFILES + " SELECT image, tx, ty, pixels, round(shift, 9) AS shift, round(relative, 9) AS relative, round(shift - half, 9) AS low, round(variance_ratio, 4) AS variance_ratio, shifted, relatively_shifted FROM pr")
+@query("WITH " + _PROFILES + " SELECT image, tx, ty, pixels, CASE WHEN round(shift, 9) = 0 THEN 0.0 ELSE round(shift, 9) END AS shift, CASE WHEN round(relative, 9) = 0 THEN 0.0 ELSE round(relative, 9) END AS relative, CASE WHEN round(shift - half, 9) = 0 THEN 0.0 ELSE round(shift - half, 9) END AS low, round(variance_ratio, 4) AS variance_ratio, shifted, relatively_shifted FROM pr")
 def tile_profiles(spark, sf_dir):
     t = pyramid.tile_profiles(B.picture_pairs(spark, sf_dir), _TILE)
-    return t.select("image", "tx", "ty", "pixels", *[F.round(c, 9).alias(c) for c in ("shift", "relative", "low")], F.round("variance_ratio", 4).alias("variance_ratio"), "shifted", "relatively_shifted")
+    return t.select("image", "tx", "ty", "pixels", *[F.when(F.round(c, 9) == 0, 0.0).otherwise(F.round(c, 9)).alias(c) for c in ("shift", "relative", "low")], F.round("variance_ratio", 4).alias("variance_ratio"), "shifted", "relatively_shifted")
 
 
 @query("WITH RECURSIVE " + _PROFILES + ", wh AS (SELECT image, count(*) FILTER (b <> c) AS changed, coalesce(avg(lb), 0) AS db, coalesce(avg(lc), 0) AS dc FROM st GROUP BY 1)"
@@ -118,11 +118,11 @@ def tile_profiles(spark, sf_dir):
        + ", ch AS (SELECT image, tx, ty, 100 * tx + ty AS id FROM pr JOIN (SELECT image FROM se WHERE NOT benign) USING (image) WHERE shifted OR relatively_shifted)"
        + ", ad AS (SELECT a.image, a.id AS a, b.id AS b FROM ch a JOIN ch b ON a.image = b.image AND abs(a.tx - b.tx) + abs(a.ty - b.ty) = 1), re AS (SELECT image, id, id AS root FROM ch UNION SELECT re.image, re.id, ad.b FROM re JOIN ad ON ad.image = re.image AND ad.a = re.root)"
        + ", rg AS (SELECT image, count(*) AS regions FROM (SELECT image, root, count(*) AS n FROM (SELECT image, id, min(root) AS root FROM re GROUP BY 1, 2) GROUP BY 1, 2) WHERE n >= 3 GROUP BY 1)"
-       + " SELECT se.image, CASE WHEN changed = 0 THEN 'identical' WHEN benign OR (last <= first * 0.3 AND coalesce(regions, 0) = 0 AND NOT detail) THEN 'texture_noise_only' WHEN coalesce(regions, 0) > 0 THEN 'systematic_shift' ELSE 'unclassified' END AS class, coalesce(regions, 0) AS regions, shifted, round(share, 6) AS share, round(detail_ratio, 9) AS detail_ratio, round(coarse, 9) AS coarse FROM se LEFT JOIN rg ON rg.image = se.image")
+       + " SELECT se.image, CASE WHEN changed = 0 THEN 'identical' WHEN benign OR (last <= first * 0.3 AND coalesce(regions, 0) = 0 AND NOT detail) THEN 'texture_noise_only' WHEN coalesce(regions, 0) > 0 THEN 'systematic_shift' ELSE 'unclassified' END AS class, coalesce(regions, 0) AS regions, shifted, round(share, 6) AS share, round(detail_ratio, 9) AS detail_ratio, round(coarse, 12) AS coarse FROM se LEFT JOIN rg ON rg.image = se.image")
 def change_classes(spark, sf_dir):
     """Tiles of two pixels have no inner pixel, so that their own detail is never asked for; the whole picture's is."""
     c = pyramid.change_classes(B.picture_pairs(spark, sf_dir), _TILE)
-    return c.select("image", "class", "regions", "shifted", F.round("share", 6).alias("share"), *[F.round(x, 9).alias(x) for x in ("detail_ratio", "coarse")])
+    return c.select("image", "class", "regions", "shifted", F.round("share", 6).alias("share"), F.round("detail_ratio", 9).alias("detail_ratio"), F.round("coarse", 12).alias("coarse"))
 
 
 # --- colours ---------------------------------------------------------------
@@ -230,7 +230,7 @@ def buffer_errors(spark, sf_dir):
 
 @query(f"WITH px AS ({B.PICTURE_PAIRS}), bx AS (SELECT DISTINCT image, image % 4 AS x, image % 3 AS y, 3 AS w, 4 AS h FROM px WHERE image % 11 > 0 UNION ALL SELECT DISTINCT image, CASE WHEN k = 2 THEN 0 ELSE 2 END, 0, 4, CASE WHEN image % 9 = 0 THEN 9 ELSE 8 END FROM px WHERE k > 1),"
        " i AS (SELECT p.*, EXISTS (SELECT 1 FROM bx WHERE bx.image = p.image AND p.x >= bx.x AND p.x < bx.x + bx.w AND p.y >= bx.y AND p.y < bx.y + bx.h) AS ins FROM px p), e AS (SELECT i.*, abs(c - b) AS err, EXISTS (SELECT 1 FROM i o WHERE o.image = i.image AND abs(o.x - i.x) + abs(o.y - i.y) = 1 AND o.ins <> i.ins) AS edge FROM i),"
-       " v AS (SELECT image, bool_or(x + w > 8 OR y + h > 8) AS off FROM bx GROUP BY 1) SELECT e.image, " + ", ".join(f"count(*) FILTER ({t}) AS {n}_pixels, count(*) FILTER ({t} AND b <> c) AS {n}_changed, round(avg(err) FILTER ({t}), 8) AS {n}_mean" for n, t in (("inside", "ins"), ("outside", "NOT ins"), ("boundary", "edge")))
+       " v AS (SELECT image, bool_or(x + w > 8 OR y + h > 8) AS off FROM bx GROUP BY 1) SELECT e.image, " + ", ".join(f"count(*) FILTER ({t}) AS {n}_pixels, count(*) FILTER ({t} AND b <> c) AS {n}_changed, round(avg(err) FILTER ({t}), 12) AS {n}_mean" for n, t in (("inside", "ins"), ("outside", "NOT ins"), ("boundary", "edge")))
        + ", CASE WHEN off IS NULL OR off THEN 'invalid_region' WHEN count(*) FILTER (NOT ins AND b <> c) > 0 THEN 'collateral_change' ELSE 'preserved' END AS verdict FROM e LEFT JOIN v USING (image) GROUP BY e.image, off")
 def localized_changes(spark, sf_dir):
     p = B.picture_pairs(spark, sf_dir)
@@ -239,7 +239,7 @@ def localized_changes(spark, sf_dir):
     two = images.where("k > 1").select("image", F.when(F.col("k") == 2, 0).otherwise(2).alias("x"), F.lit(0).alias("y"), F.lit(4).alias("w"), F.when(F.col("image") % 9 == 0, 9).otherwise(8).alias("h"))
     cells = p.select("image", "x", "y", F.col("b").alias("before"), F.col("c").alias("after"), F.abs(F.col("c") - F.col("b")).alias("error"))
     out = scopes.localized(cells, one.union(two))
-    return out.select("image", *[c for n in ("inside", "outside", "boundary") for c in (f"{n}_pixels", f"{n}_changed", F.round(f"{n}_mean", 8).alias(f"{n}_mean"))], "verdict")
+    return out.select("image", *[c for n in ("inside", "outside", "boundary") for c in (f"{n}_pixels", f"{n}_changed", F.round(f"{n}_mean", 12).alias(f"{n}_mean"))], "verdict")
 
 
 _TILES = "t AS (SELECT page_id AS n, (3 + page_id % 3) AS z, page_id % 8 AS x, (page_id // 8) % 40 AS y, sha256(html) AS d FROM pages), r AS (SELECT *, count(*) OVER (PARTITION BY z, x, y) AS k FROM t WHERE x < 2 ** z AND y < 2 ** z), q AS (SELECT z, x, y, CASE WHEN n % 5 = 0 THEN 'x' ELSE d END AS d, count(*) OVER (PARTITION BY z, x, y) AS k FROM t WHERE n % 7 > 0 AND x < 2 ** z AND y < 2 ** z UNION ALL SELECT 9, n, n, d, 1 FROM t WHERE n % 13 = 0 AND n < 512)"
