@@ -71,17 +71,39 @@ def shift(left: DataFrame, right: DataFrame, group: list[str], value: str = "val
     return listed.union(_selected(x.join(many, group), y.join(many, group), group, -1.0, False).withColumnRenamed("m", "shift"))
 
 
-def split_mix(seed: int, n: int, size: int) -> np.ndarray:
-    """size places below n from the SplitMix64 stream of the seed; draws beyond the last whole multiple of n are passed over."""
-    out, at = np.zeros(0, np.uint64), 0
+def _mixed(seed: int, first: int, size: int) -> np.ndarray:
+    """Numbers first + 1 to first + size of the SplitMix64 stream of the seed."""
+    z = np.uint64(seed) + np.arange(first + 1, first + 1 + size, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return z ^ z >> np.uint64(31)
+
+
+def passed_over(seed: int, n: int, within: int) -> list[int]:
+    """Which of the first `within` numbers of the stream lie beyond the last whole multiple of n: the few values that do are traced back to their places, as each step of the stream can be undone."""
+    top, out = (1 << 64) // n * n, []
+    back = lambda m: np.uint64(pow(m, -1, 1 << 64))
+    for low in range(top, 1 << 64, 1 << 20):
+        z = np.uint64(low) + np.arange(min(1 << 20, (1 << 64) - low), dtype=np.uint64)
+        z = (z ^ z >> np.uint64(31) ^ z >> np.uint64(62)) * back(0x94D049BB133111EB)
+        z = (z ^ z >> np.uint64(27) ^ z >> np.uint64(54)) * back(0xBF58476D1CE4E5B9)
+        z = z ^ z >> np.uint64(30) ^ z >> np.uint64(60)
+        at = (z - np.uint64(seed)) * back(0x9E3779B97F4A7C15)
+        out += at[(at > 0) & (at <= np.uint64(within))].tolist()
+    return sorted(out)
+
+
+def split_mix(seed: int, n: int, size: int, skip: int = 0) -> np.ndarray:
+    """size places below n from the SplitMix64 stream of the seed, after the first `skip`; draws beyond the last whole multiple of n are passed over."""
+    out, at = np.zeros(0, np.uint64), skip
+    for place in passed_over(seed, n, skip + 64) if skip else []:
+        if place > at:
+            break
+        at += 1
     top = (1 << 64) // n * n
     while len(out) < size:
-        step = np.arange(at + 1, at + 1 + size + 64, dtype=np.uint64)
-        z = np.uint64(seed) + step * np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-        z = z ^ z >> np.uint64(31)
-        out, at = np.concatenate([out, z if top == 1 << 64 else z[z < np.uint64(top)]]), at + len(step)
+        z = _mixed(seed, at, size + 64)
+        out, at = np.concatenate([out, z if top == 1 << 64 else z[z < np.uint64(top)]]), at + len(z)
     return (out[:size] % np.uint64(n)).astype(np.int64)
 
 
@@ -327,24 +349,86 @@ def _draws(seed: int, draws: int, n: int, m: int) -> np.ndarray:
     return np.array(out, np.int64).reshape(draws, n + m)
 
 
-def grouped_interval(rows: DataFrame, group: list[str], unit: str, value: str, draws: int = 1000, seed: int = 7, confidence: float = 0.95) -> DataFrame:
-    """By group: the mean of value and its percentile interval over resampled units (all rows of a unit together). Spark sums the rows of a unit; a draw reads one sum and count a unit."""
-    units = rows.where(F.col(value).isNotNull()).groupBy(*group, unit).agg(F.sum(F.col(value).cast("double")).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    tail = (1 - confidence) / 2
+#: Units that a row of the table of chunks holds, places that a slice of draws reads, and slices at most.
+CHUNK, READ, SLICES = 65_536, 50_000_000, 64
+
+
+def _summed(rows: DataFrame, group: list[str], unit: str, value: str) -> DataFrame:
+    return rows.groupBy(*group, unit).agg(F.sum(F.col(value).cast("double")).alias("_s"), F.count(F.col(value)).alias("_n"))
+
+
+def grouped_mean(rows: DataFrame, group: list[str], unit: str, value: str) -> DataFrame:
+    """By group: units (that are named) and the mean of value over all rows."""
+    return _summed(rows, group, unit, value).groupBy(*group).agg(F.count(F.col(unit)).cast("int").alias("units"), (F.sum("_s") / F.sum("_n")).alias("mean"))
+
 
-    def measure(key: tuple, u: pd.DataFrame) -> pd.DataFrame:
-        u = u.sort_values(unit)
-        s, n = u["_s"].to_numpy(float), u["_n"].to_numpy(float)
-        low = high = None
-        if len(s) > 1:
-            at = split_mix(seed, len(s), draws * len(s)).reshape(draws, len(s))
-            d = s[at].sum(1) / n[at].sum(1)
-            low, high = _percentile(d, tail), _percentile(d, 1 - tail)
-        return pd.DataFrame([[*key, len(s), s.sum() / n.sum(), low, high]], columns=[*group, "units", "mean", "low", "high"]).astype({"low": "float64", "high": "float64"})
+def _chunks(units: DataFrame, group: list[str], unit: str) -> DataFrame:
+    """group.., _part, _at, _size, _sums, _counts: the sums (_s) and counts (_n) of a group's units in their order, as arrays of at most CHUNK; chunks are in order of _part and _at. Units are sorted in ranges, never a group in a task."""
+    kinds = dict(units.dtypes)
 
+    def packed(batches):
+        held, at = {}, 0  # by group, as a range has a part of a few groups' units
+
+        def chunk(key):
+            nonlocal at
+            s, n = (np.concatenate(x) for x in zip(*held.pop(key)[1], strict=True))
+            at += 1
+            return pd.DataFrame([[*key, int(part), at, len(s), s.tobytes(), n.tobytes()]], columns=names)
+
+        for batch in batches:
+            for key, rows in batch.groupby(group, dropna=False, sort=False):
+                key, part = tuple(None if pd.isna(k) else k for k in key), rows["_part"].iloc[0]
+                for other in [k for k in held if k != key]:
+                    yield chunk(other)
+                now = held.setdefault(key, [0, []])
+                now[0] += len(rows)
+                now[1].append((rows["_s"].to_numpy(float), rows["_n"].to_numpy(float)))
+                if now[0] >= CHUNK:
+                    yield chunk(key)
+        for key in list(held):
+            yield chunk(key)
+
+    names = [*group, "_part", "_at", "_size", "_sums", "_counts"]
+    order = [F.col(c).asc_nulls_last() for c in (*group, unit)]
+    dealt = units.repartitionByRange(*order).sortWithinPartitions(*order).select(*group, F.spark_partition_id().alias("_part"), "_s", "_n")
+    return dealt.mapInPandas(packed, ", ".join(f"`{g}` {kinds[g]}" for g in group) + ", _part int, _at int, _size int, _sums binary, _counts binary")
+
+
+def grouped_interval(rows: DataFrame, group: list[str], unit: str, value: str, draws: int = 1000, seed: int = 7, confidence: float = 0.95) -> DataFrame:
+    """By group: the mean of value and its percentile interval over resampled units (all rows of a unit together).
+
+    Spark sums the rows of a unit; a draw reads one sum and count a unit. A large group's draws are parted into slices, each a task's, which finds
+    its place in the stream of draws and holds the group's sums and counts (16 bytes a unit) and one draw at a time."""
+    units = _summed(rows.where(F.col(value).isNotNull()), group, unit, value)
+    chunks = written(_chunks(units, group, unit), "chunks")
+    tail = (1 - confidence) / 2
     kinds = dict(rows.dtypes)
-    shape = ", ".join(f"`{g}` {kinds[g]}" for g in group) + ", units int, mean double, low double, high double"
-    return units.groupBy(*group).applyInPandas(measure, shape)
+    keys = ", ".join(f"`{g}` {kinds[g]}" for g in group)
+    sizes = chunks.groupBy(*group).agg(F.sum("_size").alias("_units")).select(*[F.col(g).alias(f"_{g}") for g in group], F.greatest(F.lit(1), F.least(F.lit(min(SLICES, draws)), F.ceil(F.col("_units") * draws / READ))).cast("int").alias("_slices"))
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]
+    sliced = chunks.join(sizes, same).drop(*[f"_{g}" for g in group]).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
+
+    def draw(key: tuple, u: pd.DataFrame) -> pd.DataFrame:
+        u = u.sort_values(["_part", "_at"])
+        s, n = (np.concatenate([np.frombuffer(x) for x in u[c]]) for c in ("_sums", "_counts"))
+        first, end = (draws * (key[-1] + i) // int(u["_slices"].iloc[0]) for i in (0, 1))
+        step, found = max(1, CHUNK * 16 // len(s)), []
+        for low in range(first, end, step) if len(s) > 1 else []:
+            high = min(end, low + step)
+            at = split_mix(seed, len(s), (high - low) * len(s), low * len(s)).reshape(high - low, len(s))
+            found.append(s[at].sum(1) / n[at].sum(1))
+        return pd.DataFrame([[*key[:-1], len(s), s.sum() / n.sum(), np.concatenate(found).tolist() if found else []]], columns=[*group, "units", "mean", "_means"])
+
+    drawn = sliced.groupBy(*group, "_slice").applyInPandas(draw, keys + ", units int, mean double, _means array<double>")
+
+    def ends(batches):
+        for batch in batches:
+            found = [np.asarray(x, float) for x in batch["_means"]]
+            bound = lambda q: [_percentile(x, q) if len(x) else None for x in found]  # noqa: B023, E731
+            yield batch.drop(columns="_means").assign(low=bound(tail), high=bound(1 - tail)).astype({"low": "float64", "high": "float64"})
+
+    gathered = drawn.groupBy(*group).agg(F.first("units").alias("units"), F.first("mean").alias("mean"), F.flatten(F.collect_list("_means")).alias("_means"))
+    return gathered.mapInPandas(ends, keys + ", units int, mean double, low double, high double")
 
 
 #: The fewest pairs and blocks, and the fewest draws that a tail of the bootstrap must hold.

@@ -300,3 +300,45 @@ def test_many_repeats_in_slices(spark, monkeypatch):
     whole = stats.arm_summary(*frames_, ["g", "arm"]).first()
     monkeypatch.setattr(stats, "SLICE", 10_000)
     assert tuple(stats.arm_summary(*frames_, ["g", "arm"]).first()) == tuple(whole)
+
+
+def test_draws_from_the_middle_of_a_stream():
+    """A slice of draws goes on where the one before ended, numbers that were passed over too."""
+    n = 1_000_003
+    at = stats.passed_over(0, n, (1 << 64) - 1)
+    assert len(at) == (1 << 64) % n
+    seed = (at[0] - 40) * 0x9E3779B97F4A7C15 % (1 << 64)  # a stream whose 40th number is passed over
+    whole = stats.split_mix(seed, n, 100)
+    assert stats.passed_over(seed, n, 100) == [40]
+    assert (stats.split_mix(seed, n, 30, 20) == whole[20:50]).all() and (stats.split_mix(seed, n, 30, 50) == whole[50:80]).all()
+
+
+def test_grouped_intervals_by_slices(spark, monkeypatch):
+    """Groups in chunks and slices of draws give what one draw over the whole group gives; a draw is held at a time."""
+    r = random.Random(4)
+    shape = "g string, u string, v double"
+    data = [(r.choice(["a", "b", None]), r.choice([None, *"pqrstuvwxyz"]) and f"{r.randrange(60):02d}", r.choice([None, r.random()])) for _ in range(900)] + [("c", "only", 2.0), ("d", "x", None)]
+    want = {}
+    for g in ("a", "b", None, "c"):
+        sums = {}
+        for k, u, v in data:
+            if k == g and v is not None:
+                s, m = sums.get(u, (0.0, 0))
+                sums[u] = (s + v, m + 1)
+        keys = sorted(sums, key=lambda u: (u is None, u or ""))
+        s, m = (np.array([sums[u][i] for u in keys], float) for i in (0, 1))
+        d = s[at].sum(1) / m[at].sum(1) if len(s) > 1 and len(at := stats.split_mix(7, len(s), 200 * len(s)).reshape(200, len(s))) else None
+        want[g] = [len(s), s.sum() / m.sum(), *([np.quantile(d, 0.025), np.quantile(d, 0.975)] if d is not None else [None, None])]
+    monkeypatch.setattr(stats, "CHUNK", 7)
+    monkeypatch.setattr(stats, "READ", 3000)
+    got = {x["g"]: [x["units"], x["mean"], x["low"], x["high"]] for x in stats.grouped_interval(rows(spark, data, shape), ["g"], "u", "v", draws=200).collect()}
+    assert got.keys() == want.keys()
+    for g, x in want.items():
+        assert [v is None for v in got[g]] == [v is None for v in x]
+        assert [v for v in got[g] if v is not None] == pytest.approx([v for v in x if v is not None], rel=1e-12)
+
+
+def test_grouped_means_alone(spark):
+    """Units and means without any draw."""
+    got = {x["g"]: (x["units"], x["mean"]) for x in stats.grouped_mean(rows(spark, [("a", 1, 1), ("a", 1, 0), ("a", 2, None), ("a", None, 1), ("b", 1, None)], "g string, u int, v int"), ["g"], "u", "v").collect()}
+    assert got == {"a": (2, 2 / 3), "b": (1, None)}
