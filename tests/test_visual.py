@@ -321,3 +321,15 @@ def test_sources_and_answers(spark):
 
     rows = spark.createDataFrame([("human", "yes"), (" Human:Ann ", "unsure"), ("humanoid", "needs_human"), ("model", None), (None, "Unsure")], "s string, a string")
     assert [tuple(x) for x in rows.select(S.is_human(colour.F.col("s")), S.is_abstention(colour.F.col("a"))).collect()] == [(True, False), (True, True), (False, True), (False, False), (False, False)]
+
+
+def test_small_images_are_rows_of_one_shuffle(spark, monkeypatch):
+    """Small images meet no table of weights: their pixels are shuffled once, and the codes are those of the joins."""
+    r = np.random.default_rng(5)
+    rows = [(i, 8, 8, y, x, float(r.integers(0, 256))) for i in range(30) for y in range(8) for x in range(8)] + [(40, 8, 8, 1, 1, None)]
+    frame = spark.createDataFrame(rows, "image int, width int, height int, y int, x int, v double")
+    packed = perceptual.hashes(frame)
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    monkeypatch.setattr(perceptual, "PACKED", 0)
+    assert sorted(packed.collect()) == sorted(perceptual.hashes(frame).collect())
