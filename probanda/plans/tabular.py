@@ -95,9 +95,10 @@ _KIND = f"{_PAIRED}, e AS (SELECT split_part(name, '/', 2) AS run, name, CASE WH
 def run_summaries(spark, sf_dir):
     b, c = sides(spark, sf_dir)
     p = pairing.pair(b, c)
-    mean = F.when(F.col("status") == "paired", F.round(F.abs(F.col("c_value") - F.col("b_value")), 6))
+    apart = F.when(F.col("status") == "paired", F.abs(F.col("c_value") - F.col("b_value")))
+    mean = F.round(apart, 6)
     run = F.split("name", "/")[1]
-    kind = F.when(F.col("status") == "new", "only_run").when(F.col("status") == "missing", "only_ref").when((F.round(mean) == 0) | run.isin("view", "click", "error"), "identical").otherwise("changed")
+    kind = F.when(F.col("status") == "new", "only_run").when(F.col("status") == "missing", "only_ref").when((F.round(apart) == 0) | run.isin("view", "click", "error"), "identical").otherwise("changed")
     performance = spark.createDataFrame([("view", True, True, False), ("click", True, True, True), ("error", False, True, True), ("purchase", True, True, False)], "run string, qualified boolean, complete boolean, moved boolean")
     entries = p.where((F.col("status") == "paired") | run.isin("purchase", "signup"))
     return pairing.run_summary(entries.select(run.alias("run"), "name", kind.alias("kind"), mean.alias("mean")), performance)
