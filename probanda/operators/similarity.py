@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import hamming
+from ..sources.tables import written
 from .components import components
 
 #: Query vectors that meet the index in one pass.
@@ -49,6 +50,60 @@ def hamming_pairs(codes: DataFrame, radius: int) -> DataFrame:
     return near.union(same)
 
 
+def all_hamming_pairs(codes: DataFrame, radius: int) -> DataFrame:
+    """All pairs a < b within the radius with those between copies too: each pair of different codes for every two ids that have them."""
+    one = codes.groupBy("code").agg(F.min("id").alias("first"))
+    members = codes.join(one, "code").select("first", "id")
+    side = lambda c: members.select(F.col("first").alias(c), F.col("id").alias(f"_{c}"))
+    apart = hamming_pairs(one.select("code", F.col("first").alias("id")), radius).join(side("a"), "a").join(side("b"), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "distance")
+    same = side("a").join(side("a").withColumnRenamed("_a", "b"), "a").where("_a < b").select(F.col("_a").alias("a"), "b", F.lit(0).alias("distance"))
+    return apart.union(same)
+
+
+#: Codes of a block; every two blocks meet in a task, some of their rows at a time.
+CODES, ROWS = 32_768, 64
+
+
+def _joint(x: np.ndarray, y: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+    """Links between codes x and y (one list if they are the same) that hang together what all pairs within the radius do, at most one a code."""
+    same = x is y
+    label = np.arange(len(x)) if same else np.arange(len(x) + len(y))
+    shift = 0 if same else len(x)
+    for low in range(0, len(x), ROWS):
+        near = np.bitwise_count(x[low : low + ROWS, None] ^ y[None, :]) <= radius
+        if same:
+            near[np.arange(len(near)), np.arange(low, low + len(near))] = False
+        for i in np.flatnonzero(near.any(1)):
+            others = np.flatnonzero(near[i]) + shift
+            parts, at = np.unique(label[others], return_index=True)
+            own = label[low + i]
+            for part, j in zip(parts, others[at], strict=True):
+                if part != own:
+                    yield low + int(i), int(j) - shift
+            label[np.isin(label, parts)] = own
+
+
+def joining_links(codes: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of different codes (id, code) within the radius. All codes are compared, in blocks of about CODES, every two of which are a task's; of their pairs only as many go on as the components need."""
+    n = codes.count()
+    blocks = max(1, -(-n // CODES))
+    b = F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = codes.select("id", "code", b.alias("_b")).withColumn("_o", other).select("id", "code", "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
+
+    def met(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        side = lambda k: rows[rows["_b"] == k]
+        x = side(key[0])
+        y = x if key[0] == key[1] else side(key[1])
+        u = x["code"].to_numpy(np.int64).view(np.uint64)
+        v = u if y is x else y["code"].to_numpy(np.int64).view(np.uint64)
+        found = np.array(list(_joint(u, v, radius)), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": x["id"].to_numpy()[found[:, 0]], "b": y["id"].to_numpy()[found[:, 1]]})
+
+    kind = dict(codes.dtypes)["id"]
+    return rows.groupBy("_i", "_j").applyInPandas(met, f"a {kind}, b {kind}")
+
+
 def hamming_query(queries: DataFrame, codes: DataFrame, radius: int) -> DataFrame:
     """Codes within the radius of each query."""
     q = code_bands(queries, radius, "query").withColumnRenamed("code", "_q")
@@ -58,7 +113,9 @@ def hamming_query(queries: DataFrame, codes: DataFrame, radius: int) -> DataFram
 
 def clusters(codes: DataFrame, radius: int) -> DataFrame:
     """id, component: transitive clusters, named by their least id; codes without neighbours are their own."""
-    c = components(hamming_pairs(codes, radius).select("a", "b"))
+    one = written(codes.where("code is not null").groupBy("code").agg(F.min("id").alias("id")), "codes")
+    copies = codes.join(one.withColumnRenamed("id", "a"), "code").where("id > a").select("a", F.col("id").alias("b"))
+    c = components(joining_links(one, radius).union(copies))
     return codes.select("id").join(c, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
