@@ -171,7 +171,7 @@ def codes(spark, sf_dir):
 
 @query(CODES + f" SELECT * FROM p WHERE distance <= {RADIUS}")
 def hamming_pairs(spark, sf_dir):
-    return similarity.hamming_pairs(codes(spark, sf_dir), RADIUS)
+    return similarity.all_hamming_pairs(codes(spark, sf_dir), RADIUS)
 
 
 @query(CODES + f" SELECT a AS query, b AS id, distance FROM (SELECT a, b, distance FROM p UNION ALL SELECT b, a, distance FROM p) WHERE a % 50 = 0 AND distance <= {RADIUS} UNION ALL SELECT id, id, 0 FROM c WHERE id % 50 = 0")

@@ -4,11 +4,12 @@ import itertools
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from probanda.operators import frames, grids, history, intervals, pairing, perf, review, running, stats, text, votes
+from probanda.operators import frames, grids, history, intervals, pairing, perf, review, running, similarity, stats, text, votes
 from probanda.plans import evidence
 from probanda.sources import readers
 
@@ -342,3 +343,47 @@ def test_grouped_means_alone(spark):
     """Units and means without any draw."""
     got = {x["g"]: (x["units"], x["mean"]) for x in stats.grouped_mean(rows(spark, [("a", 1, 1), ("a", 1, 0), ("a", 2, None), ("a", None, 1), ("b", 1, None)], "g string, u int, v int"), ["g"], "u", "v").collect()}
     assert got == {"a": (2, 2 / 3), "b": (1, None)}
+
+
+def test_pairs_of_all_copies(spark):
+    """Copies of a code have every pair that the code has, and those among themselves."""
+    r = random.Random(8)
+    some = [r.getrandbits(64) - (1 << 63) for _ in range(12)]
+    codes = [r.choice(some) ^ (1 << r.randrange(60)) for _ in range(50)] + some * 3
+    near = [(i, j, d) for i, j in itertools.combinations(range(len(codes)), 2) if (d := bin((codes[i] ^ codes[j]) & (1 << 64) - 1).count("1")) <= 4]
+    frame = rows(spark, list(enumerate(codes)), "id long, code long")
+    assert sorted(tuple(x) for x in similarity.all_hamming_pairs(frame, 4).select("a", "b", "distance").collect()) == near
+
+
+def test_clusters_by_blocks(spark, monkeypatch):
+    """Clusters from blocks of codes are those of all pairs, while links stay few."""
+    monkeypatch.setattr(similarity, "CODES", 16)
+    monkeypatch.setattr(similarity, "ROWS", 5)
+    r = random.Random(3)
+    some = [r.getrandbits(64) - (1 << 63) for _ in range(9)]
+    codes = list({r.choice(some) ^ (1 << r.randrange(63)) ^ (1 << r.randrange(63)) for _ in range(120)}) + some
+    codes += codes[:7]
+    part = list(range(len(codes)))
+    for i, j in itertools.combinations(range(len(codes)), 2):
+        if part[i] != part[j] and bin((codes[i] ^ codes[j]) & (1 << 64) - 1).count("1") <= 6:
+            low, high = sorted((part[i], part[j]))
+            part = [low if p == high else p for p in part]
+    frame = rows(spark, list(enumerate(codes)), "id long, code long")
+    assert {x["id"]: x["component"] for x in similarity.clusters(frame, 6).collect()} == dict(enumerate(part))
+    one = frame.dropDuplicates(["code"])
+    n = one.count()
+    assert similarity.joining_links(one, 6).count() <= n * -(-n // 16)
+
+
+def test_kind_by_the_difference_itself(spark, tmp_path):
+    """A difference a little below a half rounds to none, though to six places it is a half."""
+    from probanda.plans import tabular
+
+    e = [(1, "2024-01-02 00:00:00", 1, "purchase", 0.07), (2, "2024-01-20 00:00:00", 1, "purchase", 0.57), (3, "2024-01-02 01:00:00", 1, "purchase", 0.2), (4, "2024-01-20 01:00:00", 1, "purchase", 0.7), (5, "2024-01-02 02:00:00", 1, "purchase", 5.23), (6, "2024-01-20 02:00:00", 1, "purchase", 5.73)]
+    assert 0.57 - 0.07 < 0.5 and 0.7 - 0.2 < 0.5
+    rows(spark, e, "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(tabular.ORACLES["run_summaries"]).df()
+    got = tabular.run_summaries(spark, str(tmp_path)).toPandas()
+    assert got[["identical", "changed"]].values.tolist() == want[["identical", "changed"]].values.tolist()
