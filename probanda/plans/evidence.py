@@ -188,7 +188,7 @@ def hash_clusters(spark, sf_dir):
 @query(CODES + f" SELECT a, b, distance, a % 3 AS split_a, b % 3 AS split_b FROM p WHERE distance <= {RADIUS} AND a % 3 <> b % 3")
 def split_leaks(spark, sf_dir):
     c = codes(spark, sf_dir)
-    return similarity.cross_split(similarity.hamming_pairs(c, RADIUS), c.select("id", (F.col("id") % 3).alias("split"))).select("a", "b", "distance", "split_a", "split_b")
+    return similarity.cross_split(similarity.all_hamming_pairs(c, RADIUS), c.select("id", (F.col("id") % 3).alias("split"))).select("a", "b", "distance", "split_a", "split_b")
 
 
 @query("WITH q AS (SELECT vec_id AS query, embedding AS x FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query, vec_id AS id, round(list_cosine_similarity(list_transform(x, lambda t: t::DOUBLE), list_transform(embedding, lambda t: t::DOUBLE)), 9) AS cosine FROM q, embeddings) SELECT query, id, cosine, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) AS place FROM s QUALIFY place <= 10")
