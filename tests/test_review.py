@@ -387,3 +387,18 @@ def test_kind_by_the_difference_itself(spark, tmp_path):
     want = con.execute(tabular.ORACLES["run_summaries"]).df()
     got = tabular.run_summaries(spark, str(tmp_path)).toPandas()
     assert got[["identical", "changed"]].values.tolist() == want[["identical", "changed"]].values.tolist()
+
+
+def test_equal_units_list_no_pairs(spark, monkeypatch):
+    """Crowded pages of few texts give the same by groups as by rounds over all pairs."""
+    r = random.Random(12)
+    shape = "page int, at int, text string, x double, y double, h double"
+    side = lambda n: [(r.choice([1, 2, None]), i, r.choice(["a", "b", None]), float(r.randrange(9)), float(r.randrange(9)), 9.0) for i in range(n)]
+    a, b = rows(spark, side(60), shape), rows(spark, side(50), shape)
+    asked = []
+    rounds = text.in_turn
+    monkeypatch.setattr(text, "in_turn", lambda wishes, page: asked.append(1) or rounds(wishes, page))
+    got = sorted((tuple(x) for x in text.matched_units(a, b, ["page"]).collect()), key=str)
+    assert len(asked) == 1  # for those that are left only
+    monkeypatch.setattr(text, "TOGETHER", 15)
+    assert got == sorted((tuple(x) for x in text.matched_units(a, b, ["page"]).collect()), key=str)
