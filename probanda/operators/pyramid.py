@@ -60,11 +60,13 @@ def tile_profiles(cells: DataFrame, tile: int = 32, policy: dict | None = None)
     rows = rows.select("image", "x", "y", F.col("b").cast("double").alias("b"), F.col("c").cast("double").alias("c"), "gap_b", "gap_c")
     rows = _laplacians(rows, tile).withColumns({"tx": F.floor(F.col("x") / tile).cast("int"), "ty": F.floor(F.col("y") / tile).cast("int")})
     detail = lambda v: F.coalesce(F.avg(F.when(F.col("_inside"), F.col(v))), F.lit(0.0))
+    # A shift of just the limit is told by the last bit of two means, so these are summed line by line, however the rows come.
+    mean = lambda v: F.try_divide(F.aggregate("_lines", F.lit(0.0), lambda s, e: s + F.coalesce(e[v], F.lit(0.0))), F.col(f"_n{v}"))
     t = rows.groupBy("image", "tx", "ty").agg(
-        F.count(F.lit(1)).alias("pixels"), F.avg("b").alias("b_mean"), F.avg("c").alias("c_mean"), F.var_pop("b").alias("_vb"), F.var_pop("c").alias("_vc"),
+        F.count(F.lit(1)).alias("pixels"), F.array_sort(F.collect_list(F.struct("y", "x", "b", "c"))).alias("_lines"), F.count("b").alias("_nb"), F.count("c").alias("_nc"), F.var_pop("b").alias("_vb"), F.var_pop("c").alias("_vc"),
         F.coalesce(F.var_samp(F.col("c") - F.col("b")), F.lit(0.0)).alias("_vd"), detail("_lb").alias("_db"), detail("_lc").alias("_dc"),
         F.avg(F.col("gap_b").cast("int")).alias("_gb"), F.avg(F.col("gap_c").cast("int")).alias("_gc"))
-    t = t.withColumn("shift", F.col("c_mean") - F.col("b_mean")).withColumn("_half", p["z"] * F.sqrt(F.col("_vd") / F.col("pixels")))
+    t = t.withColumns({"b_mean": mean("b"), "c_mean": mean("c")}).drop("_lines").withColumn("shift", F.col("c_mean") - F.col("b_mean")).withColumn("_half", p["z"] * F.sqrt(F.col("_vd") / F.col("pixels")))
     t = t.withColumn("_sure", F.abs("shift") > F.col("_half")).withColumn("relative", F.col("shift") / F.greatest("b_mean", F.lit(p["floor"])))
     contrast = lambda v, m: F.sqrt(v) / F.greatest(m, F.lit(p["floor"]))
     return t.select(

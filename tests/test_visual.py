@@ -162,6 +162,14 @@ def test_levels_and_profiles_against_arrays(spark):
     assert whole["detail_ratio"] == pytest.approx(laplacian(c).mean() / laplacian(b).mean())
 
 
+def test_shift_of_just_the_limit_is_summed_line_by_line(spark):
+    b, c = np.array([[0.5604, 0.52], [0.5088, 0.5708]]), np.array([[0.5906, 0.53], [0.5132, 0.6062]])
+    cells = cells_of(spark, [(b, c)])
+    for order in (("x", "y"), ("y", "x")):
+        t = pyramid.tile_profiles(cells.repartition(1).sortWithinPartitions(*order), 2).first()
+        assert t["shift"] == (0.5906 + 0.53 + 0.5132 + 0.6062) / 4 - (0.5604 + 0.52 + 0.5088 + 0.5708) / 4 and not t["shifted"]
+
+
 def test_kinds_of_change(spark):
     r = np.random.default_rng(1)
     b = np.round(r.random((32, 32)) * 0.3 + 0.4, 4)
