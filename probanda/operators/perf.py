@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import strictest
+from ..sources.tables import written
 
 
 def term_diff(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
@@ -56,14 +57,28 @@ def by_change(counters: DataFrame, group: list[str]) -> DataFrame:
 
 
 def selected_ancestors(terms: DataFrame, selected: DataFrame, depth: int = 16) -> DataFrame:
-    """Nearest selected ancestor-or-self of every term (id, parent), at most depth steps up; a cycle ends there with null."""
-    chosen = selected.select(F.col("id").alias("_s")).distinct()
-    parents = terms.select(F.col("id").alias("_p"), F.col("parent").alias("_up"))
-    now = terms.select("id", F.col("id").alias("at"), F.lit(None).cast("string").alias("ancestor"))
-    for _ in range(depth):
-        now = now.join(chosen, F.col("at") == F.col("_s"), "left").withColumn("ancestor", F.coalesce("ancestor", "_s")).drop("_s")
-        now = now.join(parents, F.col("at") == F.col("_p"), "left").select("id", F.when(F.col("ancestor").isNull(), F.col("_up")).alias("at"), "ancestor")
-    return now.select("id", "ancestor")
+    """Nearest selected ancestor-or-self of every term (id, parent), looked for in so many terms from itself upwards; a cycle ends there with null.
+
+    Ways of 2^n terms are put together from two of 2^(n - 1), each a table of its own; only those that found nothing and are not at an end go on."""
+    if depth < 1:
+        return terms.select("id", F.lit(None).cast("string").alias("ancestor"))
+    chosen = selected.select(F.col("id").alias("_s")).distinct().hint("merge")
+    # Parents that are chosen but no terms end a way too.
+    one = terms.select("id", "parent", F.lit(True).alias("term")).join(chosen, F.col("id") == F.col("_s"), "full_outer")
+    one = written(one.select(F.coalesce("id", "_s").alias("id"), F.when(F.col("_s").isNull(), F.col("parent")).alias("at"), F.col("_s").alias("ancestor"), F.coalesce("term", F.lit(False)).alias("term")), "ways")
+
+    def then(first: DataFrame, second: DataFrame) -> DataFrame:
+        goes = F.col("ancestor").isNull() & F.col("at").isNotNull()
+        rest = second.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("ancestor").alias("_a")).hint("merge")
+        on = first.where(goes).drop("ancestor").join(rest, "at", "left").select("id", F.col("_at").alias("at"), F.col("_a").alias("ancestor"), "term")
+        return written(first.where(~goes).union(on), "ways")
+
+    way = one
+    for bit in f"{depth:b}"[1:]:
+        way = then(way, way)
+        if bit == "1":
+            way = then(way, one)
+    return way.where("term").select("id", "ancestor")
 
 
 def counter_diff(before: DataFrame, after: DataFrame, key: list[str], terms: DataFrame) -> DataFrame:

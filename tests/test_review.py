@@ -402,3 +402,21 @@ def test_equal_units_list_no_pairs(spark, monkeypatch):
     assert len(asked) == 1  # for those that are left only
     monkeypatch.setattr(text, "TOGETHER", 15)
     assert got == sorted((tuple(x) for x in text.matched_units(a, b, ["page"]).collect()), key=str)
+
+
+def test_ancestors_by_doubled_ways(spark):
+    r = random.Random(2)
+    up = {str(i): str(r.randrange(i)) if i % 9 else None for i in range(1, 60)} | {"0": "gone", "a": "b", "b": "a", "x": "y"} | {f"l{i}": f"l{i + 1}" for i in range(20)}
+    chosen = {"3", "8", "gone", "l17", "never"}
+    terms = spark.createDataFrame(list(up.items()), "id string, parent string")
+    for depth in (1, 3, 16):
+        want = {}
+        for start in up:
+            at, left = start, depth
+            while left and at is not None and at not in chosen:
+                at, left = up.get(at), left - 1
+            want[start] = at if left and at in chosen else None
+        found = perf.selected_ancestors(terms, spark.createDataFrame([(c,) for c in chosen], "id string"), depth)
+        assert dict(found.collect()) == want and found.count() == len(up)
+        # Steps are tables: no task holds the joins of all of them.
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
