@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import glob_pattern
+from ..sources.tables import dealt
 
 STATUSES = ("pass", "fail", "error", "new", "missing")
 
@@ -82,6 +83,7 @@ def verdict_class(reports: DataFrame) -> DataFrame:
 
 def intent(declared: DataFrame, measured: DataFrame) -> DataFrame:
     """entry, kind, outcome of declared changes (entry, kind) against measured entries (entry, status, hits, stops, identical): matched, missing or unmeasurable; and `unexpected` for entries that changed though nothing but `none` is declared for them."""
+    declared, measured = dealt([declared, measured], ["entry"])
     j = declared.join(measured, "entry", "left")
     seen = F.when(F.col("kind") == "structure", F.col("hits") > 0).when(F.col("kind") == "tone_up", F.col("stops") > 0).when(F.col("kind") == "tone_down", F.col("stops") < 0).when(F.col("kind") == "none", (F.col("hits") == 0) & F.coalesce(F.col("identical"), F.lit(False)))
     whole = F.coalesce(F.col("status").isin("pass", "fail"), F.lit(False))

@@ -36,6 +36,17 @@ def replaced(df: DataFrame, name: str, old: str | None) -> tuple[DataFrame, str]
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Rows of a part of a table that is dealt.
+PART = 250_000
+
+
+def dealt(tables: list[DataFrame], keys: list[str]) -> list[DataFrame]:
+    """The tables by their keys, all in the same number of parts, which grows with the largest: a task of a join or of groups by these keys holds about so many rows, however large the tables are."""
+    spark = tables[0].sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-max(t.count() for t in tables) // PART))
+    return [t.repartition(parts, *keys) for t in tables]
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a table that shared_path() named."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

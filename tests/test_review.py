@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from probanda.operators import frames, grids, history, intervals, pairing, perf, review, running, similarity, stats, text, votes
 from probanda.plans import evidence
-from probanda.sources import readers
+from probanda.sources import readers, tables
 
 from .conftest import SMALL
 
@@ -420,3 +420,12 @@ def test_ancestors_by_doubled_ways(spark):
         assert dict(found.collect()) == want and found.count() == len(up)
         # Steps are tables: no task holds the joins of all of them.
         assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+
+def test_declared_changes_are_dealt_to_more_tasks_as_they_grow(spark, monkeypatch):
+    monkeypatch.setattr(tables, "PART", 10)
+    d = spark.range(200).selectExpr("id as entry", "if(id % 2 = 0, 'structure', 'none') as kind")
+    m = spark.range(300).selectExpr("id as entry", "'fail' as status", "4 as hits", "1.0 as stops", "false as identical")
+    found = review.intent(d, m)
+    assert found.rdd.getNumPartitions() == 60
+    assert dict(found.groupBy("outcome").count().collect()) == {"matched": 100, "missing": 100, "unexpected": 200}
