@@ -64,10 +64,11 @@ def by_position(left: DataFrame, right: DataFrame, group: list[str], order: str,
 
 def manual(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """Listed (i, j) pairs of places, in order `ord`, both of which exist. A pair is accepted if it is the first to name its i, and of such pairs the first to name its j: a pair refused for its i leaves its j free."""
-    ok = pairs.join(left.toDF("i", "left"), "i").join(right.toDF("j", "right"), "j")
-    for side in ("i", "j"):
-        ok = ok.withColumn("_n", F.row_number().over(Window.partitionBy(side).orderBy("ord"))).where("_n = 1").drop("_n")
-    return ok
+    # Both names are joined to the accepted pairs only; until then a side is asked whether it has the place.
+    ok = pairs.select("i", "j", "ord").join(left.toDF("i", "left").select("i"), "i", "left_semi").join(right.toDF("j", "right").select("j"), "j", "left_semi")
+    ok = ok.groupBy("i").agg(F.min_by("j", "ord").alias("j"), F.min("ord").alias("ord"))
+    ok = ok.groupBy("j").agg(F.min_by("i", "ord").alias("i"), F.min("ord").alias("ord"))
+    return ok.join(left.toDF("i", "left").dropDuplicates(["i"]), "i").join(right.toDF("j", "right").dropDuplicates(["j"]), "j").select("j", "i", "ord", "left", "right")
 
 
 def run_summary(entries: DataFrame, performance: DataFrame) -> DataFrame:

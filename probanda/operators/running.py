@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources import tables
 from ..sources.tables import written
 
 
@@ -25,12 +26,15 @@ def running_sums(rows: DataFrame, order: Column, columns: list[str]) -> DataFram
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """rows with their place, from 1, in the order."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = written(rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
-    before, starts = 0, []
-    for r in sorted(dealt.groupBy("_range").count().collect()):
+    """rows with their place, from 1, in the order. Ranges are sorted once, where they are written, in parts of about tables.PART rows."""
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // tables.PART))
+    # An id made in order is the range (from bit 33 on) and the place in it.
+    dealt = tables.written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    of = F.shiftright("_at", 33)
+    starts, before = [], 0
+    for r in sorted(dealt.groupBy(of.alias("_range")).count().collect()):
         starts += [F.lit(r["_range"]), F.lit(before)]
         before += r["count"]
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)).cast("long")
-    return dealt.withColumn(name, place + F.element_at(F.create_map(*starts), F.col("_range")) if starts else place).drop("_range")
+    place = F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+    return dealt.withColumn(name, place + F.element_at(F.create_map(*starts), of) if starts else place).drop("_at")
