@@ -104,12 +104,16 @@ def resolved(keys: DataFrame, rules: DataFrame) -> DataFrame:
     regex = F.concat(F.lit("^"), F.array_join(F.transform(F.split("pattern", r"\*", -1), lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E"))), "[^/]*"), F.lit("$"))
     r = r.withColumn("regex", regex)
     k = keys.select("arm", "key").distinct()
-    begins = k.withColumn("part", F.explode(_heads("key"))).join(r, (F.col("part") == F.col("head")) & (F.col("rule_arm").isNull() | (F.col("rule_arm") == F.col("arm")))).where(~F.col("star") | F.expr("key rlike regex")).where("star or part <> ''")
-    ends = k.withColumn("part", F.explode(_tails("key"))).join(r.where("not star"), (F.col("part") == F.col("pattern")) & (F.col("rule_arm").isNull() | (F.col("rule_arm") == F.col("arm"))))
-    fits = begins.select("arm", "key", "pattern", "kind").union(ends.select("arm", "key", "pattern", "kind"))
+    # Arms share most of their keys: patterns meet each key once, rules of all arms and of one are told apart after.
+    names = k.select("key").distinct()
+    columns = ["key", "rule_arm", "pattern", "kind"]
+    begins = names.withColumn("part", F.explode(_heads("key"))).join(r, F.col("part") == F.col("head")).where(~F.col("star") | F.expr("key rlike regex")).where("star or part <> ''")
+    ends = names.withColumn("part", F.explode(_tails("key"))).join(r.where("not star"), F.col("part") == F.col("pattern"))
     rank = F.struct((F.col("pattern") == F.col("key")).alias("whole"), F.length("pattern").alias("size"), (F.col("kind") == "vary").alias("varies"), "pattern", "kind")
-    best = fits.groupBy("arm", "key").agg(F.max(rank).alias("m"))
-    return k.join(best, ["arm", "key"], "left").select("arm", "key", F.col("m.pattern").alias("pattern"), F.col("m.kind").alias("kind"))
+    best = begins.select(columns).union(ends.select(columns)).groupBy("key", "rule_arm").agg(F.max(rank).alias("m"))
+    all_arms, own = best.where("rule_arm is null").select("key", F.col("m").alias("_all")), best.where("rule_arm is not null").select(F.col("rule_arm").alias("arm"), "key", F.col("m").alias("_own"))
+    out = k.join(own, ["arm", "key"], "left").join(all_arms, "key", "left").withColumn("m", F.greatest("_own", "_all"))
+    return out.select("arm", "key", F.col("m.pattern").alias("pattern"), F.col("m.kind").alias("kind"))
 
 
 def arm_findings(baseline: DataFrame, capture: DataFrame, rules: DataFrame) -> DataFrame:

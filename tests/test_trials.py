@@ -350,3 +350,11 @@ def test_critical_regions(spark):
     assert gate([node(x=5.0)]) == ("insufficient_evidence", "crosses_boundary") and gate([node(x=None)]) == ("insufficient_evidence", "unlocated") and gate([node(), node("off", x=390.0)]) == ("insufficient_evidence", "invalid_geometry")
     assert gate([node("other", c=50.0)], ocr=True) == ("insufficient_evidence", "unsure") and gate([node(c=None)], ocr=True) == ("insufficient_evidence", "unsure") and gate([node("other")], ocr=True) == ("fail", None)
     assert gate([node()], complete=False) == ("insufficient_evidence", "incomplete") and gate([node()], source=False) == ("insufficient_evidence", "unavailable") and gate([node()], base=()) == ("insufficient_evidence", None)
+
+
+def test_rules_meet_each_key_once(spark):
+    keys = spark.createDataFrame([(a, k) for a in "12" for k in ("x.y", "z")], "arm string, key string")
+    rules = spark.createDataFrame([(None, "x", "ignore"), ("2", "y", "vary"), ("2", "x.y", "vary")], "arm string, pattern string, kind string")
+    found = C.resolved(keys, rules)
+    assert {(r["arm"], r["key"]): r["kind"] for r in found.collect()} == {("1", "x.y"): "ignore", ("2", "x.y"): "vary", ("1", "z"): None, ("2", "z"): None}
+    assert "Aggregate [key#" in found._jdf.queryExecution().optimizedPlan().toString()
