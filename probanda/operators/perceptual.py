@@ -1,7 +1,7 @@
 """aHash, dHash and pHash of grey images that are held as tables of pixels.
 
 Resizing and the cosine transform are separable sums. The pixels of an image of up to PACKED
-pixels are gathered into one row, and its sums are products of small matrices. For larger images
+pixels are one row (as they come, or gathered), and its sums are products of small matrices. For larger images
 both are joins with sparse tables of weights, first along the rows and then along the columns: partial sums
 shrink each side before it is shuffled, and no task needs a whole image.
 """
@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 from pyspark.sql.window import Window
 
 from ..sources.tables import written
@@ -98,6 +99,13 @@ def _bits(picture: np.ndarray, kind: str) -> np.ndarray:
     return (on.reshape(len(picture), 64).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(1).view(np.int64)
 
 
+def _coded(grey: np.ndarray, kind: str) -> np.ndarray:
+    """The codes of a kind of images of one size (image, y, x)."""
+    h, w = grey.shape[1:]
+    small = np.round(_line(h, SIDES[kind][1]) @ grey @ _line(w, SIDES[kind][0]).T, PLACES)
+    return _bits(np.copysign(np.floor(np.abs(small) + 0.5), small), kind)
+
+
 def _packed(pixels: DataFrame, of: str) -> DataFrame:
     """The hashes of small images, a row of places and values each."""
 
@@ -108,8 +116,7 @@ def _packed(pixels: DataFrame, of: str) -> DataFrame:
             at = np.concatenate([places.iloc[i] for i in rows]).astype(np.int64) + np.repeat(np.arange(len(rows)) * w * h, [len(places.iloc[i]) for i in rows])
             grey = np.bincount(at, np.concatenate([values.iloc[i] for i in rows]), len(rows) * w * h).reshape(len(rows), h, w)
             for k in of:
-                small = np.round(_line(h, SIDES[k][1]) @ grey @ _line(w, SIDES[k][0]).T, PLACES)
-                out.iloc[rows, out.columns.get_loc(f"{k}hash")] = _bits(np.copysign(np.floor(np.abs(small) + 0.5), small), k)
+                out.iloc[rows, out.columns.get_loc(f"{k}hash")] = _coded(grey, k)
         return out
 
     seen = F.col("v").isNotNull() & F.col("y").between(0, F.col("height") - 1) & F.col("x").between(0, F.col("width") - 1)
@@ -131,6 +138,51 @@ def hashes(pixels: DataFrame, of: str = "adp") -> DataFrame:
     return _packed(pixels.where(small), of).union(_joined(pixels.where(~small), of)) if sizes[0] else _joined(pixels, of)
 
 
+def _lines(images: DataFrame, of: str) -> DataFrame:
+    """The hashes of small images, each the one row that it came as: nothing is shuffled."""
+
+    @F.pandas_udf(", ".join(f"{k}hash long" for k in of))
+    def codes(widths: pd.Series, heights: pd.Series, values: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({f"{k}hash": np.zeros(len(widths), np.int64) for k in of})
+        for (w, h), rows in pd.DataFrame({"w": widths.to_numpy(), "h": heights.to_numpy()}).groupby(["w", "h"]).indices.items():
+            held = values.to_numpy()[rows]
+            if all(len(v) == h * w for v in held):
+                grey = np.concatenate(held)
+            else:
+                grey = np.concatenate([np.r_[v[: h * w], np.zeros(max(h * w - len(v), 0))] for v in held])
+            for k in of:
+                out.iloc[rows, out.columns.get_loc(f"{k}hash")] = _coded(grey.reshape(len(rows), h, w), k)
+        return out
+
+    values = F.col("values")
+    if images.schema["values"].dataType != ArrayType(DoubleType(), False):
+        values = F.transform(values, lambda v: F.coalesce(v.cast("double"), F.lit(0.0)))
+    return images.select("image", codes("width", "height", values).alias("c")).select("image", "c.*")
+
+
+def line_hashes(images: DataFrame, of: str = "adp") -> DataFrame:
+    """hashes() of images that are rows already: (image, width, height, values: the pixels row by row; missing and null ones add nothing).
+
+    Only ids are shuffled, to see which come more than once: their rows are one image, as pixels of one id are
+    in hashes(), and go there with images of more than PACKED pixels. Rows without values are no images."""
+    rows = images.where(F.size("values") > 0)
+    keys = ["image", "width", "height"]
+    again = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*[F.col(k).alias(f"_{k}") for k in keys]), "repeated")
+    n = again.count()
+    large = F.col("width") * F.col("height") > PACKED
+    rest = rows.where(large)
+    if n:
+        found = F.broadcast(again) if n <= SMALL else again
+        same = F.col("image").eqNullSafe(F.col("_image")) & F.col("width").eqNullSafe(F.col("_width")) & F.col("height").eqNullSafe(F.col("_height"))
+        rest = rest.union(rows.where(~large).join(found, same, "left_semi"))
+        rows = rows.join(found, same, "left_anti")
+    out = _lines(rows.where(~large), of)
+    if not n and rest.isEmpty():
+        return out
+    pixels = rest.select(*keys, F.posexplode("values").alias("_at", "v"))
+    return out.union(hashes(pixels.select(*keys, F.expr("_at div width").cast("int").alias("y"), F.expr("_at % width").alias("x"), "v"), of))
+
+
 def _joined(pixels: DataFrame, of: str) -> DataFrame:
     """The hashes of images of any size, by joins."""
     small = written(resized(pixels.where(F.col("v").isNotNull()), of), "pictures")

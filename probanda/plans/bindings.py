@@ -72,11 +72,15 @@ ORDER_FRAMES = "SELECT grp, seq, \"index\", t, value, round(value / 500, 6) AS e
 
 
 def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grey pictures of 8 x 8 pixels: each vector as one (even number), and a copy in which every pixel differs by at most two levels (odd number)."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
-    y, x = F.floor(F.col("i") / 8).cast("int"), (F.col("i") % 8).cast("int")
-    level = F.round(128 + 400 * F.col("e").cast("double")) + F.col("k") * ((3 * x + 5 * y + F.col("vec_id")) % 5 - 2)
-    return e.select((2 * F.col("vec_id") + F.col("k")).alias("image"), F.lit(8).alias("width"), F.lit(8).alias("height"), y.alias("y"), x.alias("x"), F.greatest(F.lit(0.0), F.least(F.lit(255.0), level)).alias("v"))
+    """Grey pictures of 8 x 8 pixels, a row each: each vector as one (even number), and a copy in which every pixel differs by at most two levels (odd number)."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+
+    def level(v, i):
+        y, x = F.floor(i / 8).cast("int"), (i % 8).cast("int")
+        own = F.round(128 + 400 * v.cast("double")) + F.col("k") * ((3 * x + 5 * y + F.col("vec_id")) % 5 - 2)
+        return F.greatest(F.lit(0.0), F.least(F.lit(255.0), own))
+
+    return e.select((2 * F.col("vec_id") + F.col("k")).alias("image"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.transform("embedding", level).alias("values"))
 
 
 PICTURES = "SELECT 2 * vec_id + k AS image, (i - 1) // 8 AS y, (i - 1) % 8 AS x, greatest(0.0, least(255.0, round(128 + 400 * e) + k * ((3 * ((i - 1) % 8) + 5 * ((i - 1) // 8) + vec_id) % 5 - 2))) AS v FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) AS i FROM embeddings), (VALUES (0), (1)) t(k)"

@@ -166,7 +166,7 @@ CODES = "WITH " + B.PICTURE_CODES + ", c AS (SELECT image AS id, d_hi AS hi, d_l
 
 
 def codes(spark, sf_dir):
-    return written(perceptual.hashes(B.pictures(spark, sf_dir), "d").select(F.col("image").alias("id"), F.col("dhash").alias("code")), "codes")
+    return written(perceptual.line_hashes(B.pictures(spark, sf_dir), "d").select(F.col("image").alias("id"), F.col("dhash").alias("code")), "codes")
 
 
 @query(CODES + f" SELECT * FROM p WHERE distance <= {RADIUS}")

@@ -26,13 +26,13 @@ def query(sql: str | None = None):
 
 @query("WITH " + B.PICTURE_CODES + " SELECT image, " + ", ".join(f"printf('%08x%08x', {k}_hi, {k}_lo) AS {k}hash" for k in "adp") + " FROM codes")
 def perceptual_hashes(spark, sf_dir):
-    h = perceptual.hashes(B.pictures(spark, sf_dir))
+    h = perceptual.line_hashes(B.pictures(spark, sf_dir))
     return h.select("image", *[F.lower(F.lpad(F.hex(f"{k}hash"), 16, "0")).alias(f"{k}hash") for k in "adp"])
 
 
 @query("WITH " + B.PICTURE_CODES + " SELECT a.image // 2 AS picture, (bit_count(xor(a.p_hi, b.p_hi)) + bit_count(xor(a.p_lo, b.p_lo)))::INT AS phash_bits, (bit_count(xor(a.d_hi, b.d_hi)) + bit_count(xor(a.d_lo, b.d_lo)))::INT AS dhash_bits FROM codes a JOIN codes b ON b.image = a.image + 1 WHERE a.image % 2 = 0")
 def copy_distances(spark, sf_dir):
-    h = perceptual.hashes(B.pictures(spark, sf_dir), "dp").withColumn("picture", F.expr("image div 2"))
+    h = perceptual.line_hashes(B.pictures(spark, sf_dir), "dp").withColumn("picture", F.expr("image div 2"))
     side = lambda k: h.where(F.col("image") % 2 == k).select("picture", F.col("phash").alias(f"p{k}"), F.col("dhash").alias(f"d{k}"))
     differ = lambda k: F.bit_count(F.col(f"{k}0").bitwiseXOR(F.col(f"{k}1")))
     return side(0).join(side(1), "picture").select("picture", differ("p").alias("phash_bits"), differ("d").alias("dhash_bits"))

@@ -341,3 +341,17 @@ def test_small_images_are_rows_of_one_shuffle(spark, monkeypatch):
     assert plan.count("Exchange") == 1 and "Join" not in plan
     monkeypatch.setattr(perceptual, "PACKED", 0)
     assert sorted(packed.collect()) == sorted(perceptual.hashes(frame).collect())
+
+
+def test_images_that_are_rows_are_not_shuffled(spark, monkeypatch):
+    """Only ids move: the codes are those of the pixels, with nulls, short rows, repeated images and large ones."""
+    r = np.random.default_rng(6)
+    rows = [(i, 8, 8, [float(x) for x in r.integers(0, 256, 64)]) for i in range(30)] + [(40, 8, 8, [None, 9.0, 4.0]), (41, 5, 3, [float(x) for x in range(20)]), (42, 8, 8, None), (43, 8, 8, []), (3, 8, 8, [7.0] * 64), (44, 2, 2, [None] * 4)]
+    frame = spark.createDataFrame([*rows, (50, 40, 33, [float(x % 251) for x in range(1320)])], "image int, width int, height int, values array<double>")
+    pixels = frame.select("image", "width", "height", colour.F.posexplode("values").alias("at", "v")).selectExpr("image", "width", "height", "int(at div width) AS y", "at % width AS x", "v")
+    want = sorted(perceptual.hashes(pixels).collect())
+    assert sorted(perceptual.line_hashes(frame).collect()) == want and len(want) == 34
+    monkeypatch.setattr(perceptual, "SMALL", 0)
+    assert sorted(perceptual.line_hashes(frame, "dp").collect()) == sorted(perceptual.hashes(pixels, "dp").collect())
+    single = perceptual.line_hashes(frame.where("image between 10 and 44"))
+    assert "Exchange" not in single._jdf.queryExecution().executedPlan().toString() and single.count() == 23
