@@ -178,26 +178,33 @@ REPORT = "config string, entries array<struct<name: string, status: string, vali
 SAMPLE = ("entry", "metric", "value", "threshold", "baseline_sha256", "capture_sha256")
 
 
-def report_samples(reports: DataFrame) -> DataFrame:
-    """report, and a row for each entry of its content that is a measurement: compared, not of an invalid capture, with finite numbers and both hashes. reports: (report, content of JSON)."""
-    e = reports.withColumn("_r", F.from_json("content", REPORT)).select("report", F.explode("_r.entries").alias("e")).select("report", "e.*").withColumnRenamed("name", "entry")
+def report_samples(reports: DataFrame, *also: str) -> DataFrame:
+    """report, and a row for each entry of its content that is a measurement: compared, not of an invalid capture, with finite numbers and both hashes. reports: (report, content of JSON); columns named in `also` go along."""
+    e = reports.withColumn("_r", F.from_json("content", REPORT)).select("report", *also, F.explode("_r.entries").alias("e")).select("report", *also, "e.*").withColumnRenamed("name", "entry")
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     whole = F.col("status").isin("pass", "fail") & ~F.col("validity").eqNullSafe(F.lit("invalid")) & F.col("baseline_sha256").isNotNull() & F.col("capture_sha256").isNotNull()
-    return e.where(whole & finite("value") & finite("threshold")).select("report", *SAMPLE)
+    return e.where(whole & finite("value") & finite("threshold")).select("report", *also, *SAMPLE)
 
 
 def verified_history(index: DataFrame, samples: DataFrame, objects: DataFrame) -> DataFrame:
-    """report, state, lost, added, changed of every report of an index (report: sha256 of its content, config_sha256), whose samples (report and those of SAMPLE) must be those that the stored objects (report, content) say.
+    """report, state, lost, added, changed of every report of an index (report: sha256 of its content, config_sha256; each once), whose samples (report and those of SAMPLE) must be those that the stored objects (report, content) say.
 
     The content is hashed again and its samples are derived again and compared one by one. state: invalid_identity, object_missing, content_changed, malformed, config_changed, samples_changed or verified.
-    lost, added, changed: samples that only the report has, that only the index has, and that differ; null where the content is not to be trusted."""
-    j = index.join(objects.withColumn("_there", F.lit(True)), "report", "left")
-    config = F.sha2(F.from_json("content", REPORT)["config"], 256)
-    j = j.withColumn("state", F.when(~F.coalesce(F.col("report").rlike(f"^{SHA}$"), F.lit(False)), "invalid_identity").when(F.col("_there").isNull(), "object_missing").when(~F.sha2("content", 256).eqNullSafe(F.col("report")), "content_changed").when(F.from_json("content", REPORT)["entries"].isNull(), "malformed").when(~config.eqNullSafe(F.col("config_sha256")), "config_changed"))
-    trusted = j.where("state is null or state = 'config_changed'")
-    mark = lambda df, name: df.withColumn(name, F.struct(*[c for c in SAMPLE if c != "entry"])).select("report", "entry", name)
-    both = mark(report_samples(trusted.select("report", "content")), "said").join(mark(samples.join(trusted.select("report"), "report", "left_semi"), "held"), ["report", "entry"], "full_outer")
-    diff = both.groupBy("report").agg(F.count_if(F.col("held").isNull()).alias("lost"), F.count_if(F.col("said").isNull()).alias("added"), F.count_if(F.col("held").isNotNull() & F.col("said").isNotNull() & ~F.col("held").eqNullSafe(F.col("said"))).alias("changed"))
+    lost, added, changed: samples that only the report has, that only the index has, and that differ; null where the content is not to be trusted.
+    Contents stay where they are stored: what is asked of one is told beside it, and only samples and these answers are shuffled, all by report."""
+    said = F.from_json("content", REPORT)
+    facts = objects.select("report", F.sha2("content", 256).eqNullSafe(F.col("report")).alias("_same"), said["entries"].isNull().alias("_malformed"), F.sha2(said["config"], 256).alias("_config"), F.lit(True).alias("_there"))
+    j = index.join(facts, "report", "left")
+    j = j.withColumn("state", F.when(~F.coalesce(F.col("report").rlike(f"^{SHA}$"), F.lit(False)), "invalid_identity").when(F.col("_there").isNull(), "object_missing").when(~F.col("_same"), "content_changed").when(F.col("_malformed"), "malformed").when(~F.col("_config").eqNullSafe(F.col("config_sha256")), "config_changed"))
+    j = j.select("report", "state")
+    side = lambda df, k: df.select("report", *SAMPLE, F.lit(k).alias("_k"))
+    both = side(report_samples(objects.where(F.sha2("content", 256) == F.col("report"))), True).union(side(samples, False)).repartition("report")
+    alike = both.groupBy("report", *SAMPLE).agg(F.count_if("_k").alias("said"), F.count_if(~F.col("_k")).alias("held"))
+    each = alike.groupBy("report", "entry").agg(F.sum("said").alias("said"), F.sum("held").alias("held"), F.sum(F.col("said") * F.col("held")).alias("same"))
+    # Entries without a name are nobody's match.
+    met = F.col("entry").isNotNull() & (F.col("said") > 0) & (F.col("held") > 0)
+    summed = lambda c, x: F.sum(F.when(c, x).otherwise(0))
+    diff = each.groupBy("report").agg(summed(~met, F.col("said")).alias("lost"), summed(~met, F.col("held")).alias("added"), summed(met, F.col("said") * F.col("held") - F.col("same")).alias("changed"))
     out = j.join(diff, "report", "left")
     trust = F.col("state").isNull() | (F.col("state") == "config_changed")
     counts = {c: F.when(trust, F.coalesce(c, F.lit(0))) for c in ("lost", "added", "changed")}

@@ -180,19 +180,20 @@ _HISTORY = "m AS (SELECT o_custkey AS report, o_custkey % 11 AS t, count(*) FILT
 @query("WITH " + _HISTORY + " SELECT report, CASE WHEN t = 8 THEN 'invalid_identity' WHEN t = 1 THEN 'object_missing' WHEN t = 2 THEN 'content_changed' WHEN t = 7 THEN 'malformed' WHEN t = 3 THEN 'config_changed' WHEN t IN (4, 5) AND n > 0 OR t = 6 THEN 'samples_changed' ELSE 'verified' END AS state, CASE WHEN t IN (8, 1, 2, 7) THEN NULL WHEN t = 5 AND n > 0 THEN 1 ELSE 0 END AS lost, CASE WHEN t IN (8, 1, 2, 7) THEN NULL WHEN t = 6 THEN 1 ELSE 0 END AS added, CASE WHEN t IN (8, 1, 2, 7) THEN NULL WHEN t = 4 AND n > 0 THEN 1 ELSE 0 END AS changed FROM m")
 def verified_history(spark, sf_dir):
     """Reports are customers, entries their orders; by the customer's remainder an object, its content, the index's configuration, or one of its samples is not what it was."""
-    o = table(spark, sf_dir, "orders")
-    sha = lambda c, when: F.when(when, F.sha2(c, 256))
-    entry = F.struct(F.col("o_orderkey").cast("string").alias("name"), F.when(F.col("o_orderstatus") == "F", "pass").when(F.col("o_orderstatus") == "O", "fail").otherwise("error").alias("status"), F.when(F.col("o_orderkey") % 13 == 0, "invalid").otherwise("valid").alias("validity"),
-                     F.lit("mean").alias("metric"), F.col("o_totalprice").alias("value"), F.lit(1000.0).alias("threshold"), sha(F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 17 > 0).alias("baseline_sha256"), F.sha2(F.col("o_orderpriority"), 256).alias("capture_sha256"))
-    r = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list(entry)).alias("entries")).withColumn("t", F.col("o_custkey") % 11)
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority").repartition("o_custkey")
+    # Orders are gathered as they are and made entries after, so that no hashes are shuffled.
+    entry = lambda e: F.struct(e["o_orderkey"].cast("string").alias("name"), F.when(e["o_orderstatus"] == "F", "pass").when(e["o_orderstatus"] == "O", "fail").otherwise("error").alias("status"), F.when(e["o_orderkey"] % 13 == 0, "invalid").otherwise("valid").alias("validity"),
+                               F.lit("mean").alias("metric"), e["o_totalprice"].alias("value"), F.lit(1000.0).alias("threshold"), F.when(e["o_orderkey"] % 17 > 0, F.sha2(e["o_orderkey"].cast("string"), 256)).alias("baseline_sha256"), F.sha2(e["o_orderpriority"], 256).alias("capture_sha256"))
+    r = o.groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")).alias("orders")).withColumn("entries", F.sort_array(F.transform("orders", entry))).withColumn("t", F.col("o_custkey") % 11)
     config = F.concat(F.lit("k"), F.col("o_custkey") % 3)
     content = F.when(F.col("t") == 7, "{").otherwise(F.to_json(F.struct(config.alias("config"), "entries")))
     r = r.withColumn("content", F.concat(content, F.lit(" "), "o_custkey")).withColumn("sha", F.sha2("content", 256)).withColumn("report", F.when(F.col("t") == 8, F.upper("sha")).otherwise(F.col("sha")))
     index = r.select("report", F.sha2(F.when(F.col("t") == 3, "other").otherwise(config), 256).alias("config_sha256"))
     objects = r.where("t <> 1").select("report", F.when(F.col("t") == 2, F.concat("content", F.lit(" "))).otherwise(F.col("content")).alias("content"))
-    said = C.report_samples(r.select("report", "content"))
-    first = said.groupBy("report").agg(F.min("entry").alias("entry")).withColumn("_first", F.lit(True))
-    held = said.join(r.select("report", "t"), "report").join(first, ["report", "entry"], "left").where("not (t = 5 and coalesce(_first, false))")
+    # The least entry of a report's samples, of what its content says.
+    said = F.from_json("content", C.REPORT)["entries"]
+    measured = F.filter(said, lambda e: e["status"].isin("pass", "fail") & ~e["validity"].eqNullSafe(F.lit("invalid")) & e["value"].isNotNull() & e["baseline_sha256"].isNotNull() & e["capture_sha256"].isNotNull())
+    held = C.report_samples(r.select("report", "content", "t", F.array_min(F.transform(measured, lambda e: e["name"])).alias("_least")), "t", "_least").withColumn("_first", F.col("entry").eqNullSafe(F.col("_least"))).where("not (t = 5 and _first)")
     held = held.withColumn("value", F.when((F.col("t") == 4) & F.col("_first"), F.col("value") + 0.01).otherwise(F.col("value"))).select("report", *C.SAMPLE)
     more = r.where("t = 6").select("report", F.lit("added").alias("entry"), F.lit("mean").alias("metric"), F.lit(1.0).alias("value"), F.lit(1000.0).alias("threshold"), F.lit("a").alias("baseline_sha256"), F.lit("b").alias("capture_sha256"))
     return C.verified_history(index, held.union(more), objects).join(r.select("report", "o_custkey"), "report").drop("report").withColumnRenamed("o_custkey", "report")

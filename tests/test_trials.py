@@ -358,3 +358,17 @@ def test_rules_meet_each_key_once(spark):
     found = C.resolved(keys, rules)
     assert {(r["arm"], r["key"]): r["kind"] for r in found.collect()} == {("1", "x.y"): "ignore", ("2", "x.y"): "vary", ("1", "z"): None, ("2", "z"): None}
     assert "Aggregate [key#" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_samples_are_compared_by_report(spark):
+    """Contents are not shuffled and samples only by their report; repeated and unnamed entries count as in an outer join of both sides."""
+    entry = {"name": "e", "status": "pass", "validity": "valid", "metric": "mean", "value": 0.5, "threshold": 1.0, "baseline_sha256": "b", "capture_sha256": "c"}
+    content = json.dumps({"config": "k", "entries": [entry, entry, entry | {"name": None}, entry | {"name": "f"}]})
+    report = hashlib.sha256(content.encode()).hexdigest()
+    held = [(report, n, "mean", v, 1.0, "b", "c") for n, v in (("e", 0.5), ("e", 0.25), (None, 0.5), ("f", 0.5), ("g", 0.5))] + [("0" * 64, "e", "mean", 0.5, 1.0, "b", "c")]
+    index = spark.createDataFrame([(report, hashlib.sha256(b"k").hexdigest())], "report string, config_sha256 string")
+    samples = spark.createDataFrame(held, "report string, entry string, metric string, value double, threshold double, baseline_sha256 string, capture_sha256 string")
+    out = C.verified_history(index, samples, spark.createDataFrame([(report, content)], "report string, content string"))
+    assert [tuple(x) for x in out.collect()] == [(report, "samples_changed", 1, 2, 2)]
+    moved = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in x]
+    assert moved and not any("entry" in x or "content" in x for x in moved)
