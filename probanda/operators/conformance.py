@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.readers import safe_relative
+from ..sources.tables import written
 
 RECORD_SCHEMA, FINGERPRINT_SCHEMA = "capture-record.v1", "fingerprint.v1"
 #: Keys that name the identity of an arm, and groups of which at least one key must be there.
@@ -18,6 +19,8 @@ IDENTITY = ("fingerprint.schema", "producer.binary", "inputs.identity", "run.mod
 GROUPS = ("producer.build", "run.env")
 READINESS = "run.readiness"
 SHA = "[0-9a-f]{64}"
+#: Runs that are not sound, up to this many, are broadcast; more are joined by shuffle.
+SMALL = 1_000_000
 
 
 def _flags(rows: DataFrame, flags: list[tuple[Column, str]], *columns: str) -> DataFrame:
@@ -35,9 +38,10 @@ def _identified(fingerprint: str) -> Column:
     return F.coalesce((at(IDENTITY[0]) == FINGERPRINT_SCHEMA) & at(IDENTITY[1]).rlike(f"^sha256:{SHA}$") & at(IDENTITY[2]).rlike(f"^sha256:{SHA}$") & criteria, F.lit(False))
 
 
-def _others(fingerprint: str) -> Column:
-    """The entries of a fingerprint that say nothing of readiness, in order."""
-    return F.array_sort(F.filter(F.map_entries(fingerprint), lambda e: ~e["key"].startswith(READINESS)))
+def _digest(fingerprint: str) -> Column:
+    """SHA-256 of the entries of a fingerprint that say nothing of readiness, in order; null for null."""
+    entries = F.array_sort(F.filter(F.map_entries(fingerprint), lambda e: ~e["key"].startswith(READINESS)))
+    return F.unhex(F.sha2(F.to_json(entries), 256))
 
 
 def conformance(runs: DataFrame, slots: DataFrame, acquisitions: DataFrame, files: DataFrame) -> DataFrame:
@@ -47,35 +51,44 @@ def conformance(runs: DataFrame, slots: DataFrame, acquisitions: DataFrame, file
     start_ns, end_ns, path, sha256); files: (run, path, content). The acquisitions of a run must be of its slots, each at most once; a run in which they are not, or of another schema,
     gets that one code only. A slot that was not filled gets its reason only, and one of which the plan is at fault invalid_record. Within a clock's domain the
     intervals of a run must not overlap: one that starts before the latest end of those that started earlier does (clock_overlap)."""
-    named = lambda df: df.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("slot").alias("distinct"), F.count_if(F.coalesce(F.trim("slot"), F.lit("")) == "").alias("blank"))
-    planned, made = named(slots), named(acquisitions)
-    stray = acquisitions.join(slots.select("run", "slot"), ["run", "slot"], "left_anti").select("run").distinct().withColumn("_stray", F.lit(True))
-    whole = runs.join(planned, "run", "left").join(made.toDF("run", "m", "m_distinct", "m_blank"), "run", "left").join(stray, "run", "left")
-    count = lambda c: F.coalesce(c, F.lit(0))
-    broken = (F.coalesce(F.trim("run"), F.lit("")) == "") | (count("n") == 0) | (F.col("n") != F.col("distinct")) | (F.col("m") != F.col("m_distinct")) | (count("blank") + count("m_blank") > 0) | F.col("_stray").isNotNull()
-    state = whole.withColumn("_schema", ~F.col("schema").eqNullSafe(F.lit(RECORD_SCHEMA))).withColumn("_broken", ~F.col("_schema") & F.coalesce(broken, F.lit(False)))
-    sound = ~F.col("_schema") & ~F.col("_broken")
-    of_run = _flags(state, [(F.col("_schema"), "unsupported_schema"), (F.col("_broken"), "invalid_record"), (sound & ~F.coalesce("complete", F.lit(False)), "partial_run")], "run")
-
-    a = acquisitions.select("run", "slot", "status", "error", F.col("settings").alias("a_settings"), F.col("fingerprint").alias("a_fingerprint"), F.col("domain").alias("a_domain"), "clock_run", "start_ns", "end_ns", "path", "sha256", F.lit(True).alias("_there"))
-    stored = files.select("run", "path", F.sha2("content", 256).alias("_have"), F.lit(True).alias("_stored"))
-    j = slots.join(state.where(sound).select("run"), "run").join(a, ["run", "slot"], "left").join(stored, ["run", "path"], "left")
-    w = Window.partitionBy("run", "a_domain").orderBy("start_ns", "end_ns", "slot").rowsBetween(Window.unboundedPreceding, -1)
-    j = j.withColumn("_earlier_end", F.when(F.col("a_domain").isNotNull(), F.max("end_ns").over(w)))
-    plan_fault = (F.coalesce(F.trim("domain"), F.lit("")) == "") | ~_identified("fingerprint") | ~F.coalesce(F.element_at("fingerprint", F.lit("run.session")), F.lit("")).eqNullSafe(F.col("run"))
-    absent = F.col("_there").isNull() | F.coalesce(F.col("status") == "skipped", F.lit(False))
-    failed = F.coalesce(F.col("status") == "failed", F.lit(False)) | F.col("error").isNotNull()
+    # Slots and acquisitions of a run are counted by its slots' names, in one shuffle of names.
+    side = lambda df, k: df.select("run", "slot", F.lit(k).alias("_k"))
+    names = side(slots, True).union(side(acquisitions, False)).repartition("run").groupBy("run", "slot").agg(F.count_if("_k").alias("n"), F.count_if(~F.col("_k")).alias("m"))
+    blank = F.coalesce(F.trim("slot"), F.lit("")) == ""
+    odd = blank | (F.col("n") > 1) | (F.col("m") > 1) | (F.col("n") == 0)
+    whole = runs.withColumn("_listed", F.lit(True)).join(names.groupBy("run").agg(F.sum("n").alias("n"), F.bool_or(odd).alias("_odd")), "run", "full_outer").withColumn("_listed", F.coalesce("_listed", F.lit(False)))
+    broken = (F.coalesce(F.trim("run"), F.lit("")) == "") | (F.coalesce("n", F.lit(0)) == 0) | F.coalesce("_odd", F.lit(False))
+    state = whole.withColumn("_schema", ~F.col("schema").eqNullSafe(F.lit(RECORD_SCHEMA))).withColumn("_broken", ~F.col("_schema") & broken)
+    state = written(state.select("run", "_listed", "_schema", "_broken", F.coalesce("complete", F.lit(False)).alias("complete")), "runs")
+    sound = F.col("_listed") & ~F.col("_schema") & ~F.col("_broken")
+    of_run = _flags(state.where("_listed"), [(F.col("_schema"), "unsupported_schema"), (F.col("_broken"), "invalid_record"), (sound & ~F.col("complete"), "partial_run")], "run")
+    unsound = state.groupBy("run").agg(F.bool_or(sound).alias("_sound")).where("run is not null and not _sound").select("run")
+    few = unsound.count() <= SMALL
+    of_sound = lambda df: df.where("run is not null").join(F.broadcast(unsound) if few else unsound, "run", "left_anti")
+
+    # What a fingerprint says is told beside it, and hashes go as bytes: of each only answers are shuffled.
+    planned = slots.select("run", "slot", "settings", "domain", _digest("fingerprint").alias("_others"),
+                           ((F.coalesce(F.trim("domain"), F.lit("")) == "") | ~_identified("fingerprint") | ~F.coalesce(F.element_at("fingerprint", F.lit("run.session")), F.lit("")).eqNullSafe(F.col("run"))).alias("_plan_fault"))
+    reached = F.exists(F.map_entries("fingerprint"), lambda e: e["key"].startswith(READINESS) & e["key"].endswith(".reached") & (e["value"] != "true"))
+    made = acquisitions.select("run", "slot", "path", F.coalesce(F.col("status") == "skipped", F.lit(False)).alias("_skipped"), (F.coalesce(F.col("status") == "failed", F.lit(False)) | F.col("error").isNotNull()).alias("_failed"), F.col("settings").alias("a_settings"),
+                               _identified("fingerprint").alias("_known"), F.coalesce(reached, F.lit(False)).alias("_unready"), _digest("fingerprint").alias("a_others"), F.col("domain").alias("a_domain"), F.coalesce((F.col("clock_run") != F.col("run")) | (F.col("end_ns") < F.col("start_ns")), F.lit(True)).alias("_off"),
+                               "start_ns", "end_ns", F.when(F.col("sha256").rlike(f"^{SHA}$"), F.unhex("sha256")).alias("_said"), F.lit(True).alias("_there"))
+    stored = files.select("run", "path", F.unhex(F.sha2("content", 256)).alias("_have"), F.lit(True).alias("_stored"))
+    image = F.when(F.col("path").isNull(), "missing_image").when(~safe_relative(F.col("path")), "unsafe_image_path").when(F.col("_said").isNull(), "invalid_record").when(F.col("_stored").isNull(), "missing_image").when(~F.col("_have").eqNullSafe(F.col("_said")), "stale_hash")
+    made = of_sound(made).join(stored, ["run", "path"], "left").withColumn("_image", image).drop("path", "_said", "_have", "_stored")
+    j = of_sound(planned).join(made, ["run", "slot"], "left")
+    plan_fault, absent, failed = F.col("_plan_fault"), F.col("_there").isNull() | F.col("_skipped"), F.col("_failed")
     filled = ~plan_fault & ~absent & ~failed
-    known = _identified("a_fingerprint")
-    reached = F.exists(F.map_entries("a_fingerprint"), lambda e: e["key"].startswith(READINESS) & e["key"].endswith(".reached") & (e["value"] != "true"))
-    off_clock = F.coalesce((F.col("a_domain") != F.col("domain")) | (F.col("clock_run") != F.col("run")) | (F.col("end_ns") < F.col("start_ns")), F.lit(True))
-    image = F.when(F.col("path").isNull(), "missing_image").when(~safe_relative(F.col("path")), "unsafe_image_path").when(~F.coalesce(F.col("sha256").rlike(f"^{SHA}$"), F.lit(False)), "invalid_record").when(F.col("_stored").isNull(), "missing_image").when(~F.col("_have").eqNullSafe(F.col("sha256")), "stale_hash")
-    j = j.withColumn("_image", image)
-    flags = [(plan_fault, "invalid_record"), (~plan_fault & absent, "partial_run"), (~plan_fault & ~absent & failed, "acquisition_failed"), (filled & ~F.col("a_settings").eqNullSafe(F.col("settings")), "settings_mismatch"), (filled & ~known, "missing_identity"),
-             (filled & known & F.coalesce(reached, F.lit(False)), "readiness_not_reached"), (filled & known & ~_others("a_fingerprint").eqNullSafe(_others("fingerprint")), "identity_mismatch"), (filled & off_clock, "clock_mismatch"),
-             (filled & ~off_clock & F.coalesce(F.col("start_ns") < F.col("_earlier_end"), F.lit(False)), "clock_overlap")]
+    off_clock = F.coalesce(F.col("a_domain") != F.col("domain"), F.lit(True)) | F.col("_off")
+    flags = [(plan_fault, "invalid_record"), (~plan_fault & absent, "partial_run"), (~plan_fault & ~absent & failed, "acquisition_failed"), (filled & ~F.col("a_settings").eqNullSafe(F.col("settings")), "settings_mismatch"), (filled & ~F.col("_known"), "missing_identity"),
+             (filled & F.col("_known") & F.col("_unready"), "readiness_not_reached"), (filled & F.col("_known") & ~F.col("a_others").eqNullSafe(F.col("_others")), "identity_mismatch"), (filled & off_clock, "clock_mismatch")]
     flags += [(filled & (F.col("_image") == name), name) for name in ("missing_image", "unsafe_image_path", "invalid_record", "stale_hash")]
-    return of_run.select("run", F.lit(None).cast("string").alias("slot"), "code").union(_flags(j, flags, "run", "slot"))
+    found = F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in flags]))
+    j = j.select("run", "slot", "a_domain", "start_ns", "end_ns", found.alias("found"), (filled & ~off_clock).alias("_timed"))
+    w = Window.partitionBy("run", "a_domain").orderBy("start_ns", "end_ns", "slot").rowsBetween(Window.unboundedPreceding, -1)
+    late = F.col("a_domain").isNotNull() & (F.col("start_ns") < F.max("end_ns").over(w))
+    j = j.withColumn("found", F.when(F.coalesce(F.col("_timed") & late, F.lit(False)), F.array_append("found", F.lit("clock_overlap"))).otherwise(F.col("found")))
+    return of_run.select("run", F.lit(None).cast("string").alias("slot"), "code").union(j.select("run", "slot", F.explode("found").alias("code")))
 
 
 # --- arms ------------------------------------------------------------------

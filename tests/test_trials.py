@@ -372,3 +372,22 @@ def test_samples_are_compared_by_report(spark):
     assert [tuple(x) for x in out.collect()] == [(report, "samples_changed", 1, 2, 2)]
     moved = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in x]
     assert moved and not any("entry" in x or "content" in x for x in moved)
+
+
+def test_fingerprints_are_not_shuffled(spark, monkeypatch):
+    """Only answers about fingerprints go on; runs without a record are left out by either join."""
+    other = [record()["runs"][0] | {"run": "s"}]
+    tables = record(acquisitions=put("a", fingerprint=PRINT | {"run.env.os": "y"}), slots=lambda rows: [*rows, rows[0] | {"run": "nobody"}], runs=lambda rows: [*rows, *other])
+    want = [(None, "invalid_record"), ("a", "identity_mismatch")]
+    assert codes(spark, tables) == sorted(want, key=str)
+    monkeypatch.setattr(C, "SMALL", 0)
+    assert codes(spark, tables) == sorted(want, key=str)
+    out = C.conformance(*[spark.createDataFrame([tuple(r[c.split(" ")[0]] for c in SHAPES[n].split(", ")) for r in tables[n]], SHAPES[n]) for n in SHAPES])
+    # All maps are gone below the first join.
+    plan = out._jdf.queryExecution().optimizedPlan()
+    below = [plan]
+    while below:
+        node = below.pop()
+        under = [node.children().apply(i) for i in range(node.children().size())]
+        assert not (node.nodeName() in ("Join", "Window") and any("fingerprint" in x.output().mkString(" ") for x in under))
+        below += under
