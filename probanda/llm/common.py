@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..sources.tables import shared_path, written
 
-__all__ = ["SPACES", "Ragged", "by_size", "chunked", "count_of", "global_rank", "key_ranges", "partitions", "plain_parts", "range_of", "shared_path", "text_batches", "words", "written"]
+__all__ = ["SPACES", "Ragged", "by_size", "chunked", "count_of", "give_back", "global_rank", "key_ranges", "partitions", "plain_parts", "range_of", "shared_path", "text_batches", "words", "written"]
 
 #: The six white-space characters that part words.
 SPACES = " \t\n\x0b\x0c\r"
@@ -82,6 +83,16 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 
 # --- inside tasks ----------------------------------------------------------
 
+#: Of the C library, where it has it.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system. Arrow and the C library keep it otherwise, and a worker that goes on to another stage holds it beside what that one needs."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
 #: A word of letters, and a tail of ASCII marks without apostrophes.
 PLAIN = r"\A(?P<word>\pL+)(?P<tail>[!-&(-/:-@\[-`{-~]*)\z"
 

@@ -30,7 +30,7 @@ doc_id keep a null component and take no part.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import partitions, text_batches, written
+from .common import give_back, partitions, text_batches, written
 
 WIDTH, PERCENT, GROUPS, MOST_GROUPS = 4, 85, 256, 1024
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -53,9 +53,13 @@ BLOCK, LEAF, FAN = 4096, 24, 8
 SMALL = 2_000_000
 
 
+#: Words whose hashes a worker remembers, then forgets together.
+REMEMBERED = 100_000
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -79,6 +83,13 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(out ^ out >> np.uint64(29))
 
 
+def shingle_sets(texts: Iterable[str | None], width: int = WIDTH) -> Iterator[np.ndarray]:
+    """The set of each text; then what they took is given back."""
+    for text in texts:
+        yield shingle_set(text, width)
+    give_back()
+
+
 def group_counts(hashes: np.ndarray) -> bytes:
     """The point: counts of the groups, a byte each, after one byte with the number of groups as a power of two. Counts beyond 254 read as without limit."""
     groups = GROUPS
@@ -139,8 +150,8 @@ def _frequent(width: int):
             return pd.DataFrame({"h": h[n > 1].view(np.int64), "n": n[n > 1]})
 
         for batch in batches:
-            for text in batch["text"]:
-                held.append(shingle_set(text, width))
+            for found in shingle_sets(batch["text"], width):
+                held.append(found)
                 size += len(held[-1])
                 if size > COUNTED:
                     yield flush()
@@ -189,8 +200,7 @@ def records(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     @F.pandas_udf("n long, digest binary, point binary, keys array<long>")
     def describe(texts: pd.Series) -> pd.DataFrame:
         out = []
-        for text in texts:
-            h = shingle_set(text, width)
+        for h in shingle_sets(texts, width):
             if len(h):
                 out.append((len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), group_counts(h), block_keys(h, *hot.value, percent).view(np.int64)))
             else:
@@ -322,6 +332,7 @@ def _join_blocks(percent: int):
             yield joined(rows.iloc[:ends])
         if held is not None:
             yield joined(held)
+        give_back()
 
     return join
 
@@ -334,7 +345,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, width).tobytes() for t in texts], dtype=object)
+        return pd.Series([h.tobytes() for h in shingle_sets(texts, width)], dtype=object)
 
     rows = rows.join(_small(wanted), "node", "left_semi")
     if repeated:

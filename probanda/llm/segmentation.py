@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ragged, by_size, chunked, plain_parts, text_batches
+from .common import Ragged, by_size, chunked, give_back, plain_parts, text_batches
 
 SPACE = "▁"
 STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -42,8 +42,8 @@ LETTER = re.compile(r"[^\W\d_]")
 #: Nodes and their ids that a worker remembers, then forgets together.
 REMEMBERED, IDS = 300_000, 8_000_000
 SLOT_BITS = 21
-#: Stretches of up to so many characters are merged side by side, SIDE at a time; longer ones one by one, at every place. Texts are taken together up to TOGETHER characters.
-WIDTHS, SIDE, TOGETHER = (6, 9, 12, 16, 24), 4096, 1_000_000
+#: Stretches of up to so many characters are merged side by side, SIDE at a time; longer ones one by one, at every place. Texts are taken together up to TOGETHER characters, and the keys of HASHED occurrences at a time.
+WIDTHS, SIDE, TOGETHER, HASHED = (6, 9, 12, 16, 24), 4096, 1_000_000, 32_768
 M64, K1, K2, K3 = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x94D049BB133111EB
 
 
@@ -371,15 +371,24 @@ class Segmenter:
             roots = np.concatenate(parts)
         return roots, counts
 
+    def _first_skips(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of these occurrences skip a candidate of their nodes, and where the first one that each skips stands in `marks`."""
+        who, where = [], []
+        for low in range(0, len(nodes), HASHED):
+            at, sizes = self.marks.places(nodes[low : low + HASHED])
+            hit = np.flatnonzero(self.skipped(np.repeat(keys[low : low + HASHED], sizes), self.marks.flat[at]))
+            owner = np.repeat(np.arange(low, low + len(sizes)), sizes)[hit]
+            first = np.r_[True, owner[1:] != owner[:-1]][: len(owner)]
+            who.append(owner[first])
+            where.append(at[hit[first]])
+        return np.concatenate(who), np.concatenate(where)
+
     def _followed(self, nodes: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """The nodes where occurrences end that start at these roots under these keys."""
         nodes, active = nodes.copy(), np.arange(len(nodes))
         while len(active):
-            at, sizes = self.marks.places(nodes[active])
-            hit = np.flatnonzero(self.skipped(np.repeat(keys[active], sizes), self.marks.flat[at]))
-            owner = np.repeat(np.arange(len(active)), sizes)[hit]
-            first = np.r_[True, owner[1:] != owner[:-1]][: len(owner)]
-            active, place = active[owner[first]], at[hit[first]]
+            who, place = self._first_skips(nodes[active], keys[active])
+            active = active[who]
             missing, one = np.unique(place[self.next[place] < 0], return_index=True)
             if len(missing):
                 above = nodes[active[self.next[place] < 0][one]]
@@ -395,6 +404,7 @@ class Segmenter:
             if self.pieces.n > REMEMBERED or self.pieces.used > IDS or len(self.long) > SIDE:
                 self.forget()
             nodes, counts = self._roots(group)
+            give_back()
             keys = np.concatenate([self.places(v, c) for v, c in zip(variants[begin : begin + len(group)], counts.tolist(), strict=True)])
             begin += len(group)
             short = nodes >= 0
@@ -410,6 +420,7 @@ class Segmenter:
             ids, sizes = own.take(nodes)
             ends = np.r_[0, np.cumsum(sizes)][np.cumsum(counts)].tolist()
             yield from (ids[a:b] for a, b in zip([0, *ends], ends, strict=False))
+        give_back()
 
     def encode(self, text: str, variant: int = 0) -> np.ndarray:
         return next(self.encode_many([text], [variant]))
