@@ -115,7 +115,7 @@ def preference_intervals(votes: DataFrame, replicates: int = 200, confidence: fl
     replicates, replicates (in how many the candidate was fitted), comparisons, few (under FEW_COMPARISONS) and apart: whether its interval ends below that of the candidate before it in order of strength (null for the first).
 
     An array of one candidate's strengths has a value a replicate. Votes of a candidate against itself and null scores count for nothing."""
-    v = votes.where("i <> j and score is not null")
+    v = written(votes.where("i <> j and score is not null"), "votes")
     fitted = written(stats.bradley_terry(v, prior, rounds, small), "fit")
     pairs = written(resampled(v, replicates, seed), "replicates")
     n = fitted.count()

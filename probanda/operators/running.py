@@ -30,11 +30,14 @@ def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     spark = rows.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // tables.PART))
     # An id made in order is the range (from bit 33 on) and the place in it.
-    dealt = tables.written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranges")
-    of = F.shiftright("_at", 33)
+    at = "_at"
+    while at in rows.columns or at == name:
+        at += "_"
+    dealt = tables.written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "ranges")
+    of = F.shiftright(at, 33)
     starts, before = [], 0
     for r in sorted(dealt.groupBy(of.alias("_range")).count().collect()):
         starts += [F.lit(r["_range"]), F.lit(before)]
         before += r["count"]
-    place = F.col("_at").bitwiseAND((1 << 33) - 1) + 1
-    return dealt.withColumn(name, place + F.element_at(F.create_map(*starts), of) if starts else place).drop("_at")
+    place = F.col(at).bitwiseAND((1 << 33) - 1) + 1
+    return dealt.withColumn(name, place + F.element_at(F.create_map(*starts), of) if starts else place).drop(at)

@@ -13,6 +13,7 @@ from probanda.operators import ablation as A
 from probanda.operators import conformance as C
 from probanda.operators import preferences
 from probanda.operators import readings as R
+from probanda.operators.running import numbered
 from probanda.streaming import limiter, streams
 
 
@@ -82,6 +83,13 @@ def test_intervals_hold_the_truth_and_tell_the_close_from_the_far(spark):
     assert preferences.preference_intervals(spark.createDataFrame([], "i long, j long, score double"), 5).count() == 0
 
 
+def test_places_by_any_name(spark):
+    """A place may be named as the step's own column is, and rows may have such a column."""
+    frame = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "_at long, x string")
+    assert sorted(map(tuple, numbered(frame.select("x"), [F.col("x").desc()], "_at").collect())) == [("a", 3), ("b", 2), ("c", 1)]
+    assert sorted(map(tuple, numbered(frame, [F.col("x").desc()], "place").select("_at", "x", "place").collect())) == [(1, "a", 3), (2, "b", 2), (3, "c", 1)]
+
+
 def test_large_panels_by_joins(spark):
     votes = spark.createDataFrame([v for v in some_votes(4, 5, 300) if v[0] != v[1]], "i long, j long, score double")
     pairs = preferences.resampled(votes, 2, 1)
