@@ -6,11 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import hamming
 from ..sources.tables import written
 from .components import components
 
@@ -18,50 +17,49 @@ from .components import components
 BLOCK = 4096
 
 
-def _cuts(radius: int) -> list[tuple[int, int]]:
-    """radius + 1 disjoint bands of 64 bits; codes within the radius agree on one of them."""
-    cuts = [round(i * 64 / (radius + 1)) for i in range(radius + 2)]
-    return list(zip(cuts, cuts[1:], strict=False))
-
-
-def _band(code: Column, a: int, b: int) -> Column:
-    return F.shiftrightunsigned(code, a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1))
-
-
-def code_bands(codes: DataFrame, radius: int, key: str = "id") -> DataFrame:
-    """(band, bits, key, code) for each band of a 64-bit code."""
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), _band(F.col("code"), a, b).alias("bits")) for i, (a, b) in enumerate(_cuts(radius))])
-    return codes.select(key, "code", F.explode(bands).alias("_b")).select("_b.band", "_b.bits", key, "code")
-
-
-def _first_band(difference: Column, radius: int) -> Column:
-    """The first band without a differing bit: pairs that meet in several bands count in that one alone."""
-    return F.coalesce(*[F.when(_band(difference, a, b) == 0, i) for i, (a, b) in enumerate(_cuts(radius))])
+def _held(codes: DataFrame) -> DataFrame:
+    """code and the least id that has it, once for each code."""
+    return written(codes.where("code is not null").groupBy("code").agg(F.min("id").alias("id")), "codes")
 
 
 def hamming_pairs(codes: DataFrame, radius: int) -> DataFrame:
-    """All pairs a < b within the radius (inclusive), exact; equal codes are first one code with its least id. Meant for radii small against 64 bits, whose bands are wide."""
-    one = codes.groupBy("code").agg(F.min("id").alias("id"))
-    left = code_bands(one, radius)
-    right = left.select("band", "bits", F.col("id").alias("b"), F.col("code").alias("_c"))
-    near = left.withColumnRenamed("id", "a").join(right, ["band", "bits"]).where("a < b").withColumn("_x", F.col("code").bitwiseXOR(F.col("_c")))
-    near = near.withColumn("distance", F.bit_count("_x")).where((F.col("distance") <= radius) & (F.col("band") == _first_band(F.col("_x"), radius))).select("a", "b", "distance")
+    """All pairs a < b within the radius (inclusive), exact; equal codes are first one code with its least id."""
+    one = _held(codes)
+    near = near_codes(one, None, radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
     same = codes.join(one.withColumnRenamed("id", "a"), "code").where("id > a").select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
     return near.union(same)
 
 
 def all_hamming_pairs(codes: DataFrame, radius: int) -> DataFrame:
     """All pairs a < b within the radius with those between copies too: each pair of different codes for every two ids that have them."""
-    one = codes.groupBy("code").agg(F.min("id").alias("first"))
-    members = codes.join(one, "code").select("first", "id")
+    one = _held(codes)
+    copied = codes.groupBy("code").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    members = codes.join(one.withColumnRenamed("id", "first").join(copied, "code"), "code").select("first", "id")
     side = lambda c: members.select(F.col("first").alias(c), F.col("id").alias(f"_{c}"))
-    apart = hamming_pairs(one.select("code", F.col("first").alias("id")), radius).join(side("a"), "a").join(side("b"), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "distance")
+    # Codes without copies, most of them, stand for themselves.
+    apart = near_codes(one, None, radius).join(side("a"), "a", "left").join(side("b"), "b", "left").withColumns({c: F.coalesce(f"_{c}", c) for c in "ab"})
     same = side("a").join(side("a").withColumnRenamed("_a", "b"), "a").where("_a < b").select(F.col("_a").alias("a"), "b", F.lit(0).alias("distance"))
-    return apart.union(same)
+    return apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").union(same)
 
 
 #: Codes of a block; every two blocks meet in a task, some of their rows at a time.
 CODES, ROWS = 32_768, 64
+#: Codes of both blocks of which all pairs are compared at once (a megabyte, which stays in a core's cache), and pairs that go on together.
+TILE, PAIRS = (32, 4096), 200_000
+
+
+def _near(x: np.ndarray, y: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in x and in y of the pairs of codes within the radius, and their distances; if both are one list each pair once."""
+    same = x is y
+    for i in range(0, len(x), TILE[0]):
+        for j in range(i // TILE[1] * TILE[1] if same else 0, len(y), TILE[1]):
+            d = np.bitwise_count(x[i : i + TILE[0], None] ^ y[None, j : j + TILE[1]])
+            near = d <= radius
+            if near.any():
+                p, q = np.nonzero(near)
+                if same:
+                    p, q = p[p + i < q + j], q[p + i < q + j]
+                yield p + i, q + j, d[p, q]
 
 
 def _joint(x: np.ndarray, y: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
@@ -83,37 +81,69 @@ def _joint(x: np.ndarray, y: np.ndarray, radius: int) -> Iterator[tuple[int, int
             label[np.isin(label, parts)] = own
 
 
+def _met(codes: DataFrame, others: DataFrame | None) -> DataFrame:
+    """(id, code) of codes and others (None: of codes twice) in blocks of about CODES, once for each block that they meet: a group (_i, _j) is two blocks, _other tells rows of the second. Groups are dealt over so many parts that each is a task's."""
+    count = lambda df: max(1, -(-df.count() // CODES))
+    own = lambda n: F.pmod(F.xxhash64("code"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    n = count(codes)
+    if others is None:
+        rows = codes.select("id", "code", own(n).alias("_b"), each(n).alias("_o"))
+        rows = rows.select("id", "code", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), (F.col("_b") > F.col("_o")).alias("_other"))
+        return rows.repartition(n * (n + 1), "_i", "_j")
+    m = count(others)
+    rows = codes.select("id", "code", own(n).alias("_i"), each(m).alias("_j"), F.lit(False).alias("_other"))
+    return rows.union(others.select("id", "code", each(n).alias("_i"), own(m).alias("_j"), F.lit(True))).repartition(2 * n * m, "_i", "_j")
+
+
+def _sides(rows: pd.DataFrame, one: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids and codes of a group of _met(), of either block; if both are one block the same arrays."""
+    sides = [(x["id"].to_numpy(), x["code"].to_numpy(np.int64).view(np.uint64)) for x in (rows[~rows["_other"]], rows[rows["_other"]])]
+    return [sides[0]] * 2 if one else sides
+
+
+def near_codes(codes: DataFrame, others: DataFrame | None, radius: int) -> DataFrame:
+    """a, b, distance: all pairs within the radius of codes with others (both (id, code)), or, if that is None, of different rows of codes, each once. All are compared, in blocks; pairs leave their task some at a time."""
+    alone = others is None
+
+    def met(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (a, x), (b, y) = _sides(pd.concat(batches), alone and key[0] == key[1])
+        held, size = [], 0
+        pairs = lambda: pd.DataFrame({"a": a[np.concatenate([p for p, _, _ in held])], "b": b[np.concatenate([q for _, q, _ in held])], "distance": np.concatenate([d for _, _, d in held]).astype(np.int32)})
+        for found in _near(x, y, radius):
+            held.append(found)
+            size += len(found[0])
+            if size > PAIRS:
+                yield pairs()
+                held, size = [], 0
+        if held:
+            yield pairs()
+
+    kinds = [dict(df.dtypes)["id"] for df in (codes, codes if alone else others)]
+    return _met(codes, others).groupBy("_i", "_j").applyInPandas(met, f"a {kinds[0]}, b {kinds[1]}, distance int")
+
+
 def joining_links(codes: DataFrame, radius: int) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of different codes (id, code) within the radius. All codes are compared, in blocks of about CODES, every two of which are a task's; of their pairs only as many go on as the components need."""
-    n = codes.count()
-    blocks = max(1, -(-n // CODES))
-    b = F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    rows = codes.select("id", "code", b.alias("_b")).withColumn("_o", other).select("id", "code", "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
 
     def met(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        side = lambda k: rows[rows["_b"] == k]
-        x = side(key[0])
-        y = x if key[0] == key[1] else side(key[1])
-        u = x["code"].to_numpy(np.int64).view(np.uint64)
-        v = u if y is x else y["code"].to_numpy(np.int64).view(np.uint64)
-        found = np.array(list(_joint(u, v, radius)), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": x["id"].to_numpy()[found[:, 0]], "b": y["id"].to_numpy()[found[:, 1]]})
+        (a, x), (b, y) = _sides(rows, key[0] == key[1])
+        found = np.array(list(_joint(x, y, radius)), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": a[found[:, 0]], "b": b[found[:, 1]]})
 
     kind = dict(codes.dtypes)["id"]
-    return rows.groupBy("_i", "_j").applyInPandas(met, f"a {kind}, b {kind}")
+    return _met(codes, None).groupBy("_i", "_j").applyInPandas(met, f"a {kind}, b {kind}")
 
 
 def hamming_query(queries: DataFrame, codes: DataFrame, radius: int) -> DataFrame:
     """Codes within the radius of each query."""
-    q = code_bands(queries, radius, "query").withColumnRenamed("code", "_q")
-    hits = q.join(code_bands(codes, radius), ["band", "bits"]).withColumn("distance", hamming(F.col("_q"), F.col("code")))
-    return hits.where(F.col("distance") <= radius).select("query", "id", "distance").distinct()
+    some = lambda df, key: df.where("code is not null").select(F.col(key).alias("id"), "code")
+    return near_codes(some(queries, "query"), some(codes, "id"), radius).select(F.col("a").alias("query"), F.col("b").alias("id"), "distance").distinct()
 
 
 def clusters(codes: DataFrame, radius: int) -> DataFrame:
     """id, component: transitive clusters, named by their least id; codes without neighbours are their own."""
-    one = written(codes.where("code is not null").groupBy("code").agg(F.min("id").alias("id")), "codes")
+    one = _held(codes)
     copies = codes.join(one.withColumnRenamed("id", "a"), "code").where("id > a").select("a", F.col("id").alias("b"))
     c = components(joining_links(one, radius).union(copies))
     return codes.select("id").join(c, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))

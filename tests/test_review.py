@@ -355,6 +355,26 @@ def test_pairs_of_all_copies(spark):
     assert sorted(tuple(x) for x in similarity.all_hamming_pairs(frame, 4).select("a", "b", "distance").collect()) == near
 
 
+@pytest.mark.parametrize("size", [3, 16, 1000])
+def test_pairs_by_blocks(spark, monkeypatch, size):
+    """Pairs from blocks and tiles of codes are all pairs, however many bits the codes share, and come without a join of the codes."""
+    monkeypatch.setattr(similarity, "CODES", size)
+    monkeypatch.setattr(similarity, "TILE", (3, 7))
+    monkeypatch.setattr(similarity, "PAIRS", 4)
+    r = random.Random(size)
+    some = [r.getrandbits(64) - (1 << 63) for _ in range(3)]
+    codes = [r.choice(some) ^ sum(1 << b for b in r.sample(range(63), 6)) for _ in range(60)] + some * 2
+    apart = lambda i, j: bin((codes[i] ^ codes[j]) & (1 << 64) - 1).count("1")
+    near = [(i, j, d) for i, j in itertools.combinations(range(len(codes)), 2) if (d := apart(i, j)) <= 9]
+    frame = rows(spark, [*enumerate(codes), (99, None)], "id long, code long")
+    assert len(near) > 20 and sorted(map(tuple, similarity.all_hamming_pairs(frame, 9).collect())) == near
+    asked = [0, 7, 61, 62]
+    got = similarity.hamming_query(frame.where(F.col("id").isin(asked)).withColumnRenamed("id", "query"), frame, 9)
+    assert sorted(map(tuple, got.collect())) == [(i, j, apart(i, j)) for i in asked for j in range(len(codes)) if apart(i, j) <= 9]
+    plan = similarity.near_codes(frame.where("code is not null"), None, 9)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "FlatMapGroupsInPandas" in plan
+
+
 def test_clusters_by_blocks(spark, monkeypatch):
     """Clusters from blocks of codes are those of all pairs, while links stay few."""
     monkeypatch.setattr(similarity, "CODES", 16)
