@@ -17,6 +17,10 @@ from .components import components
 BLOCK = 4096
 
 
+#: Rows up to this many (an id and its split) are broadcast.
+SMALL = 2_000_000
+
+
 def _held(codes: DataFrame) -> DataFrame:
     """code and the least id that has it, once for each code."""
     return written(codes.where("code is not null").groupBy("code").agg(F.min("id").alias("id")), "codes")
@@ -198,7 +202,8 @@ def content_pairs(items: DataFrame) -> DataFrame:
 
 def cross_split(pairs: DataFrame, splits: DataFrame) -> DataFrame:
     """Pairs whose sides belong to different splits."""
-    s = lambda c: splits.select(F.col("id").alias(c), F.col("split").alias(f"split_{c}"))
+    few = F.broadcast if splits.count() <= SMALL else lambda x: x
+    s = lambda c: few(splits.select(F.col("id").alias(c), F.col("split").alias(f"split_{c}")))
     return pairs.join(s("a"), "a").join(s("b"), "b").where("split_a <> split_b")
 
 

@@ -373,6 +373,8 @@ def test_pairs_by_blocks(spark, monkeypatch, size):
     assert sorted(map(tuple, got.collect())) == [(i, j, apart(i, j)) for i in asked for j in range(len(codes)) if apart(i, j) <= 9]
     plan = similarity.near_codes(frame.where("code is not null"), None, 9)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "FlatMapGroupsInPandas" in plan
+    split = similarity.cross_split(similarity.all_hamming_pairs(frame, 9), frame.select("id", (F.col("id") % 3).alias("split")))
+    assert sorted(tuple(x) for x in split.select("a", "b", "distance").collect()) == [x for x in near if x[0] % 3 != x[1] % 3]
 
 
 def test_clusters_by_blocks(spark, monkeypatch):
