@@ -375,6 +375,7 @@ def test_pairs_by_blocks(spark, monkeypatch, size):
     assert "Join" not in plan and "FlatMapGroupsInPandas" in plan
     split = similarity.cross_split(similarity.all_hamming_pairs(frame, 9), frame.select("id", (F.col("id") % 3).alias("split")))
     assert sorted(tuple(x) for x in split.select("a", "b", "distance").collect()) == [x for x in near if x[0] % 3 != x[1] % 3]
+    assert split._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 2
 
 
 def test_clusters_by_blocks(spark, monkeypatch):
